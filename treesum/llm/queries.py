@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from treesum.llm import chat, licenses
+from treesum.llm.chat import op7_chat
+from treesum.llm.licenses import op9_licenses
 from treesum.llm.mixing import op5_mixing
+from treesum.llm.store import op10_store
 from treesum.llm.tokens import op8_byte_bpe
 
 QUERIES = {
     "op5_mixing": op5_mixing,
+    "op7_chat": op7_chat,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_licenses": op9_licenses,
+    "op10_store": op10_store,
+}
+ORACLES: dict[str, str] = {
+    "op7_chat": chat.ORACLE,
+    "op9_licenses": licenses.oracle(),
 }
-ORACLES: dict[str, str] = {}
