@@ -57,8 +57,8 @@ def template_grams(spark, phrases: tuple = PHRASES, templates: tuple = TEMPLATES
     t = spark.range(1).select(F.inline(F.array(*rows)))
     t = t.withColumn("g", F.when(F.col("base"), F.expr(_grams("ws", 2))).otherwise(F.expr(_grams("ws", 3))))
     t = t.select("tid", "label", "base", F.expr("filter(g, x -> x is not null)").alias("g"))
-    t = t.select("tid", "label", "base", F.size("g").alias("need"), F.posexplode("g").alias("tpos", "h"))
-    own = spark.range(1).select(F.lit(-1).alias("tid"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("base"), F.lit(0).alias("need"), F.lit(None).cast("int").alias("tpos"), F.lit(0).cast("long").alias("h"))
+    t = t.select("tid", "label", "base", F.size("g").alias("need"), F.posexplode_outer("g").alias("tpos", "h"))
+    own = spark.range(1).select(F.lit(-1).alias("tid"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("base"), F.lit(1).alias("need"), F.lit(None).cast("int").alias("tpos"), F.lit(0).cast("long").alias("h"))
     return t.unionByName(own)
 
 
@@ -69,7 +69,8 @@ def spans(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMPLATE
     d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("ws"))
     # 0 stands for the document itself
     d = d.select("doc_id", "text_hash", F.size("ws").alias("n_words"), F.expr(f"concat({_grams('ws', 2)}, {_grams('ws', 3)}, array(0L))").alias("g"))
-    d = d.select("doc_id", "text_hash", "n_words", F.posexplode("g").alias("at", "h")).where("h is not null")
+    # outer: for the inner form the optimizer infers a filter on the array, pushes it down and computes the words in it again
+    d = d.select("doc_id", "text_hash", "n_words", F.posexplode_outer("g").alias("at", "h")).where("h is not null")
     hits = d.join(F.broadcast(template_grams(docs.sparkSession, phrases, templates)), "h")
     pos = F.when(F.col("tid") >= 0, F.col("at") - F.when(F.col("at") >= F.col("n_words"), F.col("n_words")).otherwise(0))
     hits = hits.withColumn("diagonal", pos - F.col("tpos"))
