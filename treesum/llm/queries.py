@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from treesum.llm import chat, licenses
 from treesum.llm.chat import op7_chat
+from treesum.llm.language import op2_language
 from treesum.llm.licenses import op9_licenses
 from treesum.llm.mixing import op5_mixing
+from treesum.llm.quality import op3_quality
 from treesum.llm.store import op10_store
 from treesum.llm.tokens import op8_byte_bpe
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op7_chat": op7_chat,
     "op8_byte_bpe": op8_byte_bpe,
