@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treesum.llm import chat, licenses
+from treesum.llm import chat, licenses, topk
 from treesum.llm.chat import op7_chat
 from treesum.llm.language import op2_language
 from treesum.llm.licenses import op9_licenses
@@ -10,8 +10,10 @@ from treesum.llm.mixing import op5_mixing
 from treesum.llm.quality import op3_quality
 from treesum.llm.store import op10_store
 from treesum.llm.tokens import op8_byte_bpe
+from treesum.llm.topk import op1_topk
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
@@ -21,6 +23,7 @@ QUERIES = {
     "op10_store": op10_store,
 }
 ORACLES: dict[str, str] = {
+    "op1_topk": topk.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),
 }
