@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treesum.llm import chat, licenses, topk
+from treesum.llm import chat, licenses, topk, vectors
 from treesum.llm.chat import op7_chat
 from treesum.llm.language import op2_language
 from treesum.llm.licenses import op9_licenses
@@ -11,11 +11,13 @@ from treesum.llm.quality import op3_quality
 from treesum.llm.store import op10_store
 from treesum.llm.tokens import op8_byte_bpe
 from treesum.llm.topk import op1_topk
+from treesum.llm.vectors import op4_nndescent
 
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_nndescent": op4_nndescent,
     "op5_mixing": op5_mixing,
     "op7_chat": op7_chat,
     "op8_byte_bpe": op8_byte_bpe,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
+    "op4_nndescent": vectors.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),
 }
