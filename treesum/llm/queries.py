@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from treesum.llm import chat, licenses, topk, vectors
+from treesum.llm import chat, jaccard, licenses, topk, vectors
 from treesum.llm.chat import op7_chat
+from treesum.llm.jaccard import op6_jaccard
 from treesum.llm.language import op2_language
 from treesum.llm.licenses import op9_licenses
 from treesum.llm.mixing import op5_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_nndescent": op4_nndescent,
     "op5_mixing": op5_mixing,
+    "op6_jaccard": op6_jaccard,
     "op7_chat": op7_chat,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_licenses": op9_licenses,
@@ -27,6 +29,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op4_nndescent": vectors.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
     "op7_chat": chat.ORACLE,
     "op9_licenses": licenses.oracle(),
 }
