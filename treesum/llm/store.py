@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treesum.llm.common import stage, stage_path
+from treesum.llm.common import drop_path, stage, stage_path
 
 #: Ids a cut looks back on; least and most ids of a chunk; beyond the least, one place in MASK + 1 is a cut.
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct words a worker remembers.
-WORDS = 400_000
+#: Distinct pieces a worker remembers.
+WORDS = 500_000
+#: Row numbers that are broadcast at most; above, they are joined by shuffle.
+BROADCAST = 1_000_000
 
 
 class WordIds:
@@ -55,40 +57,62 @@ class WordIds:
         self.plain = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*").fullmatch
         self.pieces = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+").findall
         self.blanks = re.compile("[ \t\n]+").split
-        self.known: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         more = iter(range(256, 512))
         self.mapped = {b: chr(b) if b in shown else chr(next(more)) for b in range(256)}
-
-    def _new(self, piece: str) -> list[int]:
-        if len(piece) > 2000 or len(self.known) >= WORDS:
-            if len(self.known) >= WORDS:
-                self.known.clear()
-            if len(piece) > 2000:
-                return self.whole.encode(piece, add_special_tokens=False).ids
-        ids = [t.id for t in self.whole.model.tokenize("".join(map(self.mapped.__getitem__, piece.encode())))]
-        self.known[piece] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> list[int]:
-        if len(self.chunks) >= WORDS // 4:
-            self.chunks.clear()
-        ids = self.chunks[chunk] = self.whole.encode(chunk, add_special_tokens=False).ids
-        return ids
+        self.clear()
+
+    def clear(self) -> None:
+        """Pieces known so far, by number; where their ids begin in one flat array, with room to grow."""
+        self.at: dict[str, int] = {}
+        self.flat, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0
+
+    def _ids(self, piece: str) -> list[int]:
+        """Of a piece without blanks: one plain letter run, digit or run of marks goes to the model, all else through all steps."""
+        if len(piece) > 2000 or not self.plain(piece) or self.pieces(piece) != [piece]:
+            return self.whole.encode(piece, add_special_tokens=False).ids
+        raw = piece if piece.isascii() else "".join(map(self.mapped.__getitem__, piece.encode()))
+        return [t.id for t in self.whole.model.tokenize(raw)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        for p in pieces:
+            if p in self.at:
+                continue
+            ids, i = self._ids(p), len(self.at)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+            if i + 1 >= len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            self.begin[i + 1] = self.used
+            self.at[p] = i
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each has."""
+        if len(self.at) > WORDS:
+            self.clear()
+        found: list[str] = []
+        sizes = []
+        for t in texts:
+            own = [] if not t else self.pieces(t.lower()) if self.plain(t) else [c for c in self.blanks(t) if c]
+            found += own
+            sizes.append(len(own))
+        which = list(map(self.at.get, found))
+        if None in which:
+            self._learn([p for p, i in zip(found, which, strict=True) if i is None])
+            which = list(map(self.at.get, found))
+        w = np.array(which, np.int64)
+        lo, n = self.begin[w], self.begin[w + 1] - self.begin[w]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        docs = np.cumsum([0, *sizes])
+        upto = np.concatenate([[0], ends])
+        return ids, upto[docs[1:]] - upto[docs[:-1]]
 
     def __call__(self, text: str) -> list[int]:
-        out: list[int] = []
-        if self.plain(text):
-            get = self.known.get
-            for p in self.pieces(text.lower()):
-                out += get(p) or self._new(p)
-        else:
-            for c in self.blanks(text):
-                if c:
-                    out += self.chunks.get(c) or self._chunk(c)
-        return out
+        return self.batch([text])[0].tolist()
 
 
 @lru_cache(2)
@@ -102,25 +126,26 @@ def default_vocabulary() -> str:
     return P.path("word_bpe_49k.json")
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end. A cut depends on the WINDOW ids before it and on the last cut, nothing else."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def rolled(ids: np.ndarray) -> np.ndarray:
+    """A hash of the WINDOW ids up to and with each place: a rolling sum of mixed ids, mixed again."""
     with np.errstate(over="ignore"):
         v = (ids.astype(np.uint64) + np.uint64(1)) * _ODD
         v ^= v >> np.uint64(29)
-        h = np.zeros(n, np.uint64)
-        for j in range(WINDOW):
-            h[WINDOW - 1 :] += np.roll(v, j)[WINDOW - 1 :] * (_ODD ** np.uint64(j) | np.uint64(1))
-        h ^= h >> np.uint64(31)
-    at = np.flatnonzero((h[WINDOW - 1 :] & np.uint64(MASK)) == 0) + WINDOW
+        total = np.cumsum(v * _ODD)
+        h = total.copy()
+        h[WINDOW:] -= total[:-WINDOW]
+        h = (h ^ (h >> np.uint64(31))) * _ODD
+    return h ^ (h >> np.uint64(32))
+
+
+def cuts(places: np.ndarray, n: int) -> list[int]:
+    """Where the chunks of n ids end; places: those after which the hash asks for a cut. A cut depends on the WINDOW ids
+    before it and on the last cut, nothing else."""
     out, last = [], 0
     while n - last > LEAST:
-        i = np.searchsorted(at, last + LEAST)
-        end = min(int(at[i]) if i < len(at) else n, last + MOST, n)
-        out.append(end)
-        last = end
+        i = np.searchsorted(places, last + LEAST)
+        last = min(int(places[i]) if i < len(places) else n, last + MOST, n)
+        out.append(last)
     if last < n:
         out.append(n)
     return out
@@ -138,25 +163,37 @@ def merkle(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
-_ROWS = "doc_id long, seq int, n_tokens long, root binary, hashes array<binary>, hash binary, n int, payload binary"
+_ROWS = "row long, doc_id long, seq int, n_tokens long, root binary, hashes array<binary>, hash binary, n int, payload binary"
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
     encode = word_ids(path)
+    # row numbers are the task's and its rows', so a task that runs again numbers alike
+    count = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     kind = np.dtype("<u2" if encode.width == 2 else "<u4")
     names = [x.split()[0] for x in _ROWS.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.int32(), pa.binary()]
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             rows: list[tuple] = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end], kind)
-                ends = cuts(ids)
-                payloads = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            ids, sizes = encode.batch(part.column(1).to_pylist())
+            ids = np.insert(ids, np.cumsum(sizes), end).astype(kind)
+            ends_of = np.cumsum(sizes + 1)
+            asked = np.flatnonzero((rolled(ids) & np.uint64(MASK)) == 0) + 1
+            for doc_id, lo_id, hi_id in zip(part.column(0).to_pylist(), [0, *ends_of.tolist()], ends_of.tolist(), strict=False):
+                n = hi_id - lo_id
+                # a hash counts from the place where all its WINDOW ids are the document's own
+                i, j = np.searchsorted(asked, [lo_id + WINDOW, hi_id])
+                ends = cuts(asked[i:j] - lo_id, n)
+                own = ids[lo_id:hi_id]
+                payloads = [own[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
                 hashes = [digest(p) for p in payloads]
                 root = merkle(hashes)
-                rows += [(doc_id, i, len(ids), root, None if i else hashes, h, len(p) // kind.itemsize, p) for i, (h, p) in enumerate(zip(hashes, payloads, strict=True))]
+                rows += [(count + i, doc_id, i, n, root, None if i else hashes, h, len(p) // kind.itemsize, p) for i, (h, p) in enumerate(zip(hashes, payloads, strict=True))]
+                count += len(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
@@ -174,14 +211,23 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     """Encodes docs(doc_id, text) into a store in folder."""
     spark, path = docs.sparkSession, path or default_vocabulary()
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = stage(d.mapInArrow(lambda it: _chunked(it, path, end), _ROWS), "ids")
+    staged = stage_path(spark, "ids")
     zstd = lambda df: df.write.option("compression", "zstd")
-    zstd(rows.groupBy("hash").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))).parquet(f"{folder}/chunks")
+    zstd(d.mapInArrow(lambda it: _chunked(it, path, end), _ROWS)).parquet(staged)
+    rows = spark.read.schema(_ROWS).parquet(staged)
+    # of chunks with one hash the first row is kept; payloads are not shuffled for it while the others' row numbers are
+    # few enough to be broadcast, by count
+    keys = rows.select("hash", "row")
+    first = keys.groupBy("hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    extra = stage(keys.join(first, "hash").where("row <> first").select("row"), "extra")
+    unique = rows.join(F.broadcast(extra) if extra.count() <= BROADCAST else extra, "row", "left_anti")
+    zstd(unique.select("hash", "n", "payload")).parquet(f"{folder}/chunks")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = rows.where("seq = 0").select("doc_id", "n_tokens", "root", "hashes")
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
     zstd(recipes).parquet(f"{folder}/recipes")
     zstd(_manifest(spark.read.parquet(f"{folder}/recipes"))).parquet(f"{folder}/manifest")
+    drop_path(spark, staged)
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
