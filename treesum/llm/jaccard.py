@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,9 +160,7 @@ def _lists(entries: DataFrame) -> DataFrame:
     """(list, class) for prefix shingles that two classes or more hold. A bucket has about BUCKET entries, and those of
     one shingle at most once per class and flush."""
 
-    def run(key: tuple, g) -> object:
-        import pandas as pd
-
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         h, c = np.frombuffer(b"".join(g["hashes"]), np.int64), np.frombuffer(b"".join(g["classes"]), np.int64)
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
@@ -175,6 +174,14 @@ def _lists(entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInPandas(run, "list long, class long")
 
 
+def _distinct(lists: DataFrame) -> DataFrame:
+    """Of lists with the same classes one: documents that share a passage meet in a list for each of its shingles."""
+    x = F.xxhash64(F.lit(1), "class")
+    same = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("h"), F.bit_xor(x).alias("i"))
+    kept = same.groupBy("n", "h", "i").agg(F.min("list").alias("list")).select("list")
+    return lists.join(kept, "list", "left_semi")
+
+
 def possible(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The least intersection of linked sets of sizes n and m, as a float: 3 (n + m) / 7."""
     return SHARE * (n + m) / (100.0 + SHARE)
@@ -317,7 +324,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     often = first.where("not doc").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * max(total, 1))
     # at most (shingles of a document) / COMMON numbers, whatever the input
     common = np.sort(np.array([r[0] for r in often.select("class").collect()], np.int64).view(np.uint64))
-    lists = stage(_lists(_entries(d, common, max(1, -(-int(entries or 0) // BUCKET)))), "lists")
+    lists = stage(_distinct(stage(_lists(_entries(d, common, max(1, -(-int(entries or 0) // BUCKET)))), "entries")), "lists")
     verify = _Verifier(d, classes)
     links = spark.createDataFrame([], "a long, b long")
     comp = None
