@@ -151,8 +151,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0) -> DataFrame:
-    """rows(row_id, x, offset) to (row_id, chain, sample, value): trees summed, put back on the scale of the response
+def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows(row_id, x, offset) to (row_id, chain, sample, value) and the columns of rows to keep: trees summed, put back on the scale of the response
     (lo + span * (sum + 0.5), which is the sum itself by default) and the offset added. A narrow transformation."""
     f = packed(trees)
     draws = f.keys.groupby(["chain", "sample"], sort=True).indices
@@ -165,9 +165,10 @@ def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1
                 for (chain, sample), ks in draws.items():
                     s = sum(f.value[f.leaves(x, k)] for k in ks)
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, chain, np.int32)), pa.array(np.full(n, sample, np.int32)), pa.array(lo + span * (s + 0.5) + offset)], ["row_id", "chain", "sample", "value"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(n, chain, np.int32)), pa.array(np.full(n, sample, np.int32)), pa.array(lo + span * (s + 0.5) + offset), *part.columns[3:]], ["row_id", "chain", "sample", "value", *keep])
 
-    return rows.select("row_id", "x", "offset").mapInArrow(run, "row_id long, chain int, sample int, value double")
+    schema = "row_id long, chain int, sample int, value double" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select("row_id", "x", "offset", *keep).mapInArrow(run, schema)
 
 
 def predict_summary(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0, quantiles: tuple = (0.05, 0.5, 0.95), binary: bool = False) -> DataFrame:
