@@ -435,12 +435,12 @@ def tau_log_posterior(spark, sf_dir):
 _RANEF = "(SELECT n_nationkey AS g, c AS chain, s AS sample, (n_nationkey % 5) * 0.1 + s * 0.01 - c * 0.02 AS b FROM nation, generate_series(0, 1) a(c), generate_series(0, 2) d(s))"
 
 
-@query("fitted_ranef", f"SELECT o_orderkey AS row_id, round(avg(f + b), 5) AS mean, round(avg({phi_sql('f + b')}), 6) AS p FROM (SELECT o_orderkey, c_nationkey, s, c, o_totalprice / 100000 + s * 0.1 + c * 0.05 AS f FROM orders JOIN customer ON o_custkey = c_custkey, generate_series(0, 1) a(c), generate_series(0, 2) d(s)) JOIN {_RANEF} ON g = c_nationkey AND chain = c AND sample = s GROUP BY 1")
+@query("fitted_ranef", f"SELECT o_orderkey AS row_id, round(avg(f + b), 5) AS mean, round(avg({phi_sql('f + b')}), 6) AS p FROM (SELECT o_orderkey, c_nationkey, s, c, o_totalprice / 123457.89 + s * 0.1 + c * 0.05 AS f FROM orders JOIN customer ON o_custkey = c_custkey, generate_series(0, 1) a(c), generate_series(0, 2) d(s)) JOIN {_RANEF} ON g = c_nationkey AND chain = c AND sample = s GROUP BY 1")
 def fitted_ranef(spark, sf_dir):
     draws = spark.range(6).select((F.col("id") % 3).alias("sample"), F.expr("id div 3").alias("chain"))
     ranef = table(spark, sf_dir, "nation").crossJoin(F.broadcast(draws)).select(F.col("n_nationkey").alias("g"), "chain", "sample", ((F.col("n_nationkey") % 5) * 0.1 + F.col("sample") * 0.01 - F.col("chain") * 0.02).alias("b"))
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("row_id"), F.col("c_nationkey").alias("g"), "o_totalprice")
-    d = rows.join(ranef, "g").withColumn("v", F.col("o_totalprice") / 100000 + F.col("sample") * 0.1 + F.col("chain") * 0.05 + F.col("b"))
+    d = rows.join(ranef, "g").withColumn("v", F.col("o_totalprice") / 123457.89 + F.col("sample") * 0.1 + F.col("chain") * 0.05 + F.col("b"))
     return d.groupBy("row_id").agg(r(F.avg("v"), 5).alias("mean"), r(F.avg(phi_column(F.col("v")))).alias("p"))
 
 
