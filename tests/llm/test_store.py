@@ -31,6 +31,8 @@ def test_round_trip(spark, tmp_path):
     assert [x[0] for x in found] == [None] + sorted(r[0] for r in rows if r[0] is not None)
     want = sorted(((i, np.array([*w.whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows), key=str)
     assert sorted(((x[0], x[3]) for x in found), key=str) == want
+    crc = {bytes(r["root"]): (r["n"], r["crc32"]) for r in store.documents(spark, folder, w.width, sums=True).collect()}
+    assert crc == {bytes(k): (len(v) // 4, zlib.crc32(v)) for k, v in streams.items()}
     at = 0
     for _, start, n, ids in found:
         assert start == at and n * 4 == len(ids)

@@ -230,24 +230,27 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     drop_path(spark, staged)
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(root, parts) to (root, n, ids as little-endian unsigned 32-bit integers), checked."""
+def _rebuilt(batches: Iterator[pa.RecordBatch], width: int, sums: bool) -> Iterator[pa.RecordBatch]:
+    """(root, parts) to (root, n, ids as little-endian unsigned 32-bit integers, or their crc32 alone), checked."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
-            roots, ns, out = [], [], []
-            for root, chunks in zip(part.column(0), part.column(1), strict=True):
-                chunks = sorted((c["seq"], c["hash"], c["payload"]) for c in chunks.as_py())
-                for _, h, p in chunks:
-                    if p is None or digest(p) != h:
-                        raise ValueError(f"chunk {h.hex()} is missing or does not match its hash")
-                if merkle([h for _, h, _ in chunks]) != root.as_py():
-                    raise ValueError(f"document {root.as_py().hex()} does not match its root")
-                ids = np.frombuffer(b"".join(p for _, _, p in chunks), f"<u{width}").astype("<u4")
-                roots.append(root.as_py())
+            sizes = [len(x) for x in part.column(1)]
+            flat = part.column(1).flatten()
+            seq, hashes, payloads = flat.field(0).to_numpy(), flat.field(1).to_pylist(), flat.field(2).to_pylist()
+            roots, ns, out, at = part.column(0).to_pylist(), [], [], 0
+            for root, size in zip(roots, sizes, strict=True):
+                order = (at + np.argsort(seq[at : at + size])).tolist()
+                at += size
+                for i in order:
+                    if payloads[i] is None or digest(payloads[i]) != hashes[i]:
+                        raise ValueError(f"chunk {hashes[i].hex()} is missing or does not match its hash")
+                if merkle([hashes[i] for i in order]) != root:
+                    raise ValueError(f"document {root.hex()} does not match its root")
+                ids = np.frombuffer(b"".join([payloads[i] for i in order]), f"<u{width}").astype("<u4")
                 ns.append(len(ids))
-                out.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(ns, pa.int64()), pa.array(out, pa.binary())], ["root", "n", "ids"])
+                out.append(zlib.crc32(ids) if sums else ids.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(ns, pa.int64()), pa.array(out, pa.int64() if sums else pa.binary())], ["root", "n", "crc32" if sums else "ids"])
 
 
 def check_manifest(spark: SparkSession, folder: str) -> None:
@@ -258,13 +261,13 @@ def check_manifest(spark: SparkSession, folder: str) -> None:
         raise ValueError(f"part {odd[0]} of {folder} does not match its manifest")
 
 
-def documents(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
-    """(root, n, ids) of each distinct document of a store, rebuilt from its chunks."""
+def documents(spark: SparkSession, folder: str, width: int = 2, sums: bool = False) -> DataFrame:
+    """(root, n, ids) of each distinct document of a store, rebuilt from its chunks; with sums (root, n, crc32)."""
     recipes = spark.read.parquet(f"{folder}/recipes")
     once = recipes.groupBy("root").agg(F.first("hashes").alias("hashes"))
     wanted = once.select("root", F.posexplode("hashes").alias("seq", "hash"))
     found = wanted.join(spark.read.parquet(f"{folder}/chunks"), "hash", "left")
-    return found.groupBy("root").agg(F.collect_list(F.struct("seq", "hash", "payload")).alias("parts")).mapInArrow(lambda it: _rebuilt(it, width), "root binary, n long, ids binary")
+    return found.groupBy("root").agg(F.collect_list(F.struct("seq", "hash", "payload")).alias("parts")).mapInArrow(lambda it: _rebuilt(it, width, sums), "root binary, n long, " + ("crc32 long" if sums else "ids binary"))
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
@@ -277,15 +280,10 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     return r.join(F.broadcast(parts), "part").select("doc_id", "root", (F.col("_base") + F.col("_before")).alias("start"), "n_tokens")
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.crc32(x.as_buffer()) for x in batch.column(2)], pa.int64())], ["root", "n_read", "ids_crc32"])
-
-
 def op10_store(spark, sf_dir: str) -> DataFrame:
     folder = stage_path(spark, "store")
     path = default_vocabulary()
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder, path)
     check_manifest(spark, folder)
-    sums = documents(spark, folder, word_ids(path).width).mapInArrow(_summed, "root binary, n_read long, ids_crc32 long")
+    sums = documents(spark, folder, word_ids(path).width, sums=True).select("root", F.col("n").alias("n_read"), F.col("crc32").alias("ids_crc32"))
     return index(spark, folder).join(sums, "root").select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
