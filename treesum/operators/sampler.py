@@ -82,7 +82,8 @@ def prepare(frame: DataFrame, control: Control, tree_prior: stats.TreePrior, lea
     sigma = 1.0
     if not binary:
         _, lo, span = stats.rescaled(frame)
-        sigma = max(stats.ols_sigma(frame), 1e-10) / span
+        # rounded, so that the order of sums in partitions does not reach the draws
+        sigma = float(f"{max(stats.ols_sigma(frame), 1e-10):.8g}") / span
     s = Settings(
         trees=control.trees, base=tree_prior.base, power=tree_prior.power, split_probs=None if tree_prior.split_probs is None else np.array(tree_prior.split_probs),
         k=leaf_prior.k, k_chi=leaf_prior.chi or ((1.25, math.inf) if binary and preset == "modern" and leaf_prior == stats.NormalPrior() else None), node_scale=3.0 if binary else 0.5, binary=binary, hastings=hastings, prior_trees=preset == "modern",
