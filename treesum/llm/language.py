@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treesum.llm.common import stage
+
 WORD = 48
 #: Training: texts per language, about, that are drawn by hash; distinct words per language; rounds.
 TEXTS, WORDS, ROUNDS = 500, 30_000, 5
@@ -219,7 +221,8 @@ def fit(docs: DataFrame, path: str | None = None, texts: int = TEXTS, words: int
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
 
-    counts = drawn.mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # the texts are split once, not once per language
+    counts = stage(drawn.mapInArrow(split, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(per, key=str.encode)
     p = []
     for lang in langs:
