@@ -41,13 +41,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; of rows that share id and text, one."""
-    groups = jaccard.join_components(docs.select("doc_id", "text"))
-    kept = stage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("component_id").alias("least")).where("doc_id = least").select("doc_id", "times"), "kept")
-    rest = docs.where("doc_id is null")
-    once = docs.join(kept.where("times = 1"), "doc_id", "left_semi")
-    # ids that several rows share: one row per text, those rows only
-    again = docs.join(kept.where("times > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(rest).select(*docs.columns)
+    groups = stage(jaccard.join_components(docs.select("doc_id", "text"), classes=True), "groups").where("doc_id is not null")
+    per = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("component_id").alias("least"))
+    # ids that stand for one row are dropped by id; ids that several rows share are looked at row by row
+    apart = stage(per.where("times > 1 or doc_id <> least").select("doc_id", "times"), "apart")
+    few = apart.count() <= jaccard.BROADCAST
+    hint = F.broadcast if few else (lambda d: d)
+    once = docs.join(hint(apart.select("doc_id")), "doc_id", "left_anti")
+    shared = apart.where("times > 1").select("doc_id")
+    if shared.isEmpty():
+        return once.select(*docs.columns)
+    own = groups.join(hint(shared), "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("class").alias("_class")).distinct()
+    again = jaccard.with_class(docs.join(hint(shared), "doc_id", "left_semi"), "_class")
+    again = again.join(own, ["doc_id", "_class"], "left_semi").dropDuplicates(["doc_id", "_class"])
+    return once.unionByName(again.select(*docs.columns)).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,8 +312,22 @@ class _Verifier:
         return stage(p.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "linked")
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, n_shingles, component_id)."""
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """docs(text, ...) with the class of each text's set, 0 for an empty set."""
+    own = docs.columns
+    at = own.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [class_of(s) if len(s) else 0 for s in map(shingles, batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*own, name])
+
+    return docs.mapInArrow(run, docs.select(*own).schema.add(name, "long"))
+
+
+def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, n_shingles, component_id), and each row's class if asked for."""
+    more = ["class"] if classes else []
     spark: SparkSession = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = stage(d.mapInArrow(_first, "doc boolean, doc_id long, class long, n long, bits binary"), "shingles")
@@ -348,8 +362,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     named = classes.select("class", "low").join(whole, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     of = stage(named.join(lowest, "component").select("class", "component_id"), "named")
-    linked = took.join(of, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = took.join(of, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more)
     return linked.unionByName(rest)
 
 
