@@ -42,7 +42,8 @@ BATCH, REPORT, COMMON = 2000, 8, 0.002
 BUCKET, FLUSH = 1 << 20, 1 << 21
 #: Ids that are broadcast at most; above, they are joined by shuffle.
 BROADCAST = 500_000
-FANOUT, LEADERS = 8, 2
+#: Children of a node; rounds of leaders; lists of a class that are compared to let a pair come out once.
+FANOUT, LEADERS, LEAST = 8, 2, 16
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,10 +241,11 @@ class SignatureTree:
 
 
 def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, members) to candidate pairs (a, b); a pair belongs to the group of the larger of its bands."""
+    """(band, members, list) to candidate pairs (a, b). A pair belongs to the group of the larger of its bands, and to the
+    first list that the least lists of both share; where they share none it comes out of each list that holds both."""
     for batch in batches:
         out_a, out_b = [], []
-        for band, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for band, members, here in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             m = sorted(members.as_py(), key=lambda x: (x["comp"], x["n"], x["class"]))
             if len({x["comp"] for x in m}) < 2:
                 continue
@@ -252,8 +254,10 @@ def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # components as small numbers, in the order of the members
             comp = np.unique(np.array([x["comp"] for x in m]), return_inverse=True)[1].astype(np.int64)
             tree = SignatureTree(np.array([x["n"] for x in m]), [x["bits"] for x in m], comp)
+            least = [frozenset(x["least"]) for x in m]
             for i, j in tree.pairs():
-                k = np.maximum(own[i], own[j]) == band
+                k = np.flatnonzero(np.maximum(own[i], own[j]) == band)
+                k = [q for q, a, b in zip(k.tolist(), i[k].tolist(), j[k].tolist(), strict=True) if min(least[a] & least[b], default=here) == here]
                 out_a.append(ids[i[k]])
                 out_b.append(ids[j[k]])
         if out_a:
@@ -342,9 +346,12 @@ def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
     verify = _Verifier(d, classes)
     links = spark.createDataFrame([], "a long, b long")
     comp = None
+    degree = lists.groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
     for k in range(LEADERS):
         named = lists.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class")) if comp is not None else lists.withColumn("comp", F.col("class"))
-        lead = named.groupBy("list").agg(F.min(F.struct(F.xxhash64(F.lit(k), "class"), "class", "comp")).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("list", F.col("l.class").alias("b"), F.col("l.comp").alias("other"))
+        # what copies were made of shares a list with each of them: the first round takes the class that is in most lists
+        first_of = F.struct(-F.col("degree"), F.xxhash64(F.lit(k), "class"), "class", "comp") if k == 0 else F.struct(F.xxhash64(F.lit(k), "class"), "class", "comp")
+        lead = (named.join(degree, "class") if k == 0 else named).groupBy("list").agg(F.min(first_of).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("list", F.col("l.class").alias("b"), F.col("l.comp").alias("other"))
         votes = named.join(lead, "list").where("comp <> other").groupBy(F.col("class").alias("a"), "b").count()
         best = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         links = links.union(verify(best))
@@ -353,10 +360,13 @@ def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
     open_ = named.groupBy("list").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("list")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE))).cast("int")
     met = named.join(open_, "list", "left_semi").join(classes.select("class", "n", "bits"), "class").withColumn("band", band)
+    # the least lists of each class, by hash: two classes whose least lists meet come out of the first that they share
+    least = met.groupBy("class").agg(F.sort_array(F.collect_set(F.xxhash64("list"))).alias("l")).select("class", F.slice("l", 1, LEAST).alias("least"))
+    met = met.join(least, "class").withColumn("own", F.xxhash64("list"))
     # sizes of linked sets lie in one band or in neighbours: a class stands in its own group and in the next
     met = met.withColumn("group", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    groups = met.groupBy("list", "group").agg(F.collect_list(F.struct("class", "comp", "n", "band", "bits")).alias("m")).where(F.size("m") > 1)
-    pairs = groups.select("group", "m").mapInArrow(_traverse, "a long, b long").distinct()
+    groups = met.groupBy("list", "group").agg(F.first("own").alias("own"), F.collect_list(F.struct("class", "comp", "n", "band", "bits", "least")).alias("m")).where(F.size("m") > 1)
+    pairs = groups.select("group", "m", "own").mapInArrow(_traverse, "a long, b long").distinct()
     links = links.union(verify(stage(pairs, "candidates")))
     whole = components(links).select(F.col("id").alias("class"), "component")
     named = classes.select("class", "low").join(whole, "class", "left").withColumn("component", F.coalesce("component", "class"))
