@@ -172,15 +172,15 @@ class Model:
         return forest.variable_counts(self.trees)
 
     def predict(self, rows: DataFrame, type: str = "ev") -> DataFrame:
-        """rows(row_id, x, offset[, weight, g]) to (row_id, chain, sample, value). ev: mean of the response; bart: scale of
+        """rows(row_id, x, offset[, weight, g]) to (row_id, chain, sample, value). ev: mean of the response; link: scale of
         the trees with offset; ppd: a draw of the response. Groups not seen in training get a draw of their own."""
-        type = {"response": "ev", "link": "bart"}.get(type, type)
-        if type not in ("ev", "bart", "ppd"):
+        type = {"response": "ev"}.get(type, type)
+        if type not in ("ev", "link", "ppd"):
             raise ValueError(f"no prediction of type {type!r}")
         d = forest.predict(self.trees, rows, self.lo, self.span)
         if "g" in rows.columns:
             d = self._with_groups(d, rows)
-        if type == "bart":
+        if type == "link":
             return d
         if self.binary:
             d = d.withColumn("value", phi_column(F.col("value")))

@@ -583,15 +583,15 @@ def chain_fit_binary(spark, sf_dir):
     return sampler.fit(f, sampler.Control(trees=10, draws=10, burn=10, chains=2)).varcount()
 
 
-@query("rbart_fit")
-def rbart_fit(spark, sf_dir):
+@query("grouped_fit")
+def grouped_fit(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     f = design.model_frame(c, "c_acctbal", design.resolve(c, ["c_custkey", "c_mktsegment"]), "c_custkey", group="c_nationkey")
     return sampler.fit(f, sampler.Control(trees=10, draws=10, burn=10, chains=2), group=True).ranef
 
 
-@query("xbart_fit")
-def xbart_fit(spark, sf_dir):
+@query("grid_fit")
+def grid_fit(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     f = design.model_frame(c, "c_acctbal", design.resolve(c, ["c_custkey", "c_mktsegment"]), "c_custkey")
     return validation.cross_validate(f, n_trees=[5, 7], k=[1.0, 2.0], reps=2, control=sampler.Control(draws=10, burn=10, chains=1))
