@@ -97,3 +97,27 @@ def test_links_of_nothing(spark):
     assert links(spark, [(1, 1, [1.0])]).limit(0).count() == 0
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<double>")).count() == 0
     assert [tuple(x) for x in links(spark, [(None, 1, [1.0])]).collect()] == [(None, 0, None, True)]
+
+
+def star(n, dim, seed, start=0, label=1):
+    """Vectors that all link and are too far apart to share a ball."""
+    r = np.random.default_rng(seed)
+    c, y = np.eye(dim)[0], r.normal(size=(n, dim))
+    y[:, 0] = 0
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return [(start + i, label, list(map(float, x))) for i, x in enumerate(c * math.sqrt(0.95) + y * math.sqrt(0.05))]
+
+
+def test_links_beyond_the_longest_list(spark):
+    rows = star(220, 64, 5) + [(1000 + i, 1, list(map(float, x))) for i, x in enumerate(np.random.default_rng(6).normal(size=(100, 64)))]
+    assert sorted(tuple(x) for x in links(spark, rows).collect()) == brute_links(rows)
+
+
+def test_links_where_no_pass_passes_the_audit(spark, monkeypatch):
+    """Lists that find nothing: what the audit does not pass is settled exactly, in several chunks."""
+    monkeypatch.setattr(vectors, "AGAIN", 1)
+    monkeypatch.setattr(vectors, "CHUNK", 20_000)
+    whole = vectors._lists
+    monkeypatch.setattr(vectors, "_lists", lambda found, size: whole(found, size).where("false"))
+    rows = star(60, 64, 5) + star(20, 64, 6, 100, 2) + [(200 + i, 1, [1.0] + [0.05] * 63) for i in range(9)]
+    assert sorted(tuple(x) for x in links(spark, rows).collect()) == brute_links(rows)

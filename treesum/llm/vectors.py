@@ -9,10 +9,12 @@ Vectors link when their labels are equal and their cosine is at least THRESHOLD,
 2. Graph. Each node keeps a list of its nearest nodes, by angle less both radii. Lists start from leaves of several other
    hyperplane codes and are refined through neighbours of neighbours: forward and reverse neighbours of a node meet, and
    pairs that improve either list enter it, until few do. A list that is full of nodes within the link angle is saturated
-   and doubles.
+   and doubles, up to LONG; sizes are kept from pass to pass.
 3. Audit. A documented sample of nodes (AUDIT of them, by hash) is compared with all nodes by brute force; while the lists
    hold less than RECALL of the pairs within the link angle, more hyperplane codes are added and refined.
-4. Edges. Listed pairs that may link are settled exactly: both balls wholly within the angle (counted by size), wholly
+4. Rest. Nodes whose lists stay saturated, and all nodes where no pass passes the audit, are compared with every ball of
+   their label in double precision, in blocks; only counts and the edges of spanning forests come out.
+5. Edges. Listed pairs that may link are settled exactly: both balls wholly within the angle (counted by size), wholly
    outside, or member by member in double precision. Components run over nodes.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, or whose label is null, link with
@@ -34,6 +36,8 @@ from treesum.llm.common import components, stage
 
 THRESHOLD = 0.93
 LEAF, TABLES, LIST, ROUNDS = 256, 8, 10, 4
+#: Size at which lists double no more and their nodes are settled exactly; bytes of vectors held against the rest at once.
+LONG, CHUNK = 160, 32 << 20
 AUDIT, RECALL, AGAIN = 256, 0.98, 3
 #: What float16 centres may be off by, as an angle; what double precision may.
 COARSE, FINE = 0.06, 1e-7
@@ -169,25 +173,37 @@ def _lists(found: DataFrame, size: DataFrame) -> DataFrame:
     return f.join(size, "u", "left").where(F.col("rank") <= F.coalesce("k", F.lit(LIST))).drop("k")
 
 
-def refine(light: DataFrame, start: DataFrame, theta: float, rounds: int = ROUNDS) -> DataFrame:
-    """NN-descent from start(u, v, gap): lists (u, v, gap)."""
-    none = start.sparkSession.createDataFrame([], "u long, k int")
-    size, lists = none, stage(_lists(start.withColumn("fresh", F.lit(True)), none), "lists")
-    for _ in range(rounds):
-        full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("far"))
-        # a full list wholly within the link angle may leave out links: it doubles
-        size = stage(full.join(size, "u", "left").withColumn("k", F.coalesce("k", F.lit(LIST))).withColumn("full", (F.col("n") >= F.col("k"))).select("u", F.when(F.col("full") & (F.col("far") <= theta + COARSE), F.col("k") * 2).otherwise(F.col("k")).alias("k"), F.when(F.col("full") & (F.col("far") > theta + COARSE), F.col("far")).otherwise(F.lit(float(np.pi))).alias("bound")), "sizes")
+def _saturated(lists: DataFrame, size: DataFrame, theta: float) -> DataFrame:
+    """(u, k, n, far, full, hot) of each list; a full list wholly within the link angle (hot) may leave out links."""
+    full = lists.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("far")).join(size.select("u", "k"), "u", "left")
+    full = full.withColumn("k", F.coalesce("k", F.lit(LIST))).withColumn("full", F.col("n") >= F.col("k"))
+    return full.withColumn("hot", F.col("full") & (F.col("far") <= theta + COARSE))
+
+
+def refine(light: DataFrame, start: DataFrame, theta: float, size: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """NN-descent from start(u, v, gap) with lists of size (u, k): lists (u, v, gap) and their sizes (u, k). Rounds go on
+    while saturated lists double, at most until each could have doubled to LONG."""
+    if size is None:
+        size = start.sparkSession.createDataFrame([], "u long, k int")
+    lists, settled = stage(_lists(start.withColumn("fresh", F.lit(True)), size), "lists"), False
+    for i in range(rounds + int(np.ceil(np.log2(max(1, LONG / LIST))))):
+        state = _saturated(lists, size, theta)
+        grows = F.col("hot") & (F.col("k") < LONG)
+        size = stage(state.select("u", F.when(grows, F.least(F.col("k") * 2, F.lit(LONG))).otherwise(F.col("k")).alias("k"), grows.alias("grows"), (F.col("hot") & ~grows).alias("dense"), F.when(F.col("full") & ~F.col("hot"), F.col("far")).otherwise(F.lit(float(np.pi))).alias("bound")), "sizes")
+        if (settled or i >= rounds) and size.where("grows").isEmpty():
+            break
         back = lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "gap", "fresh").withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("gap", "v"))).where(F.col("rank") <= LIST)
         around = lists.select("u", "v", "fresh").union(back.select("u", "v", "fresh")).union(lists.select("u", F.col("u").alias("v"), F.lit(False).alias("fresh")).distinct()).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+        # at a list that is to be settled exactly nothing needs to meet
+        around = around.join(size.where("dense").select("u"), "u", "left_anti")
         # centres are joined to the members and gathered by the node at which they meet: at most a list and LIST more
         m = around.join(light.select(F.col("id").alias("v"), "r", "centre"), "v").join(size.select(F.col("u").alias("v"), "bound"), "v", "left")
         met = m.groupBy("u").agg(F.collect_list(F.struct(F.col("v").alias("id"), F.coalesce("bound", F.lit(float(np.pi))).alias("bound"), "fresh", "r", "centre")).alias("m"))
         new = met.select("m").mapInArrow(_meet, "u long, v long, gap double").withColumn("fresh", F.lit(True))
         lists = stage(_lists(lists.select("u", "v", "gap", F.lit(False).alias("fresh")).unionByName(new), size.select("u", "k")), "lists")
-        changed, kept, grown = lists.agg(F.count(F.when(F.col("fresh"), 1)), F.count(F.lit(1)), F.lit(0)).first()
-        if changed <= 0.01 * max(1, kept):
-            break
-    return lists.select("u", "v", "gap")
+        changed, kept = lists.agg(F.count(F.when(F.col("fresh"), 1)), F.count(F.lit(1))).first()
+        settled = changed <= 0.01 * max(1, kept)
+    return lists.select("u", "v", "gap"), size.select("u", "k")
 
 
 def audit(light: DataFrame, lists: DataFrame, theta: float, total: int, sample: int = AUDIT) -> float:
@@ -233,6 +249,74 @@ def _settle(batches: Iterator[pa.RecordBatch], least: float, theta: float) -> It
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["kind", "id", "other", "n"])
 
 
+_FOUND = "kind string, id long, other long, n long"
+
+
+def _spanning(hit: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple]:
+    """Edges of a spanning forest of the bipartite graph hit between balls xs and ys."""
+    none = len(xs)
+    low = np.arange(len(xs))
+    while True:
+        right = np.where(hit, low[:, None], none).min(0)
+        new = np.minimum(low, np.where(hit, right[None, :], none).min(1))
+        if (new == low).all():
+            break
+        low = new
+    pairs = [(xs[i], xs[low[i]]) for i in np.flatnonzero(hit.any(1)) if low[i] != i] + [(ys[j], xs[right[j]]) for j in np.flatnonzero(hit.any(0))]
+    return [("edge", int(a), int(b), 0) for a, b in pairs if a != b]
+
+
+def _exactly(heavy: DataFrame, exact: DataFrame, least: float) -> DataFrame | None:
+    """Links of the balls exact(id) with all balls of heavy, as rows of _settle. Balls to settle are held against the
+    others CHUNK bytes at a time, by tasks over all balls: nothing is shuffled, no pair is listed."""
+    marked = stage(heavy.join(exact.select("id", F.lit(True).alias("exact")), "id", "left").withColumn("exact", F.coalesce("exact", F.lit(False))), "marked")
+    size = marked.where("exact").agg(F.sum(F.col("n") * F.col("dim") * 8)).first()[0]
+    if not size:
+        return None
+    chunks, out = -(-size // CHUNK), None
+    for c in range(chunks):
+        mine = marked.where("exact").where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(chunks)) == c).select("id", "label", "dim", "n", "members", "data").toPandas()
+        sides = {k: (p["id"].to_numpy(), p["n"].to_numpy(), b"".join(p["members"]), b"".join(p["data"])) for k, p in mine.groupby(["label", "dim"])}
+
+        def scan(frames: Iterator[pd.DataFrame], sides: dict = sides) -> Iterator[pd.DataFrame]:
+            own = {k: np.zeros(s[1].sum(), np.int64) for k, s in sides.items()}
+            for f in frames:
+                rows: list[tuple] = []
+                for k, g in f.groupby(["label", "dim"]):
+                    if k not in sides:
+                        continue
+                    xs, xn, _, data = sides[k]
+                    x, x_ball = np.frombuffer(data, np.float64).reshape(-1, k[1]), np.repeat(np.arange(len(xs)), xn)
+                    # about 2,048 vectors of either side at a time
+                    for _, h in g.groupby(g["n"].cumsum() // 2048):
+                        ys, yn = h["id"].to_numpy(), h["n"].to_numpy()
+                        y, y_id = np.frombuffer(b"".join(h["data"]), np.float64).reshape(-1, k[1]), np.repeat(ys, yn)
+                        begin, n = np.cumsum(yn) - yn, np.zeros(len(y), np.int64)
+                        for lo in range(0, len(x), 2048):
+                            at = slice(lo, lo + 2048)
+                            hit = (x[at] @ y.T >= least) & (xs[x_ball[at]][:, None] != y_id[None, :])
+                            if not hit.any():
+                                continue
+                            own[k][at] += hit.sum(1)
+                            n += hit.sum(0)
+                            here, first = np.unique(x_ball[at], return_index=True)
+                            rows += _spanning(np.logical_or.reduceat(np.logical_or.reduceat(hit, begin, axis=1), first, axis=0), xs[here], ys)
+                        # a ball that is settled exactly itself counts its own links
+                        n[np.repeat(h["exact"].to_numpy(), yn)] = 0
+                        ids = np.frombuffer(b"".join(h["members"]), np.int64)
+                        rows += [("one", int(ids[i]), None, int(n[i])) for i in np.flatnonzero(n)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["kind", "id", "other", "n"]).astype({"other": "Int64"})
+            for k, n in own.items():
+                ids, at = np.frombuffer(sides[k][2], np.int64), np.flatnonzero(n)
+                if len(at):
+                    yield pd.DataFrame({"kind": "one", "id": ids[at], "other": pd.array([None] * len(at), "Int64"), "n": n[at]})
+
+        part = stage(marked.select("id", "label", "dim", "n", "exact", "members", "data").mapInPandas(scan, _FOUND), "exact")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vectors(vec_id, label, embedding) to (vec_id, n_links, component_id, kept)."""
     theta = float(np.arccos(threshold))
@@ -244,18 +328,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     heavy = stage(nodes(v.where(sound), theta, total), "balls")
     light = heavy.select("id", "label", "dim", "r", "centre")
     count = heavy.count()
-    bits, lists, done = _bits(count), None, 1
+    bits, lists, size, done = _bits(count), None, None, 1
     for _ in range(AGAIN):
         start = _leaves(light, range(done, done + TABLES), bits, LIST // 2)
         done += TABLES
-        lists = refine(light, start if lists is None else start.unionByName(lists), theta)
-        lists = stage(lists, "graph")
-        if audit(light, lists, theta, count) >= RECALL:
+        lists, size = refine(light, start if lists is None else start.unionByName(lists), theta, size)
+        dense = stage(_saturated(lists, size, theta).where("hot").select(F.col("u").alias("id")), "dense")
+        passed = audit(light.join(dense, "id", "left_anti"), lists, theta, count) >= RECALL
+        if passed:
             break
+    exact = dense if passed else light.select("id")
+    more = _exactly(heavy, exact, threshold)
     pairs = lists.where(F.col("gap") <= theta + COARSE).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    if more is not None:
+        pairs = pairs.join(exact.withColumnRenamed("id", "a"), "a", "left_anti").join(exact.withColumnRenamed("id", "b"), "b", "left_anti")
     side = heavy.select("id", F.struct("id", "n", "members", "data").alias("ball"))
     both = pairs.join(side.withColumnRenamed("ball", "x").withColumnRenamed("id", "a"), "a").join(side.withColumnRenamed("ball", "y").withColumnRenamed("id", "b"), "b")
-    found = stage(both.select("x", "y").mapInArrow(lambda it: _settle(it, threshold, theta), "kind string, id long, other long, n long"), "links")
+    found = stage(both.select("x", "y").mapInArrow(lambda it: _settle(it, threshold, theta), _FOUND), "links")
+    found = found if more is None else found.unionByName(more)
     whole = components(found.where("kind = 'edge'").select(F.col("id").alias("a"), F.col("other").alias("b")))
     balls = heavy.select("id", "n", "low", "members").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = balls.groupBy("component").agg(F.min("low").alias("component_id"))
