@@ -121,3 +121,24 @@ def test_links_where_no_pass_passes_the_audit(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_lists", lambda found, size: whole(found, size).where("false"))
     rows = star(60, 64, 5) + star(20, 64, 6, 100, 2) + [(200 + i, 1, [1.0] + [0.05] * 63) for i in range(9)]
     assert sorted(tuple(x) for x in links(spark, rows).collect()) == brute_links(rows)
+
+
+def test_links_that_the_audit_does_not_see(spark, monkeypatch):
+    """Few links among many nodes, and lists that find none: no sample of AUDIT nodes may pass them."""
+    monkeypatch.setattr(vectors, "AUDIT", 8)
+    monkeypatch.setattr(vectors, "PROBES", 32, raising=False)
+    whole = vectors._lists
+    monkeypatch.setattr(vectors, "_lists", lambda found, size: whole(found, size).where("false"))
+    x = np.random.default_rng(7).normal(size=(400, 24))
+    x[7], x[300] = x[5] + 0.1 * x[6], x[301] + 0.1 * x[302]
+    rows = [(i, i // 250, list(map(float, e))) for i, e in enumerate(x)]
+    want = brute_links(rows)
+    assert sum(r[1] for r in want) == 4
+    assert sorted(tuple(r) for r in links(spark, rows).collect()) == want
+
+
+def test_tables_grow_with_bits():
+    theta = math.acos(vectors.THRESHOLD)
+    for bits in (0, 6, 10, 14, 20):
+        missed = (1 - (1 - theta / math.pi) ** bits) ** vectors._tables(bits, theta)
+        assert missed <= 1 - vectors.RECALL

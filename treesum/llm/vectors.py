@@ -10,10 +10,13 @@ Vectors link when their labels are equal and their cosine is at least THRESHOLD,
    hyperplane codes and are refined through neighbours of neighbours: forward and reverse neighbours of a node meet, and
    pairs that improve either list enter it, until few do. A list that is full of nodes within the link angle is saturated
    and doubles, up to LONG; sizes are kept from pass to pass.
-3. Audit. A documented sample of nodes (AUDIT of them, by hash) is compared with all nodes by brute force; while the lists
-   hold less than RECALL of the pairs within the link angle, more hyperplane codes are added and refined.
-4. Rest. Nodes whose lists stay saturated, and all nodes where no pass passes the audit, are compared with every ball of
-   their label in double precision, in blocks; only counts and the edges of spanning forests come out.
+3. Audit. Each label of at least a SHARE of the nodes, and all others together, are audited by themselves: a sample of
+   nodes (AUDIT of them, by hash, more until SEEN pairs within the link angle or PROBES nodes are reached) is compared
+   with all nodes by brute force. Where the lists hold less than RECALL of the pairs, more hyperplane codes are added and
+   refined.
+4. Rest. Nodes whose lists stay saturated, and all nodes of labels that fail the last audit or have too few pairs for
+   it to measure, are compared with every ball of their label in double precision, in blocks; only counts and the edges
+   of spanning forests come out.
 5. Edges. Listed pairs that may link are settled exactly: both balls wholly within the angle (counted by size), wholly
    outside, or member by member in double precision. Components run over nodes.
 
@@ -39,6 +42,8 @@ LEAF, TABLES, LIST, ROUNDS = 256, 8, 10, 4
 #: Size at which lists double no more and their nodes are settled exactly; bytes of vectors held against the rest at once.
 LONG, CHUNK = 160, 32 << 20
 AUDIT, RECALL, AGAIN = 256, 0.98, 3
+#: True pairs an audit has to see, nodes it probes at most for them, and the share of nodes of a label audited by itself.
+SEEN, PROBES, SHARE = 200, 2048, 1 / 16
 #: What float16 centres may be off by, as an angle; what double precision may.
 COARSE, FINE = 0.06, 1e-7
 
@@ -57,6 +62,12 @@ def _bits(n: int) -> int:
     return int(np.clip(np.round(np.log2(max(1, n) / (LEAF / 4))), 0, 60))
 
 
+def _tables(bits: int, theta: float) -> int:
+    """Tables in which a pair at the link angle shares a code of `bits` planes at least once with probability RECALL."""
+    once = (1 - theta / np.pi) ** bits
+    return TABLES if once >= RECALL else max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log1p(-once))))
+
+
 def _salted(df: DataFrame, key: list[str], by: str) -> DataFrame:
     """Adds part, so that groups of (key, part) have about LEAF rows; only codes that hold more are counted in the join."""
     big = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LEAF).withColumn("_n", F.ceil(F.col("_n") / LEAF))
@@ -182,7 +193,8 @@ def _saturated(lists: DataFrame, size: DataFrame, theta: float) -> DataFrame:
 
 def refine(light: DataFrame, start: DataFrame, theta: float, size: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """NN-descent from start(u, v, gap) with lists of size (u, k): lists (u, v, gap) and their sizes (u, k). Rounds go on
-    while saturated lists double, at most until each could have doubled to LONG."""
+    while saturated lists double, at most until each could have doubled to LONG; lists that have doubled are to come to
+    rest by themselves, however few they are."""
     if size is None:
         size = start.sparkSession.createDataFrame([], "u long, k int")
     lists, settled = stage(_lists(start.withColumn("fresh", F.lit(True)), size), "lists"), False
@@ -201,32 +213,56 @@ def refine(light: DataFrame, start: DataFrame, theta: float, size: DataFrame | N
         met = m.groupBy("u").agg(F.collect_list(F.struct(F.col("v").alias("id"), F.coalesce("bound", F.lit(float(np.pi))).alias("bound"), "fresh", "r", "centre")).alias("m"))
         new = met.select("m").mapInArrow(_meet, "u long, v long, gap double").withColumn("fresh", F.lit(True))
         lists = stage(_lists(lists.select("u", "v", "gap", F.lit(False).alias("fresh")).unionByName(new), size.select("u", "k")), "lists")
-        changed, kept = lists.agg(F.count(F.when(F.col("fresh"), 1)), F.count(F.lit(1))).first()
-        settled = changed <= 0.01 * max(1, kept)
+        # lists that have doubled are counted apart: a small hot group is not to end with the many that are at rest
+        doubled = lists.join(size.where(F.col("k") > LIST).select("u", F.lit(True).alias("doubled")), "u", "left")
+        settled = all(c <= 0.01 * k for c, k in doubled.groupBy("doubled").agg(F.count(F.when(F.col("fresh"), 1)).alias("c"), F.count(F.lit(1)).alias("k")).select("c", "k").collect())
     return lists.select("u", "v", "gap"), size.select("u", "k")
 
 
-def audit(light: DataFrame, lists: DataFrame, theta: float, total: int, sample: int = AUDIT) -> float:
-    """Share of the pairs within the link angle that the lists hold, for a sample of nodes against all; the sample is
-    about `sample` rows whatever the input, and is what gets broadcast."""
-    some = light.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(max(1, total // sample))) == 0)
-    probe = some.select("id", "label", "dim", "r", "centre").limit(4 * sample).toPandas()
+def grouped(light: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """light with grp, the group it is audited in: 1, 2, ... for labels with a SHARE of all nodes, 0 for all others; and
+    the number of groups."""
+    hot = light.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARE * total).collect()
+    names = light.sparkSession.createDataFrame([(x["label"], x["dim"], i + 1) for i, x in enumerate(hot)], "label string, dim int, grp int")
+    return light.join(F.broadcast(names), ["label", "dim"], "left").withColumn("grp", F.coalesce("grp", F.lit(0))), len(hot) + 1
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in frames:
-            for (label, dim), part in g.groupby(["label", "dim"]):
-                p = probe[(probe["label"] == label) & (probe["dim"] == dim)]
-                if not len(p):
-                    continue
-                unit = lambda c: (lambda x: x / np.sqrt((x * x).sum(1, keepdims=True)))(np.frombuffer(b"".join(c), np.float16).reshape(-1, dim).astype(np.float32))  # noqa: B023, E731
-                gap = np.arccos(np.clip(unit(p["centre"]) @ unit(part["centre"]).T, -1, 1)) - p["r"].to_numpy()[:, None] - part["r"].to_numpy()[None, :]
-                i, j = np.nonzero((gap <= theta) & (p["id"].to_numpy()[:, None] != part["id"].to_numpy()[None, :]))
-                yield pd.DataFrame({"u": p["id"].to_numpy()[i], "v": part["id"].to_numpy()[j]})
 
-    true = light.mapInPandas(scan, "u long, v long")
+def audit(light: DataFrame, lists: DataFrame, theta: float, groups: list[int]) -> dict[int, float | None]:
+    """For each of groups, the share of the pairs within the link angle that the lists hold, for a sample of its nodes
+    against all; None where the sample saw too few pairs to tell. light has a column grp. The samples, which are
+    broadcast, hold about AUDIT nodes a group, four times as many in each further round up to PROBES; a group that is
+    probed whole is measured, whatever it holds."""
+    nodes_in = {x["grp"]: x["count"] for x in light.where(F.col("grp").isin(groups)).groupBy("grp").count().collect()}
     known = lists.select("u", "v").union(lists.select(F.col("v"), F.col("u"))).distinct().withColumn("known", F.lit(1))
-    n, hit = true.join(known, ["u", "v"], "left").agg(F.count(F.lit(1)), F.count("known")).first()
-    return 1.0 if n == 0 else hit / n
+    out: dict[int, float | None] = {g: 1.0 for g in groups if g not in nodes_in}
+    want = AUDIT
+    while len(out) < len(groups):
+        share = {g: min(1.0, want / nodes_in[g]) for g in groups if g not in out}
+        least = F.coalesce(*(F.when(F.col("grp") == g, F.lit(round(x * 1_000_000))) for g, x in share.items()))
+        probe = light.where(F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1_000_000)) < least).select("id", "label", "dim", "r", "centre", "grp").toPandas()
+
+        def scan(frames: Iterator[pd.DataFrame], probe: pd.DataFrame = probe) -> Iterator[pd.DataFrame]:
+            of = dict(list(probe.groupby(["label", "dim"])))
+            for g in frames:
+                for (label, dim), part in g.groupby(["label", "dim"]):
+                    if (label, dim) not in of:
+                        continue
+                    p = of[label, dim]
+                    unit = lambda c: (lambda x: x / np.sqrt((x * x).sum(1, keepdims=True)))(np.frombuffer(b"".join(c), np.float16).reshape(-1, dim).astype(np.float32))  # noqa: B023, E731
+                    gap = np.arccos(np.clip(unit(p["centre"]) @ unit(part["centre"]).T, -1, 1)) - p["r"].to_numpy()[:, None] - part["r"].to_numpy()[None, :]
+                    i, j = np.nonzero((gap <= theta) & (p["id"].to_numpy()[:, None] != part["id"].to_numpy()[None, :]))
+                    yield pd.DataFrame({"u": p["id"].to_numpy()[i], "v": part["id"].to_numpy()[j], "grp": p["grp"].to_numpy()[i]})
+
+        true = light.where(F.col("grp").isin(list(share))).select("id", "label", "dim", "r", "centre").mapInPandas(scan, "u long, v long, grp int")
+        seen = {x["grp"]: (x["n"], x["hit"]) for x in true.join(known, ["u", "v"], "left").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("hit")).collect()}
+        for g, x in share.items():
+            n, hit = seen.get(g, (0, 0))
+            if n >= SEEN or x == 1.0:
+                out[g] = hit / n if n else 1.0
+            elif want >= PROBES:
+                out[g] = None
+        want = min(4 * want, max(PROBES, AUDIT))
+    return out
 
 
 def _settle(batches: Iterator[pa.RecordBatch], least: float, theta: float) -> Iterator[pa.RecordBatch]:
@@ -326,18 +362,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     sound = F.coalesce(sound, F.lit(False))
     total = v.count()
     heavy = stage(nodes(v.where(sound), theta, total), "balls")
-    light = heavy.select("id", "label", "dim", "r", "centre")
     count = heavy.count()
-    bits, lists, size, done = _bits(count), None, None, 1
+    light, n = grouped(heavy.select("id", "label", "dim", "r", "centre"), count)
+    bits, lists, size, done, shares, todo = _bits(count), None, None, 1, {}, list(range(n))
     for _ in range(AGAIN):
-        start = _leaves(light, range(done, done + TABLES), bits, LIST // 2)
-        done += TABLES
+        tables = _tables(bits, theta)
+        start = _leaves(light.where(F.col("grp").isin(todo)), range(done, done + tables), bits, LIST // 2)
+        done += tables
         lists, size = refine(light, start if lists is None else start.unionByName(lists), theta, size)
         dense = stage(_saturated(lists, size, theta).where("hot").select(F.col("u").alias("id")), "dense")
-        passed = audit(light.join(dense, "id", "left_anti"), lists, theta, count) >= RECALL
-        if passed:
+        shares |= audit(light.join(dense, "id", "left_anti"), lists, theta, todo)
+        # further tables are for groups that are known to miss links; one that could not be measured is settled exactly
+        todo = [g for g, x in shares.items() if x is not None and x < RECALL]
+        if not todo:
             break
-    exact = dense if passed else light.select("id")
+    rest = [g for g, x in shares.items() if x is None or x < RECALL]
+    exact = dense.union(light.where(F.col("grp").isin(rest)).select("id")).distinct()
     more = _exactly(heavy, exact, threshold)
     pairs = lists.where(F.col("gap") <= theta + COARSE).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     if more is not None:
