@@ -130,7 +130,7 @@ def test_links_that_the_audit_does_not_see(spark, monkeypatch):
     whole = vectors._lists
     monkeypatch.setattr(vectors, "_lists", lambda found, size: whole(found, size).where("false"))
     x = np.random.default_rng(7).normal(size=(400, 24))
-    x[7], x[300] = x[5] + 0.1 * x[6], x[301] + 0.1 * x[302]
+    x[7], x[300] = x[5] + 0.3 * x[6], x[301] + 0.3 * x[302]
     rows = [(i, i // 250, list(map(float, e))) for i, e in enumerate(x)]
     want = brute_links(rows)
     assert sum(r[1] for r in want) == 4
