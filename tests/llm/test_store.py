@@ -10,17 +10,30 @@ from treesum.llm import store
 def texts():
     r = random.Random(5)
     base = " ".join(r.choice(["the", "Çtre", "it's", "x1", "don't", "größe,", "12", "!!!", "café", "日本"]) + r.choice(["", "a", "."]) for _ in range(3000))
-    return [None, "", "   ", base, base + " more", "start " + base, "İstanbul ß ſ ﬁ", "plain words, and 1234 numbers!", "a'b 'sad can't", "z" * 5000, "\x1c odd space x"]
+    return [None, "", "   ", base, base + " more", "start " + base, "İstanbul ß ſ ﬁ", "plain words, and 1234 numbers!", "a'b 'sad can't", "z" * 5000, "\x1c odd space x", "foo<|endoftext|>bar", "<|startoftext|> Ünd <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|end oftext|>"]
+
+
+def library():
+    """The library as it comes, with nothing set."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(store.default_vocabulary())
+    return lambda t: whole.encode(t or "", add_special_tokens=False).ids
+
 
 
 def test_words_equal_library():
-    w = store.word_ids(store.default_vocabulary())
+    w, encode = store.word_ids(store.default_vocabulary()), library()
     for t in texts():
-        assert w(t or "") == w(t or "") == w.whole.encode(t or "", add_special_tokens=False).ids, (t or "")[:60]
+        assert w(t or "") == w(t or "") == encode(t), (t or "")[:60]
+    assert encode("foo<|endoftext|>bar") == [23435, 49407, 2411]
+    ids, sizes = w.batch(texts() * 2)
+    assert sizes.tolist() == [len(encode(t)) for t in texts()] * 2 and ids.tolist() == [i for t in texts() for i in encode(t)] * 2
 
 
 def test_round_trip(spark, tmp_path):
     w = store.word_ids(store.default_vocabulary())
+    encode = library()
     rows = [(i, t) for i, t in enumerate(texts())] + [(None, "nobody"), (3, "again"), (3, "again")]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "'r' AS root")
     folder = f"file://{tmp_path}/s"
@@ -29,7 +42,7 @@ def test_round_trip(spark, tmp_path):
     streams = {r["root"]: bytes(r["ids"]) for r in ((x.asDict()) for x in store.documents(spark, folder, w.width).collect())}
     found = sorted(((r["doc_id"], r["start"], r["n_tokens"], streams[r["root"]]) for r in store.index(spark, folder).collect()), key=lambda x: x[1])
     assert [x[0] for x in found] == [None] + sorted(r[0] for r in rows if r[0] is not None)
-    want = sorted(((i, np.array([*w.whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows), key=str)
+    want = sorted(((i, np.array([*encode(t), 2], "<u4").tobytes()) for i, t in rows), key=str)
     assert sorted(((x[0], x[3]) for x in found), key=str) == want
     crc = {bytes(r["root"]): (r["n"], r["crc32"]) for r in store.documents(spark, folder, w.width, sums=True).collect()}
     assert crc == {bytes(k): (len(v) // 4, zlib.crc32(v)) for k, v in streams.items()}
@@ -47,6 +60,7 @@ def test_damage_is_seen(spark, tmp_path):
     folder = f"file://{tmp_path}/d"
     store.write(spark.createDataFrame([(1, "some words"), (2, "other words")], "doc_id long, text string"), folder)
     spark.read.parquet(f"{folder}/chunks").limit(1).write.parquet(f"file://{tmp_path}/x/chunks")
+    spark.read.parquet(f"{folder}/places").write.parquet(f"file://{tmp_path}/x/places")
     spark.read.parquet(f"{folder}/recipes").write.parquet(f"file://{tmp_path}/x/recipes")
     spark.read.parquet(f"{folder}/manifest").where("false").write.parquet(f"file://{tmp_path}/x/manifest")
     with pytest.raises(Exception, match="missing"):

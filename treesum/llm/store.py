@@ -1,16 +1,19 @@
 """Content-addressed store of token ids.
 
 Every text is encoded, closed with an end id, and its id stream is cut where a rolling hash over the last WINDOW ids
-meets a mask, so that equal passages give equal chunks wherever they stand. A store is a folder of three tables:
+meets a mask, so that equal passages give equal chunks wherever they stand. A store is a folder of four tables:
 
-chunks    hash, n, payload    each distinct chunk once, under the hash of its content
+chunks    hash, n, payload, root, seq, shared    each distinct chunk once, under the hash of its content, with the place
+          where it was first found and whether it is found elsewhere
+places    hash, root, seq    the other places of shared chunks
 recipes   part, doc_id, n_tokens, root, hashes    what each document is made of; parts follow doc_id, rows too
 manifest  part, n_docs, n_tokens, digest    digests of the recipe roots in order, by blocks and then by part
 
 A recipe's root is the Merkle root of its chunk hashes. Reading checks every payload against its hash, every document
-against its root and every part against the manifest, and raises where one differs.
+against its recipe and root and every part against the manifest, and raises where one differs.
 
-Documents with one root are rebuilt once and joined back by the root. Offsets are a running sum inside a part plus the
+Documents with one root are rebuilt once and joined back by the root. A chunk that stands in one place goes straight to
+its document; only shared chunks are joined by hash. Offsets are a running sum inside a part plus the
 totals of the parts before it; there are as many parts as shuffle partitions, which bounds what that broadcast holds.
 
 Defined results: a null text counts as empty (one id, the end id); null ids stand first; rows that repeat or share an
@@ -29,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treesum.llm.common import drop_path, stage, stage_path
+from treesum.llm.common import drop, drop_path, stage, stage_path
 
 #: Ids a cut looks back on; least and most ids of a chunk; beyond the least, one place in MASK + 1 is a cut.
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct pieces a worker remembers.
-WORDS = 500_000
+#: Distinct pieces a worker remembers, and their ids.
+WORDS, IDS = 500_000, 4_000_000
 #: Row numbers that are broadcast at most; above, they are joined by shuffle.
 BROADCAST = 1_000_000
 
@@ -45,7 +48,8 @@ class WordIds:
 
     The tokenizer lower-cases, drops white space and encodes each letter run, digit and run of other marks by itself.
     Where a text has only ASCII without apostrophes and precomposed Latin-1 letters, those pieces are cut here and only
-    pieces not seen before go to the library's model; any other text goes to the library between blanks."""
+    pieces not seen before go to the library's model; any other text goes to the library between blanks, and one that
+    holds an added token as a whole."""
 
     def __init__(self, path: str):
         import re
@@ -53,7 +57,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # their strings in a text become their ids, as the library has it
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.plain = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*").fullmatch
         self.pieces = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+").findall
         self.blanks = re.compile("[ \t\n]+").split
@@ -66,7 +71,7 @@ class WordIds:
     def clear(self) -> None:
         """Pieces known so far, by number; where their ids begin in one flat array, with room to grow."""
         self.at: dict[str, int] = {}
-        self.flat, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0
+        self.flat, self.begin, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0, 0
 
     def _ids(self, piece: str) -> list[int]:
         """Of a piece without blanks: one plain letter run, digit or run of marks goes to the model, all else through all steps."""
@@ -79,7 +84,7 @@ class WordIds:
         for p in pieces:
             if p in self.at:
                 continue
-            ids, i = self._ids(p), len(self.at)
+            ids, i = self._ids(p), self.n
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
             if i + 1 >= len(self.begin):
@@ -88,21 +93,29 @@ class WordIds:
             self.used += len(ids)
             self.begin[i + 1] = self.used
             self.at[p] = i
+            self.n += 1
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
-        if len(self.at) > WORDS:
+        if self.n > WORDS or self.used > IDS:
             self.clear()
         found: list[str] = []
-        sizes = []
+        sizes, once = [], []
         for t in texts:
-            own = [] if not t else self.pieces(t.lower()) if self.plain(t) else [c for c in self.blanks(t) if c]
+            if t and any(a in t for a in self.added):
+                own = [t]
+                once.append(t)
+            else:
+                own = [] if not t else self.pieces(t.lower()) if self.plain(t) else [c for c in self.blanks(t) if c]
             found += own
             sizes.append(len(own))
         which = list(map(self.at.get, found))
         if None in which:
             self._learn([p for p, i in zip(found, which, strict=True) if i is None])
             which = list(map(self.at.get, found))
+        # whole texts are not remembered
+        for t in once:
+            self.at.pop(t, None)
         w = np.array(which, np.int64)
         lo, n = self.begin[w], self.begin[w + 1] - self.begin[w]
         ends = np.cumsum(n)
@@ -215,13 +228,17 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     zstd = lambda df: df.write.option("compression", "zstd")
     zstd(d.mapInArrow(lambda it: _chunked(it, path, end), _ROWS)).parquet(staged)
     rows = spark.read.schema(_ROWS).parquet(staged)
-    # of chunks with one hash the first row is kept; payloads are not shuffled for it while the others' row numbers are
-    # few enough to be broadcast, by count
+    # of chunks with one hash the first row is kept; payloads are not shuffled for it while the row numbers of repeated
+    # chunks are few enough to be broadcast, by count
     keys = rows.select("hash", "row")
     first = keys.groupBy("hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    extra = stage(keys.join(first, "hash").where("row <> first").select("row"), "extra")
-    unique = rows.join(F.broadcast(extra) if extra.count() <= BROADCAST else extra, "row", "left_anti")
-    zstd(unique.select("hash", "n", "payload")).parquet(f"{folder}/chunks")
+    again = stage(keys.join(first, "hash").select("row", (F.col("row") == F.col("first")).alias("kept")), "again")
+    again_ = F.broadcast(again) if again.count() <= BROADCAST else again
+    unique = rows.join(again_, "row", "left").where("coalesce(kept, true)")
+    zstd(unique.select("hash", "n", "payload", "root", "seq", F.col("kept").isNotNull().alias("shared"))).parquet(f"{folder}/chunks")
+    # rows of documents with one root name the same places
+    zstd(rows.select("hash", "root", "seq", "row").join(again_, "row").where("not kept").select("hash", "root", "seq").distinct()).parquet(f"{folder}/places")
+    drop(again)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     recipes = rows.where("seq = 0").select("doc_id", "n_tokens", "root", "hashes")
     recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id())
@@ -231,23 +248,24 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch], width: int, sums: bool) -> Iterator[pa.RecordBatch]:
-    """(root, parts) to (root, n, ids as little-endian unsigned 32-bit integers, or their crc32 alone), checked."""
+    """(root, parts, hashes) to (root, n, ids as little-endian unsigned 32-bit integers, or their crc32 alone), checked."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
             sizes = [len(x) for x in part.column(1)]
             flat = part.column(1).flatten()
-            seq, hashes, payloads = flat.field(0).to_numpy(), flat.field(1).to_pylist(), flat.field(2).to_pylist()
+            seq, payloads = flat.field(0).to_pylist(), flat.field(1).to_pylist()
             roots, ns, out, at = part.column(0).to_pylist(), [], [], 0
-            for root, size in zip(roots, sizes, strict=True):
-                order = (at + np.argsort(seq[at : at + size])).tolist()
+            for root, size, hashes in zip(roots, sizes, part.column(2).to_pylist(), strict=True):
+                found = dict(zip(seq[at : at + size], payloads[at : at + size], strict=True))
                 at += size
-                for i in order:
-                    if payloads[i] is None or digest(payloads[i]) != hashes[i]:
-                        raise ValueError(f"chunk {hashes[i].hex()} is missing or does not match its hash")
-                if merkle([hashes[i] for i in order]) != root:
+                if hashes is None or merkle(hashes) != root:
                     raise ValueError(f"document {root.hex()} does not match its root")
-                ids = np.frombuffer(b"".join([payloads[i] for i in order]), f"<u{width}").astype("<u4")
+                own = [found.get(i) for i in range(len(hashes))]
+                for h, p in zip(hashes, own, strict=True):
+                    if p is None or digest(p) != h:
+                        raise ValueError(f"chunk {h.hex()} is missing or does not match its hash")
+                ids = np.frombuffer(b"".join(own), f"<u{width}").astype("<u4")
                 ns.append(len(ids))
                 out.append(zlib.crc32(ids) if sums else ids.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(ns, pa.int64()), pa.array(out, pa.int64() if sums else pa.binary())], ["root", "n", "crc32" if sums else "ids"])
@@ -263,11 +281,14 @@ def check_manifest(spark: SparkSession, folder: str) -> None:
 
 def documents(spark: SparkSession, folder: str, width: int = 2, sums: bool = False) -> DataFrame:
     """(root, n, ids) of each distinct document of a store, rebuilt from its chunks; with sums (root, n, crc32)."""
-    recipes = spark.read.parquet(f"{folder}/recipes")
-    once = recipes.groupBy("root").agg(F.first("hashes").alias("hashes"))
-    wanted = once.select("root", F.posexplode("hashes").alias("seq", "hash"))
-    found = wanted.join(spark.read.parquet(f"{folder}/chunks"), "hash", "left")
-    return found.groupBy("root").agg(F.collect_list(F.struct("seq", "hash", "payload")).alias("parts")).mapInArrow(lambda it: _rebuilt(it, width, sums), "root binary, n long, " + ("crc32 long" if sums else "ids binary"))
+    one = lambda **c: [F.lit(None).cast(t).alias(n) if n not in c else c[n].alias(n) for n, t in (("root", "binary"), ("seq", "int"), ("payload", "binary"), ("hashes", "array<binary>"))]
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    pieces = chunks.select(*one(root=F.col("root"), seq=F.col("seq"), payload=F.col("payload")))
+    other = spark.read.parquet(f"{folder}/places").join(chunks.where("shared").select("hash", "payload"), "hash")
+    other = other.select(*one(root=F.col("root"), seq=F.col("seq"), payload=F.col("payload")))
+    recipes = spark.read.parquet(f"{folder}/recipes").select(*one(root=F.col("root"), hashes=F.col("hashes")))
+    whole = pieces.unionByName(other).unionByName(recipes).groupBy("root").agg(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "payload"))).alias("parts"), F.first("hashes", ignorenulls=True).alias("hashes"))
+    return whole.mapInArrow(lambda it: _rebuilt(it, width, sums), "root binary, n long, " + ("crc32 long" if sums else "ids binary"))
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
