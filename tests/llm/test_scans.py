@@ -58,5 +58,26 @@ def test_preferences(spark):
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(c, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
     names = ["pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask"]
-    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.values()))) == sorted(str(tuple(r)) for r in con.sql(chat.ORACLE).fetchall())
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.values()))) == sorted(str(tuple(r)) for r in con.sql(chat.oracle(chat._BY_ID)).fetchall())
     assert chat.preferences(chat.pairs_by_id(d.limit(0))).count() == 0
+
+
+def test_pairs_of_replies(spark):
+    long = "word " * 60_000
+    c = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "one two three four"), (0, 2, "user", "next"), (0, 3, "assistant", "five six seven"), (0, 4, "user", "thanks"),
+        (1, 0, "user", "never answered"), (2, 0, "assistant", "short"), (3, 0, "user", None), (3, 1, "assistant", None), (4, 0, None, "x"), (4, None, "assistant", "a b"),
+        (5, 1, "assistant", "a b c"), (5, 1, "assistant", "a b c"), (5, 1, "user", "u"), (None, 0, "user", "lost"), (6, 0, "user", long), (6, 1, "assistant", long),
+    ] + [(7, i, ["user", "assistant"][i % 2], f"turn {i} {'y' * (i % 5)}") for i in range(400)]
+    d = spark.createDataFrame(c, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS chosen", "2 AS pair_id", "3 AS last")
+    got = {r["pair_id"]: r for r in chat.preferences(chat.pairs_of_replies(d)).collect()}
+    assert sorted(got) == list(range(8))
+    assert got[0]["n_prompt_turns"] == 3 and got[0]["chosen"] == "<|assistant|>\nfive six seven<|end|>\n" and got[0]["rejected"] == "<|assistant|>\nfive<|end|>\n"
+    assert "thanks" not in got[0]["prompt"] and got[1]["chosen"] == got[1]["rejected"] == "" and "never" in got[1]["prompt"]
+    assert got[2]["rejected"] == "" and got[3]["rejected"] == "" and got[5]["n_prompt_turns"] == 0
+    assert got[6]["prompt"] == f"<|user|>\n{long}<|end|>\n" and got[7]["n_prompt_turns"] == 399
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(c, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    names = ["pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask"]
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.values()))) == sorted(str(tuple(r)) for r in con.sql(chat.oracle()).fetchall())
+    assert chat.preferences(chat.pairs_of_replies(d.limit(0))).count() == 0

@@ -30,6 +30,6 @@ ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op4_nndescent": vectors.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
-    "op7_chat": chat.ORACLE,
+    "op7_chat": chat.oracle(),
     "op9_licenses": licenses.oracle(),
 }
