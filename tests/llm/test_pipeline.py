@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 from test_jaccard import brute
 from test_mixing import water
-from treesum.llm import tokens
+from test_tokens import library
 
 
 def build(spark, folder):
@@ -58,8 +58,8 @@ def test_stages(spark, tmp_path):
         taken[x["source"]] = taken.get(x["source"], 0) + len(x["text"].split())
     for s, t in water(sizes).items():
         assert abs(taken.get(s, 0) - t) < 0.1 * t + 90
-    e = tokens.encoder(*tokens.default_vocabulary())
-    assert sorted(((x["doc_id"], x["n_tokens"]) for x in last.collect()), key=str) == sorted(((x["doc_id"], len(e.core.encode_ordinary(x["text"]))) for x in mix.collect()), key=str)
+    encode = library()
+    assert sorted(((x["doc_id"], x["n_tokens"]) for x in last.collect()), key=str) == sorted(((x["doc_id"], len(encode(x["text"]))) for x in mix.collect()), key=str)
 
 
 def brute_in_order(rows):

@@ -6,32 +6,53 @@ import numpy as np
 from treesum.llm import tokens
 
 
+def library():
+    import base64
+
+    import tiktoken
+
+    path, pattern = tokens.default_vocabulary()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def cases():
     r = random.Random(3)
-    out = ["", " ", "\n\n  \n", "a", "it's we'll", "x" * 5000, "ab" * 3000 + " " + "é" * 2000, " " * 3000 + "end", "日本語" * 500]
-    for _ in range(60):
+    out = ["", " ", "\n\n  \n", "a", "it's we'll", "x" * 5000, "ab" * 3000 + " " + "é" * 2000, " " * 3000 + "end", "日本語" * 500, "日本，語。" * 300, "1" * 700 + "a" * 300 + "!" * 400]
+    out += ["a\u0301b " * 90, "'s't" * 200, "don't " * 200, "''re" * 150, "\x1c\x85\ufeff\u200b x" * 60, "\r\n \t" * 90, "😀é" * 400]
+    for _ in range(80):
         out.append("".join(r.choice("ab e\n\tü12!?'s  日") for _ in range(r.randrange(1, 900))))
     return out
 
 
 def test_tree_equals_library_whatever_the_leaf():
     path, pattern = tokens.default_vocabulary()
-    for leaf, long in ((7, 64), (40, 32), (32_768, 16_384)):
-        e = tokens.TreeBPE(path, pattern, leaf, long)
+    want = library()
+    for leaf, piece in ((1, 1), (3, 2), (7, 64), (40, 8), (tokens.LEAF, tokens.PIECE)):
+        e = tokens.TreeBPE(path, pattern, leaf, piece)
         for t in cases():
             ids = e.encode(t)
-            assert ids == e.core.encode_ordinary(t), (leaf, long, t[:80])
+            assert ids == want(t), (leaf, piece, t[:80])
             assert e.decode(ids) == t.encode()
 
 
+def test_a_very_long_text():
+    e, want = tokens.encoder(*tokens.default_vocabulary()), library()
+    r = random.Random(4)
+    t = " ".join("".join(r.choice("aeioubcdé") for _ in range(r.randrange(1, 12))) for _ in range(60_000)) + "z" * 15_000
+    ids = e.encode(t)
+    assert ids == want(t) and e.decode(ids) == t.encode()
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "hello there"), (3, "naïve café")]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "'x' AS ids")
     got = sorted(map(tuple, tokens.digests(d).collect()), key=str)
-    e = tokens.encoder(*tokens.default_vocabulary())
+    encode = library()
     want = []
     for i, t in rows:
-        ids = e.core.encode_ordinary(t or "")
+        ids = encode(t or "")
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     back = tokens.decode(tokens.encode(d))

@@ -1,15 +1,17 @@
 """Byte-level BPE by a monoid tree reduction.
 
-A text is encoded in halves. Two encoded neighbours are joined by encoding again only a window around the seam, grown
-until the tokens outside it provably stand:
+A text is encoded in halves down to leaves of LEAF characters, whose matches of the pre-split pattern are merged by the
+ranks here. Two encoded neighbours are joined by encoding again only a window around the seam, grown until the tokens
+outside it provably stand:
 
-* between matches of the pre-split pattern: a place where a character that is no white space is followed by a blank,
-  tab or newline ends a match whatever surrounds it, because every alternative of the pattern admits white space only
-  as its first character or throughout. The window reaches from the last such place before the seam to the first after.
-* inside one very long match: a token row is the encoding of its bytes exactly if each pair of neighbours encodes to
-  itself. The window grows until the pairs at both of its edges do.
+* between matches: the window doubles until it holds, on either side of the seam, a place where a match ends whatever
+  surrounds it. A letter before anything else is one, so is a number before anything else and a mark other than the
+  apostrophe before anything that is no mark: no alternative of the pattern goes on there, and none looks behind.
+* inside a match of more than PIECE bytes, which is encoded in halves itself: a token row is the encoding of its bytes
+  exactly if each pair of neighbours encodes to itself. The window doubles until the pairs at both of its edges do.
 
-Decoding concatenates bytes up the same tree. Leaves go to the tiktoken library, which also is what results are held to.
+Decoding concatenates bytes up the same kind of tree, from leaves of LEAF_IDS ids. The tiktoken library is what tests
+hold the results to; no text goes through it.
 
 Defined results: a null text counts as empty; an empty text has no tokens; rows that repeat give repeated rows;
 further columns are not read.
@@ -20,42 +22,58 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a leaf; bytes of a match above which it is encoded in halves itself.
-LEAF, LONG_MATCH = 32_768, 16_384
-_SEAM = " \t\n"
+#: Characters of a leaf, ids of a leaf of decoding, bytes of a match above which it is encoded in halves itself.
+LEAF, LEAF_IDS, PIECE = 256, 256, 64
+#: Characters, and tokens inside a match, on either side of a seam that a window starts with.
+WINDOW, TOKENS = 24, 4
+#: Matches a worker remembers.
+KNOWN = 400_000
+
+
+class _Known(dict):
+    """Ids by match; a match not seen before is encoded, and kept unless it is long."""
+
+    def __init__(self, encode, longest: int):
+        self.encode, self.longest = encode, longest
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece.encode())
+        if len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
 
 
 class TreeBPE:
-    """Encoder and decoder over a rank file that tiktoken reads."""
+    """Encoder and decoder over a rank file that tiktoken reads; pattern must be one whose matches end where _SAFE says."""
 
-    def __init__(self, path: str, pattern: str, leaf: int = LEAF, long_match: int = LONG_MATCH):
+    _SAFE = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])"
+
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF, piece: int = PIECE):
         import base64
 
         import regex
-        import tiktoken
 
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding(path.rpartition("/")[2], pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = {v: k for k, v in ranks.items()}
-        self.split, self.leaf, self.long_match = regex.compile(pattern), leaf, long_match
-        # a match of more than long_match bytes has at least a quarter as many characters, all white space but the first or none but the first
-        self.long_run = regex.compile(r"\S{%d}|\s{%d}" % ((max(2, long_match // 4 - 1),) * 2))
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.split = regex.compile(pattern).findall
+        self.before, self.after = regex.compile("(?r)" + self._SAFE).search, regex.compile(self._SAFE).search
+        self.leaf, self.piece = leaf, piece
+        self.known = _Known(self._match, piece)
         self.pair = lru_cache(1 << 16)(self._pair)
 
     # text level
 
-    @staticmethod
-    def _safe(text: str, at: int) -> bool:
-        return text[at] in _SEAM and not (text[at - 1].isspace() or text[at - 1] in "\x1c\x1d\x1e\x1f\x85​﻿")
-
     def encode(self, text: str) -> list[int]:
+        if len(self.known) > KNOWN:
+            self.known.clear()
         return self._encode(text, 0, len(text))
 
     def _encode(self, text: str, lo: int, hi: int) -> list[int]:
@@ -65,14 +83,26 @@ class TreeBPE:
         return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
 
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
-        a = mid - 1
-        while a > lo and not self._safe(text, a):
-            a -= 1
-        b = mid + 1
-        while b < hi and not self._safe(text, b):
-            b += 1
-        a, b = max(a, lo), min(b, hi)
-        return left[: self._back(left, len(text[a:mid].encode()))] + self._leaf(text[a:b]) + right[self._ahead(right, len(text[mid:b].encode())) :]
+        """Encoding of text[lo:hi] of those of its halves."""
+        a, b, w = -1, -1, WINDOW
+        while a < 0 or b < 0:
+            if a < 0:
+                # a place at the seam counts for either side
+                m = self.before(text, max(lo, mid - w), mid + 1)
+                a = m.start() if m else lo if mid - w <= lo else -1
+            if b < 0:
+                m = self.after(text, mid, min(hi, mid + w + 1))
+                b = m.start() if m else hi if mid + w >= hi else -1
+            w *= 2
+        if a == b:
+            return left + right
+        i, j = self._back(left, len(text[a:mid].encode())), self._ahead(right, len(text[mid:b].encode()))
+        if a < mid < b and b - a > self.piece and all(len(self.split(text[x:y])) == 1 for x, y in ((a, b), (a, mid), (mid, b))):
+            # the seam is inside one long match, and both of its parts are encoded as matches
+            middle = self._join_bytes(left[i:], right[:j])
+        else:
+            middle = self._leaf(text[a:b])
+        return left[:i] + middle + right[j:]
 
     def _back(self, ids: list[int], n: int) -> int:
         """Where the last n bytes of ids begin."""
@@ -92,29 +122,45 @@ class TreeBPE:
         return i
 
     def _leaf(self, text: str) -> list[int]:
-        if len(text) * 4 <= self.long_match or not self.long_run.search(text):
-            return self.core.encode_ordinary(text)
-        out: list[int] = []
-        for m in self.split.finditer(text):
-            out += self._match(m[0].encode())
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
 
     # inside a match
 
+    def _merge(self, piece: bytes) -> list[int]:
+        """The neighbours of least rank are merged until none has one."""
+        ranks = self.ranks
+        if piece in ranks:
+            return [ranks[piece]]
+        none = len(ranks) + 1
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        costs = [ranks.get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while costs:
+            least = min(costs)
+            if least == none:
+                break
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
+
     def _pair(self, a: int, b: int) -> bool:
-        return self.core._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
     def _match(self, piece: bytes) -> list[int]:
-        if len(piece) <= self.long_match:
-            return self.core._encode_single_piece(piece)
+        if len(piece) <= self.piece:
+            return self._merge(piece)
         mid = len(piece) // 2
         return self._join_bytes(self._match(piece[:mid]), self._match(piece[mid:]))
 
     def _join_bytes(self, left: list[int], right: list[int]) -> list[int]:
-        w = 4
+        w = TOKENS
         while True:
             i, j = max(0, len(left) - w), min(len(right), w)
-            middle = self.core._encode_single_piece(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
+            middle = self._merge(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.pair(left[i - 1], middle[0])) and (j == len(right) or self.pair(middle[-1], right[j])):
                 return left[:i] + middle + right[j:]
             w *= 2
@@ -122,7 +168,7 @@ class TreeBPE:
     # decoding
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= self.leaf:
+        if len(ids) <= LEAF_IDS:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
