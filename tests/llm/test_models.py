@@ -39,6 +39,54 @@ def test_forward_sums_all_segmentations():
     assert all(p.piece[p.next[p.width + p.code[b]]] >= 0 for b in b"az \xc3")
 
 
+def log_word(p, word, logw):
+    """log probability of a word by plain sums of logarithms over all pieces that end at each byte."""
+    raw = (" " + word).encode()
+    total = [0.0] + [-math.inf] * len(raw)
+    for i in range(len(raw)):
+        s = 1
+        for j in range(i, len(raw)):
+            s = int(p.next[s * p.width + int(p.code[raw[j]])])
+            if not s:
+                break
+            k = int(p.piece[s])
+            if k >= 0:
+                x, y = sorted((total[j + 1], total[i] + logw[k]))
+                total[j + 1] = y + math.log1p(math.exp(x - y))
+    return total[-1]
+
+
+def test_long_words_do_not_underflow():
+    """Runs of letters that no language has seen, far beyond the range of doubles, and one that a language knows better."""
+    p = language.pieces(language.default_vocabulary())
+    r = np.random.default_rng(3)
+    w = r.random((p.n, 3)) * 1e-8
+    words = ["ж" * 900, "漢字" * 700, "a" * 5000, "ab", "é" * 47 + "x", "þ" * 49]
+    got = p.forward(words, w * language.SCALE ** p.length[:, None])
+    for word, g in zip(words, got, strict=True):
+        for k in range(3):
+            assert abs(g[k] - log_word(p, word, np.log(w[:, k]))) < 1e-6 * abs(g[k]), (word[:5], k)
+    fitted = [p.fit([("ж" if k else "ш") * 300, "common"], np.array([5.0, 1.0]), 2) for k in range(2)]
+    m = language.Model(language.default_vocabulary(), ["sh", "zh"], np.stack(fitted, axis=1))
+    assert m.scorer()(["ж" * 4000, "ш" * 4000])[0] == ["zh", "sh"]
+
+
+def test_documents_by_brute_force(spark):
+    """Predictions and scores of whole texts against plain sums, word by word."""
+    r = random.Random(9)
+    kinds = {"xx": ["th", "e", "ing"], "yy": ["ü", "sch", "ver"]}
+    rows = [(i, tongue(r, kinds[k], 12), k) for i in range(40) for k in [("xx", "yy")[i % 2]]] + [(90, "Thing 12 SCH-ver " + "ж" * 200, "xx"), (91, "q", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language.fit(d.where("doc_id < 40"))
+    p = language.pieces(m.path)
+    by = {g["doc_id"]: g for g in language.identify(d, m).collect()}
+    for i, t, _ in rows:
+        words = [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+        s = [sum(log_word(p, w, np.log(m.p[:, k])) for w in words) for k in range(2)]
+        assert by[i]["lang_pred"] == m.langs[int(np.argmax(s))]
+        assert abs(by[i]["score"] - 1 / sum(math.exp((x - max(s)) / len(words)) for x in s)) < 1e-9
+
+
 def test_fit_raises_likelihood():
     p = language.pieces(language.default_vocabulary())
     words, counts = ["the", "thing", "other", "then"], np.array([9.0, 3, 2, 1])
@@ -85,6 +133,30 @@ def test_blocks_do_not_change_the_maxima(monkeypatch):
         assert np.allclose(net.pool(t), w, atol=1e-6), len(t)
 
 
+def test_score_by_a_plain_pass():
+    """The network over whole texts, chunk by chunk and byte by byte."""
+    net = quality.Network(4)
+    r = np.random.default_rng(8)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = [b"", b"a", b"abab" * 30, *(r.integers(1, 255, n, dtype=np.uint8).tobytes() for n in (16, 17, 40, 333))]
+    for t, got in zip(texts, net.score(texts), strict=True):
+        n = max(1, -(-(len(t) - quality.CHUNK) // quality.STEP) + 1)
+        best = np.full(quality.FILTERS, -np.inf)
+        for c in range(n):
+            z = np.zeros(quality.FILTERS)
+            for i in range(quality.CHUNK):
+                at = c * quality.STEP + i
+                b = t[at] if at < len(t) else 0
+                z += p["E"][b] @ p["W"][i * quality.EMBED : (i + 1) * quality.EMBED]
+                for lag in range(1, quality.LAGS + 1):
+                    if b and at >= lag and t[at - lag] == b:
+                        z += p["S"][lag - 1] / quality.CHUNK
+            best = np.maximum(best, z)
+        h = np.tanh(np.maximum(best + p["b"], 0) @ p["H"] + p["c"])
+        want = 1 / (1 + math.exp(-(h @ p["v"] + p["d"][0] + net.shift)))
+        assert abs(got - want) < 1e-4
+
+
 def test_gradient():
     r = np.random.default_rng(1)
     net = quality.Network(3)
@@ -127,4 +199,9 @@ def test_quality(spark):
     assert all(0 <= g["score"] <= 1 for g in got)
     one = quality.fit(d.select("doc_id", "text"), lab.where("quality = 1"))
     assert {g["score"] for g in quality.score(d, one).collect()} == {1.0}
+    # labels of documents that are not there, or only of one kind that is, train nothing
+    away = spark.createDataFrame([(10_000 + i, i % 2) for i in range(50)] + [(1, 1), (3, 1)], "doc_id long, quality int")
+    assert {g["score"] for g in quality.score(d, quality.fit(d.select("doc_id", "text"), away)).collect()} == {1.0}
+    gone = quality.fit(d.select("doc_id", "text"), away.where("doc_id > 9"))
+    assert {g["score"] for g in quality.score(d, gone).collect()} == {0.5}
     assert quality.score(d.limit(0), net).count() == 0

@@ -5,9 +5,10 @@ over all ways of cutting it into pieces, of the product of their probabilities,
 is the product over its words. Piece probabilities are fitted by expectation maximisation (forward-backward) on word
 counts of a bounded, documented sample of labelled texts.
 
-A word is a run of letters of the lower-cased text, written as a blank and its UTF-8 bytes; the single bytes are pieces,
-so every word has a segmentation. Runs of more than WORD letters are cut every WORD letters. All distinct words of a
-batch go through the forward algorithm together, in numpy; a worker remembers words up to a bound.
+A word is a run of letters of the lower-cased text, whatever its length, written as a blank and its UTF-8 bytes; the
+single bytes are pieces, so every word has a segmentation. Sums are scaled as the forward algorithm goes along, by a
+logarithm of their own for each word and language, so that no word underflows. All distinct words of a batch that are
+equally long go through it together, in numpy; a worker remembers words up to a bound.
 
 The prediction is the likeliest language, ties to the first by code point; score is its share among the languages'
 geometric mean likelihoods per word. Defined results: `und` with score 0 where the text is null or has no letter;
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 
 from treesum.llm.common import stage
 
-WORD = 48
-#: Training: texts per language, about, that are drawn by hash; distinct words per language; rounds.
-TEXTS, WORDS, ROUNDS = 500, 30_000, 5
-#: Words a worker remembers.
-KNOWN = 400_000
+#: Training: texts per language, about, that are drawn by hash; rounds.
+TEXTS, ROUNDS = 500, 5
+#: Words a worker remembers, and the letters of the longest.
+KNOWN, REMEMBER = 400_000, 48
+#: Sums are scaled every so many bytes; bytes of words that are taken together.
+RESCALE, TOGETHER = 16, 400_000
 #: Pieces are scaled by this per byte, so that products of many stay within range.
 SCALE = 8.0
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -93,36 +95,66 @@ class Pieces:
 
     def forward(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         """log probability of each word in each language; weights (pieces, languages) are scaled."""
-        out = np.empty((len(words), weights.shape[1]))
+        out, reach = np.empty((len(words), weights.shape[1])), int(self.length.max()) + 1
         for group, codes in self.groups(words):
-            for lo in range(0, len(group), 20_000):
-                g, c = group[lo : lo + 20_000], codes[lo : lo + 20_000]
-                alpha = np.zeros((c.shape[1] + 1, len(g), weights.shape[1]))
-                alpha[0] = 1
+            step = max(1, TOGETHER // codes.shape[1])
+            for lo in range(0, len(group), step):
+                g, c = group[lo : lo + step], codes[lo : lo + step]
+                n = c.shape[1]
+                # sums at the next places only, in a ring
+                alpha, logs = np.zeros((min(reach, n + 1), len(g), weights.shape[1])), np.zeros((len(g), weights.shape[1]))
+                alpha[0], at, ring = 1, 0, min(reach, n + 1)
                 for i, j, rows, p in self.arcs(c):
-                    alpha[j, rows] += alpha[i, rows] * weights[p]
-                out[g] = np.log(np.maximum(alpha[-1], 1e-300)) - c.shape[1] * np.log(SCALE)
+                    while at < i:
+                        alpha[at % ring] = 0
+                        at += 1
+                        if at % RESCALE == 0:
+                            logs += self._scaled(alpha)
+                    alpha[j % ring, rows] += alpha[i % ring, rows] * weights[p]
+                with np.errstate(divide="ignore"):
+                    out[g] = np.log(alpha[n % ring]) + logs - n * np.log(SCALE)
         return out
 
+    @staticmethod
+    def _scaled(alpha: np.ndarray) -> np.ndarray:
+        """Divides all sums of a word in a language by the largest of them; the logarithms of what they were divided by."""
+        most = alpha.max(0)
+        most = np.where(most > 0, most, 1.0)
+        alpha /= most
+        return np.log(most)
+
     def fit(self, words: list[str], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         """Piece probabilities of one language."""
         p = (0.02 ** np.minimum(self.length, 4)).astype(float)
         p /= p.sum()
-        scale = SCALE**self.length
-        kept = [(counts[g], c, [*self.arcs(c)]) for g, c in self.groups(words)]
+        scale, reach = SCALE**self.length, int(self.length.max()) + 1
+        kept = []
+        for g, c in self.groups(words):
+            step = max(1, TOGETHER // c.shape[1])
+            kept += [(counts[g[lo : lo + step]], c[lo : lo + step]) for lo in range(0, len(g), step)]
+        # arcs of words of common length are listed once; those of long ones in each round
+        listed = [[*self.arcs(c)] if c.shape[1] <= 4 * REMEMBER else None for _, c in kept]
         for _ in range(rounds):
             w, seen = p * scale, np.zeros(self.n)
-            for count, c, arcs in kept:
+            for (count, c), known in zip(kept, listed, strict=True):
                 n = c.shape[1]
-                alpha, beta = np.zeros((n + 1, len(c))), np.zeros((n + 1, len(c)))
+                arcs = known if known is not None else [*self.arcs(c)]
+                # forward sums, with all that lie ahead, are scaled so that each place has 1 when it is left, backward sums
+                # by the same numbers, so that an arc's share of the word is the product of its ends and its piece
+                alpha, beta, by = np.zeros((n + 1, len(c))), np.zeros((n + 1, len(c))), np.ones((n + 1, len(c)))
                 alpha[0] = beta[n] = 1
+                at = 0
                 for i, j, rows, q in arcs:
+                    while at < i:
+                        at += 1
+                        by[at] = np.where(alpha[at] > 0, alpha[at], 1.0)
+                        alpha[at : at + reach] /= by[at]
                     alpha[j, rows] += alpha[i, rows] * w[q]
-                total = count / np.maximum(alpha[n], 1e-300)
+                by[n] = np.where(alpha[n] > 0, alpha[n], 1.0)
                 for i, j, rows, q in reversed(arcs):
-                    part = w[q] * beta[j, rows]
+                    part = w[q] * beta[j, rows] / by[i + 1 : j + 1, rows].prod(0)
                     beta[i, rows] += part
-                    seen += np.bincount(q, alpha[i, rows] * part * total[rows], self.n)
+                    seen += np.bincount(q, alpha[i, rows] * part * count[rows], self.n)
             p = seen + 0.02
             p /= p.sum()
         return p
@@ -134,10 +166,7 @@ def pieces(path: str) -> Pieces:
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > WORD for w in found):
-        found = [w[i : i + WORD] for w in found for i in range(0, len(w), WORD)]
-    return found
+    return LETTERS.findall(text.lower())
 
 
 class Model:
@@ -163,18 +192,22 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.at) > KNOWN:
             self.clear()
-        at, new, ids, sizes = self.at, [], [], []
+        at, new, ids, sizes, once = self.at, [], [], [], []
         for t in texts:
             own = words_of(t) if t else []
             for w in own:
                 i = at.get(w)
                 if i is None:
-                    i = at[w] = len(at)
+                    i = at[w] = len(self.table) + len(new)
                     new.append(w)
+                    if len(w) > REMEMBER:
+                        once.append(w)
                 ids.append(i)
             sizes.append(len(own))
         if new:
             self.table = np.concatenate([self.table, self.pieces.forward(new, self.weights)])
+        for w in once:
+            del at[w]
         langs, out, scores = self.model.langs, [], []
         sums = np.zeros((len(texts), max(1, len(langs))))
         if ids and langs:
@@ -198,9 +231,9 @@ def default_vocabulary() -> str:
     return P.path("byte_bpe_multi_50k.tiktoken")
 
 
-def fit(docs: DataFrame, path: str | None = None, texts: int = TEXTS, words: int = WORDS, seed: int = 11) -> Model:
+def fit(docs: DataFrame, path: str | None = None, texts: int = TEXTS, seed: int = 11) -> Model:
     """docs(doc_id, text, lang). Draws about `texts` texts of each language by a hash of their ids (all of them, if fewer),
-    counts their words on the executors and fits each language on its `words` most frequent ones."""
+    counts their words on the executors and fits each language on all of them."""
     path = path or default_vocabulary()
     d = docs.where("lang is not null and text is not null")
     per = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
@@ -226,7 +259,8 @@ def fit(docs: DataFrame, path: str | None = None, texts: int = TEXTS, words: int
     langs = sorted(per, key=str.encode)
     p = []
     for lang in langs:
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words).toPandas()
+        # the words of about `texts` texts, whatever the input
+        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").toPandas()
         p.append(pieces(path).fit(top["word"].tolist(), top["n"].to_numpy(float)))
     return Model(path, langs, np.stack(p, axis=1))
 

@@ -7,11 +7,12 @@ one probability. Documents of any length are read in blocks that overlap by what
 the maxima of blocks are combined, so the result does not depend on blocks.
 
 The network is trained here, by Adam on cross entropy, on a bounded, documented sample of labelled texts: about PER_CLASS
-texts of each label, drawn by a hash of their ids, texts over LONGEST bytes left out of training only.
+texts of each label, drawn by a hash of their ids; long ones are trained on in whole, as the chunk where each filter is
+largest is all that a step learns from.
 
 Defined results: a null text counts as empty; the empty text scores what the network gives for a document of zeros;
-repeated rows give repeated rows; labels, lang, source and ids are never inputs; without labels of both kinds every
-score is the share of label 1 (0.5 without any).
+repeated rows give repeated rows, and of rows that share an id one is trained on; labels, lang, source and ids are never
+inputs; without labelled documents of both kinds every score is the share of label 1 (0.5 without any).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK, STEP, LAGS, EMBED, FILTERS, HIDDEN = 16, 8, 24, 6, 24, 12
-PER_CLASS, LONGEST, EPOCHS, BATCH = 700, 20_000, 14, 48
+PER_CLASS, EPOCHS, BATCH = 700, 14, 48
 BLOCK = 1 << 18
 
 
@@ -142,21 +143,26 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 13) -> Network:
-    """docs(doc_id, text), labels(doc_id, quality). The sample is bounded: about per_class texts of each label, none over
-    LONGEST bytes. Training prefers neither label; the threshold 0.5 stands at even odds of the two."""
+    """docs(doc_id, text), labels(doc_id, quality). The sample is bounded: about per_class documents of each label, by the
+    number of labels whose document has a text. Training prefers neither label; 0.5 stands at even odds of the two."""
     named = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    per = {r["quality"]: r["count"] for r in named.groupBy("quality").count().collect()}
+    there = docs.where("text is not null").join(named, "doc_id").select("doc_id", "quality", "text")
+    per = {r["quality"]: r["count"] for r in there.groupBy("quality").count().collect()}
     net = Network()
     if len(per) < 2:
         net.constant = {(0,): 0.0, (1,): 1.0}.get(tuple(per), 0.5)
         return net
     share = F.when(F.col("quality") == 1, F.lit(min(1.0, per_class / per[1]))).otherwise(F.lit(min(1.0, per_class / per[0])))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # ids are drawn before texts are read: about 2 * per_class rows whatever the input
     drawn = named.where(u < share)
-    # the drawn ids are about 2 * per_class rows whatever the input
-    rows = docs.where(F.octet_length("text") <= LONGEST).join(F.broadcast(drawn), "doc_id").select("text", "quality", "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    net.train([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], float))
+    rows = docs.where("text is not null").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    y = np.array([r["quality"] for r in rows], float)
+    if len(set(y)) < 2:
+        net.constant = per[1] / (per[0] + per[1])
+        return net
+    net.train([r["text"].encode() for r in rows], y)
     return net
 
 
