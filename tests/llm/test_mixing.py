@@ -1,5 +1,9 @@
+import hashlib
+import math
 import re
 
+import duckdb
+
 from treesum.llm import mixing
 
 W = (5, 2, 1)
@@ -29,7 +33,7 @@ def run(spark, rows, **more):
 
 def test_targets_and_takes(spark):
     rows = [(i, "w " * (i % 37), ["a", "b", "c", None, "é", ""][(i * i) % 6]) for i in range(3000)] + [(5, None, "a"), (None, "x y", None), (5, None, "a")]
-    got = run(spark, rows, chunk_rows=500).collect()
+    got = run(spark, rows, chunks=3).collect()
     assert len(got) == len(rows)
     sizes = {}
     for _, t, s in rows:
@@ -43,8 +47,32 @@ def test_targets_and_takes(spark):
         taken[r["source"]] += r["copies"] * r["size"]
     for s in sizes:
         assert abs(taken[s] - want[s]) <= max(80, 0.02 * want[s])
-    again = run(spark, rows, chunk_rows=500).select("doc_id", "copies").collect()
-    assert sorted(map(str, again)) == sorted(str(r) for r in run(spark, rows[::-1], chunk_rows=500).select("doc_id", "copies").collect())
+    again = run(spark, rows, chunks=3).select("doc_id", "copies").collect()
+    assert sorted(map(str, again)) == sorted(str(r) for r in run(spark, rows[::-1], chunks=3).select("doc_id", "copies").collect())
+
+
+def test_copies_by_prefix_sums(spark, tmp_path):
+    """Each document by a plain running sum along its source, and the query against its SQL."""
+    rows = [(i, "w " * (i * i % 41), ["a", "b", "c", None, ""][i % 7 % 5]) for i in range(900)] + [(None, "x y", "a"), (7, "same id", "a"), (7, "same id", "a"), (901, None, "b"), (902, "é\u00a0e\x0bf", "c")]
+    number = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16) / 2**32
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    target = water(sizes)
+    want = []
+    for s in sizes:
+        u, each = number(17, "offset", s or "", str(s is None).lower()), target[s] / sizes[s]
+        of = sorted((math.floor(math.sqrt(math.sqrt(size(t))) * 4), math.floor(number(17, "null" if i is None else i) * 8), size(t), number(17, "null" if i is None else i), -1 if i is None else i) for i, t, x in rows if x == s)
+        for k, x in enumerate(of):
+            copies = math.floor((k + 1) * each + u) - math.floor(k * each + u)
+            want.append((None if x[4] < 0 else x[4], x[2], sizes[s], copies * x[2]))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op5_mixing(spark, f"file://{tmp_path}").collect()
+    assert sorted(((r["doc_id"], r["size"], r["source_size"], r["taken"]) for r in got), key=str) == sorted(want, key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, con.sql(mixing.ORACLE).fetchall()))
 
 
 def test_empty_and_wordless(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treesum.llm import chat, jaccard, licenses, topk, vectors
+from treesum.llm import chat, jaccard, licenses, mixing, topk, vectors
 from treesum.llm.chat import op7_chat
 from treesum.llm.jaccard import op6_jaccard
 from treesum.llm.language import op2_language
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_topk": topk.ORACLE,
     "op4_nndescent": vectors.ORACLE,
+    "op5_mixing": mixing.ORACLE,
     "op6_jaccard": jaccard.ORACLE,
     "op7_chat": chat.oracle(),
     "op9_licenses": licenses.oracle(),
