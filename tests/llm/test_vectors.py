@@ -99,6 +99,53 @@ def test_links_of_nothing(spark):
     assert [tuple(x) for x in links(spark, [(None, 1, [1.0])]).collect()] == [(None, 0, None, True)]
 
 
+def table(spark, label, x):
+    import pyarrow as pa
+
+    rows = pa.table({"vec_id": np.arange(len(x)), "label": np.asarray(label, np.int32), "embedding": pa.array(list(x), pa.list_(pa.float64()))})
+    return spark.createDataFrame(rows)
+
+
+def test_many_copies_and_near_copies(spark):
+    """20,000 exact copies and 6,000 near copies of other vectors: every link counts, none is lost to the length of a list."""
+    r = np.random.default_rng(8)
+    c = r.normal(size=(3, 16))
+    near = c[1] + 0.02 * r.normal(size=(6000, 16))
+    x = np.concatenate([np.repeat(c[:1], 20_000, 0), near, r.normal(size=(1000, 16)), c[2:]])
+    label = np.array([1] * 20_000 + [2] * 6000 + [1, 2] * 500 + [1])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {g["vec_id"]: g for g in vectors.near_duplicates(table(spark, label, x)).collect()}
+    assert len(got) == len(x)
+    for k in (1, 2):
+        rows = np.flatnonzero(label == k)
+        first, times = np.unique(u[rows], axis=0, return_index=True, return_counts=True)[1:]
+        d = rows[first]
+        hit = u[d] @ u[d].T >= 0.93
+        np.fill_diagonal(hit, True)
+        want = dict(zip(map(bytes, u[d]), (hit @ times) - 1, strict=True))
+        assert all(got[int(i)]["n_links"] == want[bytes(u[i])] for i in rows)
+    assert all(got[i]["component_id"] == 0 for i in range(20_000))
+
+
+def test_recall_on_clusters(spark):
+    """30,000 vectors in clusters of many sizes: the share of true links that is found, by vectors."""
+    r = np.random.default_rng(10)
+    sizes = r.zipf(1.7, 8_000).clip(1, 700)
+    sizes = sizes[np.cumsum(sizes) <= 30_000]
+    c = r.normal(size=(len(sizes), 24))
+    x = np.repeat(c, sizes, 0)
+    x += r.choice([0.05, 0.15, 0.25], len(x))[:, None] * r.normal(size=x.shape)
+    label = np.repeat(r.integers(0, 4, len(sizes)), sizes)
+    got = vectors.near_duplicates(table(spark, label, x)).orderBy("vec_id").toPandas()["n_links"].to_numpy()
+    want = np.zeros(len(x), np.int64)
+    for k in range(4):
+        at = np.flatnonzero(label == k)
+        u = x[at] / np.linalg.norm(x[at], axis=1, keepdims=True)
+        for lo in range(0, len(at), 2000):
+            want[at[lo : lo + 2000]] = (u[lo : lo + 2000] @ u.T >= 0.93).sum(1) - 1
+    assert (got <= want).all() and got.sum() >= 0.98 * want.sum() > 100_000
+
+
 def star(n, dim, seed, start=0, label=1):
     """Vectors that all link and are too far apart to share a ball."""
     r = np.random.default_rng(seed)

@@ -2,6 +2,7 @@
 
 Vectors link when their labels are equal and their cosine is at least THRESHOLD, in double precision.
 
+0. Copies. Vectors that are equal, with their label, are one row with a weight; all else works on those rows.
 1. Nodes. Codes of random hyperplanes deal vectors of a label into leaves of at most about LEAF rows (a code that holds
    more is split by a hash). A leaf is covered by balls of an angle so small (HALF, under half the link angle) that all
    members of a ball link; a ball is one node. A group of g near copies so makes about g / LEAF nodes, not g, and its
@@ -21,7 +22,7 @@ Vectors link when their labels are equal and their cosine is at least THRESHOLD,
    outside, or member by member in double precision. Components run over nodes.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, or whose label is null, link with
-nothing; vectors of different dimension do not link; rows that share an id count once, by their smallest label and
+nothing; vectors of different dimension do not link; copies link with each other, however many; rows that share an id count once, by their smallest label and
 vector; a null id has no component and is kept; an empty table gives an empty result; further columns are not read.
 """
 
@@ -90,11 +91,12 @@ def _cover(units: np.ndarray, half: float) -> Iterator[tuple[int, np.ndarray, fl
             yield int(i), m, float(np.arccos(cos[i, m]).max()) if len(m) > 1 else 0.0
 
 
-_NODE = "id long, label string, dim int, r double, n int, low long, centre binary, members binary, data binary"
+#: n: rows of a ball, w: vectors, copies counted; weights: those of its rows.
+_NODE = "id long, label string, dim int, r double, n int, w long, low long, centre binary, members binary, weights binary, data binary"
 
 
 def nodes(vectors: DataFrame, theta: float, total: int) -> DataFrame:
-    """Balls over vectors(vec_id, label, embedding)."""
+    """Balls over vectors(vec_id, label, embedding, w)."""
     bits, half = _bits(total), theta / 2 * 0.99
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,16 +105,16 @@ def nodes(vectors: DataFrame, theta: float, total: int) -> DataFrame:
                 x = np.array(part["embedding"].tolist(), np.float64)
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
-                yield pd.DataFrame({"vec_id": part["vec_id"], "label": part["label"], "dim": dim, "code": _codes(x, 0, bits), "unit": [r.tobytes() for r in x]})
+                yield pd.DataFrame({"vec_id": part["vec_id"], "w": part["w"], "label": part["label"], "dim": dim, "code": _codes(x, 0, bits), "unit": [r.tobytes() for r in x]})
 
-    d = vectors.mapInPandas(coded, "vec_id long, label string, dim int, code long, unit binary")
+    d = vectors.mapInPandas(coded, "vec_id long, w long, label string, dim int, code long, unit binary")
     key = ["label", "dim", "code"]
 
     def cover(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         ids = g["vec_id"].to_numpy(np.int64)
         order = np.argsort(ids)
-        ids, units = ids[order], np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)[order]
-        rows = [(int(ids[c]), k[0], k[1], r, len(m), int(ids[m].min()), units[c].astype(np.float16).tobytes(), ids[m].tobytes(), units[m].tobytes()) for c, m, r in _cover(units, half)]
+        ids, w, units = ids[order], g["w"].to_numpy(np.int64)[order], np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)[order]
+        rows = [(int(ids[c]), k[0], k[1], r, len(m), int(w[m].sum()), int(ids[m].min()), units[c].astype(np.float16).tobytes(), ids[m].tobytes(), w[m].tobytes(), units[m].tobytes()) for c, m, r in _cover(units, half)]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _NODE.split(", ")])
 
     return _salted(d, key, "vec_id").groupBy(*key, "part").applyInPandas(cover, _NODE)
@@ -273,14 +275,15 @@ def _settle(batches: Iterator[pa.RecordBatch], least: float, theta: float) -> It
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = (np.frombuffer(s["data"], np.float64).reshape(s["n"], -1) for s in (a, b))
             xi, yi = (np.frombuffer(s["members"], np.int64) for s in (a, b))
+            xw, yw = (np.frombuffer(s["weights"], np.int64) for s in (a, b))
             hit = x @ y.T >= least
             if not hit.any():
                 continue
             out.append(("edge", a["id"], b["id"], 0))
             if hit.all():
-                out += [("ball", a["id"], None, b["n"]), ("ball", b["id"], None, a["n"])]
+                out += [("ball", a["id"], None, b["w"]), ("ball", b["id"], None, a["w"])]
             else:
-                out += [("one", int(i), None, int(k)) for i, k in zip(xi, hit.sum(1), strict=True) if k] + [("one", int(i), None, int(k)) for i, k in zip(yi, hit.sum(0), strict=True) if k]
+                out += [("one", int(i), None, int(k)) for i, k in zip(xi, hit @ yw, strict=True) if k] + [("one", int(i), None, int(k)) for i, k in zip(yi, xw @ hit, strict=True) if k]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["kind", "id", "other", "n"])
 
@@ -311,8 +314,8 @@ def _exactly(heavy: DataFrame, exact: DataFrame, least: float) -> DataFrame | No
         return None
     chunks, out = -(-size // CHUNK), None
     for c in range(chunks):
-        mine = marked.where("exact").where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(chunks)) == c).select("id", "label", "dim", "n", "members", "data").toPandas()
-        sides = {k: (p["id"].to_numpy(), p["n"].to_numpy(), b"".join(p["members"]), b"".join(p["data"])) for k, p in mine.groupby(["label", "dim"])}
+        mine = marked.where("exact").where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(chunks)) == c).select("id", "label", "dim", "n", "members", "weights", "data").toPandas()
+        sides = {k: (p["id"].to_numpy(), p["n"].to_numpy(), b"".join(p["members"]), b"".join(p["weights"]), b"".join(p["data"])) for k, p in mine.groupby(["label", "dim"])}
 
         def scan(frames: Iterator[pd.DataFrame], sides: dict = sides) -> Iterator[pd.DataFrame]:
             own = {k: np.zeros(s[1].sum(), np.int64) for k, s in sides.items()}
@@ -321,20 +324,21 @@ def _exactly(heavy: DataFrame, exact: DataFrame, least: float) -> DataFrame | No
                 for k, g in f.groupby(["label", "dim"]):
                     if k not in sides:
                         continue
-                    xs, xn, _, data = sides[k]
-                    x, x_ball = np.frombuffer(data, np.float64).reshape(-1, k[1]), np.repeat(np.arange(len(xs)), xn)
+                    xs, xn, _, xw, data = sides[k]
+                    xw, x, x_ball = np.frombuffer(xw, np.int64), np.frombuffer(data, np.float64).reshape(-1, k[1]), np.repeat(np.arange(len(xs)), xn)
                     # about 2,048 vectors of either side at a time
                     for _, h in g.groupby(g["n"].cumsum() // 2048):
                         ys, yn = h["id"].to_numpy(), h["n"].to_numpy()
                         y, y_id = np.frombuffer(b"".join(h["data"]), np.float64).reshape(-1, k[1]), np.repeat(ys, yn)
+                        yw = np.frombuffer(b"".join(h["weights"]), np.int64)
                         begin, n = np.cumsum(yn) - yn, np.zeros(len(y), np.int64)
                         for lo in range(0, len(x), 2048):
                             at = slice(lo, lo + 2048)
                             hit = (x[at] @ y.T >= least) & (xs[x_ball[at]][:, None] != y_id[None, :])
                             if not hit.any():
                                 continue
-                            own[k][at] += hit.sum(1)
-                            n += hit.sum(0)
+                            own[k][at] += hit @ yw
+                            n += xw[at] @ hit
                             here, first = np.unique(x_ball[at], return_index=True)
                             rows += _spanning(np.logical_or.reduceat(np.logical_or.reduceat(hit, begin, axis=1), first, axis=0), xs[here], ys)
                         # a ball that is settled exactly itself counts its own links
@@ -348,7 +352,7 @@ def _exactly(heavy: DataFrame, exact: DataFrame, least: float) -> DataFrame | No
                 if len(at):
                     yield pd.DataFrame({"kind": "one", "id": ids[at], "other": pd.array([None] * len(at), "Int64"), "n": n[at]})
 
-        part = stage(marked.select("id", "label", "dim", "n", "exact", "members", "data").mapInPandas(scan, _FOUND), "exact")
+        part = stage(marked.select("id", "label", "dim", "n", "exact", "members", "weights", "data").mapInPandas(scan, _FOUND), "exact")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -360,8 +364,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     v = stage(v.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("vec_id", "x.label", "x.embedding"), "vectors")
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
-    total = v.count()
-    heavy = stage(nodes(v.where(sound), theta, total), "balls")
+    # copies are one row, named by their smallest id
+    key = [F.xxhash64(F.lit(k), "label", "embedding").alias(f"h{k}") for k in (1, 2)]
+    first = v.where(sound).groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
+    reps = stage(first, "copies")
+    alone = v.join(reps.select(F.col("rep").alias("vec_id"), "w"), "vec_id")
+    heavy = stage(nodes(alone, theta, reps.count()), "balls")
     count = heavy.count()
     light, n = grouped(heavy.select("id", "label", "dim", "r", "centre"), count)
     bits, lists, size, done, shares, todo = _bits(count), None, None, 1, {}, list(range(n))
@@ -382,12 +390,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     pairs = lists.where(F.col("gap") <= theta + COARSE).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     if more is not None:
         pairs = pairs.join(exact.withColumnRenamed("id", "a"), "a", "left_anti").join(exact.withColumnRenamed("id", "b"), "b", "left_anti")
-    side = heavy.select("id", F.struct("id", "n", "members", "data").alias("ball"))
+    side = heavy.select("id", F.struct("id", "n", "w", "members", "weights", "data").alias("ball"))
     both = pairs.join(side.withColumnRenamed("ball", "x").withColumnRenamed("id", "a"), "a").join(side.withColumnRenamed("ball", "y").withColumnRenamed("id", "b"), "b")
     found = stage(both.select("x", "y").mapInArrow(lambda it: _settle(it, threshold, theta), _FOUND), "links")
     found = found if more is None else found.unionByName(more)
     whole = components(found.where("kind = 'edge'").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    balls = heavy.select("id", "n", "low", "members").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    balls = heavy.select("id", "w", "low", "members").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lowest = balls.groupBy("component").agg(F.min("low").alias("component_id"))
     per_ball = found.where("kind = 'ball'").groupBy("id").agg(F.sum("n").alias("more"))
     per_one = found.where("kind = 'one'").groupBy(F.col("id").alias("vec_id")).agg(F.sum("n").alias("own"))
@@ -398,8 +406,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             rep = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)), batch.column(1).take(pa.array(rep)), batch.column(2).take(pa.array(rep))], ["vec_id", "base", "component_id"])
 
-    one = balls.join(lowest, "component").join(per_ball, "id", "left").select("members", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("base"), "component_id")
-    linked = one.mapInArrow(expand, "vec_id long, base long, component_id long").join(per_one, "vec_id", "left").select("vec_id", (F.col("base") + F.coalesce("own", F.lit(0))).alias("n_links"), "component_id")
+    one = balls.join(lowest, "component").join(per_ball, "id", "left").select("members", (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("base"), "component_id")
+    linked = one.mapInArrow(expand, "vec_id long, base long, component_id long").join(per_one, "vec_id", "left").select(F.col("vec_id").alias("rep"), (F.col("base") + F.coalesce("own", F.lit(0))).alias("n_links"), "component_id")
+    linked = v.where(sound).select("vec_id", *key).join(reps.join(linked, "rep"), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     rest = v.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
