@@ -57,12 +57,34 @@ def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     want = brute(rows)
     assert run(spark, rows) == want
-    # common shingles last, many buckets, ids joined by shuffle, no leader rounds: the same
-    for name, v in (("REPORT", 2), ("BATCH", 50), ("BUCKET", 500), ("FLUSH", 700), ("BROADCAST", 0), ("LEADERS", 1)):
+    # few cells, many buckets and blocks, common shingles, ids joined by shuffle, one leader round, pairs of tiles: the same
+    for name, v in (("CELLS", 1 << 12), ("SALT", 2), ("FINE", 9), ("BUCKET", 500), ("FLUSH", 700), ("HOT", 30), ("MOST", 9), ("BROADCAST", 0), ("LEADERS", 1), ("TILE", 300)):
         monkeypatch.setattr(jaccard, name, v)
     assert run(spark, rows) == want
 
 
+def test_sets_that_share_a_key(spark, monkeypatch):
+    """The first 64 bits of all classes are cut to two."""
+    rows = corpus(5, 120)
+    monkeypatch.setattr(jaccard, "KEY", 2)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_list_of_thousands(spark, monkeypatch):
+    """5,000 texts with one of 60 words changed: texts of one place link, and texts of neighbouring places."""
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "TILE", 20_000)
+    base = [f"w{i}" for i in range(60)]
+    text = lambda place, k: " ".join(base[:place] + [f"x{place}y{k}"] + base[place + 1 :])
+    places, each = [4, 10, 11, 16, 22, 28, 34, 40, 46, 52], 500
+    rows = [(p * each + k, text(place, k)) for p, place in enumerate(places) for k in range(each)]
+    few = [(p * each + k, text(place, k)) for p, place in enumerate(places) for k in range(3)]
+    least = {i // each: c for i, _, c in brute(few)}
+    got = run(spark, rows)
+    assert len({c for _, _, c in got}) == len(set(least.values())) > 1
+    assert all(n == 56 and c == least[i // each] for i, n, c in got)
+
+
 def test_tree_finds_all_pairs():
     r = np.random.default_rng(3)
     sets = []

@@ -13,9 +13,11 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="treesum-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,7 +31,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: a cut in the lineage that survives lost executors."""
     path = stage_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more; each must be what stage() returned."""
+    for df in staged:
+        drop_path(df.sparkSession, df.staged_at)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -59,7 +69,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # small-star: each node sends its smaller neighbours to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

@@ -3,17 +3,21 @@
 A document's set holds the hashes of its distinct runs of SHINGLE words. Documents link when 100 * intersection >=
 75 * union; the result is the components of those links and each set's size.
 
-1. Documents with equal sets are one class. Everything below works on classes, so copies cost one row each.
+1. Documents with equal sets (128 bits) are one class. Everything below works on classes, so copies cost one row each.
 2. Two sets that link share a shingle among the first (a quarter, about) of either, in any order common to all. The order
-   is by hash, shingles that many documents hold last (counted over all documents, batch by batch). Those prefixes are
-   dealt out by hash; a list is a shingle with two classes or more. Tasks send each class once, whatever its copies.
-3. Leaders: each class is checked against the class it meets most often as the least of a list. Groups of near copies
-   become components this way without forming their pairs.
-4. Signature trees: what is left are lists that hold several components. By list and size range, a tree is built whose
-   nodes hold the OR of their members' bitmaps, the range of sizes and the most shingles that share a bit. Two nodes are
-   traversed together only while the largest possible overlap of their members reaches what a link takes; nodes of one
-   and the same component are not compared.
-5. Pairs that survive are settled on whole sets, read again from the texts of just those documents.
+   is by the number of classes a shingle is in, over all documents: sets are dealt out by shingle in packed blocks, each
+   bucket counts, and only shingles that two classes or more hold come back to their class. What is rare stands first, so
+   a set with a quarter of its shingles to itself is in no list; a list is a shingle of several such beginnings.
+3. Leaders: the members of all lists with one and the same least class are a star. In each star the class that is in most
+   lists is checked against the others, then further ones, until that joins few more. Groups of near copies become
+   components this way without forming their pairs.
+4. Signature trees: stars that still hold several components are grouped by size range. A tree has the OR of its members' bitmaps
+   and the range of sizes at each node. Two nodes are traversed together only while the largest possible overlap of their
+   members reaches what a link takes; nodes of one and the same component are not compared. Groups of more than a tile
+   (by shingles) are dealt to tasks by pairs of tiles. What comes out is the members that may link, at most a row each.
+5. Those members come together again with their whole sets, and pairs of the same traversal are settled exactly where
+   they are found; a pair within a component that has grown together by then is skipped, so at most size - 1 links a group
+   come out.
 
 No link between different components can be missed; links inside a component do not change the result.
 
@@ -29,21 +33,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesum.llm.common import components, stage
+from treesum.llm.common import components, drop, stage
 
 SHINGLE, SHARE = 5, 75
-#: Documents of a batch in which common shingles are counted, and the count that reports one; the share of all documents
-#: that makes one common. So at most (shingles of a document) / COMMON are, whatever the input.
-BATCH, REPORT, COMMON = 2000, 8, 0.002
-#: Prefix entries of one bucket, about; entries a task gathers before it sends them.
-BUCKET, FLUSH = 1 << 20, 1 << 21
-#: Ids that are broadcast at most; above, they are joined by shuffle.
-BROADCAST = 500_000
-#: Children of a node; rounds of leaders; lists of a class that are compared to let a pair come out once.
-FANOUT, LEADERS, LEAST = 8, 2, 16
+#: Cells in which shingles are counted, and cells of one row of counts.
+CELLS, ROW = 1 << 18, 1 << 12
+#: Shingles of one bucket, about, and bits of a shingle inside it; shingles and classes a task gathers before it sends
+#: them; documents that may hold a shingle above which it counts as common without being dealt to one bucket.
+BUCKET, FINE, FLUSH, MOST, HOT = 1 << 20, 28, 1 << 19, 60_000, 1 << 16
+#: Negative buckets.
+PASSED = 1024
+#: Ids that are broadcast at most, above, they are joined by shuffle; classes of a star that meet their leader in a task.
+BROADCAST, SALT = 500_000, 4096
+#: Bits of a bitmap for each shingle, at least; children of a node; shingles of a tile.
+WIDTH, FANOUT, TILE = 4, 8, 1 << 20
+#: Rounds of leaders at most; a further round is made while the last one closed this share of the open memberships.
+LEADERS, WORTH = 6, 0.1
+#: Bits of the first number of a class, the key of lists.
+KEY = 64
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,117 +80,201 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def class_of(s: np.ndarray) -> int:
-    """A set's class, signed 64 bits."""
-    from xxhash import xxh3_64_intdigest as hashed
+def class_of(s: np.ndarray, key: int) -> tuple[int, int]:
+    """A set's class: 128 bits as two signed numbers, `key` bits of the first."""
+    from xxhash import xxh3_128_intdigest as hashed
 
     x = hashed(s.tobytes())
-    return x - (1 << 64) if x >> 63 else x
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    return signed(x & ((1 << key) - 1)), signed(x >> 64)
 
 
 def bits(s: np.ndarray) -> bytes:
-    """A bitmap of about one bit per shingle: the least power of two of at least len(s), 64 at least."""
-    width = max(64, 1 << (len(s) - 1).bit_length())
-    b = np.zeros(width // 8, np.uint8)
-    at = (s & np.uint64(width - 1)).astype(np.int64)
-    np.bitwise_or.at(b, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return b.tobytes()
-
-
-def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of which linked sets share one: by hash, common ones last."""
-    p = len(s) - -(-SHARE * len(s) // 100) + 1
-    if len(common):
-        c = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-        if c.any():
-            s = np.concatenate([s[~c], s[c]])
-    return s[:p]
-
-
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to rows of documents (class, n) and of classes (bitmap), and common shingles of the batch."""
+    """A bitmap of WIDTH bits per shingle at least: a power of two, 64 at least."""
+    width = max(64, 1 << (WIDTH * len(s) - 1).bit_length())
+    b = np.zeros(width, bool)
+    b[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(b, bitorder="little").tobytes()
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of x, the first of all numbers first: what numbers have in common compresses."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(b: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+
+
+_FIRST = "doc_id long, class long, mark long, n long, row int, counts binary"
+
+
+def _first(batches: Iterator[pa.RecordBatch], size: int, key: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to rows of documents (class, mark, n), and at the end of a task how often shingles fall into each of
+    `size` cells, ROW cells a row."""
+    cells = np.zeros(size, np.uint32)
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _FIRST.split(", ")]
     for batch in batches:
-        for lo in range(0, batch.num_rows, BATCH):
-            part = batch.slice(lo, BATCH)
-            n, cls, maps, seen = [], [], [], {}
-            for text in part.column(1):
-                s = shingles(text.as_py())
-                c = class_of(s) if len(s) else 0
-                n.append(len(s))
-                cls.append(c)
-                maps.append(None if c in seen or not len(s) else bits(s))
-                seen.setdefault(c, s)
-            counted, times = np.unique(np.concatenate([*seen.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = times >= REPORT
-            k = int(often.sum())
-            ids = part.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in (([True] * len(n) + [False] * k, pa.bool_()), (ids + [None] * k, pa.int64()), (cls + counted[often].view(np.int64).tolist(), pa.int64()), (n + times[often].tolist(), pa.int64()), (maps + [None] * k, pa.binary()))],
-                ["doc", "doc_id", "class", "n", "bits"],
-            )
-
-
-def _entries(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, hashes, classes): prefix entries, each class once per flush of a task."""
+        n, cls, mark = [], [], []
+        for text in batch.column(1):
+            s = shingles(text.as_py())
+            c = class_of(s, key) if len(s) else (0, 0)
+            n.append(len(s))
+            cls.append(c[0])
+            mark.append(c[1])
+            np.add.at(cells, (s & np.uint64(size - 1)).astype(np.int64), 1)
+        none = [None] * len(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch.column(0).to_pylist(), cls, mark, n, none, none), types, strict=True)], names)
+    rows = [i for i in range(size // ROW) if cells[i * ROW : (i + 1) * ROW].any()]
+    none = [None] * len(rows)
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, none, rows, [cells[i * ROW : (i + 1) * ROW].tobytes() for i in rows]), types, strict=True)], names)
+
+
+def _counted(first: DataFrame) -> np.ndarray:
+    """Counts of all cells. Tasks' rows are added in two levels; what comes to the driver is CELLS numbers."""
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(ROW, np.int64)
+        for kind, c in zip(g["wide"], g["counts"], strict=True):
+            total += np.frombuffer(c, np.int64 if kind else np.uint32)
+        return pd.DataFrame({"row": [g["row"].iloc[0]], "wide": [True], "counts": [total.tobytes()]})
+
+    schema = "row int, wide boolean, counts binary"
+    rows = first.where("row is not null").select("row", F.lit(False).alias("wide"), "counts")
+    rows = rows.groupBy("row", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInPandas(add, schema).groupBy("row").applyInPandas(add, schema)
+    out = np.zeros(CELLS, np.int64)
+    for r in rows.collect():
+        out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
+    return out
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin that differ from the row before."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+_PACKED = "bucket int, flush long, marks binary, at binary, levels binary, classes binary, spare binary"
+
+
+def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
+    """_PACKED: the shingles of all classes, each class once per flush of a task, in blocks by bucket, and the classes of
+    each flush. A shingle is here its bucket and FINE bits, a class its number in the flush. spare: how many shingles of a
+    class may come after its prefix. Classes, and shingles that more than HOT documents may hold, by the cells, and so are
+    common for sure, stand in negative buckets, which only pass them on to their flush."""
+    hot, mask, bits_ = np.packbits(counts > HOT), np.uint64(len(counts) - 1), np.uint64(FINE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs: list[np.ndarray] = []
-        cs: list[np.ndarray] = []
-        seen: set[int] = set()
-        size = 0
+        from pyspark import TaskContext
+
+        is_hot = np.unpackbits(hot).astype(bool)
+        some_hot = bool(is_hot.any())
+        held: list[np.ndarray] = []
+        classes: list[int] = []
+        seen: set[tuple] = set()
+        # numbers are the task's and its flushes', so a task that runs again numbers alike
+        name = TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
-            h, c = np.concatenate(hs), np.concatenate(cs)
-            b = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            b, h, c = b[order], h[order], c[order]
-            starts = np.flatnonzero(np.diff(b, prepend=-1))
-            ends = [*starts[1:], len(b)]
-            return pa.RecordBatch.from_arrays([pa.array(b[starts].astype(np.int32)), pa.array([h[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "hashes", "classes"])
+            sizes = np.array([len(s) for s in held])
+            h, at = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
+            rows = []
+            key = ((h >> np.uint64(32)) % np.uint64(buckets)) << bits_ | (h & np.uint64((1 << FINE) - 1))
+            if some_hot:
+                common = is_hot[(h & mask).astype(np.int64)]
+                rows.append((-1 - name % PASSED, name, key[common].tobytes(), at[common].tobytes(), None, None, None))
+                key, at = key[~common], at[~common]
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            # shingles of one set that are alike here count once
+            first = _runs(key, at)
+            sizes_here = sizes - np.bincount(np.delete(at, first), minlength=len(sizes))
+            key, at = key[first], at[first]
+            spare = (sizes_here - (sizes - -(-SHARE * sizes // 100) + 1)).astype(np.int32)
+            rows.append((-1 - name % PASSED, name, None, None, None, np.array(classes, np.int64).tobytes(), spare.tobytes()))
+            bucket, fine = (key >> bits_).astype(np.int64), (key & np.uint64((1 << FINE) - 1)).astype(np.uint32)
+            begin = _runs(bucket)
+            for i, j in zip(begin, [*begin[1:], len(bucket)], strict=len(bucket) > 0):
+                rows.append((int(bucket[i]), name, _planes(np.diff(fine[i:j], prepend=np.uint32(0))), _planes(at[i:j]), None, None, None))
+            types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _PACKED.split(", ")])
 
+        size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingles(text.as_py()) if doc_id is not None else np.zeros(0, np.uint64)
-                if not len(s) or (c := class_of(s)) in seen:
+                if not len(s) or (c := class_of(s, KEY)) in seen:
                     continue
                 seen.add(c)
-                p = prefix(s, common)
-                hs.append(p)
-                cs.append(np.full(len(p), c))
-                size += len(p)
-                if size >= FLUSH:
+                held.append(s)
+                classes.append(c[0])
+                size += len(s)
+                if size >= FLUSH or len(held) >= MOST:
                     yield flush()
-                    hs, cs, seen, size = [], [], set(), 0
-        if hs:
+                    name, size, seen = name + 1, 0, set()
+                    held.clear()
+                    classes.clear()
+        if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, hashes binary, classes binary")
-
-
-def _lists(entries: DataFrame) -> DataFrame:
-    """(list, class) for prefix shingles that two classes or more hold. A bucket has about BUCKET entries, and those of
-    one shingle at most once per class and flush."""
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        h, c = np.frombuffer(b"".join(g["hashes"]), np.int64), np.frombuffer(b"".join(g["classes"]), np.int64)
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        h, c = h[fresh], c[fresh]
-        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff([*start, len(h)])
-        live = np.repeat(sizes > 1, sizes)
-        return pd.DataFrame({"list": h[live], "class": c[live]})
-
-    return entries.groupBy("bucket").applyInPandas(run, "list long, class long")
-
-
-def _distinct(lists: DataFrame) -> DataFrame:
-    """Of lists with the same classes one: documents that share a passage meet in a list for each of its shingles."""
-    x = F.xxhash64(F.lit(1), "class")
-    same = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("h"), F.bit_xor(x).alias("i"))
-    kept = same.groupBy("n", "h", "i").agg(F.min("list").alias("list")).select("list")
-    return lists.join(kept, "list", "left_semi")
+    return docs.mapInArrow(run, _PACKED)
+
+
+def _lists(packed: DataFrame) -> DataFrame:
+    """(list, class): the shingles in the beginnings of sets that several classes may hold. A bucket has about BUCKET
+    entries, those of one shingle HOT at most; a flush has FLUSH, about, of at most MOST classes."""
+    bits_ = np.uint64(FINE)
+
+    def count(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return g
+        blocks = [np.cumsum(_unplaned(m, np.uint32), dtype=np.uint32) for m in g["marks"]]
+        fine = np.concatenate(blocks)
+        # blocks are sorted, so that sorting them together is merging
+        order = np.argsort(fine, kind="stable")
+        begin = _runs(fine[order])
+        times = np.diff([*begin, len(fine)])
+        level = np.zeros(len(fine), np.uint8)
+        level[order] = np.repeat(np.minimum(254, 4 * np.log2(times)).astype(np.uint8), times)
+        rows, lo = [], 0
+        for flush, block, at in zip(g["flush"], blocks, g["at"], strict=True):
+            own = level[lo : lo + len(block)]
+            lo += len(block)
+            # 0: held once
+            k = np.flatnonzero(own)
+            if len(k):
+                rows.append((key[0], flush, block[k].tobytes(), _unplaned(at, np.uint16)[k].tobytes(), own[k].tobytes(), None, None))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in _PACKED.split(", ")])
+
+    def begin_of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        marks, at, level = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
+        for b, m, a, v, c, s in zip(*(g[k] for k in ("bucket", "marks", "at", "levels", "classes", "spare")), strict=True):
+            if c is not None:
+                classes, spare = np.frombuffer(c, np.int64), np.frombuffer(s, np.int32)
+            elif v is None:
+                marks.append(np.frombuffer(m, np.uint64))
+                at.append(np.frombuffer(a, np.uint16))
+                level.append(np.full(len(at[-1]), 255, np.uint8))
+            else:
+                marks.append((np.uint64(b) << bits_) | np.frombuffer(m, np.uint32).astype(np.uint64))
+                at.append(np.frombuffer(a, np.uint16))
+                level.append(np.frombuffer(v, np.uint8))
+        marks, at, level = np.concatenate(marks), np.concatenate(at), np.concatenate(level)
+        order = np.lexsort((marks, level, at))
+        marks, at = marks[order], at[order]
+        one = _runs(marks, at)
+        marks, at = marks[one], at[one]
+        begin = _runs(at)
+        sizes = np.diff([*begin, len(at)])
+        keep = np.arange(len(at)) - np.repeat(begin, sizes) < np.repeat(sizes, sizes) - spare[at]
+        return pd.DataFrame({"list": marks[keep].view(np.int64), "class": classes[at[keep]]})
+
+    return packed.groupBy("bucket").applyInPandas(count, _PACKED).groupBy("flush").applyInPandas(begin_of, "list long, class long")
 
 
 def possible(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -220,8 +314,10 @@ class SignatureTree:
         return ok
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members of different components that may link, by dual traversal from the root, depth first in blocks."""
+        """Pairs of members of different components that may link, by dual traversal from the root, depth first in blocks
+        of about half a million words of bitmap."""
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        step = max(8, (1 << 19) // (FANOUT * FANOUT * self.levels[0][0].shape[1]))
         while todo:
             level, i, j = todo.pop()
             ok = self._keep(level, i, j)
@@ -232,88 +328,168 @@ class SignatureTree:
                 yield i[i != j], j[i != j]
                 continue
             n = len(self.levels[level - 1][1])
-            for lo in range(0, len(i), 2048):
-                a = (i[lo : lo + 2048, None, None] * FANOUT + np.arange(FANOUT)[None, :, None]) + np.zeros((1, 1, FANOUT), np.int64)
-                z = (j[lo : lo + 2048, None, None] * FANOUT + np.arange(FANOUT)[None, None, :]) + np.zeros((1, FANOUT, 1), np.int64)
+            for lo in range(0, len(i), step):
+                a = (i[lo : lo + step, None, None] * FANOUT + np.arange(FANOUT)[None, :, None]) + np.zeros((1, 1, FANOUT), np.int64)
+                z = (j[lo : lo + step, None, None] * FANOUT + np.arange(FANOUT)[None, None, :]) + np.zeros((1, FANOUT, 1), np.int64)
                 a, z = a.ravel(), z.ravel()
                 k = (a <= z) & (z < n)
                 todo.append((level - 1, a[k], z[k]))
 
 
-def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, members, list) to candidate pairs (a, b). A pair belongs to the group of the larger of its bands, and to the
-    first list that the least lists of both share; where they share none it comes out of each list that holds both."""
-    for batch in batches:
-        out_a, out_b = [], []
-        for band, members, here in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            m = sorted(members.as_py(), key=lambda x: (x["comp"], x["n"], x["class"]))
-            if len({x["comp"] for x in m}) < 2:
-                continue
-            ids = np.array([x["class"] for x in m])
-            own = np.array([x["band"] for x in m])
-            # components as small numbers, in the order of the members
-            comp = np.unique(np.array([x["comp"] for x in m]), return_inverse=True)[1].astype(np.int64)
-            tree = SignatureTree(np.array([x["n"] for x in m]), [x["bits"] for x in m], comp)
-            least = [frozenset(x["least"]) for x in m]
-            for i, j in tree.pairs():
-                k = np.flatnonzero(np.maximum(own[i], own[j]) == band)
-                k = [q for q, a, b in zip(k.tolist(), i[k].tolist(), j[k].tolist(), strict=True) if min(least[a] & least[b], default=here) == here]
-                out_a.append(ids[i[k]])
-                out_b.append(ids[j[k]])
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, na, nb, ba, bb) to the pairs (a, b) whose bitmaps admit a link."""
+_KEY = ["leader", "group", "ta", "tb"]
+_MEMBER = "leader long, group int, ta long, tb long, tile long, band int, class long, comp long, n long"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """Columns of one group after another, from rows sorted by _KEY."""
+    held: dict[str, list] = {}
+    last = None
     for batch in batches:
-        keep = []
-        for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            w = min(len(p), len(q))
-            p, q = _fold(p, w), _fold(q, w)
-            most = int(np.bitwise_count(p & q).sum()) + min(n - int(np.bitwise_count(p).sum()), m - int(np.bitwise_count(q).sum()))
-            keep.append(100 * min(n, m) >= SHARE * max(n, m) and min(most, n, m) >= possible(n, m) - 1e-6)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for lo in range(0, batch.num_rows, 256):
+            cols = batch.slice(lo, 256).to_pydict()
+            keys = list(zip(*(cols[k] for k in _KEY), strict=True))
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != last:
+                    if held:
+                        yield held
+                    held, last = {k: [] for k in cols}, keys[at]
+                for k, v in cols.items():
+                    held[k] += v[at:end]
+                at = end
+    if held:
+        yield held
+
+
+def _open_pairs(g: dict[str, list], maps: list[bytes]) -> tuple[np.ndarray, Iterator]:
+    """The order in which a group's members stand in its tree, and pairs (i, j) in that order which may link. A pair
+    belongs to the group of the larger of its bands, and one of a tile to the group of that tile alone."""
+    comp = np.unique(np.array(g["comp"]), return_inverse=True)[1].astype(np.int64)
+    n = np.array(g["n"])
+    order = np.lexsort((np.array(g["class"]), n, comp))
+    band, tile = np.array(g["band"])[order], np.array(g["tile"])[order]
+    here, across = g["group"][0], g["ta"][0] != g["tb"][0]
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in SignatureTree(n[order], [maps[k] for k in order], comp[order]).pairs():
+            k = np.maximum(band[i], band[j]) == here
+            if across:
+                k &= tile[i] != tile[j]
+            yield i[k], j[k]
+
+    return order, pairs()
+
+
+def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (_MEMBER, bits) to those that some other member of their group may link with."""
+    names = [x.split()[0] for x in _MEMBER.split(", ")]
+    for g in _groups(batches):
+        if len(set(g["comp"])) < 2:
+            continue
+        order, pairs = _open_pairs(g, g["bits"])
+        live = np.zeros(len(order), bool)
+        for i, j in pairs:
+            live[i] = live[j] = True
+        at = order[live].tolist()
+        if at:
+            yield pa.RecordBatch.from_arrays([pa.array([g[c][k] for k in at], pa.int32() if c in ("group", "band") else pa.int64()) for c in names], names)
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members (_MEMBER, set) to links (a, b) that join their components: at most one fewer than a group has members."""
+    for g in _groups(batches):
+        sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
+        order, pairs = _open_pairs(g, [bits(s) for s in sets])
+        sets, cls = [sets[k] for k in order], [g["class"][k] for k in order]
+        comp = np.unique(np.array(g["comp"])[order], return_inverse=True)[1].astype(np.int64)
+        out: list[tuple] = []
+        for i, j in pairs:
+            # pairs of one member are settled together, against the components as they are by then
+            by = np.argsort(i, kind="stable")
+            i, j = i[by], j[by]
+            begins = np.flatnonzero(np.diff(i, prepend=-1))
+            for lo, hi in zip(begins, np.append(begins[1:], len(i)), strict=False):
+                a = int(i[lo])
+                others = j[lo:hi]
+                others = others[comp[others] != comp[a]]
+                for start in range(0, len(others), 512):
+                    some = others[start : start + 512]
+                    some = some[comp[some] != comp[a]]
+                    if not len(some):
+                        continue
+                    flat, sizes = np.concatenate([sets[k] for k in some]), np.array([len(sets[k]) for k in some])
+                    place = np.minimum(np.searchsorted(sets[a], flat), len(sets[a]) - 1)
+                    both = np.add.reduceat(sets[a][place] == flat, np.cumsum(sizes) - sizes)
+                    for b in some[100 * both >= SHARE * (len(sets[a]) + sizes - both)].tolist():
+                        if comp[a] != comp[b]:
+                            out.append((cls[a], cls[b]))
+                            comp[comp == comp[b]] = comp[a]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, salt, first, class, set), sorted, to links (class, b): the first row of a group is its leader b."""
+    last, own = None, np.zeros(0, np.uint64)
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(p) + len(q) - len(np.union1d(p, q))
-            keep.append(100 * both >= SHARE * (len(p) + len(q) - both))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-class _Verifier:
-    """Settles pairs of classes on whole sets."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes = docs, classes
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        one = self.classes.select("class", "n", "bits")
-        side = lambda k: one.select(F.col("class").alias(k), F.col("n").alias("n" + k), F.col("bits").alias("b" + k))
-        p = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded, "a long, b long")
-        p = stage(p, "pairs")
-        needed = stage(p.select(F.col("a").alias("class")).union(p.select("b")).distinct().join(self.classes.select("class", F.col("low").alias("doc_id")), "class"), "needed")
-        ids = needed.select("doc_id").distinct()
-        # the texts are not shuffled while the ids are few, by count; beyond, the join goes by doc_id
-        ids = F.broadcast(ids) if needed.count() <= BROADCAST else ids
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    found = [shingles(t.as_py()) for t in batch.column(1).slice(lo, 512)]
-                    yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "set"])
-
-        s = self.docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "class long, set binary")
-        # rows that repeat, or share an id, may give a class twice or one not asked for
-        s = stage(s.join(needed.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set")), "sets")
-        p = p.join(s.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(s.select(F.col("class").alias("b"), F.col("set").alias("y")), "b")
-        return stage(p.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "linked")
+        for lo in range(0, batch.num_rows, 256):
+            a, b = [], []
+            for leader, salt, first, cls, x in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                q = np.frombuffer(x, np.uint64)
+                if first:
+                    last, own = (leader, salt), q
+                    continue
+                assert last == (leader, salt), "a leader without its set"
+                both = int((own[np.minimum(np.searchsorted(own, q), len(own) - 1)] == q).sum())
+                if 100 * both >= SHARE * (len(own) + len(q) - both):
+                    a.append(cls)
+                    b.append(leader)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, set) of wanted(class), staged: read again from the text of one document each."""
+    needed = stage(wanted.distinct().join(classes.select("class", "key", "mark", F.col("low").alias("doc_id")), "class"), "needed")
+    ids = needed.select("doc_id").distinct()
+    # the texts are not shuffled while the ids are few, by count; beyond, the join goes by doc_id
+    ids = F.broadcast(ids) if needed.count() <= BROADCAST else ids
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                found = [shingles(t.as_py()) for t in batch.column(1).slice(lo, 512)]
+                both = [class_of(s, KEY) for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in both], pa.int64()), pa.array([m for _, m in both], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "mark", "set"])
+
+    s = docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "key long, mark long, set binary")
+    # rows that repeat, or share an id, may give a class twice or one not asked for
+    out = stage(s.join(needed.select("class", "key", "mark"), ["key", "mark"]).groupBy("class").agg(F.first("set").alias("set")), "sets")
+    drop(needed)
+    return out
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes and their leaders that link, staged. A leader of many is dealt to several tasks."""
+    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("parts"))
+    members = pairs.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"), F.lit(False).alias("first"), F.col("a").alias("class"))
+    leaders = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("first"), F.col("b").alias("class"))
+    rows = members.unionByName(leaders).join(sets, "class").select("b", "salt", "first", "class", "set")
+    dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("first"))
+    return stage(dealt.mapInArrow(_linked, "a long, b long"), "linked")
+
+
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(class, n, bits) of sets(class, set), staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([bits(s) for s in found], pa.binary())], ["class", "n", "bits"])
+
+    return stage(sets.select("class", "set").mapInArrow(run, "class long, n long, bits binary"), "bits")
 
 
 def with_class(docs: DataFrame, name: str) -> DataFrame:
@@ -323,56 +499,102 @@ def with_class(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [class_of(s) if len(s) else 0 for s in map(shingles, batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*own, name])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = [class_of(s, KEY)[0] if len(s) else 0 for s in map(shingles, part.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], [*own, name])
 
     return docs.mapInArrow(run, docs.select(*own).schema.add(name, "long"))
 
 
+def _classes(first: DataFrame) -> tuple[DataFrame, bool]:
+    """(class, key, mark, n, low), one row per set that some row with an id has, and whether two sets share a key
+    (the first 64 bits). class is the key but where that is shared; there, further sets get a number of their own."""
+    one = first.where("n > 0").groupBy(F.col("class").alias("key"), "mark").agg(F.first("n").alias("n"), F.min("doc_id").alias("low")).where("low is not null")
+    one = stage(one, "classes")
+    shared = one.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("mark").alias("least")).where("times > 1").select("key", "least")
+    if shared.isEmpty():
+        return one.select(F.col("key").alias("class"), "*"), False
+    own = F.when(F.coalesce(F.col("mark") != F.col("least"), F.lit(False)), F.xxhash64("key", "mark")).otherwise(F.col("key"))
+    return stage(one.join(shared, "key", "left").select(own.alias("class"), "key", "mark", "n", "low"), "classes"), True
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """members(leader, group, band, class, comp, n, ...) with ta, tb and tile, once for each pair of tiles their own is
+    in. Groups of at most a tile, by shingles, are one; of others, a component with more than a tile has tiles of its own,
+    which are not paired with each other."""
+    room = F.greatest(F.lit(8.0), F.lit(float(TILE)) / F.pow(F.lit(100 / SHARE), F.col("group") + 1))
+    g = ["leader", "group"]
+    sizes = members.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").withColumn("_room", room)
+    members = members.join(sizes.select(*g, "_n", "_room"), g)
+    small = members.where("_n <= _room").drop("_n", "_room").withColumns({"tile": F.lit(0).cast("long"), "ta": F.lit(0).cast("long"), "tb": F.lit(0).cast("long")})
+    big = members.where("_n > _room")
+    if big.isEmpty():
+        return small
+    whole = big.groupBy(*g, "comp").agg(F.count(F.lit(1)).alias("_c")).join(sizes.select(*g, "_room"), g).where("_c > _room").select(*g, "comp", F.ceil(F.col("_c") / F.col("_room")).alias("_own"))
+    named = big.join(whole, [*g, "comp"], "left")
+    pooled = F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("comp"), F.ceil(F.col("_n") / F.col("_room"))))
+    named = named.withColumn("tile", F.when(F.col("_own").isNull(), pooled).otherwise(F.xxhash64("comp", F.pmod(F.xxhash64("class"), F.col("_own"))))).withColumn("_only", F.when(F.col("_own").isNotNull(), F.col("comp")))
+    tiles = stage(named.select(*g, "tile", "_only").distinct(), "tiles")
+    other = tiles.select(*g, F.col("tile").alias("tb"), F.col("_only").alias("_other"))
+    pairs = tiles.withColumnRenamed("tile", "ta").join(other, g).where("ta <= tb and not coalesce(_only = _other, false)").select(*g, "ta", "tb")
+    pairs = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("ta", "tb"))))
+    return small.unionByName(named.drop("_n", "_room", "_own", "_only").join(pairs, [*g, "tile"]))
+
+
 def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_shingles, component_id), and each row's class if asked for."""
     more = ["class"] if classes else []
     spark: SparkSession = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = stage(d.mapInArrow(_first, "doc boolean, doc_id long, class long, n long, bits binary"), "shingles")
-    rows = first.where("doc").select("doc_id", "class", "n")
-    took = rows.where("n > 0 and doc_id is not null")
-    classes = stage(first.where("doc and n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("low")).where("low is not null"), "classes")
-    total, entries = classes.agg(F.count(F.lit(1)), F.sum(F.col("n") - F.ceil(F.col("n") * SHARE / 100) + 1)).first()
-    often = first.where("not doc").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * max(total, 1))
-    # at most (shingles of a document) / COMMON numbers, whatever the input
-    common = np.sort(np.array([r[0] for r in often.select("class").collect()], np.int64).view(np.uint64))
-    lists = stage(_distinct(stage(_lists(_entries(d, common, max(1, -(-int(entries or 0) // BUCKET)))), "entries")), "lists")
-    verify = _Verifier(d, classes)
-    links = spark.createDataFrame([], "a long, b long")
-    comp = None
-    degree = lists.groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    size, key = CELLS, KEY
+    first = stage(d.mapInArrow(lambda it: _first(it, size, key), _FIRST), "shingles")
+    rows = first.where("row is null").select("doc_id", "class", "mark", "n")
+    counts = _counted(first)
+    classes, shared = _classes(first)
+    entries = int(classes.agg(F.sum("n")).first()[0] or 0)
+    packed = _entries(d, counts, max(1, -(-entries // BUCKET)))
+    lists = stage(_lists(packed), "lists")
+    named = lists.withColumnRenamed("class", "key").join(classes.select("key", "class"), "key").select("list", "class") if shared else lists
+    lead = named.groupBy("list").agg(F.min(F.struct(F.xxhash64("class"), "class")).alias("l"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("list", F.col("l.class").alias("leader"))
+    stars = stage(named.join(lead, "list").groupBy("leader", "class").agg(F.count(F.lit(1)).alias("votes")), "stars")
+    drop(lists)
+    sets = _sets(d, classes, stars.select("class"))
+    degree = stars.groupBy("class").agg(F.sum("votes").alias("degree"))
+    links, open_, still = spark.createDataFrame([], "a long, b long"), stars.withColumn("comp", F.col("class")), None
     for k in range(LEADERS):
-        named = lists.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class")) if comp is not None else lists.withColumn("comp", F.col("class"))
         # what copies were made of shares a list with each of them: the first round takes the class that is in most lists
         first_of = F.struct(-F.col("degree"), F.xxhash64(F.lit(k), "class"), "class", "comp") if k == 0 else F.struct(F.xxhash64(F.lit(k), "class"), "class", "comp")
-        lead = (named.join(degree, "class") if k == 0 else named).groupBy("list").agg(F.min(first_of).alias("l"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("list", F.col("l.class").alias("b"), F.col("l.comp").alias("other"))
-        votes = named.join(lead, "list").where("comp <> other").groupBy(F.col("class").alias("a"), "b").count()
-        best = votes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        links = links.union(verify(best))
+        lead = (open_.join(degree, "class") if k == 0 else open_).groupBy("leader").agg(F.min(first_of).alias("l")).select("leader", F.col("l.class").alias("b"), F.col("l.comp").alias("other"))
+        votes = open_.join(lead, "leader").where("comp <> other")
+        best = votes.groupBy(F.col("class").alias("a")).agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        links = links.union(_links(best, sets))
         comp = stage(components(links).select(F.col("id").alias("class"), F.col("component").alias("comp")), "components")
-    named = lists.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    open_ = named.groupBy("list").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("list")
+        named = open_.drop("comp").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        # stars whose classes have become one component are closed for good
+        mixed = named.groupBy("leader").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("leader")
+        closed, open_ = open_, stage(named.join(mixed, "leader", "left_semi"), "open")
+        drop(comp, *([closed] if k else []))
+        before, still = still, open_.select("leader", "comp").distinct().count()
+        if not still or before is not None and still > (1 - WORTH) * before:
+            break
+    star = open_.select("leader", "class", "comp")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE))).cast("int")
-    met = named.join(open_, "list", "left_semi").join(classes.select("class", "n", "bits"), "class").withColumn("band", band)
-    # the least lists of each class, by hash: two classes whose least lists meet come out of the first that they share
-    least = met.groupBy("class").agg(F.sort_array(F.collect_set(F.xxhash64("list"))).alias("l")).select("class", F.slice("l", 1, LEAST).alias("least"))
-    met = met.join(least, "class").withColumn("own", F.xxhash64("list"))
     # sizes of linked sets lie in one band or in neighbours: a class stands in its own group and in the next
-    met = met.withColumn("group", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    groups = met.groupBy("list", "group").agg(F.first("own").alias("own"), F.collect_list(F.struct("class", "comp", "n", "band", "bits", "least")).alias("m")).where(F.size("m") > 1)
-    pairs = groups.select("group", "m", "own").mapInArrow(_traverse, "a long, b long").distinct()
-    links = links.union(verify(stage(pairs, "candidates")))
-    whole = components(links).select(F.col("id").alias("class"), "component")
-    named = classes.select("class", "low").join(whole, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    maps = _bitmaps(sets.join(star.select("class").distinct(), "class", "left_semi"))
+    met = star.join(maps.select("class", "n"), "class").withColumn("band", band).withColumn("group", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    names = [x.split()[0] for x in _MEMBER.split(", ")]
+    whole_groups = stage(met, "met")
+    met = stage(_tiled(whole_groups).select(*names), "members")
+    dealt_by = lambda m: m.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    live = stage(dealt_by(met.join(maps.select("class", "bits"), "class").select(*names, "bits")).mapInArrow(_live, _MEMBER), "live")
+    links = links.union(stage(dealt_by(live.join(sets, "class").select(*names, "set")).mapInArrow(_settled, "a long, b long"), "settled"))
+    drop(met, whole_groups, live, sets, maps, stars, open_)
+    joined = components(links).select(F.col("id").alias("class"), "component")
+    named = classes.select("class", "key", "mark", "low").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    of = stage(named.join(lowest, "component").select("class", "component_id"), "named")
-    linked = took.join(of, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
+    of = stage(named.join(lowest, "component").select(F.col("key").alias("class"), "mark", "component_id"), "named")
+    linked = rows.where("n > 0 and doc_id is not null").join(of, ["class", "mark"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more)
     rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more)
     return linked.unionByName(rest)
 
