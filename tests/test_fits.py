@@ -136,3 +136,102 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = {r["row_id"]: r["mean"] for r in forest.predict_summary(t, d).collect()}
     assert {r["row_id"]: r["mean"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_shards_are_one_forest(spark):
+    d, f, _ = friedman(spark, 400)
+    m = sampler.fit(d, sampler.Control(trees=10, draws=10, burn=30, chains=2, cuts=30), shards=3)
+    assert m.trees.select("tree").distinct().count() == 30 and m.params.where("phase = 'keep' and name = 'sigma'").count() == 20
+    mean = {r["row_id"]: r["mean"] for r in m.fitted().collect()}
+    assert np.corrcoef([mean[i] for i in range(len(f))], f)[0, 1] > 0.8
+    with pytest.raises(ValueError):
+        sampler.fit(d, SMALL, shards=2, callback=lambda *a: {})
+    with pytest.raises(ValueError):
+        sampler.prepare(d.where("false"), SMALL, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
+
+
+def test_extract(spark):
+    d, _, _ = friedman(spark)
+    m = sampler.fit(d, SMALL, test=d.where("row_id < 10"))
+    assert m.extract("ev", "test").columns == ["row_id", "value", "draw"] and m.extract("ppd", "test").count() == 300
+    assert m.extract("link", combine=False).count() == 150 * 30 and m.extract("trees").count() == m.trees.count()
+    assert "sigma" in m.describe() and m.residuals().count() == 150
+    with pytest.raises(ValueError):
+        sampler.fit(d, SMALL).extract("ev", "test")
+
+
+def test_warm_cross_validation(spark):
+    d, _, _ = friedman(spark, 80)
+    c = sampler.Control(draws=8, burn=10, chains=1, cuts=20)
+    args = {"n_trees": [5, 8], "k": [2.0, 4.0], "reps": 2, "n_test": 4, "control": c}
+    warm = validation.cross_validate(d, warm=(20, 5, 10), **args).collect()
+    assert len(warm) == 8 and all(0 < r["loss"] < 12 for r in warm)
+    again = validation.cross_validate(d, warm=(20, 5, 10), **args).collect()
+    assert sorted(map(tuple, warm)) == sorted(map(tuple, again))
+    cold = validation.cross_validate(d, **args).collect()
+    assert abs(np.mean([r["loss"] for r in cold]) - np.mean([r["loss"] for r in warm])) < 2.5
+
+
+def test_tasks_and_tables_agree_on_folds(spark):
+    rows = spark.range(37).selectExpr("id * 7 AS row_id")
+    ids = np.arange(37) * 7
+    place = {int(ids[i]): k for k, i in enumerate(validation.places(ids, 2, 9))}
+    assert {r["row_id"]: r["place"] for r in validation._ranked(rows, 2, 9).collect()} == place
+    assert len({validation.stream(a, b, c) for a in range(4) for b in range(4) for c in range(200)}) == 3200
+
+
+def test_mixture_of_two_lines(spark):
+    """A larger sampler: latent classes are drawn given the forest, and installed as a predictor with its test set."""
+    r = np.random.default_rng(3)
+    n = 120
+    x, z = r.uniform(-2, 2, n), r.integers(0, 2, n)
+    y = np.where(z == 1, 3 + x, -3 - x) + 0.2 * r.normal(size=n)
+    start = (y > 0).astype(float)
+    frame = spark.createDataFrame([(i, float(y[i]), 1.0, 0.0, [float(x[i]), float(start[i])]) for i in range(n)], "row_id long, y double, weight double, offset double, x array<double>")
+    s = sampler.Session(frame, sampler.Control(trees=20, chains=1, cuts=30), test=frame)
+    s.run(30, 1)
+    now, kept = start.copy(), []
+    for it in range(30):
+        s.set_test_predictor(1 - now, column=1)
+        out = s.run(0, 1)
+        a, b = out["train"][0], out["test"][0]
+        ratio = np.exp(np.clip((-((y - b) ** 2) + (y - a) ** 2) / (2 * out["sigma"][0] ** 2), -50, 50))
+        flip = r.random(n) < ratio / (1 + ratio)
+        took = s.set_predictor(np.where(flip, 1 - now, now), column=1, mode="partial")
+        now = s.x[:, 1]
+        assert took.any()
+        if it >= 10:
+            kept.append(now)
+    share = np.abs(np.mean(kept, axis=0) - z)
+    assert min(share.mean(), 1 - share.mean()) < 0.15
+
+
+def test_cuts_map_within_what_ancestors_leave(spark):
+    d, _, _ = friedman(spark, 60)
+    s = sampler.Session(d, sampler.Control(trees=1, chains=1))
+    s.set_cuts([0.1, 0.3, 0.5, 0.7, 0.9], 0)
+    s.set_trees([[(0, 0.5), (0, 0.3), (-1, 1.0), (-1, 2.0), (0, 0.7), (-1, 3.0), (-1, 5.0)]])
+    s.set_cuts([0.45, 0.8], 0)
+    # 0.5 goes to 0.45, below which nothing is left; 0.7 goes to 0.8
+    assert [(v, round(c, 9)) for v, c in s.trees()[["var", "value"]].itertuples(index=False)] == [(0, 0.45), (-1, 1.5), (0, 0.8), (-1, 3.0), (-1, 5.0)]
+    # of two cuts that are equally near the higher is taken
+    s.set_trees([[(0, 0.45), (-1, 0.0), (-1, 1.0)]])
+    s.set_cuts([0.35, 0.55], 0)
+    assert abs(s.trees()["value"][0] - 0.55) < 1e-12
+    with pytest.raises(ValueError):
+        s.set_data(d.withColumn("x", F.slice("x", 1, 3)))
+    with pytest.raises(ValueError):
+        s.test_fits()
+
+
+def test_ranking_and_names(spark):
+    from treesum.operators import dependence, summaries
+
+    d = spark.createDataFrame([(i, float(i * 37 % 50)) for i in range(200)] + [(300, None)], "row_id long, v double")
+    got = {r["row_id"]: r["place"] for r in summaries.descending(d, F.col("v")).collect()}
+    want = sorted(range(200), key=lambda i: (-(i * 37 % 50), i))
+    assert [got[i] for i in want] == list(range(1, 201)) and got[300] == 201
+    assert dependence.positions(["a", "f.x", "f.y"]) == [0, 1, 2] and dependence.positions(["a", "f.x", "f.y"], "f") == [1, 2]
+    for bad in ("z", 3):
+        with pytest.raises(ValueError):
+            dependence.positions(["a"], bad)

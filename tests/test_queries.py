@@ -9,7 +9,7 @@ import pytest
 from treesum.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "embeddings"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not there")
 
 

@@ -16,7 +16,7 @@ _ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.2788680
 
 def phi_sql(x: str) -> str:
     """Normal distribution function of the SQL expression x, in SQL that Spark and DuckDB share."""
-    z = f"(abs({x}) / 1.4142135623730951D)".replace("D)", ")")
+    z = f"(abs({x}) / 1.4142135623730951)"
     t = f"(1.0 / (1.0 + 0.5 * {z}))"
     poly = f"({_ERFC[-1]!r})"
     for c in _ERFC[-2:0:-1]:

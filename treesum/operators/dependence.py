@@ -26,6 +26,32 @@ def levels(df: DataFrame, column: str, probs: tuple = LEVELS, two_way: bool = Fa
     return sorted(set(q))
 
 
+def positions(names: list[str], which: int | str | list[int | str] | None = None) -> list[int]:
+    """Places of predictors among names: by number, by name, by the term that gave several of them ("flag" for "flag.A"
+    and "flag.B"), all of them for None."""
+    if which is None:
+        return list(range(len(names)))
+    out: list[int] = []
+    for w in [which] if isinstance(which, (int, str)) else which:
+        if isinstance(w, int):
+            found = [w] if 0 <= w < len(names) else []
+        else:
+            found = [i for i, n in enumerate(names) if n == w] or [i for i, n in enumerate(names) if n.startswith(f"{w}.")]
+        if not found:
+            raise ValueError(f"no predictor {w!r}")
+        out += [i for i in found if i not in out]
+    return out
+
+
+def partial_by_name(trees: DataFrame, rows: DataFrame, names: list[str], which: int | str | list | None, values: dict[str, list[float]], lo: float = -0.5, span: float = 1.0, binary: bool = False) -> DataFrame:
+    """One-way dependence of several predictors in one table: (name, chain, sample, level1, value)."""
+    out = None
+    for i in positions(names, which):
+        one = partial(trees, rows, [i], [values[names[i]]], lo, span, binary).withColumn("name", F.lit(names[i]))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def partial(trees: DataFrame, rows: DataFrame, variables: list[int], values: list[list[float]], lo: float = -0.5, span: float = 1.0, binary: bool = False) -> DataFrame:
     """(chain, sample, level1[, level2], value): for each level, or pair of levels, the average over rows(row_id, x, offset)
     of the forest with the variables held there. Tasks send sums per draw and level, not rows x levels."""

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 SCHEMA = "chain int, sample int, tree int, node int, n long, var int, value double"
 KEY = ["chain", "sample", "tree"]
+#: Nodes up to which a forest is scored as generated code, without leaving the JVM.
+CASE_NODES = 256
 
 
 def literal(spark, trees: list[list[tuple]]) -> DataFrame:
@@ -154,6 +156,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """rows(row_id, x, offset) to (row_id, chain, sample, value) and the columns of rows to keep: trees summed, put back on the scale of the response
     (lo + span * (sum + 0.5), which is the sum itself by default) and the offset added. A narrow transformation."""
+    # one row more than generated code is made for
+    few = trees.select(*KEY, "node", "var", "value").limit(CASE_NODES + 1).toPandas()
+    if 0 < len(few) <= CASE_NODES:
+        return _predict_by_case(few, rows, lo, span, keep)
     f = packed(trees)
     draws = f.keys.groupby(["chain", "sample"], sort=True).indices
 
@@ -171,6 +177,38 @@ def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1
     return rows.select("row_id", "x", "offset", *keep).mapInArrow(run, schema)
 
 
+def _predict_by_case(nodes: pd.DataFrame, rows: DataFrame, lo: float, span: float, keep: list[str]) -> DataFrame:
+    width = max(1, int(nodes["var"].max()) + 1)
+    columns, draws = [f"x[{i}]" for i in range(width)], []
+    for (chain, sample), g in nodes.sort_values([*KEY, "node"]).groupby(["chain", "sample"]):
+        total = " + ".join(f"({case_sql([(int(v), float(c)) for v, c in zip(t['var'], t['value'], strict=True)], columns)})" for _, t in g.groupby("tree"))
+        value = (F.expr(total) + F.lit(0.5)) * F.lit(float(span)) + F.lit(float(lo)) + F.col("offset")
+        draws.append(F.struct(F.lit(int(chain)).cast("int").alias("chain"), F.lit(int(sample)).cast("int").alias("sample"), value.alias("value")))
+    d = rows.select(F.col("row_id").cast("long").alias("row_id"), F.explode(F.array(*draws)).alias("_d"), *keep)
+    return d.select("row_id", "_d.chain", "_d.sample", "_d.value", *keep)
+
+
+def recover_means(leaves: DataFrame, fits: DataFrame) -> DataFrame:
+    """Means of leaves (chain, sample, tree, node, value) from the leaf of each row, as leaf_of gives, and each tree's fits
+    (row_id, chain, sample, tree, value): all rows of a leaf have its mean."""
+    return leaves.join(fits, ["row_id", *KEY]).groupBy(*KEY, "node").agg(F.max("value").alias("value"))
+
+
+def nested(trees: DataFrame) -> DataFrame:
+    """(chain, sample, tree, json): each tree as nested objects, {var, cut, left, right} or {mean}."""
+    import json
+
+    def build(g: pd.DataFrame) -> pd.DataFrame:
+        def at(i: int) -> dict:
+            if g["var"][i] < 0:
+                return {"mean": float(g["value"][i])}
+            return {"var": int(g["var"][i]), "cut": float(g["value"][i]), "left": at(int(g["left"][i])), "right": at(int(g["right"][i]))}
+
+        return pd.DataFrame({**{k: [g[k][0]] for k in KEY}, "json": [json.dumps(at(0), separators=(",", ":"))]})
+
+    return map_trees(trees, build, "chain int, sample int, tree int, json string")
+
+
 def predict_summary(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0, quantiles: tuple = (0.05, 0.5, 0.95), binary: bool = False) -> DataFrame:
     """(row_id, mean, quantiles array) per row over all draws. All draws of a row are made where the row is, so nothing of
     rows x draws is kept or shuffled."""

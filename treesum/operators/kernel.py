@@ -359,6 +359,94 @@ class Chain:
         self.collapse(node.left)
         self.collapse(node.right)
 
+    def map_cuts(self, old: list[np.ndarray], new: list[np.ndarray]) -> None:
+        """Rules move to the nearest new cut (the higher of two equally near) within what their ancestors leave; where
+        nothing is left the split goes, and what stays has the plain mean of its leaves. Rows are not moved."""
+        lo, hi = np.zeros(self.p, np.int64), np.array([len(c) for c in new], np.int64)
+
+        def go(x: Node) -> None:
+            if x.leaf:
+                return
+            v = x.var
+            a, b = lo[v], hi[v]
+            if a >= b:
+                x.mean = float(np.mean([y.mean for y in walk(x) if y.leaf]))
+                x.left = x.right = None
+                x.var = x.cut = -1
+                return
+            away = np.abs(new[v][a:b] - old[v][x.cut])
+            x.cut = int(b - 1 - away[::-1].argmin())
+            hi[v] = x.cut
+            go(x.left)
+            hi[v], lo[v] = b, x.cut + 1
+            go(x.right)
+            lo[v] = a
+
+        for root in self.roots:
+            go(root)
+        self.n_cuts = np.array([len(c) for c in new])
+
+    def install(self, trees: list[list[tuple[int, float]]], cuts: list[np.ndarray]) -> None:
+        """Trees as (variable, cut or mean) in pre-order take the place of the chain's; rules go to the nearest cuts."""
+        self.roots = []
+        for nodes in trees:
+            rest = iter(nodes)
+
+            def grow(parent: Node | None) -> Node:
+                var, value = next(rest)  # noqa: B023
+                x = Node(parent=parent)
+                if var < 0:
+                    x.mean = float(value)
+                else:
+                    x.var, x.cut = int(var), int(np.abs(cuts[int(var)] - value).argmin())
+                    x.left = grow(x)
+                    x.right = grow(x)
+                return x
+
+            self.roots.append(grow(None))
+        self.s.trees = len(self.roots)
+        self.place()
+
+    def place(self) -> None:
+        """All rows go down all trees anew; fits follow."""
+        for root in self.roots:
+            self.reroute(root, np.arange(self.n))
+        self.fits, self.total = np.zeros((len(self.roots), self.n)), np.zeros(self.n)
+        self.refresh()
+
+    def replace_rows(self, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: np.ndarray | None) -> None:
+        """Other rows, as many as there are, under the same trees; splits with an empty side go."""
+        self.n, self.bins, self.y, self.w = len(bins), bins, y.astype(float), weight.astype(float)
+        self.weighted = bool((weight != 1).any())
+        self.offset = np.zeros(self.n) if offset is None else offset.astype(float)
+        self.z = 2 * self.y - 1 if self.s.binary else self.y
+        self.place()
+        for root in self.roots:
+            self.collapse(root)
+        self.refresh()
+
+    def resize(self, trees: int) -> None:
+        """Surplus trees go; new ones are single leaves of mean 0."""
+        self.roots = self.roots[:trees] + [Node(rows=np.arange(self.n)) for _ in range(trees - len(self.roots))]
+        self.s.trees = trees
+        self.place()
+
+    def score(self, bins: np.ndarray) -> np.ndarray:
+        """Sum of the trees for other rows."""
+        out = np.zeros(len(bins))
+
+        def go(x: Node, rows: np.ndarray) -> None:
+            if x.leaf:
+                out[rows] += x.mean
+            else:
+                right = bins[rows, x.var] > x.cut
+                go(x.left, rows[~right])
+                go(x.right, rows[right])
+
+        for root in self.roots:
+            go(root, np.arange(len(bins)))
+        return out
+
     def refresh(self) -> None:
         for t, root in enumerate(self.roots):
             for x in walk(root):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesum.functions.scalar import phi_column, u01
+from treesum.operators import chains
 from treesum.operators import cuts as cutting
 from treesum.operators import forest, stats
 from treesum.operators.kernel import Chain, Settings, update_jointly
@@ -150,6 +151,8 @@ class Model:
     span: float
     binary: bool
     control: Control
+    train: DataFrame | None = None
+    test: DataFrame | None = None
 
     @property
     def trees(self) -> DataFrame:
@@ -168,6 +171,14 @@ class Model:
     def callbacks(self) -> DataFrame:
         return self.table.where("kind = 'callback'").select("chain", "sample", "name", "value")
 
+    def ranef_mean(self) -> DataFrame:
+        """(g, mean) of the group intercepts over all draws."""
+        return self.ranef.groupBy("g").agg(F.avg("value").alias("mean"))
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        """(g): groups of rows that the model was not fitted with, and for which predict draws intercepts."""
+        return rows.select(F.col("g").cast("string").alias("g")).distinct().join(self.ranef.select("g").distinct(), "g", "left_anti")
+
     def varcount(self) -> DataFrame:
         return forest.variable_counts(self.trees)
 
@@ -205,16 +216,35 @@ class Model:
         z = _normal(F.lit(self.control.seed), F.lit("y"), F.col("chain"), F.col("sample"), F.col("row_id"))
         return d.select("row_id", "chain", "sample", (F.col("value") + F.col("sigma") / F.sqrt(w) * z).alias("value"))
 
+    def extract(self, type: str = "ev", sample: str = "train", combine: bool = True) -> DataFrame:
+        """Draws of the rows the model was fitted with, or of its test rows: ev, link (also bart) or ppd as in predict, or
+        the trees. combine numbers draws over all chains (row_id, draw, value); else (row_id, chain, sample, value)."""
+        type = {"response": "ev", "bart": "link"}.get(type, type)
+        if type == "trees":
+            if not self.control.keep_trees:
+                raise ValueError("trees were not kept")
+            return self.trees
+        if sample not in ("train", "test"):
+            raise ValueError("sample must be 'train' or 'test'")
+        rows = self.train if sample == "train" else self.test
+        if rows is None:
+            raise ValueError(f"the model has no {sample} rows; use predict")
+        d = self.predict(rows, type)
+        return chains.combine(d, self.control.draws) if combine else d
+
     def summary(self, rows: DataFrame, quantiles: tuple = (0.05, 0.5, 0.95)) -> DataFrame:
         """(row_id, mean, quantiles) without keeping draws."""
         return forest.predict_summary(self.trees, rows, self.lo, self.span, quantiles, self.binary)
 
-    def fitted(self, rows: DataFrame) -> DataFrame:
+    def fitted(self, rows: DataFrame | None = None) -> DataFrame:
+        """(row_id, mean) of the response; of the training rows, if none are given."""
+        rows = self.train if rows is None else rows
         if "g" in rows.columns:
             return self.predict(rows).groupBy("row_id").agg(F.avg("value").alias("mean"))
         return self.summary(rows).select("row_id", "mean")
 
-    def residuals(self, frame: DataFrame) -> DataFrame:
+    def residuals(self, frame: DataFrame | None = None) -> DataFrame:
+        frame = self.train if frame is None else frame
         return frame.select("row_id", "y").join(self.fitted(frame), "row_id").select("row_id", (F.col("y") - F.col("mean")).alias("residual"))
 
     def save(self, path: str) -> None:
@@ -231,7 +261,9 @@ class Model:
 
     def describe(self) -> str:
         c = self.control
-        return f"{'probit' if self.binary else 'continuous'} sum of {c.trees} trees, {c.chains} chains of {c.draws} draws after {c.burn}"
+        lines = [f"{'probit' if self.binary else 'continuous'} sum of {c.trees} trees, {c.chains} chains of {c.draws} draws after {c.burn}, thinned by {c.thin}", f"cuts: {c.cuts} {'quantiles' if c.quantile_cuts else 'evenly spaced'}, seed {c.seed}"]
+        means = self.params.where("phase = 'keep'").groupBy("name").agg(F.avg("value").alias("m")).orderBy("name").collect()
+        return "\n".join([*lines, "posterior means: " + ", ".join(f"{r['name']} {r['m']:.4g}" for r in means)] if means else lines)
 
 
 def _normal(*parts) -> F.Column:
@@ -240,59 +272,108 @@ def _normal(*parts) -> F.Column:
     return F.sqrt(F.log(F.lit(1.0) - a) * -2) * F.cos(b * (2 * math.pi))
 
 
-def fit(frame: DataFrame, control: Control = PRESETS["modern"], tree_prior: stats.TreePrior = stats.TreePrior(), leaf_prior: stats.NormalPrior = stats.NormalPrior(), variance=stats.ChiSquaredPrior(), group: bool = False, tau_prior: str | Callable = "cauchy", callback: Callable | None = None, preset: str = "modern", hastings: str = "exact") -> Model:
+def fit(frame: DataFrame, control: Control = PRESETS["modern"], tree_prior: stats.TreePrior = stats.TreePrior(), leaf_prior: stats.NormalPrior = stats.NormalPrior(), variance=stats.ChiSquaredPrior(), group: bool = False, tau_prior: str | Callable = "cauchy", callback: Callable | None = None, preset: str = "modern", hastings: str = "exact", test: DataFrame | None = None, shards: int | None = None) -> Model:
     """frame(row_id, y, weight, offset, x[, g]). Each chain is one task, which the frame's rows reach by shuffle and not by
-    the driver; its size is checked."""
+    the driver. More rows than MOST_CELLS lets one task hold are dealt to shards by a hash of row_id, each chain is fitted
+    to each shard, and a draw is the average of the shards' draws: the sum of all their trees with means divided by the
+    number of shards, and the root of the mean of their squared sigmas. That is a consensus of subset posteriors, not the
+    posterior of all rows; group intercepts and callbacks are not averaged and need one shard."""
     p = prepare(frame, control, tree_prior, leaf_prior, variance, hastings, preset=preset)
     n = frame.count()
-    if n * max(1, len(p.cuts)) > MOST_CELLS:
-        raise ValueError(f"{n} rows of {len(p.cuts)} predictors do not fit the one task of a chain; fit a sample and score all rows")
+    cells = n * max(1, len(p.cuts))
+    shards = max(1, -(-cells // MOST_CELLS)) if shards is None else shards
+    if cells > shards * MOST_CELLS:
+        raise ValueError(f"{n} rows of {len(p.cuts)} predictors do not fit the tasks of {shards} shards; {-(-cells // MOST_CELLS)} are needed")
+    if shards > 1 and (group or callback is not None):
+        raise ValueError("group intercepts and callbacks need all rows in one shard")
     scale = None
     if group:
         scale = 0.5 if p.binary else frame.agg(F.stddev_samp("y")).first()[0] or 1.0
-    chains = frame.sparkSession.range(control.chains).select(F.col("id").cast("int").alias("chain"))
     # as many copies of the rows as chains, which is stated
-    both = frame.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(control.chains - 1)))) if chains is not None else frame
+    both = frame.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(control.chains - 1))))
+    both = both.withColumn("shard", F.pmod(F.xxhash64(F.lit(control.seed), "row_id"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return run_chain(g, int(key[0]), control, p, scale, tau_prior, callback)
+        # chains of further shards have streams of their own
+        out = run_chain(g, int(key[0]) + int(key[1]) * control.chains, control, p, scale, tau_prior, callback)
+        return out.assign(chain=int(key[0]), shard=int(key[1]))
 
-    table = staged(both.groupBy("chain").applyInPandas(run, _OUT), "fit")
-    return Model(table, p.lo, p.span, p.binary, control)
+    table = staged(both.groupBy("chain", "shard").applyInPandas(run, _OUT + ", shard int"), "fit")
+    return Model(_consensus(table, control.trees), p.lo, p.span, p.binary, control, frame, test)
+
+
+def _consensus(table: DataFrame, trees: int) -> DataFrame:
+    """One forest of those of all shards."""
+    shards = table.select(F.max("shard")).first()[0]
+    names = [f.split()[0] for f in _OUT.split(", ")]
+    if not shards:
+        return table.select(*names)
+    tree = table.where("kind = 'tree'").withColumns({"tree": F.col("shard") * trees + F.col("tree"), "value": F.when(F.col("var") < 0, F.col("value") / (shards + 1)).otherwise(F.col("value"))})
+    rest = table.where("kind <> 'tree'").groupBy("kind", "chain", "sample", "name").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("value"))
+    return tree.select(*names).unionByName(rest, allowMissingColumns=True).select(*names)
 
 
 class Session:
     """A chain that a larger sampler steps, with the data it conditions on replaced in between. State is on the driver: one
     block of rows of checked size."""
 
-    def __init__(self, frame: DataFrame, control: Control = Control(chains=1), chain: int = 0, **priors):
+    def __init__(self, frame: DataFrame, control: Control = Control(chains=1), chain: int = 0, test: DataFrame | None = None, **priors):
         self.control = control
-        args = {"tree_prior": stats.TreePrior(), "leaf_prior": stats.NormalPrior(), "variance": stats.ChiSquaredPrior()} | priors
-        self.p = prepare(frame, control, args["tree_prior"], args["leaf_prior"], args["variance"])
+        self.priors = {"tree_prior": stats.TreePrior(), "leaf_prior": stats.NormalPrior(), "variance": stats.ChiSquaredPrior()} | priors
+        self.p = prepare(frame, control, **self.priors)
+        self._read(frame)
+        self._read_test(test)
+        self.chain = Chain(bins(self.x, self.p.cuts), np.array([len(c) for c in self.p.cuts]), self._scaled(), self.weight, self.p.settings, self.p.sigma, control.seed, chain, self.offset if self.p.binary else None)
+
+    def _gathered(self, frame: DataFrame) -> pd.DataFrame:
         n = frame.count()
         if n * max(1, len(self.p.cuts)) > MOST_CELLS // 10:
             raise ValueError(f"a session of {n} rows is too large for the driver")
-        g = frame.toPandas().sort_values("row_id")
-        self.x, self.row_id = np.array(g["x"].tolist(), float), g["row_id"].to_numpy()
+        return frame.toPandas().sort_values("row_id")
+
+    def _read(self, frame: DataFrame) -> None:
+        g = self._gathered(frame)
+        self.x, self.row_id = np.array(g["x"].tolist(), float).reshape(len(g), -1), g["row_id"].to_numpy()
         self.y, self.weight, self.offset = (g[c].to_numpy(float) for c in ("y", "weight", "offset"))
-        self.chain = Chain(bins(self.x, self.p.cuts), np.array([len(c) for c in self.p.cuts]), self._scaled(), self.weight, self.p.settings, self.p.sigma, control.seed, chain, self.offset if self.p.binary else None)
+
+    def _read_test(self, test: DataFrame | None) -> None:
+        self.test_x = self.test_id = self.test_offset = None
+        if test is not None:
+            g = self._gathered(test)
+            self.test_id = g["row_id"].to_numpy()
+            self.set_test_predictor(np.array(g["x"].tolist(), float).reshape(len(g), -1))
+            self.set_test_offset(g["offset"].to_numpy(float) if "offset" in g else 0.0)
 
     def _scaled(self) -> np.ndarray:
         return self.y if self.p.binary else (self.y - self.offset - self.p.lo) / self.p.span - 0.5
 
-    def run(self, burn: int = 0, draws: int = 1) -> dict[str, np.ndarray] | None:
+    def run(self, burn: int = 0, draws: int = 1, callback: Callable | None = None) -> dict[str, np.ndarray] | None:
+        """Arrays over draws: train, sigma, k, varcount, test where there is a test set, and what the callback
+        f(train fits, test fits or None, sigma, k) gives."""
         out = []
         for i in range(burn + draws * self.control.thin):
             self.chain.sweep()
             if i >= burn and (i - burn + 1) % self.control.thin == 0:
-                out.append((self.fits(), self.sigma(), self.chain.k, self.chain.counts()))
+                one = {"train": self.fits(), "sigma": self.sigma(), "k": self.chain.k, "varcount": self.chain.counts()}
+                if self.test_x is not None:
+                    one["test"] = self.test_fits()
+                if callback is not None:
+                    one["callback"] = callback(one["train"], one.get("test"), one["sigma"], one["k"])
+                out.append(one)
         if not out:
             return None
-        return {k: np.stack([np.asarray(o[j]) for o in out]) for j, k in enumerate(("train", "sigma", "k", "varcount"))}
+        return {k: np.stack([np.asarray(o[k]) for o in out]) for k in out[0]}
 
     def fits(self) -> np.ndarray:
         return self.chain.total + self.offset if self.p.binary else self.p.lo + self.p.span * (self.chain.total + 0.5) + self.offset
 
+    def test_fits(self) -> np.ndarray:
+        """The trees as they are, over the test set."""
+        if self.test_x is None:
+            raise ValueError("there is no test set")
+        t = self.chain.score(bins(self.test_x, self.p.cuts))
+        return t + self.test_offset if self.p.binary else self.p.lo + self.p.span * (t + 0.5) + self.test_offset
+
     def sigma(self) -> float:
         return 1.0 if self.p.binary else self.chain.sigma * self.p.span
 
@@ -377,33 +458,91 @@ class Session:
         return ok
 
     def set_cuts(self, cuts: list[float], column: int) -> None:
+        """Other cuts of one predictor: rules go to the nearest within what their ancestors leave, then splits with an empty
+        side go."""
         own = list(self.p.cuts)
         if not 1 <= len(cuts) <= cutting.MOST_CUTS:
             raise ValueError(f"between 1 and {cutting.MOST_CUTS} cuts")
         own[column] = np.sort(np.asarray(cuts, float))
-        old = self.p.cuts[column]
+        old = self.p.cuts
         self.p = replace(self.p, cuts=own)
-        from treesum.operators.kernel import walk
-
-        for root in self.chain.roots:
-            for x in walk(root):
-                if not x.leaf and x.var == column:
-                    x.cut = int(np.abs(own[column] - old[x.cut]).argmin())
-        self.chain.n_cuts = np.array([len(c) for c in own])
-        for root in self.chain.roots:
-            self._drop_invalid(root)
+        self.chain.map_cuts(old, own)
         self.chain.set_bins(bins(self.x, own), force=True)
 
-    def _drop_invalid(self, node) -> None:
-        if node.leaf:
-            return
-        lo, hi = self.chain.spans(node)
-        if not lo[node.var] <= node.cut <= hi[node.var]:
-            node.left = node.right = None
-            node.var = node.cut = -1
+    def set_data(self, frame: DataFrame, test: DataFrame | None = None) -> None:
+        """Other rows, with as many predictors, under the trees as they are: cuts are made anew and rules go to the nearest,
+        splits with an empty side go, and means follow the scale of the new response. sigma and k stay."""
+        p = prepare(frame, self.control, **self.priors, binary=self.p.binary)
+        if len(p.cuts) != len(self.p.cuts):
+            raise ValueError(f"{len(self.p.cuts)} predictors wanted, {len(p.cuts)} given")
+        old = self.p.cuts
+        self.p = replace(self.p, cuts=p.cuts)
+        self._read(frame)
+        self._read_test(test)
+        self.chain.map_cuts(old, p.cuts)
+        self.chain.replace_rows(bins(self.x, p.cuts), self._scaled(), self.weight, self.offset if self.p.binary else None)
+        if self.p.binary:
+            self.chain.draw_latents()
+        else:
+            self._rescale()
+            self.chain.y = self.chain.z = self._scaled()
+
+    def set_trees(self, trees: pd.DataFrame | list) -> None:
+        """Trees from a table (tree, node, var, value) or a list of (variable, cut or mean) in pre-order."""
+        if isinstance(trees, pd.DataFrame):
+            trees = [list(zip(g["var"], g["value"], strict=True)) for _, g in trees.sort_values(["tree", "node"]).groupby("tree")]
+        self.chain.install(trees, self.p.cuts)
+        self.control = replace(self.control, trees=len(trees))
+
+    def set_control(self, control: Control) -> None:
+        """Number of trees (surplus ones go, new ones are single leaves), thinning and seed of what follows; cuts stay."""
+        if control.trees != self.control.trees:
+            self.chain.resize(control.trees)
+        if control.seed != self.control.seed:
+            self.chain.r = np.random.Generator(np.random.Philox(key=[control.seed & (2**64 - 1), 0]))
+        self.control = replace(control, cuts=self.control.cuts, quantile_cuts=self.control.quantile_cuts, chains=1)
+
+    def set_model(self, tree_prior: stats.TreePrior | None = None, leaf_prior: stats.NormalPrior | None = None, variance=None) -> None:
+        """Other priors for what follows; a fixed variance and a fixed k take effect at once."""
+        given = {"tree_prior": tree_prior, "leaf_prior": leaf_prior, "variance": variance}
+        self.priors |= {k: v for k, v in given.items() if v is not None}
+        s = self.chain.s
+        if tree_prior is not None:
+            s.base, s.power = tree_prior.base, tree_prior.power
+            s.split_probs = None if tree_prior.split_probs is None else np.array(tree_prior.split_probs)
+        if leaf_prior is not None:
+            s.k_chi = leaf_prior.chi
+            if leaf_prior.chi is None:
+                s.k = self.chain.k = leaf_prior.k
+        if variance is not None and not self.p.binary:
+            s.fixed_sigma = isinstance(variance, stats.FixedVariance)
+            if s.fixed_sigma:
+                self.set_sigma(math.sqrt(variance.value))
+            else:
+                s.df, s.scale = variance.df, variance.scale(self.p.sigma)
+
+    def set_test_predictor(self, x: np.ndarray | None, column: int | None = None) -> None:
+        """The whole test set (None: none), or one column of it."""
+        if column is None:
+            if x is not None and np.asarray(x).shape[1] != self.x.shape[1]:
+                raise ValueError(f"{self.x.shape[1]} predictors wanted, {np.asarray(x).shape[1]} given")
+            self.test_x = None if x is None else np.asarray(x, float)
+            if x is not None and (self.test_offset is None or len(self.test_offset) != len(self.test_x)):
+                self.test_offset = np.zeros(len(self.test_x))
             return
-        self._drop_invalid(node.left)
-        self._drop_invalid(node.right)
+        if self.test_x is None:
+            raise ValueError("there is no test set")
+        self.test_x = self.test_x.copy()
+        self.test_x[:, column] = x
+
+    def set_test_offset(self, offset: np.ndarray | float) -> None:
+        if self.test_x is None:
+            raise ValueError("there is no test set")
+        self.test_offset = np.broadcast_to(np.asarray(offset, float), (len(self.test_x),)).copy()
+
+    def set_test_predictor_and_offset(self, x: np.ndarray, offset: np.ndarray | float) -> None:
+        self.set_test_predictor(x)
+        self.set_test_offset(offset)
 
     def sample_trees_from_prior(self) -> None:
         self.chain.draw_trees_from_prior()

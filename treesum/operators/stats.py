@@ -16,19 +16,34 @@ def weighted_mean(y: Column, w: Column) -> Column:
     return F.sum(w * y) / F.sum(w)
 
 
-def leaf_stats(routed: DataFrame, *by: str) -> DataFrame:
-    """routed(y, weight, by...) to n, w, mean and var per group; var divides the weighted squares by n - 1, 0 for one row."""
-    w, y = F.col("weight"), F.col("y")
+def variance_about(y: Column, mean: Column, w: Column | None = None) -> Column:
+    """Variance about a known mean, with n - 1 below the line; weighted squares with w."""
+    r = (y - mean) * (y - mean)
+    return F.sum(r if w is None else w * r) / (F.count(y) - 1)
+
+
+def centre(frame: DataFrame) -> float:
+    """The mean of y, about which sums are taken, so that squares do not cancel; one pass."""
+    return frame.agg(F.avg("y")).first()[0] or 0.0
+
+
+def leaf_stats(routed: DataFrame, *by: str, around: float | None = None) -> DataFrame:
+    """routed(y, weight, by...) to n, w, mean and var per group; var divides the weighted squares by n - 1, 0 for one row.
+    Sums are taken about `around`, the mean of all rows if not given."""
+    around = centre(routed) if around is None else around
+    w, y = F.col("weight"), F.col("y") - F.lit(around)
     g = routed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy"))
     ss = F.greatest(F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w"), F.lit(0.0))
-    return g.select(*by, "n", "w", (F.col("wy") / F.col("w")).alias("mean"), F.when(F.col("n") > 1, ss / (F.col("n") - 1)).otherwise(0.0).alias("var"))
+    return g.select(*by, "n", "w", (F.col("wy") / F.col("w") + F.lit(around)).alias("mean"), F.when(F.col("n") > 1, ss / (F.col("n") - 1)).otherwise(0.0).alias("var"))
 
 
 def merged(stats: DataFrame, *by: str) -> DataFrame:
-    """Statistics of parents from those of their children, without the rows."""
-    ss = F.col("var") * (F.col("n") - 1) + F.col("w") * F.col("mean") * F.col("mean")
-    g = stats.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("mean")).alias("wy"), F.sum(ss).alias("wyy"))
-    return g.select(*by, "n", "w", (F.col("wy") / F.col("w")).alias("mean"), F.when(F.col("n") > 1, F.greatest(F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w"), F.lit(0.0)) / (F.col("n") - 1)).otherwise(0.0).alias("var"))
+    """Statistics of parents from those of their children, without the rows: squares inside the children and squares of
+    the children's means about the parent's."""
+    m = F.sum(F.col("w") * F.col("mean")).over(Window.partitionBy(*by)) / F.sum("w").over(Window.partitionBy(*by))
+    away = F.col("mean") - F.col("_m")
+    g = stats.withColumn("_m", m).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max("_m").alias("mean"), F.sum(F.col("var") * F.greatest(F.col("n") - 1, F.lit(0)) + F.col("w") * away * away).alias("ss"))
+    return g.select(*by, "n", "w", "mean", F.when(F.col("n") > 1, F.col("ss") / (F.col("n") - 1)).otherwise(0.0).alias("var"))
 
 
 def ssr(y: Column, fit: Column, w: Column | None = None) -> Column:
@@ -44,10 +59,13 @@ def rescaled(frame: DataFrame) -> tuple[DataFrame, float, float]:
 
 
 def ols_sigma(frame: DataFrame) -> float:
-    """Residual standard deviation of the least-squares fit of y - offset on x with an intercept, from one pass of cross
-    products; the system is small, and near-singular directions do not count for the rank."""
+    """Residual standard deviation of the least-squares fit of y - offset on x with an intercept, from a pass of means and
+    one of cross products; the system is small, and near-singular directions do not count for the rank."""
     p = frame.select(F.size("x")).first()[0]
-    cells = [F.lit(1.0), *(F.get(F.col("x"), F.lit(i)) for i in range(p)), F.col("y") - F.col("offset")]
+    cells = [*(F.get(F.col("x"), F.lit(i)) for i in range(p)), F.col("y") - F.col("offset")]
+    # about the means, so that squares do not cancel
+    means = frame.agg(*[F.avg(c) for c in cells]).first()
+    cells = [F.lit(1.0), *(c - F.lit(m or 0.0) for c, m in zip(cells, means, strict=True))]
     k = len(cells)
     names = [(i, j) for i in range(k) for j in range(i, k)]
     row = frame.agg(F.count(F.lit(1)), *[F.sum(F.col("weight") * cells[i] * cells[j]) for i, j in names]).first()
@@ -81,7 +99,8 @@ def split_scan(frame: DataFrame, var: int, cuts: list[float], sigma2: float, a:
     """(cut_idx, log_lik) of splitting all rows at each cut: one aggregation by bin, then running sums over the bins."""
     from treesum.operators.cuts import code
 
-    w, y = F.col("weight"), F.col("y")
+    around = centre(frame)
+    w, y = F.col("weight"), F.col("y") - F.lit(around)
     bins = frame.groupBy(code(F.get(F.col("x"), F.lit(var)), cuts).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.sum(w * y * y).alias("wyy"))
     grid = frame.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("bin")).join(bins, "bin", "left").na.fill(0)
     # one row per bin: at most the number of cuts + 1
@@ -91,7 +110,7 @@ def split_scan(frame: DataFrame, var: int, cuts: list[float], sigma2: float, a:
     def side(n: Column, w: Column, wy: Column, wyy: Column) -> Column:
         mean = wy / F.when(w > 0, w)
         var_ = F.when(n > 1, F.greatest(wyy - wy * mean, F.lit(0.0)) / F.when(n > 1, n - 1)).otherwise(0.0)
-        return F.when(n > 0, leaf_log_likelihood(n, w, mean, var_, sigma2, a)).otherwise(F.lit(-1e7))
+        return F.when(n > 0, leaf_log_likelihood(n, w, mean + F.lit(around), var_, sigma2, a)).otherwise(F.lit(-1e7))
 
     left = side(*[F.col(c + "0") for c in ("n", "w", "wy", "wyy")])
     right = side(*[F.col(c) - F.col(c + "0") for c in ("n", "w", "wy", "wyy")])

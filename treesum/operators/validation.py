@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from hashlib import blake2b, md5
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,21 @@ from pyspark.sql import functions as F
 
 from treesum.functions.scalar import phi, phi_column, u01
 from treesum.operators import stats
-from treesum.operators.sampler import Control, Prepared, bins, prepare
+from treesum.operators.sampler import Control, bins, prepare
 from treesum.operators.kernel import Chain
 
-MOST_MB = 256
+MOST_MB, RANGE = 256, 200_000
+
+
+def places(row_id: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """The order of _ranked, in numpy: which row stands first, second, ..."""
+    u = np.array([int(md5(f"{seed}|{rep}|{i}".encode()).hexdigest()[:8], 16) for i in row_id.tolist()], np.int64)
+    return np.lexsort((row_id, u))
+
+
+def stream(*key: int) -> int:
+    """A number for the random stream of a task, of its own for each key."""
+    return int.from_bytes(blake2b("|".join(map(str, key)).encode(), digest_size=8).digest(), "little")
 
 
 def grid(spark, trees: list, ks: list, powers: list, bases: list, reps: int) -> DataFrame:
@@ -27,12 +39,13 @@ def grid(spark, trees: list, ks: list, powers: list, bases: list, reps: int) ->
     return d.select(cell.alias("cell"), "n_trees", "k", "power", "base").select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
 
 
-def _ranked(rows: DataFrame, rep: int, seed: int, parts: int = 64) -> DataFrame:
-    """rows(row_id) with place (from 0) in the order of a keyed hash and n: places are counted in hash ranges, so that no
-    task sorts all rows."""
+def _ranked(rows: DataFrame, rep: int, seed: int) -> DataFrame:
+    """rows(row_id) with place (from 0) in the order of a keyed hash and n: places are counted in hash ranges of about
+    RANGE rows, so that no task sorts all rows."""
+    parts = max(8, -(-rows.count() // RANGE))
     h = rows.withColumn("_u", u01(F.lit(seed), F.lit(rep), F.col("row_id"))).withColumn("_part", F.floor(F.col("_u") * parts).cast("int"))
     per = h.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    # at most `parts` rows
+    # `parts` rows
     per = per.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_total"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_u", "row_id")) - 1
     return h.withColumn("_i", inside).join(F.broadcast(per), "_part").withColumn("place", F.col("_before") + F.col("_i")).withColumn("n", F.col("_total")).drop("_u", "_part", "_i", "_before", "_total")
@@ -88,9 +101,11 @@ def _np_mcr(y, draws, w):
 LOSSES = {"rmse": _np_rmse, "log": _np_log, "mcr": _np_mcr}
 
 
-def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), power: list = (2.0,), base: list = (0.95,), method: str = "k-fold", n_test: float = 5, reps: int = 40, loss: str | Callable | None = None, control: Control = Control(draws=200, burn=200, chains=1), seed: int = 1) -> DataFrame:
-    """(rep, n_trees, k, power, base, loss). Each cell, repetition and fold starts cold, in a task of its own. loss: a name,
-    or f(y, draws (rows, draws), weights). The block of rows is broadcast; its size is checked."""
+def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), power: list = (2.0,), base: list = (0.95,), method: str = "k-fold", n_test: float = 5, reps: int = 40, loss: str | Callable | None = None, control: Control = Control(draws=200, burn=200, chains=1), seed: int = 1, warm: tuple[int, int, int] | None = None) -> DataFrame:
+    """(rep, n_trees, k, power, base, loss). Rows fall to folds as in `folds` and `subsample`. Each cell, repetition and
+    fold starts cold, in a task of its own; or, with warm = (sweeps before the first cell, before each further cell, before
+    each further repetition), one task a fold goes through all cells and repetitions with the trees it has. loss: a name,
+    or f(y, draws (rows, draws), weights). The block of rows is broadcast once to each executor; its size is checked."""
     p0 = prepare(frame, control, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
     name = loss or ("mcr" if p0.binary else "rmse")
     if name in ("log", "mcr") and not p0.binary:
@@ -98,41 +113,57 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
     f = name if callable(name) else LOSSES[name]
     if method not in ("k-fold", "random subsample"):
         raise ValueError(f"no method {method!r}")
-    size = frame.count() * (len(p0.cuts) + 4) * 8 / 1e6
+    size = frame.count() * (len(p0.cuts) + 5) * 8 / 1e6
     if size > MOST_MB:
         raise ValueError(f"a block of {size:.0f} MB is not broadcast to every cell")
     g = frame.toPandas().sort_values("row_id")
-    x, y, w, off = np.array(g["x"].tolist(), float), *(g[c].to_numpy(float) for c in ("y", "weight", "offset"))
-    n = len(y)
+    arrays = np.array(g["x"].tolist(), float), *(g[c].to_numpy(float) for c in ("y", "weight", "offset")), g["row_id"].to_numpy()
+    block = frame.sparkSession.sparkContext.broadcast(arrays)
     parts = int(n_test) if method == "k-fold" else 1
     todo = grid(frame.sparkSession, list(n_trees), list(k), list(power), list(base), reps).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("fold"))
 
-    def one(key: tuple, row: pd.DataFrame) -> pd.DataFrame:
-        r = row.iloc[0]
-        order = np.random.Generator(np.random.Philox(key=[seed, int(r["rep"])])).permutation(n)
+    def split(row_id: np.ndarray, rep: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        n, order = len(row_id), places(row_id, rep, seed)
         if method == "k-fold":
             sizes = np.full(parts, n // parts) + (np.arange(parts) < n % parts)
-            a = int(sizes[: int(r["fold"])].sum())
-            test = order[a : a + int(sizes[int(r["fold"])])]
+            a = int(sizes[:fold].sum())
+            test = order[a : a + int(sizes[fold])]
         else:
             test = order[: int(np.floor(n * n_test + 0.5))]
-        train = np.setdiff1d(np.arange(n), test)
-        p: Prepared = replace(p0, settings=replace(p0.settings, trees=int(r["n_trees"]), k=float(r["k"]), power=float(r["power"]), base=float(r["base"])))
-        b = bins(x, p.cuts)
-        yy = y if p.binary else (y - off - p.lo) / p.span - 0.5
-        c = Chain(b[train], np.array([len(q) for q in p.cuts]), yy[train], w[train], p.settings, p.sigma, seed, int(r["cell"]) * 100_003 + int(r["rep"]) * 101 + int(r["fold"]), off[train] if p.binary else None)
-        out = []
-        from treesum.operators.forest import Packed
-
-        for i in range(control.burn + control.draws):
-            c.sweep()
-            if i >= control.burn:
-                t = pd.DataFrame([(0, 0, *q) for q in c.trees(p.cuts)], columns=["chain", "sample", "tree", "node", "n", "var", "value"])
-                fp = Packed(t)
-                s = sum(fp.value[fp.leaves(x[test], j)] for j in range(len(fp.start)))
-                out.append(s + off[test] if p.binary else p.lo + p.span * (s + 0.5) + off[test])
-        v = f(y[test], np.stack(out, axis=1), w[test])
-        return pd.DataFrame({"cell": [r["cell"]], "rep": [r["rep"]], "n_trees": [r["n_trees"]], "k": [r["k"]], "power": [r["power"]], "base": [r["base"]], "loss": [float(v)], "size": [len(test)]})
-
-    each = todo.groupBy("cell", "rep", "fold").applyInPandas(one, "cell int, rep int, n_trees int, k double, power double, base double, loss double, size int")
+        return np.setdiff1d(np.arange(n), test), test
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, w, off, row_id = block.value
+        b = bins(x, p0.cuts)
+        yy = y if p0.binary else (y - off - p0.lo) / p0.span - 0.5
+        c, last, out = None, None, []
+        for r in rows.sort_values(["rep", "cell"]).itertuples():
+            train, test = split(row_id, int(r.rep), int(r.fold))
+            s = replace(p0.settings, trees=int(r.n_trees), k=float(r.k), power=float(r.power), base=float(r.base))
+            burn = control.burn
+            if warm is None or c is None:
+                key = stream(r.cell, r.rep, r.fold) if warm is None else stream(-1, 0, r.fold)
+                c = Chain(b[train], np.array([len(q) for q in p0.cuts]), yy[train], w[train], s, p0.sigma, seed, key, off[train] if p0.binary else None)
+                burn = control.burn if warm is None else warm[0]
+            else:
+                c.s = replace(s, trees=c.s.trees)
+                if not s.k_chi:
+                    c.k = s.k
+                if s.trees != c.s.trees:
+                    c.resize(s.trees)
+                burn = warm[1]
+                if r.rep != last:
+                    c.replace_rows(b[train], yy[train], w[train], off[train] if p0.binary else None)
+                    burn = warm[2]
+            last = r.rep
+            draws = []
+            for i in range(burn + control.draws):
+                c.sweep()
+                if i >= burn:
+                    t = c.score(b[test])
+                    draws.append(t + off[test] if p0.binary else p0.lo + p0.span * (t + 0.5) + off[test])
+            out.append((r.cell, r.rep, r.n_trees, r.k, r.power, r.base, float(f(y[test], np.stack(draws, axis=1), w[test])), len(test)))
+        return pd.DataFrame(out, columns=["cell", "rep", "n_trees", "k", "power", "base", "loss", "size"])
+
+    each = todo.groupBy(*(["fold"] if warm else ["cell", "rep", "fold"])).applyInPandas(run, "cell int, rep int, n_trees int, k double, power double, base double, loss double, size int")
     return each.groupBy("rep", "n_trees", "k", "power", "base").agg((F.sum(F.col("loss") * F.col("size")) / F.sum("size")).alias("loss"))

@@ -10,8 +10,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesum.functions.scalar import phi_column, phi_sql, u01, u01_sql
-from treesum.operators import cuts, dependence, forest, sampler, stats, validation
+from treesum.functions.scalar import phi_column, phi_sql, u01_sql
+from treesum.operators import chains, cuts, dependence, forest, sampler, stats, summaries, validation
 from treesum.sources import design
 
 QUERIES: dict = {}
@@ -115,14 +115,14 @@ def na_drop(spark, sf_dir):
 
 @query("subset_filter", "SELECT event_id, value FROM events WHERE event_type = 'error' AND value > 5")
 def subset_filter(spark, sf_dir):
-    return table(spark, sf_dir, "events").where((F.col("event_type") == "error") & (F.col("value") > 5)).select("event_id", "value")
+    return design.subset(table(spark, sf_dir, "events"), (F.col("event_type") == "error") & (F.col("value") > 5)).select("event_id", "value")
 
 
 @query("test_offset", "SELECT o_orderkey AS row_id, o_totalprice - 2 * 100 AS y FROM orders")
 def test_offset(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     f = design.model_frame(o, "o_totalprice", design.resolve(o, ["o_custkey"]), "o_orderkey", offset=F.lit(100.0))
-    return f.select("row_id", (F.col("y") - F.expr("2 * offset")).alias("y"))
+    return design.offset_response(f, 2).select("row_id", "y")
 
 
 @query("split_probs", "SELECT * FROM (VALUES ('l_quantity', 0.4), ('l_returnflag.A', 0.1), ('l_returnflag.N', 0.1), ('l_returnflag.R', 0.1), ('l_linestatus.O', 0.3)) t(name, p)")
@@ -140,7 +140,8 @@ def response_rescale(spark, sf_dir):
 
 @query("latent_start", "SELECT doc_id, 2.0 * quality - 1 AS z FROM labels")
 def latent_start(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2.0 - 1).alias("z"))
+    f = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
+    return design.latent_start(f).select("doc_id", "z")
 
 
 # cuts and bins
@@ -206,9 +207,9 @@ def leaf_route_map(spark, sf_dir):
     return forest.leaf_of(forest.literal(spark, TREES[:1]), rows_of(spark, sf_dir)).select("row_id", "node")
 
 
-@query("tree_ties_left", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS node FROM part WHERE p_size BETWEEN 24 AND 26")
+@query("tree_ties_left", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 2 ELSE 1 END AS node FROM part")
 def tree_ties_left(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size BETWEEN 24 AND 26").select(F.col("p_partkey").alias("row_id"), F.array(F.col("p_size").cast("double")).alias("x"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.array(F.col("p_size").cast("double")).alias("x"))
     t = forest.literal(spark, [[(0, 25.0), (-1, 0.0), (-1, 1.0)]])
     return forest.leaf_of(t, p).select(F.col("row_id").alias("p_partkey"), "node")
 
@@ -315,21 +316,43 @@ def trees_resized(spark, sf_dir):
     return forest.resize_trees(forest.literal(spark, TREES), 3, 4).select("tree", "node", "var", "value")
 
 
-@query("thin", "SELECT CAST((s + 1) // 3 - 1 AS INTEGER) AS sample, CAST(s AS BIGINT) AS value FROM generate_series(0, 19) t(s) WHERE (s + 1) % 3 = 0")
+def _sample_means(spark, sf_dir):
+    """Draws of a literal forest over all line items, averaged per draw: (chain, sample, value)."""
+    p = forest.predict(forest.literal(spark, draws_forest()), rows_of(spark, sf_dir))
+    return p.groupBy("chain", "sample").agg(r(F.avg("value")).alias("value"))
+
+
+_MEANS = f"(SELECT chain, sample, round(avg(value), 6) AS value FROM ({DRAW_ROWS}) GROUP BY ALL)"
+
+
+@query("thin", f"SELECT chain, CAST((sample + 1) // 2 - 1 AS INTEGER) AS sample, value FROM {_MEANS} WHERE (sample + 1) % 2 = 0")
 def thin(spark, sf_dir):
-    return forest.thin(spark.range(20).select(F.col("id").cast("int").alias("sample"), F.col("id").alias("value")), 3)
+    return forest.thin(_sample_means(spark, sf_dir), 2).select("chain", "sample", "value")
 
 
-@query("combine_chains", "SELECT c * 5 + s AS draw, c * 35 + s * 7 + o AS value, o AS row_id FROM generate_series(0, 2) a(c), generate_series(0, 4) b(s), generate_series(0, 6) d(o)")
+@query("combine_chains", f"SELECT chain * 3 + sample AS draw, value FROM {_MEANS}")
 def combine_chains(spark, sf_dir):
-    d = spark.range(105).select((F.col("id") % 7).alias("row_id"), F.expr("id div 7 % 5").alias("sample"), F.expr("id div 35").alias("chain"), F.col("id").alias("value"))
-    return d.select((F.col("chain") * 5 + F.col("sample")).alias("draw"), "value", "row_id")
+    return chains.combine(_sample_means(spark, sf_dir), 3).select("draw", "value")
 
 
-@query("ring_buffer", "SELECT CAST(s % 4 AS INTEGER) AS sample, CAST(s AS BIGINT) AS value FROM generate_series(6, 9) t(s)")
+@query("uncombine_chains", f"SELECT (chain * 3 + sample) // 2 AS chain, (chain * 3 + sample) % 2 AS sample, value FROM {_MEANS}")
+def uncombine_chains(spark, sf_dir):
+    return chains.uncombine(chains.combine(_sample_means(spark, sf_dir), 3), 2).select("chain", "sample", "value")
+
+
+@query("ring_buffer", f"SELECT chain, sample % 2 AS sample, value FROM {_MEANS} WHERE sample > 0")
 def ring_buffer(spark, sf_dir):
-    d = spark.range(10).select(F.lit(0).alias("chain"), F.col("id").cast("int").alias("sample"), F.col("id").alias("value"))
-    return forest.ring(d, 4).select("sample", "value")
+    return forest.ring(_sample_means(spark, sf_dir), 2).select("chain", "sample", "value")
+
+
+@query("samples_resized", f"SELECT chain, sample - 1 AS sample, value FROM {_MEANS} WHERE sample >= 1")
+def samples_resized(spark, sf_dir):
+    return forest.resize_samples(_sample_means(spark, sf_dir), 3, 2).select("chain", "sample", "value")
+
+
+@query("samples_grown", f"SELECT chain, sample + 2 AS sample, value FROM {_MEANS}")
+def samples_grown(spark, sf_dir):
+    return forest.resize_samples(_sample_means(spark, sf_dir), 3, 5).select("chain", "sample", "value")
 
 
 # statistics and priors
@@ -432,36 +455,143 @@ def tau_log_posterior(spark, sf_dir):
     return spark.range(1, 31).select(F.col("id").alias("i"), r(stats.tau_log_posterior(t, 25, 3.5, "cauchy", 1.0), 8).alias("cauchy"), r(stats.tau_log_posterior(t, 25, 3.5, "gamma", 1.0), 8).alias("gamma"))
 
 
-_RANEF = "(SELECT n_nationkey AS g, c AS chain, s AS sample, (n_nationkey % 5) * 0.1 + s * 0.01 - c * 0.02 AS b FROM nation, generate_series(0, 1) a(c), generate_series(0, 2) d(s))"
+_RANEF = "(SELECT CAST(n_nationkey AS VARCHAR) AS g, CAST(c AS INTEGER) AS chain, CAST(s AS INTEGER) AS sample, (n_nationkey % 5) * 0.1 + s * 0.01 - c * 0.02 AS b FROM nation, generate_series(0, 1) a(c), generate_series(0, 2) d(s))"
+ORDER_TREES = [[(0, 150000.0), (0, 80000.0), (-1, -0.3), (-1, -0.1), (-1, 0.25)], [(0, 220000.0), (-1, 0.02), (-1, 0.2)]]
+
+
+def order_draws() -> list[list]:
+    """Two chains of three draws over one predictor, the order's price."""
+    return [[{"chain": c, "sample": s, "tree": t}, *[(v, x + 0.01 * s - 0.02 * c if v < 0 else x) for v, x in ORDER_TREES[t]]] for c in (0, 1) for s in (0, 1, 2) for t in (0, 1)]
+
+
+def _order_sql(c: int, s: int) -> str:
+    return " + ".join(f"({forest.case_sql([(v, x + 0.01 * s - 0.02 * c if v < 0 else x) for v, x in t], ['o_totalprice'])})" for t in ORDER_TREES)
+
 
+ORDER_DRAWS = " UNION ALL ".join(f"SELECT o_orderkey AS row_id, CAST(c_nationkey AS VARCHAR) AS g, {c} AS chain, {s} AS sample, o_totalprice AS y, {_order_sql(c, s)} AS f FROM orders JOIN customer ON o_custkey = c_custkey" for c in (0, 1) for s in (0, 1, 2))
 
-@query("fitted_ranef", f"SELECT o_orderkey AS row_id, round(avg(f + b), 5) AS mean, round(avg({phi_sql('f + b')}), 6) AS p FROM (SELECT o_orderkey, c_nationkey, s, c, o_totalprice / 123457.89 + s * 0.1 + c * 0.05 AS f FROM orders JOIN customer ON o_custkey = c_custkey, generate_series(0, 1) a(c), generate_series(0, 2) d(s)) JOIN {_RANEF} ON g = c_nationkey AND chain = c AND sample = s GROUP BY 1")
+
+def order_rows(spark, sf_dir):
+    j = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("y"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("offset"), F.array("o_totalprice").alias("x"), F.col("c_nationkey").cast("string").alias("g"))
+
+
+def ranef_of(spark, sf_dir) -> DataFrame:
+    """Made-up intercepts of all nations: (g, chain, sample, value)."""
+    draws = F.explode(F.array(*[F.struct(F.lit(c).alias("chain"), F.lit(s).alias("sample")) for c in (0, 1) for s in (0, 1, 2)]))
+    d = table(spark, sf_dir, "nation").select("n_nationkey", draws.alias("d"))
+    return d.select(F.col("n_nationkey").cast("string").alias("g"), "d.chain", "d.sample", ((F.col("n_nationkey") % 5) * 0.1 + F.col("d.sample") * 0.01 - F.col("d.chain") * 0.02).alias("value"))
+
+
+def grouped_model(spark, sf_dir, binary: bool, ranef: DataFrame | None = None, rows: DataFrame | None = None) -> sampler.Model:
+    """A model with literal trees and made-up intercepts, as a fit with groups leaves it."""
+    t = forest.literal(spark, order_draws()).withColumns({"kind": F.lit("tree"), "name": F.lit(None).cast("string")})
+    b = (ranef if ranef is not None else ranef_of(spark, sf_dir)).withColumnRenamed("g", "name").withColumn("kind", F.lit("ranef"))
+    tau = spark.createDataFrame([("keep", c, s, "tau", 0.1) for c in (0, 1) for s in (0, 1, 2)], "kind string, chain int, sample int, name string, value double")
+    whole = t.unionByName(b, allowMissingColumns=True).unionByName(tau, allowMissingColumns=True)
+    return sampler.Model(whole, -0.5, 1.0, binary, sampler.Control(trees=2, draws=3, burn=0, chains=2), rows)
+
+
+@query("fitted_ranef", f"SELECT row_id, round(avg(f + b), 6) AS mean FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
 def fitted_ranef(spark, sf_dir):
-    draws = spark.range(6).select((F.col("id") % 3).alias("sample"), F.expr("id div 3").alias("chain"))
-    ranef = table(spark, sf_dir, "nation").crossJoin(F.broadcast(draws)).select(F.col("n_nationkey").alias("g"), "chain", "sample", ((F.col("n_nationkey") % 5) * 0.1 + F.col("sample") * 0.01 - F.col("chain") * 0.02).alias("b"))
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("row_id"), F.col("c_nationkey").alias("g"), "o_totalprice")
-    d = rows.join(ranef, "g").withColumn("v", F.col("o_totalprice") / 123457.89 + F.col("sample") * 0.1 + F.col("chain") * 0.05 + F.col("b"))
-    return d.groupBy("row_id").agg(r(F.avg("v"), 5).alias("mean"), r(F.avg(phi_column(F.col("v")))).alias("p"))
+    return grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir)).fitted().select("row_id", r("mean").alias("mean"))
+
+
+@query("fitted_ranef_binary", f"SELECT row_id, round(avg({phi_sql('(f + b)')}), 6) AS mean FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
+def fitted_ranef_binary(spark, sf_dir):
+    return grouped_model(spark, sf_dir, True).fitted(order_rows(spark, sf_dir)).select("row_id", r("mean").alias("mean"))
+
+
+@query("extract_grouped", f"SELECT g, chain * 3 + sample AS draw, round(avg(f + b), 6) AS value FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY ALL")
+def extract_grouped(spark, sf_dir):
+    rows = order_rows(spark, sf_dir)
+    d = grouped_model(spark, sf_dir, False, rows=rows).extract("link")
+    return d.join(rows.select("row_id", "g"), "row_id").groupBy("g", "draw").agg(r(F.avg("value")).alias("value"))
+
+
+@query("extract_chains", f"SELECT row_id, chain, sample, round(f, 6) AS value FROM ({ORDER_DRAWS})")
+def extract_chains(spark, sf_dir):
+    m = grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir).drop("g"))
+    return m.extract("ev", combine=False).select("row_id", "chain", "sample", r("value").alias("value"))
+
+
+@query("model_residuals", f"SELECT row_id, round(any_value(y) - avg(f + b), 5) AS residual FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
+def model_residuals(spark, sf_dir):
+    return grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir)).residuals().select("row_id", r("residual", 5).alias("residual"))
+
+
+@query("draws_by_row", f"SELECT row_id, round(list(f ORDER BY chain, sample)[1], 6) AS first, round(list(f ORDER BY chain, sample)[6], 6) AS last, CAST(count(*) AS INTEGER) AS n FROM ({ORDER_DRAWS}) GROUP BY 1")
+def draws_by_row(spark, sf_dir):
+    d = chains.combine(forest.predict(forest.literal(spark, order_draws()), order_rows(spark, sf_dir)), 3)
+    return chains.by_row(d).select("row_id", r(F.col("values")[0]).alias("first"), r(F.element_at("values", -1)).alias("last"), F.size("values").alias("n"))
+
+
+@query("draws_round_trip", f"SELECT g, chain * 3 + sample AS draw, round(avg(f), 6) AS value FROM ({ORDER_DRAWS}) GROUP BY ALL")
+def draws_round_trip(spark, sf_dir):
+    d = order_rows(spark, sf_dir)
+    back = chains.by_draw(chains.by_row(chains.combine(forest.predict(forest.literal(spark, order_draws()), d), 3)))
+    return back.join(d.select("row_id", "g"), "row_id").groupBy("g", "draw").agg(r(F.avg("value")).alias("value"))
 
 
 @query("ranef_mean", f"SELECT g, round(avg(b), 8) AS mean FROM {_RANEF} GROUP BY g")
 def ranef_mean(spark, sf_dir):
-    draws = spark.range(6).select((F.col("id") % 3).alias("sample"), F.expr("id div 3").alias("chain"))
-    ranef = table(spark, sf_dir, "nation").crossJoin(F.broadcast(draws)).select(F.col("n_nationkey").alias("g"), ((F.col("n_nationkey") % 5) * 0.1 + F.col("sample") * 0.01 - F.col("chain") * 0.02).alias("b"))
-    return ranef.groupBy("g").agg(r(F.avg("b"), 8).alias("mean"))
+    return grouped_model(spark, sf_dir, False).ranef_mean().select("g", r("mean", 8).alias("mean"))
 
 
-@query("unseen_groups", "SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20)")
+@query("unseen_groups", "SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS g FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def unseen_groups(spark, sf_dir):
-    seen = table(spark, sf_dir, "supplier").where("s_suppkey < 20").select(F.col("s_nationkey").alias("c_nationkey"))
-    return table(spark, sf_dir, "customer").select("c_nationkey").distinct().join(seen, "c_nationkey", "left_anti")
+    seen = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").cast("string").alias("g")).distinct()
+    m = grouped_model(spark, sf_dir, False, ranef_of(spark, sf_dir).join(seen, "g", "left_semi"))
+    return m.unseen(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g")))
 
 
-@query("dense_groups", "SELECT DISTINCT o_orderpriority AS g, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+@query("dense_groups", "SELECT o_orderpriority, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INTEGER) AS code FROM (SELECT DISTINCT o_orderpriority FROM orders)")
 def dense_groups(spark, sf_dir):
-    from pyspark.sql import Window
+    return summaries.codes(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("model_round_trip", f"SELECT chain, sample, round(avg(f), 6) AS value FROM ({ORDER_DRAWS}) GROUP BY ALL")
+def model_round_trip(spark, sf_dir):
+    from treesum.sources.staging import folder
+
+    path = folder(spark, "model")
+    grouped_model(spark, sf_dir, False).save(path)
+    p = sampler.Model.load(spark, path).predict(order_rows(spark, sf_dir).drop("g"))
+    return p.groupBy("chain", "sample").agg(r(F.avg("value")).alias("value"))
+
+
+# tables behind plots
+
+
+@query("trace", "SELECT CAST(n_regionkey % 2 AS INTEGER) AS chain, CASE WHEN n_nationkey < 12 THEN 'burn' ELSE 'keep' END AS phase, CAST(n_nationkey // 2 AS INTEGER) AS iteration, n_nationkey * 0.5 AS value FROM (SELECT n_nationkey, n_nationkey AS n_regionkey FROM nation WHERE n_nationkey < 24)")
+def trace(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_nationkey < 24")
+    sample = F.when(F.col("n_nationkey") < 12, F.expr("n_nationkey div 2")).otherwise(F.expr("(n_nationkey - 12) div 2")).cast("int")
+    params = n.select((F.col("n_nationkey") % 2).cast("int").alias("chain"), F.when(F.col("n_nationkey") < 12, "burn").otherwise("keep").alias("phase"), sample.alias("sample"), F.lit("sigma").alias("name"), (F.col("n_nationkey") * 0.5).alias("value"))
+    return summaries.trace(params).withColumn("value", F.col("value").cast("decimal(22,1)"))
+
 
-    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g")).distinct().withColumn("code", F.dense_rank().over(Window.orderBy("g")))
+@query("draw_intervals", f"SELECT row_id, y, round(quantile_cont(f, 0.05), 6) AS low, round(quantile_cont(f, 0.5), 6) AS mid, round(quantile_cont(f, 0.95), 6) AS high FROM ({ORDER_DRAWS}) GROUP BY ALL")
+def draw_intervals(spark, sf_dir):
+    rows = order_rows(spark, sf_dir)
+    d = summaries.intervals(forest.predict(forest.literal(spark, order_draws()), rows), rows)
+    return d.select("row_id", "y", *[r(c).alias(c) for c in ("low", "mid", "high")])
+
+
+_LEVELS = [60000.0, 120000.0, 180000.0, 300000.0]
+_PD = " UNION ALL ".join(f"SELECT {c} AS chain, {s} AS sample, level1, avg({_order_sql(c, s).replace('o_totalprice', 'level1')}) AS value FROM orders, (SELECT unnest({_LEVELS}) AS level1) GROUP BY ALL" for c in (0, 1) for s in (0, 1, 2))
+
+
+@query("pd_bands", f"SELECT CAST(level1 AS DOUBLE) AS level1, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.95), 6) AS high FROM ({_PD}) GROUP BY 1")
+def pd_bands(spark, sf_dir):
+    d = dependence.partial(forest.literal(spark, order_draws()), order_rows(spark, sf_dir), [0], [_LEVELS])
+    return summaries.bands(d).select("level1", *[r(c).alias(c) for c in ("low", "mid", "high")])
+
+
+@query("descending_places", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders")
+def descending_places(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+    return summaries.descending(o, F.col("o_totalprice")).select(F.col("row_id").alias("o_orderkey"), F.col("place").cast("long").alias("place"))
 
 
 @query("residuals", f"SELECT l_orderkey * 10 + l_linenumber AS row_id, round({CHARGE} - (10 + 80 * ({SUM} + 0.5)), 6) AS residual FROM lineitem")
@@ -557,10 +687,24 @@ def loss_mcr(spark, sf_dir):
     return validation.misclassified(_loss_draws(spark, sf_dir, F.col("o_orderstatus") == "F")).select(r("loss").alias("loss"))
 
 
-@query("ppd_bernoulli", f"SELECT p_partkey AS row_id, {u01_sql('1', '0', '0', 'p_partkey')} < p_size / 50.0 AS y FROM part")
+_PHI_PARTS = phi_sql(forest.case_sql(ORDER_TREES[0], ["o_totalprice"]))
+
+
+@query("ppd_bernoulli", f"SELECT o_orderkey AS row_id, CAST({u01_sql('1', '0', '0', 'o_orderkey')} < {_PHI_PARTS} AS DOUBLE) AS value FROM orders")
 def ppd_bernoulli(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("row_id"), (u01(F.lit(1), F.lit(0), F.lit(0), F.col("p_partkey")) < F.col("p_size") / 50.0).alias("y"))
+    t = forest.literal(spark, ORDER_TREES[:1]).withColumns({"kind": F.lit("tree"), "name": F.lit(None).cast("string")})
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.array("o_totalprice").alias("x"), F.lit(0.0).alias("offset"))
+    return sampler.Model(t, -0.5, 1.0, True, sampler.Control(trees=1, draws=1, burn=0, chains=1)).predict(o, "ppd").select("row_id", "value")
+
+
+# exact values of the distribution function, made by the error function of Python's library
+_PHI = ", ".join(f"({q}, {math.erfc(-(q - 25) / 10 / math.sqrt(2)) / 2:.9f})" for q in range(1, 51))
+
+
+@query("phi_values", f"SELECT l_quantity, count(*) AS n, round(any_value(p), 6) AS p FROM lineitem JOIN (VALUES {_PHI}) t(q, p) ON l_quantity = q GROUP BY 1")
+def phi_values(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", phi_column((F.col("l_quantity") - 25) / 10).alias("p"))
+    return li.groupBy("l_quantity").agg(F.count(F.lit(1)).alias("n"), r(F.max("p")).alias("p"))
 
 
 # fits: draws are random, so only their shape is held against anything; tests hold the kernel against enumeration
@@ -615,3 +759,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["charge_interval"] = flagship
+
+# queries of sessions, which need what is above
+from treesum.plans import sessions  # noqa: E402
+
+QUERIES |= sessions.QUERIES
+ORACLES |= sessions.ORACLES

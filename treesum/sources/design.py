@@ -92,6 +92,10 @@ class Design:
 _NUMBER = (T.NumericType, T.BooleanType)
 
 
+#: Levels a factor may have.
+MOST_LEVELS = 1000
+
+
 def resolve(df: DataFrame, terms: list[str], drop: bool = True) -> Design:
     """The design of terms over df: one pass of minima and maxima for numbers and array elements, one count per factor.
     A factor of more than two present levels gives a column each, of two one for the last; constant columns go."""
@@ -118,7 +122,11 @@ def resolve(df: DataFrame, terms: list[str], drop: bool = True) -> Design:
         elif t in arrays:
             out.append(Term(t, "array", tuple(k for k in range(widths[t]) if spread[t, k] or not drop)))
         else:
-            counts = {r[t]: r["count"] for r in factor_table(df, t).collect()}
+            # one row more than there may be levels
+            found = factor_table(df, t).limit(MOST_LEVELS + 1).collect()
+            if len(found) > MOST_LEVELS:
+                raise DesignError(f"column {t!r} has more than {MOST_LEVELS} levels; each would be a predictor")
+            counts = {r[t]: r["count"] for r in found}
             levels = sorted(counts)
             out.append(Term(t, "factor", tuple(levels if len(levels) > 2 else levels[1:] if drop or len(levels) == 2 else levels), counts))
     return Design(tuple(out))
@@ -173,3 +181,33 @@ def model_frame(df: DataFrame, response: str | Column, design: Design, row_id: s
 def is_binary(frame: DataFrame) -> bool:
     r = frame.agg(F.min("y"), F.max("y"), F.bool_and(F.col("y").isin(0.0, 1.0))).first()
     return r[0] == 0 and r[1] == 1 and bool(r[2])
+
+
+def encode(df: DataFrame, terms: list[str] | None = None, drop: bool = True) -> DataFrame:
+    """One column per predictor of df's terms (all columns, if none are named); also known as make_indicators."""
+    return resolve(df, terms or df.columns, drop).matrix(df)
+
+
+make_indicators = encode
+
+
+def subset(df: DataFrame, condition: Column | str) -> DataFrame:
+    """The rows a model is to see; a condition that is null leaves a row out."""
+    return df.where(condition)
+
+
+def offset_response(frame: DataFrame, times: float = 1.0) -> DataFrame:
+    """frame with its offset taken off the response, `times` over."""
+    return frame.withColumn("y", F.col("y") - F.lit(times) * F.col("offset"))
+
+
+def latent_start(frame: DataFrame) -> DataFrame:
+    """frame(y 0 or 1) with z, where the latents of a probit chain start: -1 or 1."""
+    return frame.withColumn("z", F.col("y") * 2.0 - 1.0)
+
+
+def by_position(df: DataFrame, row_id: str, array: str) -> tuple[DataFrame, list[str]]:
+    """The matrix mode: an array column as predictors V1, V2, ... by position, and their names."""
+    width = df.select(F.max(F.size(array))).first()[0] or 0
+    names = [f"V{i + 1}" for i in range(width)]
+    return df.select(F.col(row_id).alias("row_id"), *[F.get(F.col(array), F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names

@@ -8,12 +8,19 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
+def folder(spark, name: str) -> str:
+    """A new path in the shared folder. Only a session on one machine may leave spark.checkpoint.dir unset; a folder of our
+    own is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="treesum-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
