@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from treesum.llm import jaccard, language, mixing, quality, tokens
 from treesum.llm.common import hide, shown, stage
 
-#: Least probability of quality, and least share of the likeliest language, of documents that stay.
-QUALITY, LANGUAGE = 0.5, 0.3
+#: Least probability of quality of documents that stay.
+QUALITY = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that some language makes likely."""
+    """Documents with letters that some learned language makes likelier than bytes drawn at random."""
     model = language.fit(docs.select("doc_id", "text", "lang").where(F.coalesce(~language.held_out(4, 2), F.lit(True))))
     d, names = hide(docs)
     at = {c: h for h, c in names}
     d = language.identify(d.withColumn("text", F.col(at["text"])).drop(at["text"]), model)
-    return d.where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE)).withColumnRenamed("text", at["text"]).select(*shown(names))
+    return d.where((F.col("lang_pred") != "und") & (F.col("per_byte") > language.UNLIKELY)).withColumnRenamed("text", at["text"]).select(*shown(names))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
