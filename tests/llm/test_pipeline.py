@@ -21,7 +21,7 @@ def build(spark, folder):
             words[-1] = "changed"
             text = " ".join(words)
         rows.append((i, text, lang, ["a", "b", "c", None][i % 4], len(text)))
-    rows += [(400, None, "xx", "a", None), (401, "", None, None, 0), (402, "12 34 56", "yy", "b", 8), (None, tongue("xx", 40), "xx", "a", 9), rows[1], (5, tongue("xx", 40), "xx", "b", 1), (8, rows[2][1], "xx", "c", 1)]
+    rows += [(400, None, "xx", "a", None), (401, "", None, None, 0), (402, "12 34 56", "yy", "b", 8), (404, "漢字かな " * 30, None, "b", 8), (None, tongue("xx", 40), "xx", "a", 9), rows[1], (5, tongue("xx", 40), "xx", "b", 1), (8, rows[2][1], "xx", "c", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return rows
@@ -43,7 +43,7 @@ def test_stages(spark, tmp_path):
     # shouted documents go, the others stay
     kept = {k for k, t in keys(quality) if k is not None and k < 300}
     assert kept == {i for i in range(300) if i % 7} and None in {k for k, _ in keys(quality)}
-    assert {k for k, t in keys(language)} == {k for k, t in keys(quality)} - {400, 401, 402}
+    assert {k for k, t in keys(language)} == {k for k, t in keys(quality)} - {400, 401, 402, 404}
     rows = [tuple(x) for x in language.select("doc_id", "text").collect()]
     want, once = [], set()
     for (i, _, c), (j, t) in zip(brute_in_order(rows), rows, strict=True):

@@ -11,7 +11,8 @@ logarithm of their own for each word and language, so that no word underflows. A
 equally long go through it together, in numpy; a worker remembers words up to a bound.
 
 The prediction is the likeliest language, ties to the first by code point; score is its share among the languages'
-geometric mean likelihoods per word. Defined results: `und` with score 0 where the text is null or has no letter;
+geometric mean likelihoods per word, and per_byte the mean log probability of a byte of the text's words in it (a blank
+for each word counted in), which does not depend on how many languages there are. Defined results: `und` with score 0 and no per_byte where the text is null or has no letter;
 repeated rows give repeated rows; other columns are never inputs; an empty table gives an empty result; where no
 labelled text exists every prediction is `und`.
 """
@@ -37,6 +38,8 @@ KNOWN, REMEMBER = 400_000, 48
 RESCALE, TOGETHER = 16, 400_000
 #: Pieces are scaled by this per byte, so that products of many stay within range.
 SCALE = 8.0
+#: log probability of a byte of no language: uniform over the bytes that words may hold.
+UNLIKELY = -float(np.log(128 + 26 + 1))
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -189,10 +192,10 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.table = np.zeros((0, len(self.model.langs)))
 
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         if len(self.at) > KNOWN:
             self.clear()
-        at, new, ids, sizes, once = self.at, [], [], [], []
+        at, new, ids, sizes, once, lengths = self.at, [], [], [], [], []
         for t in texts:
             own = words_of(t) if t else []
             for w in own:
@@ -204,25 +207,28 @@ class Scorer:
                         once.append(w)
                 ids.append(i)
             sizes.append(len(own))
+            lengths.append(len(own) + sum(map(len, own)) if t and t.isascii() else sum(1 + len(w.encode()) for w in own))
         if new:
             self.table = np.concatenate([self.table, self.pieces.forward(new, self.weights)])
         for w in once:
             del at[w]
-        langs, out, scores = self.model.langs, [], []
+        langs, out, scores, per_byte = self.model.langs, [], [], []
         sums = np.zeros((len(texts), max(1, len(langs))))
         if ids and langs:
             some = np.flatnonzero(sizes)
             starts = np.cumsum([0, *np.array(sizes)[some][:-1]])
             sums[some] = np.add.reduceat(self.table[np.array(ids)], starts, axis=0)
-        for n, s in zip(sizes, sums, strict=True):
+        for n, length, s in zip(sizes, lengths, sums, strict=True):
             if not n or not langs:
                 out.append("und")
                 scores.append(0.0)
+                per_byte.append(None)
                 continue
             e = np.exp((s - s.max()) / n)
             out.append(langs[int(np.argmax(s))])
             scores.append(float(1 / e.sum()))
-        return out, scores
+            per_byte.append(float(s.max()) / length)
+        return out, scores, per_byte
 
 
 def default_vocabulary() -> str:
@@ -266,10 +272,11 @@ def fit(docs: DataFrame, path: str | None = None, texts: int = TEXTS, seed: int
 
 
 def identify(docs: DataFrame, model: Model, text: bool = True) -> DataFrame:
-    """docs(text, ...) with lang_pred and score added; input columns of these names give way, and the text if not asked for."""
-    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    """docs(text, ...) with lang_pred, score and per_byte added; input columns of these names give way, and the text if not
+    asked for."""
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "per_byte")]
     kept = [c for c in own if text or c != "text"]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("per_byte", "double")
     at = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +284,8 @@ def identify(docs: DataFrame, model: Model, text: bool = True) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                langs, scores = score(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(own, part.columns, strict=True) if n in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, "lang_pred", "score"])
+                langs, scores, per_byte = score(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(own, part.columns, strict=True) if n in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(per_byte, pa.float64())], [*kept, "lang_pred", "score", "per_byte"])
 
     return docs.select(*own).mapInArrow(run, schema)
 
