@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the word rules of this subpackage have it.
 SPACE = r"\x20\x09-\x0D"
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES for what runs in this session from now on, unless it asks for less: two tasks of
+    an executor hold a batch in the JVM and in Python each."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    digits = "".join(c for c in now or "" if c.isdigit())
+    if not digits or (now or "").lower().rstrip("b").endswith(("m", "g")) or int(digits) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def tidy(batches: Iterator, *then: Callable) -> Iterator:
+    """batches, and when they end, or the task does, what remembers words is cleared and memory goes back to the system:
+    workers are used again by other tasks."""
+    try:
+        yield from batches
+    finally:
+        for f in then:
+            f()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

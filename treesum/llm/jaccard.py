@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesum.llm.common import components, drop, stage
+from treesum.llm.common import components, drop, lean, stage, tidy
 
 SHINGLE, SHARE = 5, 75
 #: Cells in which shingles are counted, and cells of one row of counts.
 CELLS, ROW = 1 << 18, 1 << 12
 #: Shingles of one bucket, about, and bits of a shingle inside it; shingles and classes a task gathers before it sends
 #: them; documents that may hold a shingle above which it counts as common without being dealt to one bucket.
-BUCKET, FINE, FLUSH, MOST, HOT = 1 << 20, 28, 1 << 19, 60_000, 1 << 16
+BUCKET, FINE, FLUSH, MOST, HOT = 1 << 19, 28, 1 << 19, 60_000, 1 << 16
 #: Negative buckets.
 PASSED = 1024
 #: Ids that are broadcast at most, above, they are joined by shuffle; classes of a star that meet their leader in a task.
@@ -222,7 +222,7 @@ def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _PACKED)
+    return docs.mapInArrow(lambda it: tidy(run(it)), _PACKED)
 
 
 def _lists(packed: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
                 both = [class_of(s, KEY) for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in both], pa.int64()), pa.array([m for _, m in both], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "mark", "set"])
 
-    s = docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "key long, mark long, set binary")
+    s = docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(lambda it: tidy(sets(it)), "key long, mark long, set binary")
     # rows that repeat, or share an id, may give a class twice or one not asked for
     out = stage(s.join(needed.select("class", "key", "mark"), ["key", "mark"]).groupBy("class").agg(F.first("set").alias("set")), "sets")
     drop(needed)
@@ -547,8 +547,9 @@ def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
     more = ["class"] if classes else []
     spark: SparkSession = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lean(spark)
     size, key = CELLS, KEY
-    first = stage(d.mapInArrow(lambda it: _first(it, size, key), _FIRST), "shingles")
+    first = stage(d.mapInArrow(lambda it: tidy(_first(it, size, key)), _FIRST), "shingles")
     rows = first.where("row is null").select("doc_id", "class", "mark", "n")
     counts = _counted(first)
     classes, shared = _classes(first)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesum.llm.common import stage
+from treesum.llm.common import lean, stage, tidy
 
 #: Training: texts per language, about, that are drawn by hash; rounds.
 TEXTS, ROUNDS = 500, 5
@@ -58,17 +58,16 @@ class Pieces:
         for i, b in enumerate(sorted(every)):
             self.code[b] = i
         width = len(every) + 1
-        rows, piece_of, at = [[0] * width, [0] * width], [-1, -1], {b"": 1}  # node 0: nowhere, 1: root
+        # node 0: nowhere, 1: root, then all beginnings of pieces
+        starts = sorted({p[:j] for p in ok for j in range(1, len(p) + 1)})
+        at = {b"": 1} | {p: i for i, p in enumerate(starts, 2)}
+        table, piece_of = np.zeros((len(starts) + 2, width), np.int32), np.full(len(starts) + 2, -1, np.int32)
+        for p in starts:
+            table[at[p[:-1]], self.code[p[-1]]] = at[p]
         for n, p in enumerate(ok):
-            for j in range(1, len(p) + 1):
-                if p[:j] not in at:
-                    at[p[:j]] = len(rows)
-                    rows[at[p[: j - 1]]][self.code[p[j - 1]]] = len(rows)
-                    rows.append([0] * width)
-                    piece_of.append(-1)
             piece_of[at[p]] = n
-        self.next = np.array(rows, np.int32).ravel()
-        self.width, self.piece, self.n = width, np.array(piece_of, np.int32), len(ok)
+        self.next = table.ravel()
+        self.width, self.piece, self.n = width, piece_of, len(ok)
         self.length = np.array([len(p) for p in ok])
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -287,7 +286,8 @@ def identify(docs: DataFrame, model: Model, text: bool = True) -> DataFrame:
                 langs, scores, per_byte = score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(c for n, c in zip(own, part.columns, strict=True) if n in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(per_byte, pa.float64())], [*kept, "lang_pred", "score", "per_byte"])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    lean(docs.sparkSession)
+    return docs.select(*own).mapInArrow(lambda it: tidy(run(it)), schema)
 
 
 def held_out(mod: int, left: int):

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treesum.llm.common import lean, tidy
+
 CHUNK, STEP, LAGS, EMBED, FILTERS, HIDDEN = 16, 8, 24, 6, 24, 12
 PER_CLASS, EPOCHS, BATCH = 700, 14, 48
 BLOCK = 1 << 18
@@ -180,7 +182,8 @@ def score(docs: DataFrame, net: Network, text: bool = True) -> DataFrame:
                 found = net.score([(t.as_py() or "").encode() for t in part.column(at)])
                 yield pa.RecordBatch.from_arrays([*(c for n, c in zip(own, part.columns, strict=True) if n in kept), pa.array(found, pa.float64())], [*kept, "score"])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    lean(docs.sparkSession)
+    return docs.select(*own).mapInArrow(lambda it: tidy(run(it)), schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treesum.llm.common import drop, drop_path, stage, stage_path
+from treesum.llm.common import drop, drop_path, lean, stage, stage_path, tidy
 
 #: Ids a cut looks back on; least and most ids of a chunk; beyond the least, one place in MASK + 1 is a cut.
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 255
@@ -226,7 +226,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     staged = stage_path(spark, "ids")
     zstd = lambda df: df.write.option("compression", "zstd")
-    zstd(d.mapInArrow(lambda it: _chunked(it, path, end), _ROWS)).parquet(staged)
+    lean(spark)
+    zstd(d.mapInArrow(lambda it: tidy(_chunked(it, path, end), word_ids(path).clear), _ROWS)).parquet(staged)
     rows = spark.read.schema(_ROWS).parquet(staged)
     # of chunks with one hash the first row is kept; payloads are not shuffled for it while the row numbers of repeated
     # chunks are few enough to be broadcast, by count
@@ -281,6 +282,7 @@ def check_manifest(spark: SparkSession, folder: str) -> None:
 
 def documents(spark: SparkSession, folder: str, width: int = 2, sums: bool = False) -> DataFrame:
     """(root, n, ids) of each distinct document of a store, rebuilt from its chunks; with sums (root, n, crc32)."""
+    lean(spark)
     one = lambda **c: [F.lit(None).cast(t).alias(n) if n not in c else c[n].alias(n) for n, t in (("root", "binary"), ("seq", "int"), ("payload", "binary"), ("hashes", "array<binary>"))]
     chunks = spark.read.parquet(f"{folder}/chunks")
     pieces = chunks.select(*one(root=F.col("root"), seq=F.col("seq"), payload=F.col("payload")))

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treesum.llm.common import lean, tidy
+
 #: Characters of a leaf, ids of a leaf of decoding, bytes of a match above which it is encoded in halves itself.
 LEAF, LEAF_IDS, PIECE = 256, 256, 64
 #: Characters, and tokens inside a match, on either side of a seam that a window starts with.
 WINDOW, TOKENS = 24, 4
 #: Matches a worker remembers.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 class _Known(dict):
@@ -71,6 +73,10 @@ class TreeBPE:
 
     # text level
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.pair.cache_clear()
+
     def encode(self, text: str) -> list[int]:
         if len(self.known) > KNOWN:
             self.known.clear()
@@ -209,8 +215,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers. path must be readable on every executor."""
     own = default_vocabulary()
     path, pattern = path or own[0], pattern or own[1]
+    lean(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(lambda it: _encoded(it, path, pattern, False), "doc_id long, n_tokens long, ids binary")
+    return d.mapInArrow(lambda it: tidy(_encoded(it, path, pattern, False), encoder(path, pattern).forget), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -233,8 +240,9 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding of every whole text in one pass."""
     own = default_vocabulary()
     path, pattern = path or own[0], pattern or own[1]
+    lean(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(lambda it: _encoded(it, path, pattern, True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(lambda it: tidy(_encoded(it, path, pattern, True), encoder(path, pattern).forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:

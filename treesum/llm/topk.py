@@ -2,7 +2,8 @@
 
 Vectors become integers, floor(256 x), and are grouped by length into geometric buckets, large buckets into blocks of
 about BLOCK rows. Queries are gathered in blocks too. Query blocks and vector blocks meet in the cells of a grid; the
-grid is a stated query set against all rows, block by block. In a cell, a query block visits vector blocks from the
+grid is a stated query set against all rows, block by block. A vector block is sent to those rows of the grid only where
+some query may still take a vector as long as its longest. In a cell, a query block visits vector blocks from the
 longest down and keeps its k best. Its k-th score, first taken from the block with the longest vectors of all, gives
 each query a local cosine threshold t = score / (|q| |v| at most) for a block:
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from treesum.llm.common import stage
 
 BLOCK, QUERIES, RATIO = 4096, 512, 1.05
-#: Blocks of a grid cell, by rows and by queries.
-CELL_BLOCKS, CELL_QUERIES = 4, 8
+#: Blocks of a grid cell at most, of vectors and of queries: what is sent is each side once for every so many of the other.
+CELL_BLOCKS, CELL_QUERIES = 32, 32
 COORDINATE, FOCUS = 0.75, 4
 _SLACK = 1e-9
 
@@ -141,21 +142,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in frames:
-            rows = []
+            rows, least = [], []
             for r in g.itertuples():
                 best = Best(*_unpacked(r), k)
                 if isinstance(r.v, dict):
                     best.visit(*_unpacked(pd.Series(r.v)))
                 rows.append(best.floor.tobytes())
-            yield g.drop(columns="v").assign(floor=rows)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    least.append(float(np.where(best.length > 0, best.floor / best.length, -np.inf).min(initial=np.inf)))
+            yield g.drop(columns="v").assign(floor=rows, need=least)
 
     fields = "dim int, id string, n int, longest double, small boolean, ids binary, data binary"
-    q = stage(q.join(first, "dim", "left").mapInPandas(begin, fields + ", floor binary"), "queries")
-    size = lambda df, per: max(1, -(-df.count() // per))
-    across, down = size(v, CELL_BLOCKS), size(q, CELL_QUERIES)
+    q = stage(q.join(first, "dim", "left").mapInPandas(begin, fields + ", floor binary, need double"), "queries")
+    tasks = v.sparkSession.sparkContext.defaultParallelism
+
+    def size(blocks: int, per: int) -> int:
+        """Cells no larger than `per` blocks, and smaller ones while there are fewer cells than tasks."""
+        return max(1, -(-blocks // per), min(blocks // 4, tasks))
+
+    across, down = size(v.count(), CELL_BLOCKS), size(q.count(), CELL_QUERIES)
     spread = lambda n: F.pmod(F.xxhash64("dim", "id"), F.lit(n)).cast("int")
     q = q.withColumn("y", spread(down)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    v = v.withColumn("x", spread(across)).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    # one row per row of the grid
+    wanted = q.groupBy("dim", F.col("y").alias("row")).agg(F.min("need").alias("need"))
+    v = v.withColumn("x", spread(across)).join(F.broadcast(wanted), "dim").where(F.col("longest") >= F.col("need") * (1 - 1e-6)).withColumn("y", F.col("row") + 0).drop("need", "row")
 
     def cell(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)]
