@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,14 @@ class WordIds:
         # their strings in a text become their ids, as the library has it
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.plain = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*").fullmatch
-        self.pieces = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+").findall
+        piece = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
+        self.pieces, self.single = piece.findall, piece.fullmatch
         self.blanks = re.compile("[ \t\n]+").split
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        more = iter(range(256, 512))
+        # the byte-level alphabet: bytes that show as themselves, the others from 256 on
+        shown, more = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
         self.mapped = {b: chr(b) if b in shown else chr(next(more)) for b in range(256)}
+        self.model = self.whole.model
         self.clear()
 
     def clear(self) -> None:
@@ -73,27 +76,33 @@ class WordIds:
         self.at: dict[str, int] = {}
         self.flat, self.begin, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0, 0
 
-    def _ids(self, piece: str) -> list[int]:
-        """Of a piece without blanks: one plain letter run, digit or run of marks goes to the model, all else through all steps."""
-        if len(piece) > 2000 or not self.plain(piece) or self.pieces(piece) != [piece]:
-            return self.whole.encode(piece, add_special_tokens=False).ids
-        raw = piece if piece.isascii() else "".join(map(self.mapped.__getitem__, piece.encode()))
-        return [t.id for t in self.whole.model.tokenize(raw)]
-
     def _learn(self, pieces: list[str]) -> None:
-        for p in pieces:
-            if p in self.at:
-                continue
-            ids, i = self._ids(p), self.n
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            if i + 1 >= len(self.begin):
-                self.begin = np.concatenate([self.begin, np.zeros(len(self.begin), np.int64)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.begin[i + 1] = self.used
-            self.at[p] = i
-            self.n += 1
+        """Pieces that no step but the model would cut go to the model alone, all others through all steps."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
+        alone = [p for p in new if len(p) <= 2000 and self.single(p) and self.plain(p) and p == p.lower()]
+        cut, shown = self.model.tokenize, self.mapped.__getitem__
+        found = [[t.id for t in cut(p if p.isascii() else "".join(map(shown, p.encode())))] for p in alone]
+        self._keep(alone, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        if len(alone) < len(new):
+            for p in new:
+                if p not in self.at:
+                    self._keep([p], *self._one(p))
+
+    def _one(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.whole.encode(piece, add_special_tokens=False).ids
+        return np.array(ids, np.uint32), np.array([len(ids)])
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(pieces)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        if self.n + n >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), n), np.int64)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[self.n + 1 : self.n + 1 + n] = self.used + np.cumsum(sizes)
+        self.at.update(zip(pieces, range(self.n, self.n + n), strict=True))
+        self.used += len(ids)
+        self.n += n
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
