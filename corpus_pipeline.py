@@ -3,9 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a DataFrame; all but the last
 return the columns of documents. Stages are written as Parquet in the shared folder and read again.
 
-Defined results: null and empty texts go at the quality or language stage; rows that repeat are near duplicates of each
-other; rows with a null id take no part in deduplication and stay; columns beyond those of documents are carried; an
-empty table gives an empty result.
+Defined results: null and empty texts count as empty at the quality stage and go, if not there, at the language stage as
+texts without letters; null languages train nothing and null sources are a source; rows that repeat are near duplicates
+of each other, of which one stays; rows with a null id take no part in deduplication and stay; very long texts are read
+whole by every stage; columns beyond those of documents are carried whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -40,21 +42,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of rows that share id and text, one."""
-    groups = stage(jaccard.join_components(docs.select("doc_id", "text"), classes=True), "groups").where("doc_id is not null")
+    """The document with the smallest id of each group; of rows that share id and text, one. Rows with a null id or
+    without words stay."""
+    d, names = hide(docs)
+    at = {c: h for h, c in names}
+    key, text = at["doc_id"], at["text"]
+    groups = stage(jaccard.join_components(d.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), classes=True), "groups").where("doc_id is not null")
     per = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("component_id").alias("least"))
     # ids that stand for one row are dropped by id; ids that several rows share are looked at row by row
-    apart = stage(per.where("times > 1 or doc_id <> least").select("doc_id", "times"), "apart")
+    apart = stage(per.where("times > 1 or doc_id <> least").select(F.col("doc_id").alias(key), "times"), "apart")
     few = apart.count() <= jaccard.BROADCAST
-    hint = F.broadcast if few else (lambda d: d)
-    once = docs.join(hint(apart.select("doc_id")), "doc_id", "left_anti")
-    shared = apart.where("times > 1").select("doc_id")
+    hint = F.broadcast if few else (lambda x: x)
+    once = d.join(hint(apart.select(key)), key, "left_anti").select(*(h for h, _ in names))
+    shared = apart.where("times > 1").select(key)
     if shared.isEmpty():
-        return once.select(*docs.columns)
-    own = groups.join(hint(shared), "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("class").alias("_class")).distinct()
-    again = jaccard.with_class(docs.join(hint(shared), "doc_id", "left_semi"), "_class")
-    again = again.join(own, ["doc_id", "_class"], "left_semi").dropDuplicates(["doc_id", "_class"])
-    return once.unionByName(again.select(*docs.columns)).select(*docs.columns)
+        return once.select(*shown(names))
+    own = groups.withColumnRenamed("doc_id", key).join(hint(shared), key, "left_semi").where(F.col(key) == F.col("component_id")).select(key, "class").distinct()
+    again = jaccard.with_class(d.join(hint(shared), key, "left_semi").withColumnRenamed(text, "text"), "class").withColumnRenamed("text", text)
+    again = again.join(own, [key, "class"], "left_semi").dropDuplicates([key, "class"]).select(*(h for h, _ in names))
+    return once.unionByName(again).select(*shown(names))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

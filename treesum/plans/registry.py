@@ -319,10 +319,10 @@ def trees_resized(spark, sf_dir):
 def _sample_means(spark, sf_dir):
     """Draws of a literal forest over all line items, averaged per draw: (chain, sample, value)."""
     p = forest.predict(forest.literal(spark, draws_forest()), rows_of(spark, sf_dir))
-    return p.groupBy("chain", "sample").agg(r(F.avg("value")).alias("value"))
+    return p.groupBy("chain", "sample").agg(r(F.avg("value"), 9).alias("value"))
 
 
-_MEANS = f"(SELECT chain, sample, round(avg(value), 6) AS value FROM ({DRAW_ROWS}) GROUP BY ALL)"
+_MEANS = f"(SELECT chain, sample, round(avg(value), 9) AS value FROM ({DRAW_ROWS}) GROUP BY ALL)"
 
 
 @query("thin", f"SELECT chain, CAST((sample + 1) // 2 - 1 AS INTEGER) AS sample, value FROM {_MEANS} WHERE (sample + 1) % 2 = 0")
@@ -492,9 +492,9 @@ def grouped_model(spark, sf_dir, binary: bool, ranef: DataFrame | None = None, r
     return sampler.Model(whole, -0.5, 1.0, binary, sampler.Control(trees=2, draws=3, burn=0, chains=2), rows)
 
 
-@query("fitted_ranef", f"SELECT row_id, round(avg(f + b), 6) AS mean FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
+@query("fitted_ranef", f"SELECT row_id, round(avg(f + b), 9) AS mean FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
 def fitted_ranef(spark, sf_dir):
-    return grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir)).fitted().select("row_id", r("mean").alias("mean"))
+    return grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir)).fitted().select("row_id", r("mean", 9).alias("mean"))
 
 
 @query("fitted_ranef_binary", f"SELECT row_id, round(avg({phi_sql('(f + b)')}), 6) AS mean FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
@@ -502,17 +502,17 @@ def fitted_ranef_binary(spark, sf_dir):
     return grouped_model(spark, sf_dir, True).fitted(order_rows(spark, sf_dir)).select("row_id", r("mean").alias("mean"))
 
 
-@query("extract_grouped", f"SELECT g, chain * 3 + sample AS draw, round(avg(f + b), 6) AS value FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY ALL")
+@query("extract_grouped", f"SELECT g, chain * 3 + sample AS draw, round(avg(f + b), 9) AS value FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY ALL")
 def extract_grouped(spark, sf_dir):
     rows = order_rows(spark, sf_dir)
     d = grouped_model(spark, sf_dir, False, rows=rows).extract("link")
-    return d.join(rows.select("row_id", "g"), "row_id").groupBy("g", "draw").agg(r(F.avg("value")).alias("value"))
+    return d.join(rows.select("row_id", "g"), "row_id").groupBy("g", "draw").agg(r(F.avg("value"), 9).alias("value"))
 
 
-@query("extract_chains", f"SELECT row_id, chain, sample, round(f, 6) AS value FROM ({ORDER_DRAWS})")
+@query("extract_chains", f"SELECT row_id, chain, sample, round(f, 9) AS value FROM ({ORDER_DRAWS})")
 def extract_chains(spark, sf_dir):
     m = grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir).drop("g"))
-    return m.extract("ev", combine=False).select("row_id", "chain", "sample", r("value").alias("value"))
+    return m.extract("ev", combine=False).select("row_id", "chain", "sample", r("value", 9).alias("value"))
 
 
 @query("model_residuals", f"SELECT row_id, round(any_value(y) - avg(f + b), 5) AS residual FROM ({ORDER_DRAWS}) JOIN {_RANEF} USING (g, chain, sample) GROUP BY 1")
@@ -520,17 +520,17 @@ def model_residuals(spark, sf_dir):
     return grouped_model(spark, sf_dir, False, rows=order_rows(spark, sf_dir)).residuals().select("row_id", r("residual", 5).alias("residual"))
 
 
-@query("draws_by_row", f"SELECT row_id, round(list(f ORDER BY chain, sample)[1], 6) AS first, round(list(f ORDER BY chain, sample)[6], 6) AS last, CAST(count(*) AS INTEGER) AS n FROM ({ORDER_DRAWS}) GROUP BY 1")
+@query("draws_by_row", f"SELECT row_id, round(list(f ORDER BY chain, sample)[1], 9) AS first, round(list(f ORDER BY chain, sample)[6], 9) AS last, CAST(count(*) AS INTEGER) AS n FROM ({ORDER_DRAWS}) GROUP BY 1")
 def draws_by_row(spark, sf_dir):
     d = chains.combine(forest.predict(forest.literal(spark, order_draws()), order_rows(spark, sf_dir)), 3)
-    return chains.by_row(d).select("row_id", r(F.col("values")[0]).alias("first"), r(F.element_at("values", -1)).alias("last"), F.size("values").alias("n"))
+    return chains.by_row(d).select("row_id", r(F.col("values")[0], 9).alias("first"), r(F.element_at("values", -1), 9).alias("last"), F.size("values").alias("n"))
 
 
-@query("draws_round_trip", f"SELECT g, chain * 3 + sample AS draw, round(avg(f), 6) AS value FROM ({ORDER_DRAWS}) GROUP BY ALL")
+@query("draws_round_trip", f"SELECT g, chain * 3 + sample AS draw, round(avg(f), 9) AS value FROM ({ORDER_DRAWS}) GROUP BY ALL")
 def draws_round_trip(spark, sf_dir):
     d = order_rows(spark, sf_dir)
     back = chains.by_draw(chains.by_row(chains.combine(forest.predict(forest.literal(spark, order_draws()), d), 3)))
-    return back.join(d.select("row_id", "g"), "row_id").groupBy("g", "draw").agg(r(F.avg("value")).alias("value"))
+    return back.join(d.select("row_id", "g"), "row_id").groupBy("g", "draw").agg(r(F.avg("value"), 9).alias("value"))
 
 
 @query("ranef_mean", f"SELECT g, round(avg(b), 8) AS mean FROM {_RANEF} GROUP BY g")
@@ -550,14 +550,14 @@ def dense_groups(spark, sf_dir):
     return summaries.codes(table(spark, sf_dir, "orders"), "o_orderpriority")
 
 
-@query("model_round_trip", f"SELECT chain, sample, round(avg(f), 6) AS value FROM ({ORDER_DRAWS}) GROUP BY ALL")
+@query("model_round_trip", f"SELECT chain, sample, round(avg(f), 9) AS value FROM ({ORDER_DRAWS}) GROUP BY ALL")
 def model_round_trip(spark, sf_dir):
     from treesum.sources.staging import folder
 
     path = folder(spark, "model")
     grouped_model(spark, sf_dir, False).save(path)
     p = sampler.Model.load(spark, path).predict(order_rows(spark, sf_dir).drop("g"))
-    return p.groupBy("chain", "sample").agg(r(F.avg("value")).alias("value"))
+    return p.groupBy("chain", "sample").agg(r(F.avg("value"), 9).alias("value"))
 
 
 # tables behind plots
@@ -571,21 +571,21 @@ def trace(spark, sf_dir):
     return summaries.trace(params).withColumn("value", F.col("value").cast("decimal(22,1)"))
 
 
-@query("draw_intervals", f"SELECT row_id, y, round(quantile_cont(f, 0.05), 6) AS low, round(quantile_cont(f, 0.5), 6) AS mid, round(quantile_cont(f, 0.95), 6) AS high FROM ({ORDER_DRAWS}) GROUP BY ALL")
+@query("draw_intervals", f"SELECT row_id, y, round(quantile_cont(f, 0.05), 9) AS low, round(quantile_cont(f, 0.5), 9) AS mid, round(quantile_cont(f, 0.95), 9) AS high FROM ({ORDER_DRAWS}) GROUP BY ALL")
 def draw_intervals(spark, sf_dir):
     rows = order_rows(spark, sf_dir)
     d = summaries.intervals(forest.predict(forest.literal(spark, order_draws()), rows), rows)
-    return d.select("row_id", "y", *[r(c).alias(c) for c in ("low", "mid", "high")])
+    return d.select("row_id", "y", *[r(c, 9).alias(c) for c in ("low", "mid", "high")])
 
 
 _LEVELS = [60000.0, 120000.0, 180000.0, 300000.0]
 _PD = " UNION ALL ".join(f"SELECT {c} AS chain, {s} AS sample, level1, avg({_order_sql(c, s).replace('o_totalprice', 'level1')}) AS value FROM orders, (SELECT unnest({_LEVELS}) AS level1) GROUP BY ALL" for c in (0, 1) for s in (0, 1, 2))
 
 
-@query("pd_bands", f"SELECT CAST(level1 AS DOUBLE) AS level1, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.95), 6) AS high FROM ({_PD}) GROUP BY 1")
+@query("pd_bands", f"SELECT CAST(level1 AS DOUBLE) AS level1, round(quantile_cont(value, 0.05), 9) AS low, round(quantile_cont(value, 0.5), 9) AS mid, round(quantile_cont(value, 0.95), 9) AS high FROM ({_PD}) GROUP BY 1")
 def pd_bands(spark, sf_dir):
     d = dependence.partial(forest.literal(spark, order_draws()), order_rows(spark, sf_dir), [0], [_LEVELS])
-    return summaries.bands(d).select("level1", *[r(c).alias(c) for c in ("low", "mid", "high")])
+    return summaries.bands(d).select("level1", *[r(c, 9).alias(c) for c in ("low", "mid", "high")])
 
 
 @query("descending_places", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS place FROM orders")
