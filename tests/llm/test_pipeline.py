@@ -21,8 +21,11 @@ def build(spark, folder):
             words[-1] = "changed"
             text = " ".join(words)
         rows.append((i, text, lang, ["a", "b", "c", None][i % 4], len(text)))
+    rows.append((405, tongue("xx", 30_000), "xx", "b", 9))
     rows += [(400, None, "xx", "a", None), (401, "", None, None, 0), (402, "12 34 56", "yy", "b", 8), (404, "漢字かな " * 30, None, "b", 8), (None, tongue("xx", 40), "xx", "a", 9), rows[1], (5, tongue("xx", 40), "xx", "b", 1), (8, rows[2][1], "xx", "c", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # columns with names that stages use themselves
+    d.selectExpr("*", "1.5 AS score", "'c' AS class", "7L AS copies", "true AS kept", "'k' AS _c0").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 7 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return rows
 

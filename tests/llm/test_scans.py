@@ -15,7 +15,7 @@ def brute(text):
 TEXTS = [
     None, "", "...", "CC BY", "cc by cc by-sa. All Rights Reserved, general public license", "cc", "by cc", "all rights all rights reserved",
     "K cc by É", "general public", "Released under the MIT License.", "x Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated EXTRA documentation files (the Software), to deal in the Software without restriction",
-    "permission is hereby granted", "cc-by " * 400, "the license of the software " * 50,
+    "permission is hereby granted", "cc-by " * 400, "the license of the software " * 50, "words and all rights reserved words " * 12_000,
 ]
 
 

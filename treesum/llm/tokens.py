@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from treesum.llm.common import lean, tidy
 
 #: Characters of a leaf, ids of a leaf of decoding, bytes of a match above which it is encoded in halves itself.
-LEAF, LEAF_IDS, PIECE = 256, 256, 64
+LEAF, LEAF_IDS, PIECE = 512, 256, 64
 #: Characters, and tokens inside a match, on either side of a seam that a window starts with.
 WINDOW, TOKENS = 24, 4
 #: Matches a worker remembers.
