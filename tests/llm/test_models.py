@@ -20,7 +20,7 @@ def test_forward_sums_all_segmentations():
         def piece(i, j, codes=codes):
             s = 1
             for c in codes[i:j]:
-                s = int(p.next[s * p.width + c])
+                s = int(p.next[min(s, p.last) * p.width + c])
                 if not s:
                     return -1
             return int(p.piece[s])
@@ -46,7 +46,7 @@ def log_word(p, word, logw):
     for i in range(len(raw)):
         s = 1
         for j in range(i, len(raw)):
-            s = int(p.next[s * p.width + int(p.code[raw[j]])])
+            s = int(p.next[min(s, p.last) * p.width + int(p.code[raw[j]])])
             if not s:
                 break
             k = int(p.piece[s])

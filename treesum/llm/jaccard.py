@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,15 +134,15 @@ def _first(batches: Iterator[pa.RecordBatch], size: int, key: int) -> Iterator[p
 def _counted(first: DataFrame) -> np.ndarray:
     """Counts of all cells. Tasks' rows are added in two levels; what comes to the driver is CELLS numbers."""
 
-    def add(g: pd.DataFrame) -> pd.DataFrame:
+    def add(g: pa.Table) -> pa.Table:
         total = np.zeros(ROW, np.int64)
-        for kind, c in zip(g["wide"], g["counts"], strict=True):
-            total += np.frombuffer(c, np.int64 if kind else np.uint32)
-        return pd.DataFrame({"row": [g["row"].iloc[0]], "wide": [True], "counts": [total.tobytes()]})
+        for wide, c in zip(g["wide"].to_pylist(), g["counts"].to_pylist(), strict=True):
+            total += np.frombuffer(c, np.int64 if wide else np.uint32)
+        return pa.table({"row": g["row"].slice(0, 1), "wide": [True], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "row int, wide boolean, counts binary"
     rows = first.where("row is not null").select("row", F.lit(False).alias("wide"), "counts")
-    rows = rows.groupBy("row", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInPandas(add, schema).groupBy("row").applyInPandas(add, schema)
+    rows = rows.groupBy("row", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInArrow(add, schema).groupBy("row").applyInArrow(add, schema)
     out = np.zeros(CELLS, np.int64)
     for r in rows.collect():
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
@@ -230,10 +229,13 @@ def _lists(packed: DataFrame) -> DataFrame:
     entries, those of one shingle HOT at most; a flush has FLUSH, about, of at most MOST classes."""
     bits_ = np.uint64(FINE)
 
-    def count(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
-            return g
-        blocks = [np.cumsum(_unplaned(m, np.uint32), dtype=np.uint32) for m in g["marks"]]
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+
+    def count(key: tuple, g: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return g.select(names)
+        blocks = [np.cumsum(_unplaned(m, np.uint32), dtype=np.uint32) for m in g["marks"].to_pylist()]
         fine = np.concatenate(blocks)
         # blocks are sorted, so that sorting them together is merging
         order = np.argsort(fine, kind="stable")
@@ -242,18 +244,18 @@ def _lists(packed: DataFrame) -> DataFrame:
         level = np.zeros(len(fine), np.uint8)
         level[order] = np.repeat(np.minimum(254, 4 * np.log2(times)).astype(np.uint8), times)
         rows, lo = [], 0
-        for flush, block, at in zip(g["flush"], blocks, g["at"], strict=True):
+        for flush, block, at in zip(g["flush"].to_pylist(), blocks, g["at"].to_pylist(), strict=True):
             own = level[lo : lo + len(block)]
             lo += len(block)
             # 0: held once
             k = np.flatnonzero(own)
             if len(k):
-                rows.append((key[0], flush, block[k].tobytes(), _unplaned(at, np.uint16)[k].tobytes(), own[k].tobytes(), None, None))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in _PACKED.split(", ")])
+                rows.append((key[0].as_py(), flush, block[k].tobytes(), _unplaned(at, np.uint16)[k].tobytes(), own[k].tobytes(), None, None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names)
 
-    def begin_of(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def begin_of(g: pa.Table) -> pa.Table:
         marks, at, level = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
-        for b, m, a, v, c, s in zip(*(g[k] for k in ("bucket", "marks", "at", "levels", "classes", "spare")), strict=True):
+        for b, m, a, v, c, s in zip(*(g[k].to_pylist() for k in ("bucket", "marks", "at", "levels", "classes", "spare")), strict=True):
             if c is not None:
                 classes, spare = np.frombuffer(c, np.int64), np.frombuffer(s, np.int32)
             elif v is None:
@@ -272,9 +274,9 @@ def _lists(packed: DataFrame) -> DataFrame:
         begin = _runs(at)
         sizes = np.diff([*begin, len(at)])
         keep = np.arange(len(at)) - np.repeat(begin, sizes) < np.repeat(sizes, sizes) - spare[at]
-        return pd.DataFrame({"list": marks[keep].view(np.int64), "class": classes[at[keep]]})
+        return pa.table({"list": marks[keep].view(np.int64), "class": classes[at[keep]]})
 
-    return packed.groupBy("bucket").applyInPandas(count, _PACKED).groupBy("flush").applyInPandas(begin_of, "list long, class long")
+    return packed.groupBy("bucket").applyInArrow(count, _PACKED).groupBy("flush").applyInArrow(begin_of, "list long, class long")
 
 
 def possible(n: np.ndarray, m: np.ndarray) -> np.ndarray:

@@ -58,10 +58,13 @@ class Pieces:
         for i, b in enumerate(sorted(every)):
             self.code[b] = i
         width = len(every) + 1
-        # node 0: nowhere, 1: root, then all beginnings of pieces
-        starts = sorted({p[:j] for p in ok for j in range(1, len(p) + 1)})
+        # node 0: nowhere, 1: root, then all beginnings of pieces, those that go on first; all others share a row of zeros
+        starts = {p[:j] for p in ok for j in range(1, len(p) + 1)}
+        inner = {p[:-1] for p in starts if len(p) > 1}
+        starts = [*sorted(inner), *sorted(starts - inner)]
         at = {b"": 1} | {p: i for i, p in enumerate(starts, 2)}
-        table, piece_of = np.zeros((len(starts) + 2, width), np.int32), np.full(len(starts) + 2, -1, np.int32)
+        self.last = len(inner) + 2
+        table, piece_of = np.zeros((self.last + 1, width), np.int32), np.full(len(starts) + 2, -1, np.int32)
         for p in starts:
             table[at[p[:-1]], self.code[p[-1]]] = at[p]
         for n, p in enumerate(ok):
@@ -85,7 +88,7 @@ class Pieces:
         for i in range(n):
             rows, state = np.arange(m), np.ones(m, np.int64)
             for j in range(i, n):
-                state = self.next[state * self.width + codes[rows, j]]
+                state = self.next[np.minimum(state, self.last) * self.width + codes[rows, j]]
                 go = state > 0
                 rows, state = rows[go], state[go].astype(np.int64)
                 if not len(rows):
