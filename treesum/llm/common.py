@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,9 +35,8 @@ def lean(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES for what runs in this session from now on, unless it asks for less: two tasks of
     an executor hold a batch in the JVM and in Python each."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    digits = "".join(c for c in now or "" if c.isdigit())
-    if not digits or (now or "").lower().rstrip("b").endswith(("m", "g")) or int(digits) > BATCH_BYTES:
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", (spark.conf.get(key, None) or "").lower())
+    if not found or int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

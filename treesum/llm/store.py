@@ -44,6 +44,20 @@ WORDS, IDS = 500_000, 4_000_000
 BROADCAST = 1_000_000
 
 
+class _Numbers(dict):
+    """A number for each piece, in the order in which they are first asked for; new ones are noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        i = self[piece] = self.begun + len(self.new)
+        self.new.append(piece)
+        return i
+
+    begun = 0
+
+
 class WordIds:
     """Ids of a text by the tokenizers library, words encoded once each.
 
@@ -62,7 +76,7 @@ class WordIds:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.plain = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*").fullmatch
         piece = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
-        self.pieces, self.single = piece.findall, piece.fullmatch
+        self.pieces = piece.findall
         self.blanks = re.compile("[ \t\n]+").split
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         # the byte-level alphabet: bytes that show as themselves, the others from 256 on
@@ -73,63 +87,61 @@ class WordIds:
 
     def clear(self) -> None:
         """Pieces known so far, by number; where their ids begin in one flat array, with room to grow."""
-        self.at: dict[str, int] = {}
-        self.flat, self.begin, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0, 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that no step but the model would cut go to the model alone, all others through all steps."""
-        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
-        alone = [p for p in new if len(p) <= 2000 and self.single(p) and self.plain(p) and p == p.lower()]
-        cut, shown = self.model.tokenize, self.mapped.__getitem__
-        found = [[t.id for t in cut(p if p.isascii() else "".join(map(shown, p.encode())))] for p in alone]
-        self._keep(alone, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-        if len(alone) < len(new):
-            for p in new:
-                if p not in self.at:
-                    self._keep([p], *self._one(p))
-
-    def _one(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.whole.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, np.uint32), np.array([len(ids)])
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(pieces)
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        if self.n + n >= len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), n), np.int64)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[self.n + 1 : self.n + 1 + n] = self.used + np.cumsum(sizes)
-        self.at.update(zip(pieces, range(self.n, self.n + n), strict=True))
-        self.used += len(ids)
-        self.n += n
+        self.at = _Numbers()
+        self.flat, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), 0
+
+    def _numbered(self, pieces: list[str], plain: bool) -> np.ndarray:
+        """Numbers of pieces, whose ids are known then. Plain ones are lower-case pieces that only the model would cut
+        further, and go to it alone; all others go through all steps."""
+        at = self.at
+        at.new = []
+        which = np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
+        if at.new:
+            cut, shown = self.model.tokenize, self.mapped.__getitem__
+            whole = lambda p: self.whole.encode(p, add_special_tokens=False).ids
+            if plain:
+                found = [[t.id for t in cut(p if p.isascii() else "".join(map(shown, p.encode())))] if len(p) <= 2000 else whole(p) for p in at.new]
+            else:
+                found = list(map(whole, at.new))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            n, ids = at.begun + len(found), int(sizes.sum())
+            if self.used + ids > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), ids), np.uint32)])
+            if n >= len(self.begin):
+                self.begin = np.concatenate([self.begin, np.zeros(max(len(self.begin), len(found)), np.int64)])
+            self.flat[self.used : self.used + ids] = np.fromiter(chain.from_iterable(found), np.uint32, ids)
+            self.begin[at.begun + 1 : n + 1] = self.used + np.cumsum(sizes)
+            self.used += ids
+            at.begun = n
+        return which
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each has."""
-        if self.n > WORDS or self.used > IDS:
+        if self.at.begun > WORDS or self.used > IDS:
             self.clear()
-        found: list[str] = []
-        sizes, once = [], []
-        for t in texts:
-            if t and any(a in t for a in self.added):
+        known: tuple[list[str], list[str]] = ([], [])
+        sizes, plain, once = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(a in t for a in self.added):
                 own = [t]
                 once.append(t)
+            elif self.plain(t):
+                own, plain[i] = self.pieces(t.lower()), True
             else:
-                own = [] if not t else self.pieces(t.lower()) if self.plain(t) else [c for c in self.blanks(t) if c]
-            found += own
-            sizes.append(len(own))
-        which = list(map(self.at.get, found))
-        if None in which:
-            self._learn([p for p, i in zip(found, which, strict=True) if i is None])
-            which = list(map(self.at.get, found))
+                own = [c for c in self.blanks(t) if c]
+            known[int(plain[i])].extend(own)
+            sizes[i] = len(own)
+        w, of_plain = np.zeros(int(sizes.sum()), np.int64), np.repeat(plain, sizes)
+        w[of_plain], w[~of_plain] = self._numbered(known[1], True), self._numbered(known[0], False)
         # whole texts are not remembered
         for t in once:
             self.at.pop(t, None)
-        w = np.array(which, np.int64)
         lo, n = self.begin[w], self.begin[w + 1] - self.begin[w]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        docs = np.cumsum([0, *sizes])
+        docs = np.cumsum([0, *sizes.tolist()])
         upto = np.concatenate([[0], ends])
         return ids, upto[docs[1:]] - upto[docs[:-1]]
 
