@@ -35,22 +35,29 @@ from treesum.llm.common import lean, tidy
 LEAF, LEAF_IDS, PIECE = 512, 256, 64
 #: Characters, and tokens inside a match, on either side of a seam that a window starts with.
 WINDOW, TOKENS = 24, 4
-#: Matches a worker remembers.
-KNOWN = 200_000
+#: Matches of a generation that a worker remembers; it remembers two.
+KNOWN = 150_000
 
 
 class _Known(dict):
-    """Ids by match; a match not seen before is encoded, and kept unless it is long."""
+    """Ids by match; a match not seen before is encoded, and kept unless it is long. Those of the generation before are
+    kept while they are asked for."""
 
     def __init__(self, encode, longest: int):
-        self.encode, self.longest = encode, longest
+        self.encode, self.longest, self.before = encode, longest, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encode(piece.encode())
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = tuple(self.encode(piece.encode()))
         if len(piece) <= self.longest:
             self[piece] = ids
         return ids
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 class TreeBPE:
     """Encoder and decoder over a rank file that tiktoken reads; pattern must be one whose matches end where _SAFE says."""
@@ -65,6 +72,10 @@ class TreeBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        # the rank that two neighbours merge to, by both of theirs; ranks have 20 bits
+        rank = self.ranks.get
+        self.byte = [rank(bytes([b])) for b in range(256)]
+        self.merged = {a << 20 | b: r for k, r in self.ranks.items() for i in range(1, len(k)) if (a := rank(k[:i])) is not None and (b := rank(k[i:])) is not None}
         self.split = regex.compile(pattern).findall
         self.before, self.after = regex.compile("(?r)" + self._SAFE).search, regex.compile(self._SAFE).search
         self.leaf, self.piece = leaf, piece
@@ -74,12 +85,13 @@ class TreeBPE:
     # text level
 
     def forget(self) -> None:
-        self.known.clear()
+        self.known.turn()
+        self.known.before = {}
         self.pair.cache_clear()
 
     def encode(self, text: str) -> list[int]:
         if len(self.known) > KNOWN:
-            self.known.clear()
+            self.known.turn()
         return self._encode(text, 0, len(text))
 
     def _encode(self, text: str, lo: int, hi: int) -> list[int]:
@@ -134,24 +146,24 @@ class TreeBPE:
 
     def _merge(self, piece: bytes) -> list[int]:
         """The neighbours of least rank are merged until none has one."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        none = len(ranks) + 1
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        costs = [ranks.get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        one = self.ranks.get(piece)
+        if one is not None:
+            return [one]
+        merged, none = self.merged.get, len(self.ranks) + 1
+        parts = [self.byte[b] for b in piece]
+        costs = [merged(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while costs:
             least = min(costs)
             if least == none:
                 break
             i = costs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del costs[i]
+            parts[i] = least
+            del parts[i + 1], costs[i]
             if i < len(costs):
-                costs[i] = ranks.get(parts[i] + parts[i + 1], none)
+                costs[i] = merged(least << 20 | parts[i + 1], none)
             if i:
-                costs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-        return [ranks[p] for p in parts]
+                costs[i - 1] = merged(parts[i - 1] << 20 | least, none)
+        return parts
 
     def _pair(self, a: int, b: int) -> bool:
         return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
