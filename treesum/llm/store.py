@@ -39,7 +39,7 @@ from treesum.llm.common import drop, drop_path, lean, stage, stage_path, tidy
 WINDOW, LEAST, MOST, MASK = 16, 128, 4096, 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct pieces a worker remembers, and their ids.
-WORDS, IDS = 500_000, 4_000_000
+WORDS, IDS = 1_000_000, 8_000_000
 #: Row numbers that are broadcast at most; above, they are joined by shuffle.
 BROADCAST = 1_000_000
 
@@ -246,9 +246,10 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     spark, path = docs.sparkSession, path or default_vocabulary()
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     staged = stage_path(spark, "ids")
-    zstd = lambda df: df.write.option("compression", "zstd")
+    # payloads are nearly as dense as they get: they are written as they are, but for a quick pass
+    zstd, quick = (lambda df, c=c: df.write.option("compression", c) for c in ("zstd", "snappy"))
     lean(spark)
-    zstd(d.mapInArrow(lambda it: tidy(_chunked(it, path, end), word_ids(path).clear), _ROWS)).parquet(staged)
+    quick(d.mapInArrow(lambda it: tidy(_chunked(it, path, end), word_ids(path).clear), _ROWS)).parquet(staged)
     rows = spark.read.schema(_ROWS).parquet(staged)
     # of chunks with one hash the first row is kept; payloads are not shuffled for it while the row numbers of repeated
     # chunks are few enough to be broadcast, by count
@@ -257,7 +258,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
     again = stage(keys.join(first, "hash").select("row", (F.col("row") == F.col("first")).alias("kept")), "again")
     again_ = F.broadcast(again) if again.count() <= BROADCAST else again
     unique = rows.join(again_, "row", "left").where("coalesce(kept, true)")
-    zstd(unique.select("hash", "n", "payload", "root", "seq", F.col("kept").isNotNull().alias("shared"))).parquet(f"{folder}/chunks")
+    quick(unique.select("hash", "n", "payload", "root", "seq", F.col("kept").isNotNull().alias("shared"))).parquet(f"{folder}/chunks")
     # rows of documents with one root name the same places
     zstd(rows.select("hash", "root", "seq", "row").join(again_, "row").where("not kept").select("hash", "root", "seq").distinct()).parquet(f"{folder}/places")
     drop(again)
