@@ -14,10 +14,11 @@ Vectors link when their labels are equal and their cosine is at least THRESHOLD,
 3. Audit. Each label of at least a SHARE of the nodes, and all others together, are audited by themselves: a sample of
    nodes (AUDIT of them, by hash, more until SEEN pairs within the link angle or PROBES nodes are reached) is compared
    with all nodes by brute force. Where the lists hold less than RECALL of the pairs, more hyperplane codes are added and
-   refined.
-4. Rest. Nodes whose lists stay saturated, and all nodes of labels that fail the last audit or have too few pairs for
-   it to measure, are compared with every ball of their label in double precision, in blocks; only counts and the edges
-   of spanning forests come out.
+   refined. Labels in which so many probes see fewer than SEEN pairs are thin: they get a second set of codes in any case,
+   each set dealing a pair at the link angle into one leaf with probability RECALL at least.
+4. Rest. Nodes whose lists stay saturated, all nodes of labels that fail the last audit, and of thin labels of at most FEW
+   nodes, are compared with every ball of their label in double precision, in blocks; only counts and the edges of
+   spanning forests come out.
 5. Edges. Listed pairs that may link are settled exactly: both balls wholly within the angle (counted by size), wholly
    outside, or member by member in double precision. Components run over nodes.
 
@@ -29,6 +30,7 @@ vector; a null id has no component and is kept; an empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,10 +43,12 @@ from treesum.llm.common import components, stage
 THRESHOLD = 0.93
 LEAF, TABLES, LIST, ROUNDS = 256, 8, 10, 4
 #: Size at which lists double no more and their nodes are settled exactly; bytes of vectors held against the rest at once.
-LONG, CHUNK = 160, 32 << 20
+LONG, CHUNK = 160, 8 << 20
 AUDIT, RECALL, AGAIN = 256, 0.98, 3
 #: True pairs an audit has to see, nodes it probes at most for them, and the share of nodes of a label audited by itself.
-SEEN, PROBES, SHARE = 200, 2048, 1 / 16
+SEEN, PROBES, SHARE = 100, 2048, 1 / 16
+#: Nodes of a thin label up to which it is compared as a whole.
+FEW = 2048
 #: What float16 centres may be off by, as an angle; what double precision may.
 COARSE, FINE = 0.06, 1e-7
 
@@ -229,14 +233,32 @@ def grouped(light: DataFrame, total: int) -> tuple[DataFrame, int]:
     return light.join(F.broadcast(names), ["label", "dim"], "left").withColumn("grp", F.coalesce("grp", F.lit(0))), len(hot) + 1
 
 
-def audit(light: DataFrame, lists: DataFrame, theta: float, groups: list[int]) -> dict[int, float | None]:
-    """For each of groups, the share of the pairs within the link angle that the lists hold, for a sample of its nodes
-    against all; None where the sample saw too few pairs to tell. light has a column grp. The samples, which are
+@dataclass
+class Audit:
+    """What the probes of a group saw: pairs, how many of them the lists hold, and whether all nodes were probed."""
+
+    pairs: int
+    held: int
+    whole: bool
+    nodes: int
+
+    @property
+    def missing(self) -> bool:
+        return self.held < RECALL * self.pairs
+
+    @property
+    def thin(self) -> bool:
+        return self.pairs < SEEN and not self.whole
+
+
+def audit(light: DataFrame, lists: DataFrame, theta: float, groups: list[int]) -> dict[int, Audit]:
+    """For each of groups, pairs within the link angle of a sample of its nodes and all others, and how many of them the
+    lists hold. light has a column grp. The samples, which are
     broadcast, hold about AUDIT nodes a group, four times as many in each further round up to PROBES; a group that is
     probed whole is measured, whatever it holds."""
     nodes_in = {x["grp"]: x["count"] for x in light.where(F.col("grp").isin(groups)).groupBy("grp").count().collect()}
     known = lists.select("u", "v").union(lists.select(F.col("v"), F.col("u"))).distinct().withColumn("known", F.lit(1))
-    out: dict[int, float | None] = {g: 1.0 for g in groups if g not in nodes_in}
+    out = {g: Audit(0, 0, True, 0) for g in groups if g not in nodes_in}
     want = AUDIT
     while len(out) < len(groups):
         share = {g: min(1.0, want / nodes_in[g]) for g in groups if g not in out}
@@ -259,10 +281,8 @@ def audit(light: DataFrame, lists: DataFrame, theta: float, groups: list[int]) -
         seen = {x["grp"]: (x["n"], x["hit"]) for x in true.join(known, ["u", "v"], "left").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("hit")).collect()}
         for g, x in share.items():
             n, hit = seen.get(g, (0, 0))
-            if n >= SEEN or x == 1.0:
-                out[g] = hit / n if n else 1.0
-            elif want >= PROBES:
-                out[g] = None
+            if n >= SEEN or x == 1.0 or want >= PROBES:
+                out[g] = Audit(n, hit, x == 1.0, nodes_in[g])
         want = min(4 * want, max(PROBES, AUDIT))
     return out
 
@@ -372,20 +392,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     heavy = stage(nodes(alone, theta, reps.count()), "balls")
     count = heavy.count()
     light, n = grouped(heavy.select("id", "label", "dim", "r", "centre"), count)
-    bits, lists, size, done, shares, todo = _bits(count), None, None, 1, {}, list(range(n))
-    for _ in range(AGAIN):
+    bits, lists, size, done, audits, todo = _bits(count), None, None, 1, {}, list(range(n))
+    for k in range(AGAIN):
         tables = _tables(bits, theta)
         start = _leaves(light.where(F.col("grp").isin(todo)), range(done, done + tables), bits, LIST // 2)
         done += tables
         lists, size = refine(light, start if lists is None else start.unionByName(lists), theta, size)
         dense = stage(_saturated(lists, size, theta).where("hot").select(F.col("u").alias("id")), "dense")
-        shares |= audit(light.join(dense, "id", "left_anti"), lists, theta, todo)
-        # further tables are for groups that are known to miss links; one that could not be measured is settled exactly
-        todo = [g for g, x in shares.items() if x is not None and x < RECALL]
+        audits |= audit(light.join(dense, "id", "left_anti"), lists, theta, todo)
+        todo = [g for g, x in audits.items() if x.missing or k == 0 and x.thin and x.nodes > FEW]
         if not todo:
             break
-    rest = [g for g, x in shares.items() if x is None or x < RECALL]
-    exact = dense.union(light.where(F.col("grp").isin(rest)).select("id")).distinct()
+    rest = [g for g, x in audits.items() if x.missing or x.thin and x.nodes <= FEW]
+    exact = stage(dense.union(light.where(F.col("grp").isin(rest)).select("id")).distinct(), "exact")
     more = _exactly(heavy, exact, threshold)
     pairs = lists.where(F.col("gap") <= theta + COARSE).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     if more is not None:
@@ -395,7 +414,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = stage(both.select("x", "y").mapInArrow(lambda it: _settle(it, threshold, theta), _FOUND), "links")
     found = found if more is None else found.unionByName(more)
     whole = components(found.where("kind = 'edge'").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    balls = heavy.select("id", "w", "low", "members").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    balls = stage(heavy.select("id", "w", "low", "members").join(whole, "id", "left").withColumn("component", F.coalesce("component", "id")), "joined")
     lowest = balls.groupBy("component").agg(F.min("low").alias("component_id"))
     per_ball = found.where("kind = 'ball'").groupBy("id").agg(F.sum("n").alias("more"))
     per_one = found.where("kind = 'one'").groupBy(F.col("id").alias("vec_id")).agg(F.sum("n").alias("own"))
