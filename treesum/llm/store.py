@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -271,27 +271,46 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch], width: int, sums: bool) -> Iterator[pa.RecordBatch]:
-    """(root, parts, hashes) to (root, n, ids as little-endian unsigned 32-bit integers, or their crc32 alone), checked."""
+    """(root, seq, payload, hashes), sorted, a recipe (seq -1) before the chunks of each document, to (root, n, ids as
+    little-endian unsigned 32-bit integers, or their crc32 alone), checked."""
+    done: tuple[list, list, list] = ([], [], [])
+    root, hashes, own = None, None, []
+
+    def close() -> None:
+        if root is None:
+            return
+        if hashes is None or merkle(hashes) != root:
+            raise ValueError(f"document {root.hex()} does not match its root")
+        for h, p in zip_longest(hashes, own):
+            if p is None or h is None or digest(p) != h:
+                raise ValueError(f"chunk {(h or root).hex()} is missing or does not match its hash")
+        ids = np.frombuffer(b"".join(own), f"<u{width}").astype("<u4")
+        done[0].append(root)
+        done[1].append(len(ids))
+        done[2].append(zlib.crc32(ids) if sums else ids.tobytes())
+
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(done[0], pa.binary()), pa.array(done[1], pa.int64()), pa.array(done[2], pa.int64() if sums else pa.binary())], ["root", "n", "crc32" if sums else "ids"])
+        for c in done:
+            c.clear()
+        return out
+
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
-            sizes = [len(x) for x in part.column(1)]
-            flat = part.column(1).flatten()
-            seq, payloads = flat.field(0).to_pylist(), flat.field(1).to_pylist()
-            roots, ns, out, at = part.column(0).to_pylist(), [], [], 0
-            for root, size, hashes in zip(roots, sizes, part.column(2).to_pylist(), strict=True):
-                found = dict(zip(seq[at : at + size], payloads[at : at + size], strict=True))
-                at += size
-                if hashes is None or merkle(hashes) != root:
-                    raise ValueError(f"document {root.hex()} does not match its root")
-                own = [found.get(i) for i in range(len(hashes))]
-                for h, p in zip(hashes, own, strict=True):
-                    if p is None or digest(p) != h:
-                        raise ValueError(f"chunk {h.hex()} is missing or does not match its hash")
-                ids = np.frombuffer(b"".join(own), f"<u{width}").astype("<u4")
-                ns.append(len(ids))
-                out.append(zlib.crc32(ids) if sums else ids.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(ns, pa.int64()), pa.array(out, pa.int64() if sums else pa.binary())], ["root", "n", "crc32" if sums else "ids"])
+        for lo in range(0, batch.num_rows, 2048):
+            for r, seq, payload, listed in zip(*(c.to_pylist() for c in batch.slice(lo, 2048).columns), strict=True):
+                if r != root:
+                    close()
+                    root, hashes, own = r, None, []
+                if seq < 0:
+                    hashes = listed
+                # documents with one root name the same places; where one is left out, the next does not fit its hash
+                elif seq >= len(own):
+                    own.append(payload)
+            if done[0]:
+                yield rows()
+    close()
+    if done[0]:
+        yield rows()
 
 
 def check_manifest(spark: SparkSession, folder: str) -> None:
@@ -310,8 +329,8 @@ def documents(spark: SparkSession, folder: str, width: int = 2, sums: bool = Fal
     pieces = chunks.select(*one(root=F.col("root"), seq=F.col("seq"), payload=F.col("payload")))
     other = spark.read.parquet(f"{folder}/places").join(chunks.where("shared").select("hash", "payload"), "hash")
     other = other.select(*one(root=F.col("root"), seq=F.col("seq"), payload=F.col("payload")))
-    recipes = spark.read.parquet(f"{folder}/recipes").select(*one(root=F.col("root"), hashes=F.col("hashes")))
-    whole = pieces.unionByName(other).unionByName(recipes).groupBy("root").agg(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "payload"))).alias("parts"), F.first("hashes", ignorenulls=True).alias("hashes"))
+    recipes = spark.read.parquet(f"{folder}/recipes").select(*one(root=F.col("root"), seq=F.lit(-1), hashes=F.col("hashes")))
+    whole = pieces.unionByName(other).unionByName(recipes).repartition("root").sortWithinPartitions("root", "seq")
     return whole.mapInArrow(lambda it: _rebuilt(it, width, sums), "root binary, n long, " + ("crc32 long" if sums else "ids binary"))
 
 
