@@ -46,7 +46,7 @@ LEAF, TABLES, LIST, ROUNDS = 256, 8, 10, 4
 LONG, CHUNK = 160, 8 << 20
 AUDIT, RECALL, AGAIN = 256, 0.98, 3
 #: True pairs an audit has to see, nodes it probes at most for them, and the share of nodes of a label audited by itself.
-SEEN, PROBES, SHARE = 100, 2048, 1 / 16
+SEEN, PROBES, SHARE = 50, 2048, 1 / 16
 #: Nodes of a thin label up to which it is compared as a whole.
 FEW = 2048
 #: What float16 centres may be off by, as an angle; what double precision may.
