@@ -42,12 +42,14 @@ def lean(spark: SparkSession) -> None:
 
 def tidy(batches: Iterator, *then: Callable) -> Iterator:
     """batches, and when they end, or the task does, what remembers words is cleared and memory goes back to the system:
-    workers are used again by other tasks."""
+    workers are used again by other tasks. Until then nothing looks for cycles, of which these tasks make none."""
+    gc.disable()
     try:
         yield from batches
     finally:
         for f in then:
             f()
+        gc.enable()
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):

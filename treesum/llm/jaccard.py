@@ -42,7 +42,7 @@ SHINGLE, SHARE = 5, 75
 CELLS, ROW = 1 << 18, 1 << 12
 #: Shingles of one bucket, about, and bits of a shingle inside it; shingles and classes a task gathers before it sends
 #: them; documents that may hold a shingle above which it counts as common without being dealt to one bucket.
-BUCKET, FINE, FLUSH, MOST, HOT = 1 << 19, 28, 1 << 19, 60_000, 1 << 16
+BUCKET, FINE, FLUSH, MOST, HOT = 1 << 20, 28, 1 << 19, 60_000, 1 << 16
 #: Negative buckets.
 PASSED = 1024
 #: Ids that are broadcast at most, above, they are joined by shuffle; classes of a star that meet their leader in a task.
@@ -473,14 +473,22 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
+def _few(staged: DataFrame) -> DataFrame:
+    """A staged table of numbers, to be broadcast while it has few rows, by count: whole sets are then not shuffled to it."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST else staged
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes and their leaders that link, staged. A leader of many is dealt to several tasks."""
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("parts"))
     members = pairs.join(many, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("salt"), F.lit(False).alias("first"), F.col("a").alias("class"))
     leaders = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("first"), F.col("b").alias("class"))
-    rows = members.unionByName(leaders).join(sets, "class").select("b", "salt", "first", "class", "set")
+    asked = stage(members.unionByName(leaders), "asked")
+    rows = sets.join(_few(asked), "class").select("b", "salt", "first", "class", "set")
     dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.desc("first"))
-    return stage(dealt.mapInArrow(_linked, "a long, b long"), "linked")
+    out = stage(dealt.mapInArrow(_linked, "a long, b long"), "linked")
+    drop(asked)
+    return out
 
 
 def _bitmaps(sets: DataFrame) -> DataFrame:
@@ -584,15 +592,16 @@ def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
     star = open_.select("leader", "class", "comp")
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / SHARE))).cast("int")
     # sizes of linked sets lie in one band or in neighbours: a class stands in its own group and in the next
-    maps = _bitmaps(sets.join(star.select("class").distinct(), "class", "left_semi"))
+    inside = stage(star.select("class").distinct(), "inside")
+    maps = _bitmaps(sets.join(_few(inside), "class", "left_semi"))
     met = star.join(maps.select("class", "n"), "class").withColumn("band", band).withColumn("group", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     names = [x.split()[0] for x in _MEMBER.split(", ")]
     whole_groups = stage(met, "met")
     met = stage(_tiled(whole_groups).select(*names), "members")
     dealt_by = lambda m: m.repartition(*_KEY).sortWithinPartitions(*_KEY)
     live = stage(dealt_by(met.join(maps.select("class", "bits"), "class").select(*names, "bits")).mapInArrow(_live, _MEMBER), "live")
-    links = links.union(stage(dealt_by(live.join(sets, "class").select(*names, "set")).mapInArrow(_settled, "a long, b long"), "settled"))
-    drop(met, whole_groups, live, sets, maps, stars, open_)
+    links = links.union(stage(dealt_by(sets.join(_few(live), "class").select(*names, "set")).mapInArrow(_settled, "a long, b long"), "settled"))
+    drop(met, whole_groups, live, inside, sets, maps, stars, open_)
     joined = components(links).select(F.col("id").alias("class"), "component")
     named = classes.select("class", "key", "mark", "low").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
