@@ -43,6 +43,7 @@ class Node:
     left: Node | None = None
     right: Node | None = None
     mean: float = 0.0
+    n: int = 0
     rows: np.ndarray | None = field(default=None, repr=False)
 
     @property
@@ -64,23 +65,79 @@ def walk(n: Node):
         yield from walk(n.right)
 
 
+class Proposal:
+    """A move of the subtree at node: places (node, var, cut, left, right) that change, and the log odds of it without the
+    likelihood."""
+
+    def __init__(self, node: Node, places: list[tuple]):
+        self.node, self.new, self.odds = node, places, 0.0
+        self.old = [(x, x.var, x.cut, x.left, x.right) for x, *_ in places]
+
+    def apply(self) -> None:
+        for x, *rest in self.new:
+            x.var, x.cut, x.left, x.right = rest
+
+    def undo(self) -> None:
+        for x, *rest in self.old:
+            x.var, x.cut, x.left, x.right = rest
+
+
+def keyed_uniforms(key: tuple, ids: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each id, the same wherever the row is; by the finaliser of splitmix64 (fixed constants)."""
+    h = ids.astype(np.int64).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for k in key:
+            h = h + np.uint64(k & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def latents(y: np.ndarray, fit: np.ndarray, weight: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Normal with mean fit and sd 1 / sqrt(weight), on the side of zero that y says, by the inverse distribution at u."""
+    sign, sd = 2 * y - 1, 1 / np.sqrt(weight)
+    m = sign * fit / sd
+    upper = phi(m)
+    x = -phi_inverse(np.maximum(u * upper, 1e-300)) + m
+    # far in the tail: exponential steps from the bound
+    far = m < -6
+    x[far] = -np.log(np.maximum(u[far], 1e-300)) / -m[far]
+    return sign * np.maximum(x, 1e-12) * sd
+
+
 class Chain:
-    def __init__(self, bins: np.ndarray, n_cuts: np.ndarray, y: np.ndarray, weight: np.ndarray, settings: Settings, sigma: float, seed: int, chain: int, offset: np.ndarray | None = None):
-        """bins (rows, variables); y on the scale of the trees, or 0/1 for a binary response."""
+    def __init__(self, bins: np.ndarray, n_cuts: np.ndarray, y: np.ndarray, weight: np.ndarray, settings: Settings, sigma: float, seed: int, chain: int, offset: np.ndarray | None = None, ids: np.ndarray | None = None):
+        """bins (rows, variables); y on the scale of the trees, or 0/1 for a binary response; ids: keys of the rows' own
+        random numbers."""
         self.s, self.bins, self.n_cuts = settings, bins, np.asarray(n_cuts)
-        self.r = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), chain]))
         self.n, self.p = bins.shape
+        self.ids = np.arange(self.n) if ids is None else ids
+        self.start(settings, sigma, seed, chain)
         self.y, self.w, self.weighted = y.astype(float), weight.astype(float), bool((weight != 1).any())
         self.offset = np.zeros(self.n) if offset is None else offset.astype(float)
-        self.sigma, self.k = (1.0 if settings.binary or settings.fixed_sigma and sigma is None else sigma), settings.k
-        self.roots = [Node(rows=np.arange(self.n)) for _ in range(settings.trees)]
         self.fits = np.zeros((settings.trees, self.n))
         self.total = np.zeros(self.n)
         self.z = 2 * self.y - 1 if settings.binary else self.y
-        self.accepted = 0
+        self.place()
         if settings.prior_trees:
             self.draw_trees_from_prior()
 
+    def start(self, settings: Settings, sigma: float, seed: int, chain: int) -> None:
+        self.chain, self.accepted, self.sweeps = chain, 0, 0
+        self.reseed(seed)
+        self.sigma, self.k = (1.0 if settings.binary or settings.fixed_sigma and sigma is None else sigma), settings.k
+        self.roots = [Node() for _ in range(settings.trees)]
+
+    def reseed(self, seed: int) -> None:
+        self.seed = seed & (2**64 - 1)
+        self.r = self.stream(0, 0)
+
+    def stream(self, step: int, sweep: int) -> np.random.Generator:
+        """Random numbers of one step of a sweep: tree t has step t + 1, what follows the trees step 0. None are moved by
+        what other steps draw, so a chain goes on from its trees, sigma, k and the number of its sweeps."""
+        return np.random.Generator(np.random.Philox(key=[self.seed, self.chain], counter=[0, 0, step, sweep]))
+
     # priors
 
     def spans(self, node: Node) -> tuple[np.ndarray, np.ndarray]:
@@ -167,44 +224,31 @@ class Chain:
     def birth_probability(self, root: Node, birthable: list[Node]) -> float:
         return 0.0 if not birthable else 1.0 if root.leaf else self.s.p_birth
 
-    def birth_death(self, root: Node, target: np.ndarray) -> None:
+    def birth_death(self, root: Node) -> Proposal | None:
         can = self.birthable(root)
         pb = self.birth_probability(root, can)
         if self.r.random() < pb:
             node = can[int(self.r.integers(len(can)))]
             g = self.grow_probability(node)
-            var, cut = self.draw_rule(node)
-            old = self.leaf_lik(node.rows, target)
-            node.var, node.cut = var, cut
-            a, b = self.part(node.rows, var, cut)
-            node.left, node.right = Node(parent=node, rows=a), Node(parent=node, rows=b)
+            new = Proposal(node, [(node, *self.draw_rule(node), Node(parent=node), Node(parent=node))])
+            new.apply()
             prior = math.log(g) + math.log1p(-self.grow_probability(node.left)) + math.log1p(-self.grow_probability(node.right)) - math.log1p(-g)
             back = (1 - self.birth_probability(root, self.birthable(root))) / len(self.killable(root))
-            ratio = prior + math.log(max(back, 1e-300)) - math.log(pb / len(can)) + self.leaf_lik(a, target) + self.leaf_lik(b, target) - old
-            if math.log(self.r.random()) >= ratio:
-                node.left = node.right = None
-                node.var = node.cut = -1
-            else:
-                self.accepted += 1
-        else:
-            dead = self.killable(root)
-            if not dead:
-                return
-            node = dead[int(self.r.integers(len(dead)))]
-            left, right, var, cut = node.left, node.right, node.var, node.cut
-            prior = math.log1p(-self.grow_probability(left)) + math.log1p(-self.grow_probability(right))
-            old = self.leaf_lik(left.rows, target) + self.leaf_lik(right.rows, target)
-            forth = (1 - pb) / len(dead)
-            node.left = node.right = None
-            node.var = node.cut = -1
-            g = self.grow_probability(node)
-            can = self.birthable(root)
-            back = self.birth_probability(root, can) / max(1, len(can))
-            ratio = math.log1p(-g) - math.log(g) - prior + math.log(max(back, 1e-300)) - math.log(forth) + self.leaf_lik(node.rows, target) - old
-            if math.log(self.r.random()) >= ratio:
-                node.left, node.right, node.var, node.cut = left, right, var, cut
-            else:
-                self.accepted += 1
+            new.odds = prior + math.log(max(back, 1e-300)) - math.log(pb / len(can))
+            new.undo()
+            return new
+        dead = self.killable(root)
+        if not dead:
+            return None
+        node = dead[int(self.r.integers(len(dead)))]
+        prior = math.log1p(-self.grow_probability(node.left)) + math.log1p(-self.grow_probability(node.right))
+        new = Proposal(node, [(node, -1, -1, None, None)])
+        new.apply()
+        g, can = self.grow_probability(node), self.birthable(root)
+        back = self.birth_probability(root, can) / max(1, len(can))
+        new.odds = math.log1p(-g) - math.log(g) - prior + math.log(max(back, 1e-300)) - math.log((1 - pb) / len(dead))
+        new.undo()
+        return new
 
     def good_cuts(self, node: Node, var: int) -> tuple[int, int]:
         """Cuts of var at node that leave the subtree's rules on var valid."""
@@ -218,62 +262,64 @@ class Chain:
                 hi = min(hi, x.cut - 1)
         return lo, hi
 
-    def change(self, root: Node, target: np.ndarray) -> None:
+    def change(self, root: Node) -> Proposal | None:
         inner = [x for x in walk(root) if not x.leaf]
         if not inner:
-            return
+            return None
         node = inner[int(self.r.integers(len(inner)))]
         lo, hi = self.spans(node)
         q = self.variable_probabilities(lo, hi)
         var = int(self.r.choice(self.p, p=q))
         a, b = self.good_cuts(node, var)
         if a > b:
-            return
+            return None
         cut = int(self.r.integers(a, b + 1))
         c, d = self.good_cuts(node, node.var)
         forth, back = math.log(q[var] / (b - a + 1)), math.log(q[node.var] / (d - c + 1))
-        self.propose(root, node, target, [(node, var, cut)], (back - forth) if self.s.hastings == "exact" else 0.0)
+        return self.other_rules(node, [(node, var, cut)], (back - forth) if self.s.hastings == "exact" else 0.0)
 
-    def swap(self, root: Node, target: np.ndarray) -> None:
+    def swap(self, root: Node) -> Proposal | None:
         parents = [x for x in walk(root) if not x.leaf and not (x.left.leaf and x.right.leaf)]
         if not parents:
-            return
+            return None
         node = parents[int(self.r.integers(len(parents)))]
         inner = [x for x in (node.left, node.right) if not x.leaf]
         both = len(inner) == 2 and (inner[0].var, inner[0].cut) == (inner[1].var, inner[1].cut)
         child = inner[int(self.r.integers(len(inner)))]
         new = [(node, child.var, child.cut)] + [(x, node.var, node.cut) for x in (inner if both else [child])]
-        if both:
-            self.propose(root, node, target, new, 0.0)
-            return
         # after the swap the same child must be as likely to be drawn
-        self.propose(root, node, target, new, 0.0)
-
-    def propose(self, root: Node, node: Node, target: np.ndarray, rules: list[tuple], correction: float) -> None:
-        old_prior, old_lik = self.log_prior(node), self.sub_lik(node, target)
-        before = [(x, x.var, x.cut) for x, _, _ in rules]
-        kept = [(x, x.rows) for x in walk(node)]
-        for x, v, c in rules:
-            x.var, x.cut = v, c
+        return self.other_rules(node, new, 0.0)
+
+    def other_rules(self, node: Node, rules: list[tuple], correction: float) -> Proposal | None:
+        """None if the prior rules them out."""
+        old = self.log_prior(node)
+        new = Proposal(node, [(x, v, c, x.left, x.right) for x, v, c in rules])
+        new.apply()
         prior = self.log_prior(node)
-        if prior > -math.inf:
-            self.reroute(node, node.rows)
-            if math.log(self.r.random()) < prior - old_prior + self.sub_lik(node, target) - old_lik + correction:
-                self.accepted += 1
-                return
-        for x, v, c in before:
-            x.var, x.cut = v, c
-        for x, rows in kept:
-            x.rows = rows
+        new.undo()
+        new.odds = prior - old + correction
+        return new if prior > -math.inf else None
 
-    def jump(self, root: Node, target: np.ndarray) -> None:
+    def proposal(self, root: Node) -> Proposal | None:
+        """A move, drawn from the tree alone: no data are looked at."""
         u = self.r.random()
         if u < self.s.p_birth_death:
-            self.birth_death(root, target)
-        elif u < self.s.p_birth_death + self.s.p_swap:
-            self.swap(root, target)
-        else:
-            self.change(root, target)
+            return self.birth_death(root)
+        return self.swap(root) if u < self.s.p_birth_death + self.s.p_swap else self.change(root)
+
+    def jump(self, root: Node, target: np.ndarray) -> None:
+        new = self.proposal(root)
+        if new is None:
+            return
+        kept, old = [(x, x.rows) for x in walk(new.node)], self.sub_lik(new.node, target)
+        new.apply()
+        self.reroute(new.node, new.node.rows)
+        if math.log(self.r.random()) < new.odds + self.sub_lik(new.node, target) - old:
+            self.accepted += 1
+            return
+        new.undo()
+        for x, rows in kept:
+            x.rows = rows
 
     def draw_leaves(self, root: Node, target: np.ndarray, out: np.ndarray) -> None:
         a, s2 = self.precision, self.sigma**2
@@ -288,18 +334,25 @@ class Chain:
     # sweeps
 
     def sweep(self) -> None:
+        self.sweeps += 1
         if self.s.binary:
-            self.draw_latents()
+            self.z = latents(self.y, self.total + self.offset, self.w, keyed_uniforms((self.seed, self.chain, self.sweeps), self.ids))
         y = self.z - self.offset if self.s.binary else self.y
         for t, root in enumerate(self.roots):
+            self.r = self.stream(t + 1, self.sweeps)
             target = y - (self.total - self.fits[t])
             self.total -= self.fits[t]
             self.jump(root, target)
             self.draw_leaves(root, target, self.fits[t])
             self.total += self.fits[t]
+        self.r = self.stream(0, self.sweeps)
+        e = y - self.total
+        self.draw_scales(self.w @ (e * e))
+
+    def draw_scales(self, squares: float) -> None:
+        """sigma from the weighted squares of the residuals, k from the leaves."""
         if not (self.s.binary or self.s.fixed_sigma):
-            e = y - self.total
-            self.sigma = math.sqrt((self.s.df * self.s.scale + self.w @ (e * e)) / self.r.chisquare(self.s.df + self.n))
+            self.sigma = math.sqrt((self.s.df * self.s.scale + squares) / self.r.chisquare(self.s.df + self.n))
         if self.s.k_chi:
             nu, scale = self.s.k_chi
             m = np.array([x.mean for root in self.roots for x in walk(root) if x.leaf])
@@ -307,32 +360,26 @@ class Chain:
             rate = 0.5 * (self.s.trees * (m @ m) / self.s.node_scale**2 + (0 if math.isinf(scale) else 1 / scale**2))
             self.k = math.sqrt(self.r.gamma(shape, 1 / rate))
 
-    def draw_latents(self) -> None:
-        """Normal with mean fit + offset and sd 1 / sqrt(w), on the side of zero that y says, by the inverse distribution."""
-        sign, sd = 2 * self.y - 1, 1 / np.sqrt(self.w)
-        m = sign * (self.total + self.offset) / sd
-        u = self.r.random(self.n)
-        upper = phi(m)
-        x = -phi_inverse(np.maximum(u * upper, 1e-300)) + m
-        # far in the tail: exponential steps from the bound
-        far = m < -6
-        x[far] = -np.log(np.maximum(u[far], 1e-300)) / -m[far]
-        self.z = sign * np.maximum(x, 1e-12) * sd
-
     # prior draws
 
-    def draw_trees_from_prior(self) -> None:
+    def grow_from_prior(self) -> None:
+        """Trees drawn from the prior, whatever the rows."""
+
         def grow(x: Node) -> None:
             if self.r.random() < self.grow_probability(x):
                 x.var, x.cut = self.draw_rule(x)
-                a, b = self.part(x.rows, x.var, x.cut)
-                x.left, x.right = Node(parent=x, rows=a), Node(parent=x, rows=b)
+                x.left, x.right = Node(parent=x), Node(parent=x)
                 grow(x.left)
                 grow(x.right)
 
-        self.roots = [Node(rows=np.arange(self.n)) for _ in range(self.s.trees)]
+        self.roots = [Node() for _ in range(self.s.trees)]
         for root in self.roots:
             grow(root)
+
+    def draw_trees_from_prior(self) -> None:
+        self.grow_from_prior()
+        for root in self.roots:
+            self.reroute(root, np.arange(self.n))
             self.collapse(root)
         self.refresh()
 

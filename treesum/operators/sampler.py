@@ -101,7 +101,7 @@ def run_chain(g: pd.DataFrame, chain: int, control: Control, p: Prepared, tau_sc
     x, y0, w, off = np.array(g["x"].tolist(), float), g["y"].to_numpy(float), g["weight"].to_numpy(float), g["offset"].to_numpy(float)
     grouped = tau_scale is not None
     y = y0 if p.binary else (y0 - off - p.lo) / p.span - 0.5
-    c = Chain(bins(x, p.cuts), np.array([len(k) for k in p.cuts]), y, w, p.settings, p.sigma, control.seed, chain, off if p.binary else None)
+    c = Chain(bins(x, p.cuts), np.array([len(k) for k in p.cuts]), y, w, p.settings, p.sigma, control.seed, chain, off if p.binary else None, g["row_id"].to_numpy(np.int64))
     out: list[tuple] = []
     if grouped:
         levels, code = np.unique(g["g"].astype(str).to_numpy(), return_inverse=True)
@@ -274,14 +274,19 @@ def _normal(*parts) -> F.Column:
 
 def fit(frame: DataFrame, control: Control = PRESETS["modern"], tree_prior: stats.TreePrior = stats.TreePrior(), leaf_prior: stats.NormalPrior = stats.NormalPrior(), variance=stats.ChiSquaredPrior(), group: bool = False, tau_prior: str | Callable = "cauchy", callback: Callable | None = None, preset: str = "modern", hastings: str = "exact", test: DataFrame | None = None, shards: int | None = None) -> Model:
     """frame(row_id, y, weight, offset, x[, g]). Each chain is one task, which the frame's rows reach by shuffle and not by
-    the driver. More rows than MOST_CELLS lets one task hold are dealt to shards by a hash of row_id, each chain is fitted
+    the driver. More rows than MOST_CELLS lets one task hold stay in their partitions (resident.fit: the same draws). Where a
+    number of shards is given, rows are dealt to them by a hash of row_id instead, each chain is fitted
     to each shard, and a draw is the average of the shards' draws: the sum of all their trees with means divided by the
     number of shards, and the root of the mean of their squared sigmas. That is a consensus of subset posteriors, not the
-    posterior of all rows; group intercepts and callbacks are not averaged and need one shard."""
+    posterior of all rows; group intercepts and callbacks need one task for all rows."""
     p = prepare(frame, control, tree_prior, leaf_prior, variance, hastings, preset=preset)
     n = frame.count()
     cells = n * max(1, len(p.cuts))
-    shards = max(1, -(-cells // MOST_CELLS)) if shards is None else shards
+    if shards is None and cells > MOST_CELLS and not group and callback is None:
+        from treesum.operators import resident
+
+        return resident.fit(frame, control, tree_prior, leaf_prior, variance, preset, hastings, test)
+    shards = 1 if shards is None else shards
     if cells > shards * MOST_CELLS:
         raise ValueError(f"{n} rows of {len(p.cuts)} predictors do not fit the tasks of {shards} shards; {-(-cells // MOST_CELLS)} are needed")
     if shards > 1 and (group or callback is not None):
@@ -499,7 +504,7 @@ class Session:
         if control.trees != self.control.trees:
             self.chain.resize(control.trees)
         if control.seed != self.control.seed:
-            self.chain.r = np.random.Generator(np.random.Philox(key=[control.seed & (2**64 - 1), 0]))
+            self.chain.reseed(control.seed)
         self.control = replace(control, cuts=self.control.cuts, quantile_cuts=self.control.quantile_cuts, chains=1)
 
     def set_model(self, tree_prior: stats.TreePrior | None = None, leaf_prior: stats.NormalPrior | None = None, variance=None) -> None:

@@ -760,8 +760,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["charge_interval"] = flagship
 
-# queries of sessions, which need what is above
-from treesum.plans import sessions  # noqa: E402
+# queries of sessions and of resident fits, which need what is above
+from treesum.plans import residents, sessions  # noqa: E402
 
-QUERIES |= sessions.QUERIES
-ORACLES |= sessions.ORACLES
+for more in (sessions, residents):
+    QUERIES |= more.QUERIES
+    ORACLES |= more.ORACLES
