@@ -561,14 +561,14 @@ class Chain:
         return update_jointly([self], [bins])
 
 
-def update_jointly(chains: list[Chain], bins: list[np.ndarray]) -> np.ndarray:
-    """One scan over the rows, in one random order: a row changes in all chains, or in none if any of them would get an
-    empty leaf."""
+def update_jointly(chains: list[Chain], bins: list[np.ndarray], order: np.ndarray | None = None) -> np.ndarray:
+    """One scan over the rows, in this order or a random one: a row changes in all chains, or in none if any of them would
+    get an empty leaf."""
     first = chains[0]
     ok = np.zeros(first.n, bool)
     for c in chains:
         c.bins = c.bins.copy()
-    for i in first.r.permutation(first.n):
+    for i in first.r.permutation(first.n) if order is None else order:
         if all(len(a.rows) > 1 for c, b in zip(chains, bins, strict=True) for a, _ in c.moves(i, b[i])):
             for c, b in zip(chains, bins, strict=True):
                 c.set_row(i, b[i])

@@ -760,9 +760,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["charge_interval"] = flagship
 
-# queries of sessions and of resident fits, which need what is above
-from treesum.plans import residents, sessions  # noqa: E402
+# queries of further modules, which need what is above
+from treesum.plans import forests, residents, sessions  # noqa: E402
 
-for more in (sessions, residents):
+for more in (sessions, residents, forests):
     QUERIES |= more.QUERIES
     ORACLES |= more.ORACLES
