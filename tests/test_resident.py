@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treesum.operators import resident, sampler, stats
+from treesum.operators import resident, sampler, stats, validation
 from treesum.operators.kernel import Chain, walk
 
 CONTROL = sampler.Control(trees=12, draws=6, burn=6, chains=2, cuts=25, seed=5)
@@ -114,3 +114,17 @@ def test_fit_finds_the_signal(spark):
     fitted = {r["row_id"]: r["mean"] for r in m.fitted(d).collect()}
     y = {r["row_id"]: r["y"] for r in d.collect()}
     assert np.corrcoef([fitted[i] for i in y], [y[i] for i in y])[0, 1] > 0.9
+
+
+@pytest.mark.parametrize(("binary", "method", "n_test"), [(False, "k-fold", 3), (True, "k-fold", 3), (False, "random subsample", 0.3)])
+def test_cross_validation_as_in_tasks(spark, monkeypatch, binary, method, n_test):
+    d = frame(spark, 120, binary=binary, weights=not binary)
+    grid = {"n_trees": [3, 5], "k": [1.0, 3.0], "reps": 2, "method": method, "n_test": n_test, "control": sampler.Control(draws=4, burn=3, chains=1, cuts=20)}
+    key = lambda r: (r["rep"], r["n_trees"], r["k"])
+    want = sorted(validation.cross_validate(d, **grid).collect(), key=key)
+    # in several waves, and taken where the block is too large to be broadcast
+    monkeypatch.setattr(validation, "WAVE", 5)
+    monkeypatch.setattr(validation, "MOST_MB", 0)
+    got = sorted(validation.cross_validate(d, **grid).collect(), key=key)
+    assert len(want) == 8 and [key(r) for r in got] == [key(r) for r in want]
+    assert all(abs(a["loss"] - b["loss"]) < 1e-8 for a, b in zip(got, want, strict=True))

@@ -45,8 +45,9 @@ GATHER, SLICE = 32 << 20, 1 << 13
 # rows
 
 
-def blocks(frame: DataFrame, p: sampler.Prepared) -> DataFrame:
-    """frame(row_id, y, weight, offset, x) to (n, ids, codes, y, weight, offset), a row per block."""
+def blocks(frame: DataFrame, p: sampler.Prepared, folds: list[str] = []) -> DataFrame:  # noqa: B006
+    """frame(row_id, y, weight, offset, x) to (n, ids, codes, y, weight, offset, folds), a row per block; folds: columns of
+    small numbers, by which chains may leave rows out."""
     binary, lo, span, cuts = p.binary, p.lo, p.span, p.cuts
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,13 +59,26 @@ def blocks(frame: DataFrame, p: sampler.Prepared) -> DataFrame:
                 y = y if binary else (y - off - lo) / span - 0.5
                 off = off if binary else np.zeros(0)
                 codes = np.ascontiguousarray(sampler.bins(x, cuts).T)
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] + [pa.array([a.tobytes()], pa.binary()) for a in (ids.astype(np.int64), codes, y.astype(float), w.astype(float), off.astype(float))], names=["n", "ids", "codes", "y", "weight", "offset"])
+                dealt = np.array([part.column(f"_fold{i}").to_numpy() for i in range(many)], np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] + [pa.array([a.tobytes()], pa.binary()) for a in (ids.astype(np.int64), codes, y.astype(float), w.astype(float), off.astype(float), dealt)], names=["n", "ids", "codes", "y", "weight", "offset", "folds"])
 
-    d = frame.select(F.col("row_id").cast("long"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")), F.col("x").cast("array<double>"))
+    many = len(folds)
+    d = frame.select(F.col("row_id").cast("long"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")), F.col("x").cast("array<double>"), *(F.col(c).cast("short").alias(f"_fold{i}") for i, c in enumerate(folds)))
     cores = frame.sparkSession.sparkContext.defaultParallelism
     if d.rdd.getNumPartitions() < cores:
         d = d.repartition(cores)
-    return d.mapInArrow(pack, "n long, ids binary, codes binary, y binary, weight binary, offset binary")
+    return d.mapInArrow(pack, "n long, ids binary, codes binary, y binary, weight binary, offset binary, folds binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(codes (variables, rows), ids, y, weight, offset, folds (columns, rows)) of a batch of blocks, CHUNK rows at a time."""
+    for n, ids, codes, y, w, off, folds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+        of = lambda b, kind, n=n: np.frombuffer(b, kind).reshape(-1, n)
+        codes, folds, off = of(codes, np.uint16), of(folds, np.int16), np.frombuffer(off)
+        ids, y, w = np.frombuffer(ids, np.int64), np.frombuffer(y), np.frombuffer(w)
+        for a in range(0, n, CHUNK):
+            cut = slice(a, min(n, a + CHUNK))
+            yield codes[:, cut], ids[cut], y[cut], w[cut], off[cut], folds[:, cut]
 
 
 # what goes out
@@ -134,19 +148,15 @@ def step(root: Node, move: Proposal | None, r: np.random.Generator, base: int) -
 
 def measured(rows: DataFrame, forests: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
     """One pass: for each chain's forest (G, b, counts, weighted squares of the residuals). A forest: trees now (of means),
-    those at the start of the sweep that differ from them, the steps' shipped parts, cells, and (seed, chain, sweep) where
-    the response is binary."""
+    those at the start of the sweep that differ from them, the steps' shipped parts, cells, (seed, chain, sweep) where the
+    response is binary, and the (column, number) of folds that is left out, if one is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [[np.zeros((f["cells"], f["cells"])), np.zeros(f["cells"]), np.zeros(f["cells"]), 0.0] for f in forests]
         for batch in batches:
-            for n, ids, codes, y, w, off in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                codes = np.frombuffer(codes, np.uint16).reshape(-1, n) if codes else np.zeros((0, n), np.uint16)
-                ids, y, w, off = np.frombuffer(ids, np.int64), np.frombuffer(y), np.frombuffer(w), np.frombuffer(off)
-                for a in range(0, n, CHUNK):
-                    cut = slice(a, min(n, a + CHUNK))
-                    for f, s in zip(forests, sums, strict=True):
-                        _add(s, f, codes[:, cut], ids[cut], y[cut], w[cut], off[cut])
+            for chunk in unpacked(batch):
+                for f, s in zip(forests, sums, strict=True):
+                    _add(s, f, *chunk)
         if sums:
             out = [np.concatenate([g.ravel(), b, c, [q]]) for g, b, c, q in sums]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["chain", "sums"])
@@ -184,7 +194,10 @@ def _added(parts: DataFrame, ways: int) -> DataFrame:
     return d.groupBy("chain", "at", "way").applyInArrow(add, kind).groupBy("chain", "at").applyInArrow(add, kind)
 
 
-def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w: np.ndarray, off: np.ndarray) -> None:
+def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w: np.ndarray, off: np.ndarray, folds: np.ndarray) -> None:
+    if f["held"] is not None:
+        at = np.flatnonzero(folds[f["held"][0]] != f["held"][1])
+        codes, ids, y, w, off = codes[:, at], ids[at], y[at], w[at], off[at] if len(off) else off
     fit = np.zeros(len(y))
     for t in f["trees"]:
         fit += spread(t, codes)
@@ -213,15 +226,16 @@ def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w:
 class Driven(Chain):
     """A chain without rows: it proposes, and goes on from sums that passes over the rows bring."""
 
-    def __init__(self, n: int, n_cuts: np.ndarray, settings: Settings, sigma: float, seed: int, chain: int):
-        self.s, self.n_cuts, self.n, self.p = settings, np.asarray(n_cuts), n, len(n_cuts)
+    def __init__(self, n: int, n_cuts: np.ndarray, settings: Settings, sigma: float, seed: int, chain: int, held: tuple[int, int] | None = None):
+        """n rows; held: the column and number of the fold that the chain leaves out."""
+        self.s, self.n_cuts, self.n, self.p, self.held = settings, np.asarray(n_cuts), n, len(n_cuts), held
         self.start(settings, sigma, seed, chain)
 
     def forest(self, steps: list[Step], began: list | None = None) -> dict:
         trees = [packed(root, lambda x: float(x.mean)) for root in self.roots]
         moved = [(a, b) for a, b in zip(trees, began or trees, strict=True) if a is not b and a != b]
         latent = (self.seed, self.chain, self.sweeps) if self.s.binary else None
-        return {"trees": trees, "moved": moved, "steps": [x.shipped() for x in steps], "cells": sum(len(x.cells) for x in steps), "latent": latent}
+        return {"trees": trees, "moved": moved, "steps": [x.shipped() for x in steps], "cells": sum(len(x.cells) for x in steps), "latent": latent, "held": self.held}
 
     def propose(self, numbers: range) -> list[Step]:
         """Moves of these trees, each from its own stream."""

@@ -8,13 +8,16 @@ from hashlib import blake2b, md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treesum.functions.scalar import phi, phi_column, u01
 from treesum.operators import stats
-from treesum.operators.sampler import Control, bins, prepare
 from treesum.operators.kernel import Chain
+from treesum.operators.sampler import Control, Prepared, bins, prepare
+from treesum.sources.staging import staged
 
 MOST_MB, RANGE = 256, 200_000
 
@@ -105,7 +108,8 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
     """(rep, n_trees, k, power, base, loss). Rows fall to folds as in `folds` and `subsample`. Each cell, repetition and
     fold starts cold, in a task of its own; or, with warm = (sweeps before the first cell, before each further cell, before
     each further repetition), one task a fold goes through all cells and repetitions with the trees it has. loss: a name,
-    or f(y, draws (rows, draws), weights). The block of rows is broadcast once to each executor; its size is checked."""
+    or f(y, draws (rows, draws), weights). The block of rows is broadcast once to each executor; its size is checked. Larger
+    tables go by cross_validate_resident, which takes named losses and cold starts."""
     p0 = prepare(frame, control, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
     name = loss or ("mcr" if p0.binary else "rmse")
     if name in ("log", "mcr") and not p0.binary:
@@ -114,8 +118,10 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
     if method not in ("k-fold", "random subsample"):
         raise ValueError(f"no method {method!r}")
     size = frame.count() * (len(p0.cuts) + 5) * 8 / 1e6
+    if size > MOST_MB and warm is None and not callable(name):
+        return cross_validate_resident(frame, n_trees, k, power, base, method, n_test, reps, name, control, seed)
     if size > MOST_MB:
-        raise ValueError(f"a block of {size:.0f} MB is not broadcast to every cell")
+        raise ValueError(f"a block of {size:.0f} MB is not broadcast to every cell; warm starts and losses of one's own need it")
     g = frame.toPandas().sort_values("row_id")
     arrays = np.array(g["x"].tolist(), float), *(g[c].to_numpy(float) for c in ("y", "weight", "offset")), g["row_id"].to_numpy()
     block = frame.sparkSession.sparkContext.broadcast(arrays)
@@ -143,7 +149,7 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
             burn = control.burn
             if warm is None or c is None:
                 key = stream(r.cell, r.rep, r.fold) if warm is None else stream(-1, 0, r.fold)
-                c = Chain(b[train], np.array([len(q) for q in p0.cuts]), yy[train], w[train], s, p0.sigma, seed, key, off[train] if p0.binary else None)
+                c = Chain(b[train], np.array([len(q) for q in p0.cuts]), yy[train], w[train], s, p0.sigma, seed, key, off[train] if p0.binary else None, row_id[train])
                 burn = control.burn if warm is None else warm[0]
             else:
                 c.s = replace(s, trees=c.s.trees)
@@ -167,3 +173,115 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
 
     each = todo.groupBy(*(["fold"] if warm else ["cell", "rep", "fold"])).applyInPandas(run, "cell int, rep int, n_trees int, k double, power double, base double, loss double, size int")
     return each.groupBy("rep", "n_trees", "k", "power", "base").agg((F.sum(F.col("loss") * F.col("size")) / F.sum("size")).alias("loss"))
+
+
+# over rows that stay in their partitions
+
+#: Chains that go through the rows together, trees of a pass, and nodes of all draws of the chains that are scored together.
+WAVE, TREES, NODES = 64, 8, 2_000_000
+
+
+def dealt(frame: DataFrame, reps: int, method: str, n_test: float, seed: int) -> DataFrame:
+    """frame(_key, row_id) with fold0, fold1, ...: the fold of each row in each repetition; in random subsamples, 0 for test
+    rows, else 1. Only keys and ids are ranked."""
+    ids = frame.select("_key", F.col("row_id").cast("long").alias("row_id"))
+    for rep in range(reps):
+        if method == "k-fold":
+            ids = folds(ids, int(n_test), rep, seed).withColumnRenamed("fold", f"fold{rep}")
+        else:
+            ids = subsample(ids, n_test, rep, seed).withColumn(f"fold{rep}", (~F.col("test")).cast("int")).drop("test")
+        if rep % 4 == 3:
+            # a plan of windows on windows would grow with the repetitions
+            ids = staged(ids, "folds")
+    return staged(ids, "folds")
+
+
+def cross_validate_resident(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), power: list = (2.0,), base: list = (0.95,), method: str = "k-fold", n_test: float = 5, reps: int = 40, loss: str | None = None, control: Control = Control(draws=200, burn=200, chains=1), seed: int = 1, sizes: bool = False) -> DataFrame:
+    """cross_validate with cold starts, over rows that stay in their partitions: no task and no driver holds them.
+
+    Every cell, repetition and fold is a chain that leaves its fold out. WAVE of them at a time go through the rows together:
+    in one pass each has its own trees and sums, and the rows are read once for all. At the end one more pass scores the rows
+    that each chain left out, by the mean over its draws, and sends two sums a chain. With sizes, (rep, fold, n, w) of those
+    rows instead of losses. Draws are those of cross_validate."""
+    from treesum.operators import resident
+
+    p0 = prepare(frame, control, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
+    name = loss or ("mcr" if p0.binary else "rmse")
+    name = "rmse" if not p0.binary else name
+    if method not in ("k-fold", "random subsample"):
+        raise ValueError(f"no method {method!r}")
+    spark, columns = frame.sparkSession, [f"fold{i}" for i in range(reps)]
+    # ids may repeat; keys, once written, do not
+    frame = staged(frame.select("row_id", "y", "weight", "offset", "x").withColumn("_key", F.monotonically_increasing_id()), "rows")
+    ids = dealt(frame, reps, method, n_test, seed)
+    rows = staged(resident.blocks(frame.join(ids.drop("row_id"), "_key"), p0, columns), "blocks").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = int(n_test) if method == "k-fold" else 1
+    # one number for each repetition and fold
+    counts = {(i, r[c]): r["count"] for i, c in enumerate(columns) for r in ids.groupBy(c).count().collect()}
+    total = sum(n for (i, _), n in counts.items() if i == 0)
+    cells = grid(spark, list(n_trees), list(k), list(power), list(base), reps).orderBy("n_trees", "cell", "rep").collect()
+    todo = [(r, fold) for r in cells for fold in range(parts)]
+    many, out, at = np.array([len(c) for c in p0.cuts]), [], 0
+    try:
+        while at < len(todo):
+            trees = todo[at][0]["n_trees"]
+            most = max(1, min(WAVE, NODES // (control.draws * trees * 7 or 1)))
+            wave = [x for x in todo[at : at + most] if x[0]["n_trees"] == trees]
+            at += len(wave)
+            chains = []
+            for r, fold in wave:
+                s = replace(p0.settings, trees=trees, k=float(r["k"]), power=float(r["power"]), base=float(r["base"]))
+                chains.append(resident.Driven(total - counts.get((r["rep"], fold), 0), many, s, p0.sigma, seed, stream(r["cell"], r["rep"], fold), (r["rep"], fold)))
+            if p0.settings.prior_trees:
+                resident.begin(rows, chains)
+            draws: list[list] = [[] for _ in wave]
+            for i in range(control.burn + control.draws):
+                resident.sweep(rows, chains, TREES)
+                if i >= control.burn:
+                    for d, c in zip(draws, chains, strict=True):
+                        d.append([resident.packed(root, lambda x: float(x.mean)) for root in c.roots])
+            out += [(r["rep"], fold, trees, r["k"], r["power"], r["base"], *x) for (r, fold), x in zip(wave, _held_out(rows, [c.held for c in chains], draws, p0, name), strict=True)]
+    finally:
+        rows.unpersist()
+    d = spark.createDataFrame(out, "rep int, fold int, n_trees int, k double, power double, base double, size long, w double, lost double")
+    if sizes:
+        return d.groupBy("rep", "fold").agg(F.first("size").alias("n"), F.first("w").alias("w"))
+    value = F.col("lost") / F.col("w")
+    each = d.withColumn("loss", F.sqrt(value) if name == "rmse" else value)
+    return each.groupBy("rep", "n_trees", "k", "power", "base").agg((F.sum(F.col("loss") * F.col("size")) / F.sum("size")).alias("loss"))
+
+
+def _held_out(rows: DataFrame, held: list[tuple], draws: list[list], p: Prepared, name: str) -> list[tuple]:
+    """(rows, weight, weighted loss) of what each chain left out, by the mean over its draws."""
+    from treesum.operators import resident
+
+    # at most NODES nodes or one chain's
+    sent = rows.sparkSession.sparkContext.broadcast(draws)
+    lo, span, binary = p.lo, p.span, p.binary
+
+    def lost(y: np.ndarray, s: list[np.ndarray], off: np.ndarray, w: np.ndarray) -> float:
+        if not binary:
+            # y is on the scale of the trees
+            return float(w @ (span * (y - np.mean(s, axis=0))) ** 2)
+        q = np.mean([phi(v + off) for v in s], axis=0)
+        if name == "mcr":
+            return float(w @ ((q > 0.5) != (y == 1)))
+        q = np.clip(q, 1e-300, 1 - 1e-16)
+        return float(-(w @ np.where(y == 1, np.log(q), np.log1p(-q))))
+
+    def run(batches):
+        sums = np.zeros((len(held), 3))
+        for b in batches:
+            for codes, _, y, w, off, fold in resident.unpacked(b):
+                for i, (rep, own) in enumerate(held):
+                    at = np.flatnonzero(fold[rep] == own)
+                    if len(at):
+                        c = codes[:, at]
+                        s = [sum(np.broadcast_to(resident.spread(t, c), len(at)) for t in forest) for forest in sent.value[i]]
+                        sums[i] += (len(at), w[at].sum(), lost(y[at], s, off[at] if len(off) else 0.0, w[at]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), *(pa.array(sums[:, j]) for j in range(3))], names=["i", "n", "w", "lost"])
+
+    found = rows.mapInArrow(run, "i int, n double, w double, lost double").groupBy("i").agg(*(F.sum(c).alias(c) for c in ("n", "w", "lost"))).collect()
+    sent.unpersist()
+    by = {r["i"]: r for r in found}
+    return [(round(by[i]["n"]), by[i]["w"], by[i]["lost"]) for i in range(len(held))]

@@ -55,9 +55,9 @@ def draws_forest() -> list[list]:
     return out
 
 
-def rows_of(spark, sf_dir: str) -> DataFrame:
+def rows_of(spark, sf_dir: str, *more: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.array(*X).alias("x"), F.lit(0.0).alias("offset"), *X, "l_returnflag", (F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y"), F.col("l_quantity").alias("weight"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.array(*X).alias("x"), F.lit(0.0).alias("offset"), *X, "l_returnflag", *more, (F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("y"), F.col("l_quantity").alias("weight"))
 
 
 CHARGE = "l_quantity * (1 - l_discount) * (1 + l_tax)"

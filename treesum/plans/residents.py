@@ -7,7 +7,8 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from treesum.operators import resident, sampler
+from treesum.functions.scalar import u01_sql
+from treesum.operators import resident, sampler, validation
 from treesum.operators.kernel import Proposal, Settings
 from treesum.plans.registry import r, rows_of
 
@@ -82,3 +83,23 @@ def resident_pass_weights(spark, sf_dir):
     (a, b), (g, _, _, squares) = _pass(spark, sf_dir)
     rows = [(j, s, t, float(g[a.base + k, b.base + m]), squares) for k, (_, j) in enumerate(a.cells) for m, (s, t) in enumerate(b.cells) if g[a.base + k, b.base + m]]
     return spark.createDataFrame(rows, "new_a int, old_b int, new_b int, w double, squares double").select("new_a", "old_b", "new_b", r("w", 4).alias("w"), r("squares", 3).alias("squares"))
+
+
+GRID = {"n_trees": [5, 7], "k": [1.0, 2.0], "reps": 2, "control": sampler.Control(draws=5, burn=5, chains=1)}
+
+
+def _place_sql(rep: int) -> str:
+    return f"SELECT {rep} AS rep, w, row_number() OVER (ORDER BY {u01_sql('1', str(rep), 'row_id')}, row_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row_id, l_quantity AS w FROM lineitem)"
+
+
+@query("grid_fit_resident")
+def grid_fit_resident(spark, sf_dir):
+    return validation.cross_validate_resident(_frame(spark, sf_dir), **GRID)
+
+
+@query("grid_held_rows", f"SELECT rep, CAST(CASE WHEN place < (n % 5) * (n // 5 + 1) THEN place // (n // 5 + 1) ELSE n % 5 + (place - (n % 5) * (n // 5 + 1)) // (n // 5) END AS INTEGER) AS fold, count(*) AS n, round(sum(w), 2) AS w FROM ({_place_sql(0)} UNION ALL {_place_sql(1)}) GROUP BY ALL")
+def grid_held_rows(spark, sf_dir):
+    """The rows that chains of a grid leave out and are scored on."""
+    f = rows_of(spark, sf_dir, "l_partkey").select((F.col("row_id") * 1_000_000 + F.col("l_partkey")).alias("row_id"), "y", "weight", "offset", "x")
+    d = validation.cross_validate_resident(f, **GRID | {"n_trees": [2], "k": [2.0], "control": sampler.Control(draws=1, burn=0, chains=1)}, sizes=True)
+    return d.select("rep", "fold", "n", r("w", 2).alias("w"))
