@@ -235,3 +235,38 @@ def test_ranking_and_names(spark):
     for bad in ("z", 3):
         with pytest.raises(ValueError):
             dependence.positions(["a"], bad)
+
+
+def test_the_same_prior_twice_changes_nothing(spark):
+    d, _, _ = friedman(spark)
+    s = sampler.Session(d, sampler.Control(trees=5, chains=1, cuts=20))
+    prior = stats.ChiSquaredPrior()
+    scale = lambda: s.chain.s.scale * s.p.span**2
+    s.set_model(variance=prior)
+    first = scale()
+    y = s.y.copy()
+    y[3] += 500
+    s.set_response(y)
+    assert abs(scale() / first - 1) < 1e-9
+    s.set_model(variance=prior)
+    assert abs(scale() / first - 1) < 1e-9
+    s.set_offset(np.linspace(0, 90, 150), update_scale=True)
+    s.set_model(variance=prior)
+    assert abs(scale() / first - 1) < 1e-9
+
+
+def test_recut_keeps_the_kind_of_cuts(spark):
+    d, _, _ = friedman(spark)
+    s = sampler.Session(d, sampler.Control(trees=5, chains=1, cuts=20, quantile_cuts=True))
+    x = s.x**3
+    assert s.set_predictor(x, mode="force", recut=True)
+    wide = d.select(F.pow(F.col("x")[0], 3).alias("a"))
+    assert np.allclose(s.p.cuts[0], cuts.ragged(cuts.quantile(wide, ["a"], 20))[0])
+
+
+def test_a_session_takes_a_binary_response(spark):
+    d, f, _ = friedman(spark)
+    s = sampler.Session(d.withColumn("y", (F.col("y") > 14).cast("double")), sampler.Control(trees=5, chains=1, cuts=20))
+    s.run(2, 1)
+    s.set_response(1 - s.y)
+    assert ((s.latents() > 0) == (s.y == 1)).all()

@@ -1,7 +1,8 @@
 """Forests as tables: routing, scoring, replay and structure.
 
 trees(chain int, sample int, tree int, node int, n long, var int, value double): nodes in pre-order from 0; var -1 marks
-a leaf, whose value is its mean; else value is the cut, and rows with x[var] <= value go left.
+a leaf, whose value is its mean; else value is the cut, and rows with x[var] > value go right. All others go left, in every
+plan: ties, nulls, and NaN, which Spark's own order would put above all numbers.
 """
 
 from __future__ import annotations
@@ -85,7 +86,8 @@ def boxes(trees: DataFrame) -> DataFrame:
 
 def inside(x: str, box: str) -> Column:
     """Whether array column x lies in array-of-struct column box."""
-    return F.forall(F.col(box), lambda b: (b["lo"].isNull() | (F.get(F.col(x), b["var"]) > b["lo"])) & (b["hi"].isNull() | (F.get(F.col(x), b["var"]) <= b["hi"])))
+    right = lambda b, c: F.coalesce(F.nanvl(F.get(F.col(x), b["var"]), F.lit(None).cast("double")) > b[c], F.lit(False))
+    return F.forall(F.col(box), lambda b: (b["lo"].isNull() | right(b, "lo")) & (b["hi"].isNull() | ~right(b, "hi")))
 
 
 def case_sql(nodes: list[tuple], columns: list[str], leaf: bool = False) -> str:
@@ -153,12 +155,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0, keep: list[str] = []) -> DataFrame:  # noqa: B006
+def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1.0, keep: list[str] = [], case_nodes: int = CASE_NODES) -> DataFrame:  # noqa: B006
     """rows(row_id, x, offset) to (row_id, chain, sample, value) and the columns of rows to keep: trees summed, put back on the scale of the response
     (lo + span * (sum + 0.5), which is the sum itself by default) and the offset added. A narrow transformation."""
     # one row more than generated code is made for
-    few = trees.select(*KEY, "node", "var", "value").limit(CASE_NODES + 1).toPandas()
-    if 0 < len(few) <= CASE_NODES:
+    few = trees.select(*KEY, "node", "var", "value").limit(case_nodes + 1).toPandas()
+    if 0 < len(few) <= case_nodes:
         return _predict_by_case(few, rows, lo, span, keep)
     f = packed(trees)
     draws = f.keys.groupby(["chain", "sample"], sort=True).indices
@@ -179,7 +181,8 @@ def predict(trees: DataFrame, rows: DataFrame, lo: float = -0.5, span: float = 1
 
 def _predict_by_case(nodes: pd.DataFrame, rows: DataFrame, lo: float, span: float, keep: list[str]) -> DataFrame:
     width = max(1, int(nodes["var"].max()) + 1)
-    columns, draws = [f"x[{i}]" for i in range(width)], []
+    # NaN as null: neither goes right
+    columns, draws = [f"nanvl(CAST(x[{i}] AS DOUBLE), CAST(NULL AS DOUBLE))" for i in range(width)], []
     for (chain, sample), g in nodes.sort_values([*KEY, "node"]).groupby(["chain", "sample"]):
         total = " + ".join(f"({case_sql([(int(v), float(c)) for v, c in zip(t['var'], t['value'], strict=True)], columns)})" for _, t in g.groupby("tree"))
         value = (F.expr(total) + F.lit(0.5)) * F.lit(float(span)) + F.lit(float(lo)) + F.col("offset")

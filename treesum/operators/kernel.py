@@ -336,7 +336,7 @@ class Chain:
     def sweep(self) -> None:
         self.sweeps += 1
         if self.s.binary:
-            self.z = latents(self.y, self.total + self.offset, self.w, keyed_uniforms((self.seed, self.chain, self.sweeps), self.ids))
+            self.draw_latents()
         y = self.z - self.offset if self.s.binary else self.y
         for t, root in enumerate(self.roots):
             self.r = self.stream(t + 1, self.sweeps)
@@ -349,6 +349,9 @@ class Chain:
         e = y - self.total
         self.draw_scales(self.w @ (e * e))
 
+    def draw_latents(self) -> None:
+        self.z = latents(self.y, self.total + self.offset, self.w, keyed_uniforms((self.seed, self.chain, self.sweeps), self.ids))
+
     def draw_scales(self, squares: float) -> None:
         """sigma from the weighted squares of the residuals, k from the leaves."""
         if not (self.s.binary or self.s.fixed_sigma):

@@ -52,6 +52,18 @@ def bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1).astype(np.uint16) if len(cuts) else np.zeros((len(x), 0), np.uint16)
 
 
+def cut_points(x: np.ndarray, n: int, quantile: bool) -> np.ndarray:
+    """The cuts of one column in memory, by the rules of cuts.uniform and cuts.quantile."""
+    if not quantile:
+        return np.linspace(x.min(), x.max(), n + 2)[1:-1]
+    v = np.unique(x)
+    if len(v) <= n + 1:
+        return (v[:-1] + v[1:]) / 2
+    step = len(v) // n
+    at = np.minimum(np.arange(n) * step + step // 2, len(v) - 2)
+    return (v[at] + v[at + 1]) / 2
+
+
 _OUT = "kind string, chain int, sample int, tree int, node int, n long, var int, value double, name string"
 
 
@@ -393,12 +405,12 @@ class Session:
         return self.chain.z.copy()
 
     def _rescale(self) -> None:
-        """The scale follows the response; sigma, its prior and the fits keep their meaning."""
+        """The scale follows the response; sigma, the estimate and prior of it, and the fits keep their meaning."""
         t = self.y - self.offset
         lo, span = t.min(), (t.max() - t.min()) or 1.0
         ratio = self.p.span / span
         shift = (self.p.lo + 0.5 * self.p.span - lo - 0.5 * span) / span / self.control.trees
-        self.p = replace(self.p, lo=lo, span=span)
+        self.p = replace(self.p, lo=lo, span=span, sigma=self.p.sigma * ratio)
         self.chain.s.scale *= ratio**2
         self.chain.sigma *= ratio
         for root in self.chain.roots:
@@ -446,7 +458,7 @@ class Session:
             new[:, column] = x
         old_cuts = self.p.cuts
         if recut:
-            cuts = [np.linspace(c.min(), c.max(), self.control.cuts + 2)[1:-1] for c in new.T]
+            cuts = [cut_points(c, self.control.cuts, self.control.quantile_cuts) for c in new.T]
             for a, b in zip(old_cuts, cuts, strict=True):
                 cutting.check_recut(len(a), len(b))
             self.p = replace(self.p, cuts=cuts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treesum.functions.scalar import u01_sql
 from treesum.operators import cuts, forest, pruning, updates
 from treesum.plans.registry import r, rows_of, table
+from treesum.sources import design
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -154,3 +155,46 @@ def updated_rows(spark, sf_dir):
     size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.array(size, price).alias("x"), F.array(F.least(size, F.lit(24.0)), F.lit(2900.0) - price).alias("new"))
     return updates.partial_update(rows, [trees], [("x", "new")], 7).select("row_id", "ok")
+
+
+#: A quantity that is NaN, null, infinite or a zero with a sign on some rows of each table.
+_ODD = "CASE WHEN l_quantity = 25 THEN CAST('NaN' AS DOUBLE) WHEN l_quantity = 26 THEN NULL WHEN l_quantity = 27 THEN CAST('Infinity' AS DOUBLE) WHEN l_quantity = 28 THEN CAST('-Infinity' AS DOUBLE) WHEN l_quantity = 1 THEN CAST('-0' AS DOUBLE) ELSE l_quantity END"
+_ODD_TREE = [(0, 20.0), (1, 0.05), (0, 0.0), (-1, 0.1), (-1, 0.2), (-1, 0.3), (0, 30.0), (-1, 0.4), (2, 0.04), (-1, 0.5), (-1, 0.6)]
+_ODD_LEAF = "CASE WHEN q IS NOT NULL AND NOT isnan(q) AND q > 20 THEN (CASE WHEN q > 30 THEN (CASE WHEN l_tax > 0.04 THEN 10 ELSE 9 END) ELSE 7 END) ELSE (CASE WHEN l_discount > 0.05 THEN 5 WHEN q IS NOT NULL AND NOT isnan(q) AND q > 0 THEN 4 ELSE 3 END) END"
+_ODD_COUNTS = f"SELECT leaf, count(*) AS n FROM (SELECT {_ODD_LEAF} AS leaf FROM (SELECT {_ODD} AS q, l_discount, l_tax FROM lineitem)) GROUP BY leaf"
+
+
+@query("odd_values_route_alike", f"SELECT plan, leaf, n FROM ({_ODD_COUNTS}), (SELECT unnest(['arrays', 'boxes', 'code', 'leaves', 'sums']) AS plan)")
+def odd_values_route_alike(spark, sf_dir):
+    """The leaf of every row in all plans: rows that are no number, or none, go left everywhere."""
+    rows = rows_of(spark, sf_dir).withColumn("x", F.array(F.expr(_ODD), "l_discount", "l_tax"))
+    trees = forest.literal(spark, [_ODD_TREE])
+    # the mean of a leaf tells which it is
+    numbered = forest.literal(spark, [[(v, float(i) if v < 0 else c) for i, (v, c) in enumerate(_ODD_TREE)]])
+    by_value = lambda k: forest.predict(numbered, rows, case_nodes=k).select(F.round("value").cast("int").alias("leaf"))
+    plans = {"code": by_value(256), "arrays": by_value(0), "leaves": forest.leaf_of(trees, rows).select(F.col("node").alias("leaf")), "boxes": forest.leaf_of_boxes(trees, rows).select(F.col("node").alias("leaf"))}
+    out = pruning.leaf_sums(trees, rows).select(F.lit("sums").alias("plan"), F.col("node").alias("leaf"), F.col("k").alias("n"))
+    for name, d in plans.items():
+        out = out.unionByName(d.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("plan", F.lit(name)))
+    return out
+
+
+_FLAGS = "ANR"
+
+
+@query("formula_products", "SELECT l_orderkey, l_linenumber, l_partkey, round(ln(l_extendedprice), 6) AS y, round(l_tax, 6) AS offset, " + ", ".join([*(f"CASE WHEN l_returnflag = '{f}' THEN l_quantity ELSE 0 END AS q_{f}" for f in _FLAGS), "round(pow(l_discount, 2) + 1, 6) AS d2", "l_discount AS d", "CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS o", "CASE WHEN l_linestatus = 'O' THEN l_discount ELSE 0.0 END AS d_o"]) + " FROM lineitem")
+def formula_products(spark, sf_dir):
+    """Products of a number and a factor, computed numbers and a computed response."""
+    li = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey"))
+    _, made = design.formula_frame(li, "log(l_extendedprice) ~ l_quantity:l_returnflag + I(l_discount^2 + 1) + l_discount*l_linestatus - 1 + offset(l_tax)", "id")
+    x = made.matrix(li, "l_orderkey", "l_linenumber", "l_partkey", F.log("l_extendedprice").alias("y"), F.col("l_tax").alias("offset"))
+    named = {**{f"q_{c}": f"l_quantity:l_returnflag.{c}" for c in _FLAGS}, "d2": "I(l_discount^2 + 1)", "d": "l_discount", "o": "l_linestatus.O", "d_o": "l_discount:l_linestatus.O"}
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", r("y").alias("y"), r("offset").alias("offset"), *(r(F.col(f"`{n}`")).alias(k) for k, n in named.items()))
+
+
+@query("formula_frame", "SELECT l_orderkey AS row_id, count(*) AS n, round(sum(ln(l_extendedprice)), 4) AS y, round(sum(l_tax), 6) AS offset, round(sum(l_quantity * l_discount), 4) AS qd, round(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity * l_discount ELSE 0 END), 4) AS qdn FROM lineitem GROUP BY 1")
+def formula_frame(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    f, made = design.formula_frame(li, "log(l_extendedprice) ~ (l_quantity + l_discount + l_returnflag)^3 + offset(l_tax)", "l_orderkey")
+    at = {n: i for i, n in enumerate(made.names)}
+    return f.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("y"), 4).alias("y"), r(F.sum("offset")).alias("offset"), r(F.sum(F.col("x")[at["l_quantity:l_discount"]]), 4).alias("qd"), r(F.sum(F.col("x")[at["l_quantity:l_discount:l_returnflag.N"]]), 4).alias("qdn"))

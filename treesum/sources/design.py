@@ -4,61 +4,76 @@ A design is resolved once on training data (levels, constant columns, names) and
 
 from __future__ import annotations
 
-import re
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import product
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-class DesignError(ValueError):
-    pass
+from treesum.sources.formula import Atom, DesignError, parse, parse_term, term_name
 
 
 def parse_formula(formula: str, columns: list[str]) -> tuple[str, list[str]]:
-    """'y ~ a + b', 'y ~ .', 'y ~ . - g' to (response, terms)."""
-    m = re.fullmatch(r"\s*(\w+)\s*~\s*(.+)", formula)
-    if not m:
-        raise DesignError(f"not a formula: {formula!r}")
-    response, terms = m[1], []
-    for sign, term in re.findall(r"([+-]?)\s*([\w.]+)", m[2]):
-        wanted = [c for c in columns if c != response] if term == "." else [term]
-        for w in wanted:
-            if w not in columns:
-                raise DesignError(f"no column {w!r}")
-            if sign == "-":
-                terms = [t for t in terms if t != w]
-            elif w not in terms:
-                terms.append(w)
-    if response not in columns:
-        raise DesignError(f"no column {response!r}")
-    if not terms:
-        raise DesignError("no predictors")
-    return response, terms
+    """A formula to (response, terms) as texts that `resolve` and `model_frame` read; see `formula` for what may stand in it."""
+    f = parse(formula, columns)
+    named = lambda a: a.columns[0] if a.columns and a.text.strip("`") == a.columns[0] else a.text
+    return named(f.response), [named(t[0]) if len(t) == 1 and t[0].sql is None and not t[0].levels else term_name(t) for t in f.terms]
+
+
+def number(text: str, columns: list[str]) -> Column:
+    """A column, or arithmetic of columns, as a number."""
+    return F.col(text).cast("double") if text in columns else F.expr(parse(f"{text} ~ 1 + .", [*columns, ""]).response.sql)
+
+
+def formula_frame(df: DataFrame, formula: str, row_id: str, weight: Column | None = None, offset: Column | None = None, group: str | None = None, drop: bool = True) -> tuple[DataFrame, Design]:
+    """(model frame, frozen design) of a formula over the complete rows of df; offset(...) terms add to the offset."""
+    f = parse(formula, df.columns)
+    response, terms = parse_formula(formula, df.columns)
+    used = [*f.response.columns, *(c for t in f.terms for a in t for c in a.columns), *(c for a in f.offset for c in a.columns)]
+    design = resolve(complete(df, list(dict.fromkeys(used))), terms, drop)
+    off = [F.expr(a.sql) for a in f.offset] + ([] if offset is None else [offset])
+    return model_frame(df, F.expr(f.response.sql) if response not in df.columns else response, design, row_id, weight, sum(off[1:], off[0]) if off else None, group), design
 
 
 @dataclass(frozen=True)
 class Term:
-    """One input column: kind 'number', 'factor' (levels kept) or 'array' (positions kept)."""
+    """One term: kind 'number' (a column, or sql), 'factor' (levels kept), 'array' (positions kept) or 'product' (places kept
+    among the products of the columns of its parts)."""
 
     name: str
     kind: str
     keep: tuple = ()
     counts: dict = field(default_factory=dict)
+    sql: str | None = None
+    inputs: tuple = ()
+    parts: tuple[Term, ...] = ()
 
     def names(self) -> list[str]:
-        return [self.name] if self.kind == "number" and self.keep else [f"{self.name}.{k}" if self.kind == "factor" else f"{self.name}.{k + 1}" for k in self.keep] if self.kind != "number" else []
+        if self.kind == "number":
+            return [self.name] if self.keep else []
+        if self.kind == "product":
+            return [":".join(n) for i, n in enumerate(product(*(p.names() for p in self.parts))) if i in self.keep]
+        return [f"{self.name}.{k}" if self.kind == "factor" else f"{self.name}.{k + 1}" for k in self.keep]
 
     def columns(self) -> list[Column]:
-        c = F.col(self.name)
+        if self.kind == "product":
+            return [reduce(mul, c) for i, c in enumerate(product(*(p.columns() for p in self.parts))) if i in self.keep]
         if self.kind == "number":
-            return [c.cast("double")] if self.keep else []
+            return [F.expr(self.sql) if self.sql else F.col(self.name).cast("double")] if self.keep else []
+        c = F.col(self.inputs[0] if self.inputs else self.name)
         if self.kind == "factor":
+            c = c.cast("string")
             return [F.when(c.isNull(), None).otherwise((c == k).cast("double")) for k in self.keep]
         return [F.get(c, F.lit(k)).cast("double") for k in self.keep]
 
+    def wanted(self) -> list[str]:
+        """The columns it reads."""
+        return [c for p in self.parts for c in p.wanted()] if self.parts else list(self.inputs or (self.name,))
+
 
 @dataclass(frozen=True)
 class Design:
@@ -76,7 +91,7 @@ class Design:
 
     def matched(self, df: DataFrame) -> DataFrame:
         """df with the design's input columns, by name, or by position where the names differ (with a warning)."""
-        want = [t.name for t in self.terms]
+        want = list(dict.fromkeys(c for t in self.terms for c in t.wanted()))
         if set(want) <= set(df.columns):
             return df
         if len(df.columns) != len(want):
@@ -97,8 +112,44 @@ MOST_LEVELS = 1000
 
 
 def resolve(df: DataFrame, terms: list[str], drop: bool = True) -> Design:
-    """The design of terms over df: one pass of minima and maxima for numbers and array elements, one count per factor.
-    A factor of more than two present levels gives a column each, of two one for the last; constant columns go."""
+    """The design of terms over df: one pass of minima and maxima for numbers, array elements and products, one count per
+    factor. A factor of more than two present levels gives a column each, of two one for the last; constant columns go. Terms
+    are columns, or texts as in formulas: numbers computed from columns, products (of which a factor gives each level's)."""
+    atoms = {t: parse_term(t, df.columns) for t in terms if t not in df.columns}
+    if not atoms:
+        return _plain_design(df, terms, drop)
+    kinds = {f.name: f.dataType for f in df.schema}
+
+    def part(a: Atom) -> Term:
+        if a.sql is not None:
+            return Term(a.text, "number", (0,), {}, a.sql, a.columns)
+        c = a.columns[0]
+        if a.levels or isinstance(kinds[c], T.StringType):
+            (t,) = _plain_design(df.select(F.col(c).cast("string").alias(c)), [c], drop).terms
+            return replace(t, name=a.text.strip("`"), inputs=(c,))
+        (t,) = _plain_design(df, [c], False).terms
+        return t
+
+    def term(t: str) -> Term:
+        if t not in atoms:
+            return _plain_design(df, [t], drop).terms[0]
+        if len(atoms[t]) == 1:
+            return part(atoms[t][0])
+        parts = tuple(part(a) for a in atoms[t])
+        return Term(t, "product", tuple(range(len(list(product(*(p.names() for p in parts)))))), {}, None, (), parts)
+
+    found = [term(t) for t in terms]
+    # computed columns that are constant go, by one pass over all of them
+    computed = [(i, k, c) for i, t in enumerate(found) if terms[i] in atoms and t.kind in ("number", "product") for k, c in zip(t.keep, t.columns(), strict=True)]
+    if drop and computed:
+        row = df.agg(*[a for j, (_, _, c) in enumerate(computed) for a in (F.min(c).alias(f"lo{j}"), F.max(c).alias(f"hi{j}"))]).first()
+        gone = {(i, k) for j, (i, k, _) in enumerate(computed) if row[f"lo{j}"] == row[f"hi{j}"]}
+        found = [replace(t, keep=tuple(k for k in t.keep if (i, k) not in gone)) if any(g == i for g, _ in gone) else t for i, t in enumerate(found)]
+    return Design(tuple(found))
+
+
+def _plain_design(df: DataFrame, terms: list[str], drop: bool) -> Design:
+    """Terms that are columns."""
     kinds = {f.name: f.dataType for f in df.schema}
     numbers = [t for t in terms if isinstance(kinds[t], _NUMBER)]
     arrays = [t for t in terms if isinstance(kinds[t], T.ArrayType) and isinstance(kinds[t].elementType, _NUMBER)]
@@ -172,7 +223,7 @@ def split_probabilities(design: Design, given: float | list[float] | dict[str, f
 
 def model_frame(df: DataFrame, response: str | Column, design: Design, row_id: str, weight: Column | None = None, offset: Column | None = None, group: str | None = None) -> DataFrame:
     """(row_id, y, weight, offset, x[, g]) with incomplete rows dropped."""
-    y = F.col(response) if isinstance(response, str) else response
+    y = number(response, df.columns) if isinstance(response, str) else response
     cols = [F.col(row_id).cast("long").alias("row_id"), y.cast("double").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("weight"), (offset if offset is not None else F.lit(0.0)).cast("double").alias("offset"), design.array().alias("x")]
     out = df.select(*cols, *([F.col(group).alias("g")] if group else []))
     return out.where(F.col("y").isNotNull() & F.col("weight").isNotNull() & F.col("offset").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
