@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -45,6 +46,31 @@ def test_a_very_long_text():
     assert ids == want(t) and e.decode(ids) == t.encode()
 
 
+def test_runs_of_one_mark_take_no_more_than_their_length():
+    e, want = tokens.encoder(*tokens.default_vocabulary()), library()
+    for mark in ("-", "=", " ", "a", "\n", "-=", "abc", "é"):
+        for n in (700, 5_000, 100_003):
+            t = "head " + mark * n + " tail"
+            assert e.encode(t) == want(t), (mark, n)
+    for mark in "-= a":
+        t = "it's " + mark * 1_000_000
+        began = time.perf_counter()
+        ids = e.encode(t)
+        assert time.perf_counter() - began < 10, mark
+        assert e.decode(ids) == t.encode()
+    mixed = "".join(m * 3_000 + "\n" for m in "-=#* a9'\t") * 4
+    assert e.encode(mixed) == want(mixed)
+
+
+def test_merges_with_and_without_a_heap():
+    e = tokens.encoder(*tokens.default_vocabulary())
+    r = random.Random(8)
+    for _ in range(200):
+        piece = bytes(r.choice(b"abe-= \xc3\xa9") for _ in range(r.randrange(2, 250)))
+        if piece not in e.ranks:
+            assert e._merge(piece) == e._merge_long(piece)
+
+
 def test_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "hello there"), (3, "naïve café")]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "'x' AS ids")

@@ -7,9 +7,14 @@ outside it provably stand:
 * between matches: the window doubles until it holds, on either side of the seam, a place where a match ends whatever
   surrounds it. A letter before anything else is one, so is a number before anything else and a mark other than the
   apostrophe before anything that is no mark: no alternative of the pattern goes on there, and none looks behind.
-* inside a match of more than PIECE bytes, which is encoded in halves itself: a token row is the encoding of its bytes
+* inside a match of more than PIECE bytes, which is encoded in parts itself: a token row is the encoding of its bytes
   exactly if each pair of neighbours encodes to itself. The window doubles until the pairs at both of its edges do.
 
+Runs of one mark or one letter are matches as long as the text, in which edges may shift token by token and windows may
+have to grow to the whole. Parts of a match are therefore cut at powers of two, where runs agree with their tokens; a match
+whose window passes SHIFTING tokens is merged as one window at once, with a heap, instead of at every level; and a seam is
+not put inside a match when there is no sure boundary near it, but at the nearest one.
+
 Decoding concatenates bytes up the same kind of tree, from leaves of LEAF_IDS ids. The tiktoken library is what tests
 hold the results to; no text goes through it.
 
@@ -20,6 +25,7 @@ further columns are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -35,10 +41,17 @@ from treesum.llm.common import lean, tidy
 LEAF, LEAF_IDS, PIECE = 512, 256, 64
 #: Characters, and tokens inside a match, on either side of a seam that a window starts with.
 WINDOW, TOKENS = 24, 4
+#: Tokens of a window inside a match above which the whole match is one; characters about a middle with a sure boundary, else
+#: it moves; bytes from which merges go by a heap.
+SHIFTING, NEAR, HEAP = 1024, 4096, 256
 #: Matches of a generation that a worker remembers; it remembers two.
 KNOWN = 150_000
 
 
+class Shifting(Exception):
+    """A match in which seams move tokens far away."""
+
+
 class _Known(dict):
     """Ids by match; a match not seen before is encoded, and kept unless it is long. Those of the generation before are
     kept while they are asked for."""
@@ -80,6 +93,7 @@ class TreeBPE:
         self.before, self.after = regex.compile("(?r)" + self._SAFE).search, regex.compile(self._SAFE).search
         self.leaf, self.piece = leaf, piece
         self.known = _Known(self._match, piece)
+        self.small: dict[bytes, list[int]] = {}
         self.pair = lru_cache(1 << 16)(self._pair)
 
     # text level
@@ -87,6 +101,7 @@ class TreeBPE:
     def forget(self) -> None:
         self.known.turn()
         self.known.before = {}
+        self.small.clear()
         self.pair.cache_clear()
 
     def encode(self, text: str) -> list[int]:
@@ -98,8 +113,19 @@ class TreeBPE:
         if hi - lo <= self.leaf:
             return self._leaf(text[lo:hi])
         mid = (lo + hi) // 2
+        near = slice(max(lo, mid - NEAR), min(hi, mid + NEAR))
+        if hi - lo > 2 * NEAR and not (self.after(text, mid, near.stop) and self.before(text, near.start, mid + 1)):
+            return self._apart(text, lo, mid, hi)
         return self._join(text, lo, mid, hi, self._encode(text, lo, mid), self._encode(text, mid, hi))
 
+    def _apart(self, text: str, lo: int, mid: int, hi: int) -> list[int]:
+        """Halves that meet at the sure boundary nearest to mid, so that the seam is in no match; one leaf if there is none."""
+        found = [m.start() for m in (self.before(text, lo, mid + 1), self.after(text, mid, hi)) if m and lo < m.start() < hi]
+        if not found:
+            return self._leaf(text[lo:hi])
+        at = min(found, key=lambda x: abs(x - mid))
+        return self._encode(text, lo, at) + self._encode(text, at, hi)
+
     def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
         """Encoding of text[lo:hi] of those of its halves."""
         a, b, w = -1, -1, WINDOW
@@ -149,6 +175,8 @@ class TreeBPE:
         one = self.ranks.get(piece)
         if one is not None:
             return [one]
+        if len(piece) > HEAP:
+            return self._merge_long(piece)
         merged, none = self.merged.get, len(self.ranks) + 1
         parts = [self.byte[b] for b in piece]
         costs = [merged(a << 20 | b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -165,18 +193,57 @@ class TreeBPE:
                 costs[i - 1] = merged(parts[i - 1] << 20 | least, none)
         return parts
 
+    def _merge_long(self, piece: bytes) -> list[int]:
+        """The same with a heap of (rank, place) in one number; entries that no longer hold are passed over."""
+        merged, n = self.merged.get, len(piece)
+        parts = [self.byte[b] for b in piece]
+        ahead, back = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 40 | i for i in range(n - 1) if (r := merged(parts[i] << 20 | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        place, pop, push = (1 << 40) - 1, heapq.heappop, heapq.heappush
+        while heap:
+            x = pop(heap)
+            i, r = x & place, x >> 40
+            j = ahead[i]
+            if j >= n or parts[i] < 0 or merged(parts[i] << 20 | parts[j]) != r:
+                continue
+            parts[i], parts[j] = r, -1
+            k = ahead[i] = ahead[j]
+            if k < n:
+                back[k] = i
+                if (c := merged(r << 20 | parts[k])) is not None:
+                    push(heap, c << 40 | i)
+            h = back[i]
+            if h >= 0 and (c := merged(parts[h] << 20 | r)) is not None:
+                push(heap, c << 40 | h)
+        return [x for x in parts if x >= 0]
+
     def _pair(self, a: int, b: int) -> bool:
         return self._merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
     def _match(self, piece: bytes) -> list[int]:
-        if len(piece) <= self.piece:
+        try:
+            return self._parts(piece)
+        except Shifting:
             return self._merge(piece)
-        mid = len(piece) // 2
-        return self._join_bytes(self._match(piece[:mid]), self._match(piece[mid:]))
 
-    def _join_bytes(self, left: list[int], right: list[int]) -> list[int]:
+    def _parts(self, piece: bytes) -> list[int]:
+        if len(piece) <= self.piece:
+            ids = self.small.get(piece)
+            if ids is None:
+                if len(self.small) > KNOWN:
+                    self.small.clear()
+                ids = self.small[piece] = self._merge(piece)
+            return ids
+        mid = 1 << (len(piece) - 1).bit_length() - 1
+        return self._join_bytes(self._parts(piece[:mid]), self._parts(piece[mid:]), SHIFTING)
+
+    def _join_bytes(self, left: list[int], right: list[int], most: int | None = None) -> list[int]:
+        """Shifting, if a window of `most` tokens on either side is not enough."""
         w = TOKENS
         while True:
+            if most is not None and w > most:
+                raise Shifting
             i, j = max(0, len(left) - w), min(len(right), w)
             middle = self._merge(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])))
             if (i == 0 or self.pair(left[i - 1], middle[0])) and (j == len(right) or self.pair(middle[-1], right[j])):
