@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import regex
 
 from treesum.llm import language, quality
 
@@ -81,7 +82,7 @@ def test_documents_by_brute_force(spark):
     p = language.pieces(m.path)
     by = {g["doc_id"]: g for g in language.identify(d, m).collect()}
     for i, t, _ in rows:
-        words = [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+        words = regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
         s = [sum(log_word(p, w, np.log(m.p[:, k])) for w in words) for k in range(2)]
         assert by[i]["lang_pred"] == m.langs[int(np.argmax(s))]
         assert abs(by[i]["score"] - 1 / sum(math.exp((x - max(s)) / len(words)) for x in s)) < 1e-9
@@ -205,3 +206,15 @@ def test_quality(spark):
     gone = quality.fit(d.select("doc_id", "text"), away.where("doc_id > 9"))
     assert {g["score"] for g in quality.score(d, gone).collect()} == {0.5}
     assert quality.score(d.limit(0), net).count() == 0
+
+
+def test_letters_are_letters_with_their_marks(spark):
+    assert language.words_of("½ ² Ⅷ ١٢ 3rd x2y e\u0301te\u0301 \u0301 É") == ["rd", "x", "y", "e\u0301te\u0301", "é"]
+    assert language.words_of("हिन्दी में क़िताब") == ["हिन्दी", "में", "क़िताब"]
+    rows = [(i, w, lang) for i in range(80) for w, lang in ((f"हिन्दी में लिखा {i}", "hi"), (f"written in english {i}", "en"))]
+    rows = [(2 * i + (lang == "en"), t, lang) for i, (_, t, lang) in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    odd = spark.createDataFrame([(0, "½", None), (1, "² Ⅷ 12", None), (2, "\u0301", None), (3, "हिन्दी", None), (4, "english", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(odd, model).collect()}
+    assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] == "hi" and got[4][0] == "en"

@@ -5,7 +5,8 @@ over all ways of cutting it into pieces, of the product of their probabilities,
 is the product over its words. Piece probabilities are fitted by expectation maximisation (forward-backward) on word
 counts of a bounded, documented sample of labelled texts.
 
-A word is a run of letters of the lower-cased text, whatever its length, written as a blank and its UTF-8 bytes; the
+A word is a letter of the lower-cased text and all letters and combining marks after it, whatever its length (numerals
+and marks without a letter before them are none), written as a blank and its UTF-8 bytes; the
 single bytes are pieces, so every word has a segmentation. Sums are scaled as the forward algorithm goes along, by a
 logarithm of their own for each word and language, so that no word underflows. All distinct words of a batch that are
 equally long go through it together, in numpy; a worker remembers words up to a bound.
@@ -19,12 +20,12 @@ labelled text exists every prediction is `und`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ RESCALE, TOGETHER = 16, 400_000
 SCALE = 8.0
 #: log probability of a byte of no language: uniform over the bytes that words may hold.
 UNLIKELY = -float(np.log(128 + 26 + 1))
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word begins with a letter and goes on with letters and the marks that combine with them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 class Pieces:
