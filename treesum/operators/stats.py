@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,76 @@ def rescaled(frame: DataFrame) -> tuple[DataFrame, float, float]:
     return frame.withColumn("y", (F.col("y") - F.col("offset") - lo) / span - 0.5), lo, span
 
 
+#: Predictors up to which least squares add cross products, as generated code; wider ones go by triangles.
+WIDE = 32
+#: Triangles that meet in a task; rows that join one at once.
+MEET, ROWS = 8, 4096
+
+
+def triangle(frame: DataFrame) -> tuple[np.ndarray, int]:
+    """The triangular factor of sqrt(weight) (1, x, y - offset) over all rows of frame, and the number of rows. Tasks reduce
+    their rows to a factor each; factors are merged up a tree, MEET at a time, and the last few on the driver."""
+
+    def reduced(parts: list[np.ndarray]) -> np.ndarray:
+        return np.linalg.qr(np.vstack(parts), mode="r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, n = None, 0
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                y, w, off = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                rows = np.sqrt(w)[:, None] * np.column_stack([np.ones(len(y)), x, y - off])
+                n += len(y)
+                r = reduced([rows] if r is None else [r, rows])
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()), pa.array([n])], names=["r", "n"])
+
+    def matrix(b: bytes, k: int) -> np.ndarray:
+        return np.frombuffer(b).reshape(-1, k)
+
+    k = frame.select(F.size("x")).first()[0] + 2
+
+    def meet(table: pa.Table) -> pa.Table:
+        r = reduced([matrix(x, k) for x in table["r"].to_pylist()])
+        return pa.table({"g": table["g"][:1], "r": pa.array([r.tobytes()], pa.binary()), "n": pa.array([sum(table["n"].to_pylist())])})
+
+    d = frame.select(F.col("x").cast("array<double>"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")))
+    many = d.rdd.getNumPartitions()
+    d = d.mapInArrow(run, "r binary, n long").select(F.spark_partition_id().cast("long").alias("g"), "r", "n")
+    while many > MEET:
+        many = -(-many // MEET)
+        d = d.withColumn("g", F.expr(f"g div {MEET}")).groupBy("g").applyInArrow(meet, "g long, r binary, n long")
+    last = d.select("r", "n").collect()
+    return reduced([matrix(x["r"], k) for x in last]) if last else np.zeros((0, k)), sum(x["n"] for x in last)
+
+
+def _sigma_of_triangle(frame: DataFrame) -> float:
+    r, n = triangle(frame)
+    if not n:
+        return 0.0
+    k = r.shape[1]
+    r = np.vstack([r, np.zeros((max(0, k - len(r)), k))])
+    # what follows the row of the intercept is the factor of the columns about their means
+    a, b, rest = r[1:-1, 1:-1], r[1:-1, -1], r[-1, -1]
+    scale = np.sqrt((a * a).sum(0))
+    # of a constant column only rounding is left
+    scale = np.where(scale > 1e-10 * np.hypot(scale, r[0, 1:-1]), scale, np.inf)
+    u, s, _ = np.linalg.svd(a / scale)
+    # near-singular directions do not count for the rank
+    ok = s > 1e-5 * s.max(initial=0.0)
+    left = b - u[:, ok] @ (u[:, ok].T @ b)
+    return math.sqrt((rest * rest + left @ left) / max(1, n - 1 - int(ok.sum())))
+
+
 def ols_sigma(frame: DataFrame) -> float:
-    """Residual standard deviation of the least-squares fit of y - offset on x with an intercept, from a pass of means and
-    one of cross products; the system is small, and near-singular directions do not count for the rank."""
+    """Residual standard deviation of the least-squares fit of y - offset on x with an intercept; near-singular directions do
+    not count for the rank. A few predictors: from a pass of means and one of cross products; many: from a triangular factor
+    of the rows."""
     p = frame.select(F.size("x")).first()[0]
+    if p > WIDE:
+        return _sigma_of_triangle(frame)
     cells = [*(F.get(F.col("x"), F.lit(i)) for i in range(p)), F.col("y") - F.col("offset")]
     # about the means, so that squares do not cancel
     means = frame.agg(*[F.avg(c) for c in cells]).first()
