@@ -63,6 +63,30 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == want
 
 
+def test_full_cells_leave_the_order_as_it_is(spark, monkeypatch):
+    """Cells so few that nearly all hold more than HOT shingles: lists are those of exact counts, but for the commonest."""
+    rows = [(i, t) for i, t in corpus(7, 1200) if i is not None]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    length = sum(len(t or "") for _, t in rows)
+
+    def lists(cells, hot):
+        for name, v in (("CELLS", cells), ("MOST_CELLS", cells), ("HOT", hot)):
+            monkeypatch.setattr(jaccard, name, v)
+        first = d.mapInArrow(lambda it: jaccard._first(it, cells, 64), jaccard._FIRST).cache()
+        counts = jaccard._counted(first, jaccard._size(d))
+        got = jaccard._lists(jaccard._entries(d, counts, 3)).groupBy("list").count().collect()
+        return counts, sum(r["count"] for r in got), sum(r["count"] for r in got if r["count"] > 1), run(spark, rows)
+
+    _, exact, shared, want = lists(1 << 18, 1 << 16)
+    counts, rows_, shared_, found = lists(1 << 12, 1)
+    assert (counts > 1).mean() > 0.9 and jaccard._common(counts).mean() < 0.25
+    assert found == want and rows_ <= 1.1 * exact and shared_ <= 1.1 * shared
+    # a table that is larger than its cells were made for has more of them
+    monkeypatch.setattr(jaccard, "MOST_CELLS", 1 << 24)
+    monkeypatch.setattr(jaccard, "BUCKET", 100)
+    assert 4 * length / 600 < jaccard._size(d) <= 8 * length / 600
+
+
 def test_sets_that_share_a_key(spark, monkeypatch):
     """The first 64 bits of all classes are cut to two."""
     rows = corpus(5, 120)

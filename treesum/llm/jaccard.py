@@ -38,11 +38,12 @@ from pyspark.sql import functions as F
 from treesum.llm.common import components, drop, lean, stage, tidy
 
 SHINGLE, SHARE = 5, 75
-#: Cells in which shingles are counted, and cells of one row of counts.
-CELLS, ROW = 1 << 18, 1 << 12
+#: Cells in which shingles are counted, at least and at most (see _size), and cells of one row of counts.
+CELLS, MOST_CELLS, ROW = 1 << 18, 1 << 24, 1 << 12
 #: Shingles of one bucket, about, and bits of a shingle inside it; shingles and classes a task gathers before it sends
-#: them; documents that may hold a shingle above which it counts as common without being dealt to one bucket.
-BUCKET, FINE, FLUSH, MOST, HOT = 1 << 20, 28, 1 << 19, 60_000, 1 << 16
+#: them; documents that may hold a shingle above which it counts as common without being dealt to one bucket, if that is
+#: also ABOVE times what a cell holds on average.
+BUCKET, FINE, FLUSH, MOST, HOT, ABOVE = 1 << 20, 28, 1 << 19, 60_000, 1 << 16, 4
 #: Negative buckets.
 PASSED = 1024
 #: Ids that are broadcast at most, above, they are joined by shuffle; classes of a star that meet their leader in a task.
@@ -131,8 +132,22 @@ def _first(batches: Iterator[pa.RecordBatch], size: int, key: int) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((none, none, none, none, rows, [cells[i * ROW : (i + 1) * ROW].tobytes() for i in rows]), types, strict=True)], names)
 
 
-def _counted(first: DataFrame) -> np.ndarray:
-    """Counts of all cells. Tasks' rows are added in two levels; what comes to the driver is CELLS numbers."""
+def _size(docs: DataFrame) -> int:
+    """Cells for a table: four for each bucket that a shingle every six bytes would fill, CELLS at least and MOST_CELLS at most,
+    so that a cell holds a quarter of a bucket on average. The lengths of texts are added up for this."""
+    length = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_CELLS, max(CELLS, 1 << (4 * length // (6 * BUCKET)).bit_length()))
+
+
+def _common(counts: np.ndarray) -> np.ndarray:
+    """Cells that only a common shingle can have filled. However many shingles there are, less than one in ABOVE cells is
+    such a cell, so that rare shingles keep their exact counts; a shingle elsewhere adds ABOVE average cells to its
+    bucket at most, or HOT."""
+    return counts > max(HOT, ABOVE * counts.mean())
+
+
+def _counted(first: DataFrame, size: int) -> np.ndarray:
+    """Counts of all `size` cells. Tasks' rows are added in two levels; what comes to the driver is `size` numbers."""
 
     def add(g: pa.Table) -> pa.Table:
         total = np.zeros(ROW, np.int64)
@@ -143,8 +158,8 @@ def _counted(first: DataFrame) -> np.ndarray:
     schema = "row int, wide boolean, counts binary"
     rows = first.where("row is not null").select("row", F.lit(False).alias("wide"), "counts")
     rows = rows.groupBy("row", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInArrow(add, schema).groupBy("row").applyInArrow(add, schema)
-    out = np.zeros(CELLS, np.int64)
-    for r in rows.collect():
+    out = np.zeros(size, np.int64)
+    for r in rows.toLocalIterator():
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
     return out
 
@@ -166,7 +181,9 @@ def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
     each flush. A shingle is here its bucket and FINE bits, a class its number in the flush. spare: how many shingles of a
     class may come after its prefix. Classes, and shingles that more than HOT documents may hold, by the cells, and so are
     common for sure, stand in negative buckets, which only pass them on to their flush."""
-    hot, mask, bits_ = np.packbits(counts > HOT), np.uint64(len(counts) - 1), np.uint64(FINE)
+    if len(counts) > 1 << FINE:
+        counts = counts.reshape(-1, 1 << FINE).sum(0)
+    hot, mask, bits_ = np.packbits(_common(counts)), np.uint64(len(counts) - 1), np.uint64(FINE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -184,16 +201,17 @@ def _entries(docs: DataFrame, counts: np.ndarray, buckets: int) -> DataFrame:
             h, at = np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
             rows = []
             key = ((h >> np.uint64(32)) % np.uint64(buckets)) << bits_ | (h & np.uint64((1 << FINE) - 1))
-            if some_hot:
-                common = is_hot[(h & mask).astype(np.int64)]
-                rows.append((-1 - name % PASSED, name, key[common].tobytes(), at[common].tobytes(), None, None, None))
-                key, at = key[~common], at[~common]
             order = np.argsort(key, kind="stable")
             key, at = key[order], at[order]
-            # shingles of one set that are alike here count once
+            # shingles of one set that are alike here count once, common or not
             first = _runs(key, at)
             sizes_here = sizes - np.bincount(np.delete(at, first), minlength=len(sizes))
             key, at = key[first], at[first]
+            if some_hot:
+                # a cell is told by the last bits, which a key keeps
+                common = is_hot[(key & mask).astype(np.int64)]
+                rows.append((-1 - name % PASSED, name, key[common].tobytes(), at[common].tobytes(), None, None, None))
+                key, at = key[~common], at[~common]
             spare = (sizes_here - (sizes - -(-SHARE * sizes // 100) + 1)).astype(np.int32)
             rows.append((-1 - name % PASSED, name, None, None, None, np.array(classes, np.int64).tobytes(), spare.tobytes()))
             bucket, fine = (key >> bits_).astype(np.int64), (key & np.uint64((1 << FINE) - 1)).astype(np.uint32)
@@ -558,10 +576,10 @@ def join_components(docs: DataFrame, classes: bool = False) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lean(spark)
-    size, key = CELLS, KEY
+    size, key = _size(d), KEY
     first = stage(d.mapInArrow(lambda it: tidy(_first(it, size, key)), _FIRST), "shingles")
     rows = first.where("row is null").select("doc_id", "class", "mark", "n")
-    counts = _counted(first)
+    counts = _counted(first, size)
     classes, shared = _classes(first)
     entries = int(classes.agg(F.sum("n")).first()[0] or 0)
     packed = _entries(d, counts, max(1, -(-entries // BUCKET)))
