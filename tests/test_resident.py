@@ -128,3 +128,60 @@ def test_cross_validation_as_in_tasks(spark, monkeypatch, binary, method, n_test
     got = sorted(validation.cross_validate(d, **grid).collect(), key=key)
     assert len(want) == 8 and [key(r) for r in got] == [key(r) for r in want]
     assert all(abs(a["loss"] - b["loss"]) < 1e-8 for a, b in zip(got, want, strict=True))
+
+
+def grouped(spark, n=500, seed=8):
+    """Half of the rows in one group, the others in many, of which one has no name."""
+    d = frame(spark, n, seed)
+    b = F.when(F.col("k") < n // 2, 0).otherwise(F.pmod(F.col("k"), F.lit(23)))
+    d = d.withColumn("k", (F.col("row_id") + 50) / 7).withColumn("k", F.col("k").cast("int")).withColumn("b", b)
+    d = d.withColumn("y", F.col("y") + 3 * F.sin(F.col("b") * 1.7)).withColumn("g", F.when(F.col("b") != 22, F.concat(F.lit("g"), F.col("b").cast("string"))))
+    return d.drop("k", "b")
+
+
+def values(m):
+    return {tuple(r[c] for c in ("kind", "chain", "sample", "tree", "node", "var", "name")): r["value"] for r in m.table.collect()}
+
+
+@pytest.mark.parametrize(("parts", "large", "block"), [(1, 1 << 18, 1 << 16), (6, 40, 60), (3, 1 << 18, 30)])
+def test_group_intercepts_are_those_of_one_task(spark, monkeypatch, parts, large, block):
+    """Groups whole in their blocks, and groups of more than LARGE rows in several."""
+    d = grouped(spark)
+    control = sampler.Control(trees=8, draws=4, burn=3, chains=2, thin=2, cuts=25, seed=3)
+    want = values(sampler.fit(d, control, group=True))
+    monkeypatch.setattr(resident, "LARGE", large)
+    monkeypatch.setattr(resident, "BLOCK", block)
+    got = values(resident.fit(d.repartition(parts), control, group=True, batch=5, every=4))
+    assert got.keys() == want.keys() and sum(k[0] == "ranef" for k in want) == 2 * 4 * 23
+    assert all(abs(v - got[k]) < 1e-8 for k, v in want.items())
+
+
+def test_groups_stand_whole_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resident, "LARGE", 100)
+    monkeypatch.setattr(resident, "BLOCK", 30)
+    d = grouped(spark)
+    p = sampler.prepare(d, CONTROL, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
+    b, large, many = resident.grouped_blocks(d, p)
+    rows = b.collect()
+    assert [g for g, _ in large] == ["g0"] and many == 23 and sum(r["n"] for r in rows) == 500
+    ids = [i for r in rows for i in np.frombuffer(r["ids"], np.int64)]
+    assert len(set(ids)) == 500
+    names = [g for r in rows for g, k in zip(r["names"], np.frombuffer(r["large"], np.int32), strict=True) if k < 0]
+    assert len(names) == len(set(names)) == 22 and "None" in names
+
+
+def test_grouped_runs_go_on(spark, tmp_path):
+    d = grouped(spark, 200)
+    control = sampler.Control(trees=6, draws=4, burn=2, chains=1, cuts=20, seed=3)
+    prior = lambda t: -t
+    whole = resident.fit(d, control, group=True, tau_prior=prior)
+    half = sampler.Control(trees=6, draws=2, burn=2, chains=1, cuts=20, seed=3)
+    resident.fit(d, half, group=True, tau_prior=prior, path=f"file://{tmp_path}/a")
+    with pytest.raises(ValueError, match="prior"):
+        resident.proceed(d, f"file://{tmp_path}/a", control)
+    a, b = values(whole), values(resident.proceed(d, f"file://{tmp_path}/a", control, tau_prior=prior))
+    assert a.keys() == b.keys() and all(abs(v - b[k]) < 1e-8 for k, v in a.items())
+    mean = {r["g"]: r["mean"] for r in whole.ranef_mean().collect()}
+    assert len(mean) == 23 and all(map(np.isfinite, mean.values()))
+    with pytest.raises(ValueError, match="binary"):
+        resident.fit(frame(spark, 60, binary=True).withColumn("g", F.lit("a")), control, group=True)

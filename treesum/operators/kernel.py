@@ -6,6 +6,7 @@ keyed by (seed, chain), so results depend on neither partitioning nor the number
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -94,6 +95,16 @@ def keyed_uniforms(key: tuple, ids: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+def group_ids(names: list[str]) -> np.ndarray:
+    """Keys of the groups' own random numbers."""
+    return np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little", signed=True) for g in names], np.int64)
+
+
+def group_normals(key: tuple, ids: np.ndarray) -> np.ndarray:
+    """A standard normal for each group of a sweep, the same wherever the group is."""
+    return phi_inverse(np.maximum(keyed_uniforms((*key, 1), ids), 2.0**-54))
+
+
 def latents(y: np.ndarray, fit: np.ndarray, weight: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Normal with mean fit and sd 1 / sqrt(weight), on the side of zero that y says, by the inverse distribution at u."""
     sign, sd = 2 * y - 1, 1 / np.sqrt(weight)

@@ -15,6 +15,11 @@ rule pass other rules below it.
 Random numbers come from streams keyed by (seed, chain, sweep, step), and probit latents from keys of the rows, so draws are
 those of kernel.Chain, whatever the partitions, up to the rounding of sums.
 
+Group intercepts are not stored either. Rows of a group stand in one block, and given the trees at the start of a sweep, sigma
+and tau, a group's intercept is a function of its residuals and of a normal keyed by (seed, chain, sweep, group): each pass makes it
+again where the group is. Groups of more than LARGE rows are dealt to several blocks; their sums, of which there are at most
+rows / LARGE, come to the driver in a pass of their own. Tau is drawn from the number of groups and the sum of squares.
+
 A run is a folder: draws, and every so many sweeps the state of its chains (trees, sigma, k, number of sweeps), from which a
 run that was cut short, or one that is to be longer, goes on.
 """
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
@@ -33,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesum.operators import sampler, stats
-from treesum.operators.kernel import Chain, Node, Proposal, Settings, keyed_uniforms, latents, walk
+from treesum.operators.kernel import Chain, Node, Proposal, Settings, group_ids, group_normals, keyed_uniforms, latents, walk
 from treesum.sources.staging import folder, staged
 
 #: Rows of a block, rows a task works on at once, trees of a pass.
 BLOCK, CHUNK, BATCH = 1 << 16, 1 << 13, 32
 #: Bytes of all tasks' sums that the driver adds itself; more are added by a shuffle first. Doubles of a slice of that.
 GATHER, SLICE = 32 << 20, 1 << 13
+#: Rows of a group that stand in one block at most.
+LARGE = 1 << 18
 
 
 # rows
@@ -70,6 +77,125 @@ def blocks(frame: DataFrame, p: sampler.Prepared, folds: list[str] = []) -> Data
     return d.mapInArrow(pack, "n long, ids binary, codes binary, y binary, weight binary, offset binary, folds binary")
 
 
+_GROUPED = "n long, ids binary, codes binary, y binary, weight binary, offset binary, folds binary, code binary, names array<string>, keys binary, sizes binary, large binary"
+
+
+def grouped_blocks(frame: DataFrame, p: sampler.Prepared) -> tuple[DataFrame, list[tuple[str, int]], int]:
+    """frame(row_id, y, weight, offset, x, g) to blocks in which groups stand whole, with the group of each row (its number in
+    the block), names, keys of random numbers, sizes, and the number of a group among the large ones, or -1. Beside them
+    the large groups (name, rows), by name, and how many groups there are. Null is a group, named None."""
+    lo, span, cuts = p.lo, p.span, p.cuts
+    d = frame.select(F.col("row_id").cast("long"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")), F.col("x").cast("array<double>"), F.coalesce(F.col("g").cast("string"), F.lit("None")).alias("g"))
+    sizes = d.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"))
+    # at most rows / LARGE of them
+    large = sorted((r["g"], r["_rows"]) for r in sizes.where(F.col("_rows") > LARGE).collect())
+    many = sizes.count()
+    parts = max(frame.sparkSession.sparkContext.defaultParallelism, d.rdd.getNumPartitions())
+    if large:
+        ways = frame.sparkSession.createDataFrame([(g, i, -(-n // LARGE)) for i, (g, n) in enumerate(large)], "g string, _large int, _ways long")
+        d = d.join(ways, "g", "left").withColumn("_way", F.when(F.col("_ways").isNotNull(), F.pmod(F.xxhash64("row_id"), F.col("_ways"))).otherwise(0)).withColumn("_large", F.coalesce("_large", F.lit(-1)))
+    else:
+        d = d.withColumns({"_large": F.lit(-1), "_way": F.lit(0)})
+    d = d.repartition(parts, "g", "_way").sortWithinPartitions("g", "_way", "row_id")
+
+    def block(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        y, off, w, ids = (t[c].to_numpy() for c in ("y", "offset", "weight", "row_id"))
+        g = t["g"].combine_chunks().dictionary_encode()
+        names, code = g.dictionary.to_pylist(), g.indices.to_numpy().astype(np.int32)
+        begin = np.searchsorted(code, np.arange(len(names)))
+        arrays = (ids.astype(np.int64), np.ascontiguousarray(sampler.bins(x, cuts).T), (y - off - lo) / span - 0.5, w.astype(float), np.zeros(0), np.zeros(0, np.int16), code)
+        more = (group_ids(names), np.bincount(code, minlength=len(names)), t["_large"].to_numpy()[begin].astype(np.int32))
+        out = [pa.array([t.num_rows]), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([names], pa.list_(pa.string())), *(pa.array([a.tobytes()], pa.binary()) for a in more)]
+        return pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in _GROUPED.split(", ")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < BLOCK:
+                continue
+            t = pa.Table.from_batches(held)
+            g = t["g"].combine_chunks().dictionary_encode().indices.to_numpy()
+            # the last group goes on, perhaps
+            last = int(np.searchsorted(g, g[-1]))
+            if t["_large"][t.num_rows - 1].as_py() >= 0:
+                last = t.num_rows
+            if last:
+                yield block(t.slice(0, last))
+                held = t.slice(last).to_batches()
+        if sum(x.num_rows for x in held):
+            yield block(pa.Table.from_batches(held))
+
+    return d.mapInArrow(pack, _GROUPED), large, many
+
+
+def intercepts(row: dict, f: dict) -> np.ndarray:
+    """The intercepts of a block's groups in the sweep that f(start, sigma, tau, key, large) describes."""
+    n = row["n"]
+    codes, y, code = np.frombuffer(row["codes"], np.uint16).reshape(-1, n), np.frombuffer(row["y"]), np.frombuffer(row["code"], np.int32)
+    sizes, keys, large = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["large"], np.int32)
+    out = drawn(sizes, residuals(codes, y, code, f["start"], len(sizes)), keys, f)
+    return np.where(large < 0, out, f["large"][large] if len(f["large"]) else 0.0)
+
+
+def residuals(codes: np.ndarray, y: np.ndarray, code: np.ndarray, trees: list, many: int) -> np.ndarray:
+    """Sums by group of the response less the trees."""
+    total = np.zeros(many)
+    for a in range(0, len(y), CHUNK):
+        cut = slice(a, min(len(y), a + CHUNK))
+        e = y[cut].copy()
+        for t in trees:
+            e -= spread(t, codes[:, cut])
+        total += np.bincount(code[cut], e, many)
+    return total
+
+
+def drawn(sizes: np.ndarray, sums: np.ndarray, keys: np.ndarray, f: dict) -> np.ndarray:
+    """Intercepts from the groups' sizes and sums of residuals."""
+    s2 = f["sigma"] ** 2
+    v = 1 / (sizes / s2 + 1 / f["tau"] ** 2)
+    return v / s2 * sums + np.sqrt(v) * group_normals(f["key"], keys)
+
+
+def large_sums(rows: DataFrame, forests: list[list], many: int) -> np.ndarray:
+    """(chains, large groups): sums of residuals of the large groups, by chain's trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                large = np.frombuffer(row["large"], np.int32)
+                if (large < 0).all():
+                    continue
+                n, at = row["n"], np.flatnonzero(large >= 0)
+                codes, y, code = np.frombuffer(row["codes"], np.uint16).reshape(-1, n), np.frombuffer(row["y"]), np.frombuffer(row["code"], np.int32)
+                for i, trees in enumerate(forests):
+                    s = residuals(codes, y, code, trees, len(large))[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(large[at]), pa.array(s)], names=["chain", "large", "s"])
+
+    out = np.zeros((len(forests), many))
+    for r in rows.mapInArrow(run, "chain int, large int, s double").groupBy("chain", "large").agg(F.sum("s").alias("s")).toLocalIterator():
+        out[r["chain"], r["large"]] = r["s"]
+    return out
+
+
+def intercept_rows(rows: DataFrame, draws: list[tuple[int, int, dict]], scale: float) -> DataFrame:
+    """Rows of sampler._OUT: the intercepts of all groups that stand in one block, for draws (chain, sample, what intercepts takes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                whole = np.flatnonzero(np.frombuffer(row["large"], np.int32) < 0)
+                names = [row["names"][i] for i in whole]
+                for chain, sample, f in draws:
+                    yield pa.RecordBatch.from_arrays([pa.array([chain] * len(names), pa.int32()), pa.array([sample] * len(names), pa.int32()), pa.array(names, pa.string()), pa.array(intercepts(row, f)[whole] * scale)], names=["chain", "sample", "name", "value"])
+
+    kind = dict(x.split() for x in sampler._OUT.split(", "))
+    d = rows.mapInArrow(run, "chain int, sample int, name string, value double")
+    return d.select(*((F.lit("ranef") if c == "kind" else F.col(c) if c in d.columns else F.lit(None).cast(t)).alias(c) for c, t in kind.items()))
+
+
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(codes (variables, rows), ids, y, weight, offset, folds (columns, rows)) of a batch of blocks, CHUNK rows at a time."""
     for n, ids, codes, y, w, off, folds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
@@ -146,24 +272,29 @@ def step(root: Node, move: Proposal | None, r: np.random.Generator, base: int) -
 # sums
 
 
-def measured(rows: DataFrame, forests: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+def measured(rows: DataFrame, forests: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float, float]]:
     """One pass: for each chain's forest (G, b, counts, weighted squares of the residuals). A forest: trees now (of means),
     those at the start of the sweep that differ from them, the steps' shipped parts, cells, (seed, chain, sweep) where the
-    response is binary, and the (column, number) of folds that is left out, if one is."""
+    response is binary, the (column, number) of folds that is left out, if one is, and what intercepts takes, if rows have
+    groups: then the squares of the intercepts come too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [[np.zeros((f["cells"], f["cells"])), np.zeros(f["cells"]), np.zeros(f["cells"]), 0.0] for f in forests]
+        sums = [[np.zeros((f["cells"], f["cells"])), np.zeros(f["cells"]), np.zeros(f["cells"]), 0.0, 0.0] for f in forests]
         for batch in batches:
-            for chunk in unpacked(batch):
-                for f, s in zip(forests, sums, strict=True):
-                    _add(s, f, *chunk)
+            for at in range(batch.num_rows):
+                block = batch.slice(at, 1)
+                row = block.to_pylist()[0] if any(f["group"] for f in forests) else None
+                shifts = [_shift(row, f["group"], s) if f["group"] else None for f, s in zip(forests, sums, strict=True)]
+                for i, (codes, ids, y, *rest) in enumerate(unpacked(block)):
+                    for f, s, b in zip(forests, sums, shifts, strict=True):
+                        _add(s, f, codes, ids, y if b is None else y - b[i * CHUNK : (i + 1) * CHUNK], *rest)
         if sums:
-            out = [np.concatenate([g.ravel(), b, c, [q]]) for g, b, c, q in sums]
+            out = [np.concatenate([g.ravel(), b, c, [q, u]]) for g, b, c, q, u in sums]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(out)), pa.int32()), pa.array([x.tobytes() for x in out], pa.binary())], names=["chain", "sums"])
 
     parts = rows.mapInArrow(run, "chain int, sums binary")
     many = rows.rdd.getNumPartitions()
-    sizes = [f["cells"] ** 2 + 2 * f["cells"] + 1 for f in forests]
+    sizes = [f["cells"] ** 2 + 2 * f["cells"] + 2 for f in forests]
     total = [np.zeros(k) for k in sizes]
     if many * sum(sizes) * 8 <= GATHER:
         for r in parts.collect():
@@ -173,7 +304,7 @@ def measured(rows: DataFrame, forests: list[dict]) -> list[tuple[np.ndarray, np.
             total[r["chain"]][r["at"] * SLICE : (r["at"] + 1) * SLICE] += np.frombuffer(r["sums"])
     out = []
     for k, s in zip((f["cells"] for f in forests), total, strict=True):
-        out.append((s[: k * k].reshape(k, k), s[k * k : k * k + k], s[k * k + k : -1], float(s[-1])))
+        out.append((s[: k * k].reshape(k, k), s[k * k : k * k + k], s[k * k + k : -2], float(s[-2]), float(s[-1])))
     return out
 
 
@@ -194,6 +325,13 @@ def _added(parts: DataFrame, ways: int) -> DataFrame:
     return d.groupBy("chain", "at", "way").applyInArrow(add, kind).groupBy("chain", "at").applyInArrow(add, kind)
 
 
+def _shift(row: dict, f: dict, s: list) -> np.ndarray:
+    """The intercept of each row of a block; squares of those of groups in one block are added to s."""
+    b = intercepts(row, f)
+    s[4] += float(np.sum(b[np.frombuffer(row["large"], np.int32) < 0] ** 2))
+    return b[np.frombuffer(row["code"], np.int32)]
+
+
 def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w: np.ndarray, off: np.ndarray, folds: np.ndarray) -> None:
     if f["held"] is not None:
         at = np.flatnonzero(folds[f["held"][0]] != f["held"][1])
@@ -230,12 +368,18 @@ class Driven(Chain):
         """n rows; held: the column and number of the fold that the chain leaves out."""
         self.s, self.n_cuts, self.n, self.p, self.held = settings, np.asarray(n_cuts), n, len(n_cuts), held
         self.start(settings, sigma, seed, chain)
+        self.tau, self.tau_prior, self.group = 0.0, None, None
+
+    def open_groups(self, start: list, large: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> None:
+        """What this sweep's intercepts follow from; those of large groups (sizes, keys, sums of residuals) are drawn here."""
+        self.group = {"start": start, "sigma": self.sigma, "tau": self.tau, "key": (self.seed, self.chain, self.sweeps), "large": np.zeros(0)}
+        self.group["large"] = drawn(large, sums, keys, self.group)
 
     def forest(self, steps: list[Step], began: list | None = None) -> dict:
         trees = [packed(root, lambda x: float(x.mean)) for root in self.roots]
         moved = [(a, b) for a, b in zip(trees, began or trees, strict=True) if a is not b and a != b]
         latent = (self.seed, self.chain, self.sweeps) if self.s.binary else None
-        return {"trees": trees, "moved": moved, "steps": [x.shipped() for x in steps], "cells": sum(len(x.cells) for x in steps), "latent": latent, "held": self.held}
+        return {"trees": trees, "moved": moved, "steps": [x.shipped() for x in steps], "cells": sum(len(x.cells) for x in steps), "latent": latent, "held": self.held, "group": self.group}
 
     def propose(self, numbers: range) -> list[Step]:
         """Moves of these trees, each from its own stream."""
@@ -328,19 +472,29 @@ class Driven(Chain):
             self.roots.append(grow(None))
 
 
-def sweep(rows: DataFrame, chains: list[Driven], batch: int = BATCH) -> None:
-    """One sweep of all chains together, a pass over the rows for each batch of trees."""
+def sweep(rows: DataFrame, chains: list[Driven], batch: int = BATCH, groups: tuple | None = None) -> None:
+    """One sweep of all chains together, a pass over the rows for each batch of trees. groups: the large groups and the number
+    of all, as grouped_blocks gives them."""
     for c in chains:
         c.sweeps += 1
+    if groups is not None:
+        large, many = groups
+        start = [[packed(root, lambda x: float(x.mean)) for root in c.roots] for c in chains]
+        sums = large_sums(rows, start, len(large)) if large else np.zeros((len(chains), 0))
+        sizes, keys = np.array([n for _, n in large], np.int64), group_ids([g for g, _ in large])
+        for c, s, x in zip(chains, start, sums, strict=True):
+            c.open_groups(s, sizes, keys, x)
     began = [[packed(root, lambda x: float(x.mean)) for root in c.roots] if c.s.binary else None for c in chains]
     trees = chains[0].s.trees
     for at in range(0, trees, batch):
         steps = [c.propose(range(at, min(trees, at + batch))) for c in chains]
         sums = measured(rows, [c.forest(s, b) for c, s, b in zip(chains, steps, began, strict=True)])
-        squares = [c.settle(s, *x) for c, s, x in zip(chains, steps, sums, strict=True)]
-    for c, q in zip(chains, squares, strict=True):
+        squares = [c.settle(s, *x[:4]) for c, s, x in zip(chains, steps, sums, strict=True)]
+    for c, q, x in zip(chains, squares, sums, strict=True):
         c.r = c.stream(0, c.sweeps)
         c.draw_scales(q)
+        if groups is not None:
+            c.tau = sampler.draw_tau(c.tau, many, x[4] + float(np.sum(c.group["large"] ** 2)), c.tau_prior, c.r)
 
 
 def begin(rows: DataFrame, chains: list[Driven]) -> None:
@@ -357,7 +511,7 @@ def begin(rows: DataFrame, chains: list[Driven]) -> None:
                 own.append(step(root, None, c.r, base[i]))
                 base[i] += len(own[-1].cells)
             steps.append(own)
-        for i, (_, _, n, _) in enumerate(measured(rows, [c.forest(s) for c, s in zip(chains, steps, strict=True)])):
+        for i, (_, _, n, _, _) in enumerate(measured(rows, [c.forest(s) for c, s in zip(chains, steps, strict=True)])):
             found[i].extend(n)
     for c, n in zip(chains, found, strict=True):
         c.collapse_by(np.array(n))
@@ -366,21 +520,26 @@ def begin(rows: DataFrame, chains: list[Driven]) -> None:
 # runs
 
 
-def fit(frame: DataFrame, control: sampler.Control = sampler.PRESETS["modern"], tree_prior: stats.TreePrior = stats.TreePrior(), leaf_prior: stats.NormalPrior = stats.NormalPrior(), variance=stats.ChiSquaredPrior(), preset: str = "modern", hastings: str = "exact", test: DataFrame | None = None, batch: int = BATCH, every: int = 50, path: str | None = None) -> sampler.Model:
-    """frame(row_id, y, weight, offset, x) as sampler.fit, over all rows whatever their number. The run's folder is `path`,
-    or a new one in the shared folder; its state is written every `every` sweeps."""
+def fit(frame: DataFrame, control: sampler.Control = sampler.PRESETS["modern"], tree_prior: stats.TreePrior = stats.TreePrior(), leaf_prior: stats.NormalPrior = stats.NormalPrior(), variance=stats.ChiSquaredPrior(), preset: str = "modern", hastings: str = "exact", test: DataFrame | None = None, batch: int = BATCH, every: int = 50, path: str | None = None, group: bool = False, tau_prior: str | Callable = "cauchy") -> sampler.Model:
+    """frame(row_id, y, weight, offset, x[, g]) as sampler.fit, over all rows whatever their number. The run's folder is
+    `path`, or a new one in the shared folder; its state is written every `every` sweeps. Group intercepts need a continuous
+    response: those of a binary one follow from latents that follow from intercepts, which would have to be stored."""
     p = sampler.prepare(frame, control, tree_prior, leaf_prior, variance, hastings, preset=preset)
+    if group and p.binary:
+        raise ValueError("rows that stay in their partitions have no group intercepts of a binary response")
     spark = frame.sparkSession
     path = path or folder(spark, "run")
     kept = {"lo": p.lo, "span": p.span, "sigma": p.sigma, "binary": p.binary, "cuts": [c.tolist() for c in p.cuts], "settings": asdict(p.settings), "control": asdict(control)}
     kept["settings"]["split_probs"] = None if p.settings.split_probs is None else list(map(float, p.settings.split_probs))
+    kept["groups"] = {"scale": sampler.spread_of(frame, p) / p.span, "prior": None if callable(tau_prior) else tau_prior} if group else None
     spark.createDataFrame([(json.dumps(kept),)], "meta string").coalesce(1).write.text(f"{path}/meta")
-    return proceed(frame, path, control, test, batch, every)
+    return proceed(frame, path, control, test, batch, every, tau_prior if callable(tau_prior) else None)
 
 
-def proceed(frame: DataFrame, path: str, control: sampler.Control | None = None, test: DataFrame | None = None, batch: int = BATCH, every: int = 50) -> sampler.Model:
+def proceed(frame: DataFrame, path: str, control: sampler.Control | None = None, test: DataFrame | None = None, batch: int = BATCH, every: int = 50, tau_prior: Callable | None = None) -> sampler.Model:
     """Goes on with the run in `path`, over the frame it was begun with, from its latest state up to control's draws (those
-    of the run, if not given). Only the number of draws may differ from what the run was begun with."""
+    of the run, if not given). Only the number of draws may differ from what the run was begun with. A prior of tau that is
+    a function is not in the folder: it is given again."""
     spark = frame.sparkSession
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     first = sampler.Control(**meta["control"])
@@ -390,27 +549,40 @@ def proceed(frame: DataFrame, path: str, control: sampler.Control | None = None,
     s = meta["settings"] | {"k_chi": meta["settings"]["k_chi"] and tuple(meta["settings"]["k_chi"])}
     s["split_probs"] = None if s["split_probs"] is None else np.array(s["split_probs"])
     p = sampler.Prepared([np.array(c, float) for c in meta["cuts"]], meta["lo"], meta["span"], meta["sigma"], Settings(**s), meta["binary"])
-    rows = staged(blocks(frame, p), "blocks").persist(StorageLevel.MEMORY_AND_DISK)
+    of_groups, groups = meta.get("groups"), None
+    if of_groups and of_groups["prior"] is None and tau_prior is None:
+        raise ValueError("the run was begun with a prior of tau of its own, which must be given")
+    packed_, *found = grouped_blocks(frame, p) if of_groups else (blocks(frame, p),)
+    rows = staged(packed_, "blocks").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = rows.agg(F.sum("n")).first()[0] or 0
         chains = [Driven(n, np.array([len(c) for c in p.cuts]), replace(p.settings), p.sigma, control.seed, i) for i in range(control.chains)]
+        if of_groups:
+            groups = tuple(found)
+            for c in chains:
+                c.tau, c.tau_prior = of_groups["scale"] / 5, sampler.tau_density(tau_prior or of_groups["prior"], of_groups["scale"])
         done = _restored(spark, path, chains)
         if not done and p.settings.prior_trees:
             begin(rows, chains)
-        last, out = control.burn + control.draws * control.thin, []
+        last, out, draws = control.burn + control.draws * control.thin, [], []
         for it in range(done, last):
-            sweep(rows, chains, batch)
+            sweep(rows, chains, batch, groups)
             kept = it - control.burn
             if kept < 0 or (kept + 1) % control.thin == 0:
                 k = kept // control.thin
                 for c in chains:
                     phase, at = ("burn", it) if kept < 0 else ("keep", k)
                     out += [(phase, c.chain, at, None, None, None, None, c.sigma * p.span if not p.binary else 1.0, "sigma"), (phase, c.chain, at, None, None, None, None, c.k, "k")]
+                    if groups:
+                        out.append((phase, c.chain, at, None, None, None, None, c.tau * p.span, "tau"))
+                    if groups and kept >= 0:
+                        draws.append((c.chain, k, c.group))
+                        out += [("ranef", c.chain, k, None, None, None, None, float(b) * p.span, g) for (g, _), b in zip(groups[0], c.group["large"], strict=True)]
                     if kept >= 0 and control.keep_trees:
                         out += [("tree", c.chain, k, *r, None) for r in c.rows(p.cuts)]
             if (it + 1) % every == 0 or it + 1 == last:
-                _save(spark, path, it + 1, chains, out)
-                out = []
+                _save(spark, path, it + 1, chains, out, intercept_rows(rows, draws, p.span) if draws else None)
+                out, draws = [], []
     finally:
         rows.unpersist()
     table = spark.read.schema(sampler._OUT + ", upto int").parquet(f"{path}/draws").drop("upto")
@@ -419,11 +591,12 @@ def proceed(frame: DataFrame, path: str, control: sampler.Control | None = None,
     return sampler.Model(table, p.lo, p.span, p.binary, control, frame, test)
 
 
-def _save(spark: SparkSession, path: str, upto: int, chains: list[Driven], out: list[tuple]) -> None:
-    """Draws first: a state stands for all draws before it."""
+def _save(spark: SparkSession, path: str, upto: int, chains: list[Driven], out: list[tuple], more: DataFrame | None = None) -> None:
+    """Draws first, `more` beside those of the driver: a state stands for all draws before it."""
     slices = max(1, len(out) // 50_000)
-    spark.createDataFrame(spark.sparkContext.parallelize(out, slices), sampler._OUT).write.mode("overwrite").parquet(f"{path}/draws/upto={upto}")
-    state = [("tree", c.chain, *r, None) for c in chains for r in c.rows(None)] + [(None, c.chain, None, None, None, None, v, k) for c in chains for k, v in (("sigma", c.sigma), ("k", c.k), ("accepted", float(c.accepted)))]
+    draws = spark.createDataFrame(spark.sparkContext.parallelize(out, slices), sampler._OUT)
+    (draws if more is None else draws.union(more)).write.mode("overwrite").parquet(f"{path}/draws/upto={upto}")
+    state = [("tree", c.chain, *r, None) for c in chains for r in c.rows(None)] + [(None, c.chain, None, None, None, None, v, k) for c in chains for k, v in (("sigma", c.sigma), ("k", c.k), ("tau", c.tau), ("accepted", float(c.accepted)))]
     spark.createDataFrame(state, "kind string, chain int, tree int, node int, n long, var int, value double, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state/upto={upto}")
 
 
@@ -443,5 +616,5 @@ def _restored(spark: SparkSession, path: str, chains: list[Driven]) -> int:
             own = [r for r in found if r["chain"] == c.chain]
             named = {r["name"]: r["value"] for r in own if r["name"]}
             c.restore([(r["tree"], r["node"], r["n"], r["var"], r["value"]) for r in own if r["kind"] == "tree"], named["sigma"], named["k"], done)
-            c.accepted = int(named["accepted"])
+            c.accepted, c.tau = int(named["accepted"]), named.get("tau", 0.0)
     return done

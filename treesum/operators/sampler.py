@@ -16,7 +16,7 @@ from treesum.functions.scalar import phi_column, u01
 from treesum.operators import chains
 from treesum.operators import cuts as cutting
 from treesum.operators import forest, stats
-from treesum.operators.kernel import Chain, Settings, update_jointly
+from treesum.operators.kernel import Chain, Settings, group_ids, group_normals, update_jointly
 from treesum.operators.slicing import slice_sample
 from treesum.sources.staging import staged
 
@@ -107,6 +107,16 @@ def prepare(frame: DataFrame, control: Control, tree_prior: stats.TreePrior, lea
     return Prepared(cut, lo, span, sigma, s, binary)
 
 
+def tau_density(prior: str | Callable, scale: float) -> Callable:
+    """Log density of the spread of group intercepts, on the scale of the trees; scale: that of the response there."""
+    return prior if callable(prior) else {"cauchy": lambda t: -math.log1p((t / (2.5 * scale)) ** 2), "gamma": lambda t: 1.5 * math.log(t) - t / (2.5 * scale)}[prior]
+
+
+def draw_tau(tau: float, groups: int, squares: float, prior: Callable, r: np.random.Generator) -> float:
+    """The spread of group intercepts, from their number and sum of squares."""
+    return slice_sample(lambda t: -math.inf if t <= 0 else -groups * math.log(t) - squares / (2 * t * t) + prior(t), tau, r)
+
+
 def run_chain(g: pd.DataFrame, chain: int, control: Control, p: Prepared, tau_scale: float | None = None, tau_prior: str | Callable = "cauchy", callback: Callable | None = None) -> pd.DataFrame:
     """All draws of one chain over the rows of g(row_id, y, weight, offset, x[, g]); with tau_scale, group intercepts too."""
     g = g.sort_values("row_id")
@@ -120,22 +130,21 @@ def run_chain(g: pd.DataFrame, chain: int, control: Control, p: Prepared, tau_sc
         tau, counts = tau_scale / 5, np.bincount(code)
         scale = tau_scale / (1 if p.binary else p.span)
         tau = tau / (1 if p.binary else p.span)
-        prior = tau_prior if callable(tau_prior) else {"cauchy": lambda t: -math.log1p((t / (2.5 * scale)) ** 2), "gamma": lambda t: 1.5 * math.log(t) - t / (2.5 * scale)}[tau_prior]
+        prior, keys = tau_density(tau_prior, scale), group_ids(list(levels))
     for it in range(control.burn + control.draws * control.thin):
         if grouped:
             z = (c.z if p.binary else y) - (off if p.binary else 0)
             s2 = c.sigma**2
             v = 1 / (counts / s2 + 1 / tau**2)
             m = v / s2 * np.bincount(code, z - c.total)
-            b = m + np.sqrt(v) * c.r.standard_normal(len(v))
+            b = m + np.sqrt(v) * group_normals((c.seed, c.chain, c.sweeps + 1), keys)
             if p.binary:
                 c.offset = off + b[code]
             else:
                 c.y = c.z = y - b[code]
         c.sweep()
         if grouped:
-            q, ss = len(b), float(b @ b)
-            tau = slice_sample(lambda t: -math.inf if t <= 0 else -q * math.log(t) - ss / (2 * t * t) + prior(t), tau, c.r)  # noqa: B023
+            tau = draw_tau(tau, len(b), float(b @ b), prior, c.r)
         kept = it - control.burn
         k = kept // control.thin
         if kept < 0 or (kept + 1) % control.thin == 0:
@@ -290,14 +299,14 @@ def fit(frame: DataFrame, control: Control = PRESETS["modern"], tree_prior: stat
     number of shards is given, rows are dealt to them by a hash of row_id instead, each chain is fitted
     to each shard, and a draw is the average of the shards' draws: the sum of all their trees with means divided by the
     number of shards, and the root of the mean of their squared sigmas. That is a consensus of subset posteriors, not the
-    posterior of all rows; group intercepts and callbacks need one task for all rows."""
+    posterior of all rows; callbacks, and group intercepts of a binary response, need one task for all rows."""
     p = prepare(frame, control, tree_prior, leaf_prior, variance, hastings, preset=preset)
     n = frame.count()
     cells = n * max(1, len(p.cuts))
-    if shards is None and cells > MOST_CELLS and not group and callback is None:
+    if shards is None and cells > MOST_CELLS and not (group and p.binary) and callback is None:
         from treesum.operators import resident
 
-        return resident.fit(frame, control, tree_prior, leaf_prior, variance, preset, hastings, test)
+        return resident.fit(frame, control, tree_prior, leaf_prior, variance, preset, hastings, test, group=group, tau_prior=tau_prior)
     shards = 1 if shards is None else shards
     if cells > shards * MOST_CELLS:
         raise ValueError(f"{n} rows of {len(p.cuts)} predictors do not fit the tasks of {shards} shards; {-(-cells // MOST_CELLS)} are needed")
@@ -305,7 +314,7 @@ def fit(frame: DataFrame, control: Control = PRESETS["modern"], tree_prior: stat
         raise ValueError("group intercepts and callbacks need all rows in one shard")
     scale = None
     if group:
-        scale = 0.5 if p.binary else frame.agg(F.stddev_samp("y")).first()[0] or 1.0
+        scale = spread_of(frame, p)
     # as many copies of the rows as chains, which is stated
     both = frame.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(control.chains - 1))))
     both = both.withColumn("shard", F.pmod(F.xxhash64(F.lit(control.seed), "row_id"), F.lit(shards)).cast("int"))
@@ -319,6 +328,11 @@ def fit(frame: DataFrame, control: Control = PRESETS["modern"], tree_prior: stat
     return Model(_consensus(table, control.trees), p.lo, p.span, p.binary, control, frame, test)
 
 
+def spread_of(frame: DataFrame, p: Prepared) -> float:
+    """The scale that the prior of tau goes by: rounded, so that the order of sums does not reach the draws."""
+    return 0.5 if p.binary else float(f"{frame.agg(F.stddev_samp('y')).first()[0] or 1.0:.8g}")
+
+
 def _consensus(table: DataFrame, trees: int) -> DataFrame:
     """One forest of those of all shards."""
     shards = table.select(F.max("shard")).first()[0]

@@ -27,7 +27,8 @@ def width(log_density, at: float) -> float:
 def slice_sample(log_density, x: float, r: np.random.Generator, lo: float = 0.0, hi: float = math.inf, w: float | None = None, steps: int = 1) -> float:
     if w is None:
         top = hi if math.isfinite(hi) else max(10 * abs(x), 10.0)
-        w = width(log_density, mode(log_density, lo + 1e-9, top))
+        # any width will do: a round one does not carry the rounding of sums behind the density into the draw
+        w = float(f"{width(log_density, mode(log_density, lo + 1e-9, top)):.2g}")
     for _ in range(steps):
         level = log_density(x) - r.exponential()
         a = max(lo, x - w * r.random())
