@@ -180,6 +180,22 @@ def large_sums(rows: DataFrame, forests: list[list], many: int) -> np.ndarray:
     return out
 
 
+def group_posteriors(rows: DataFrame, trees: list, sigma: float, tau: float) -> DataFrame:
+    """(g, n, mean, sd) of all groups' intercepts given trees, sigma and tau, from grouped blocks: a row per group and block
+    meets by name, so that a large group costs as many rows as it has blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                n, sizes = row["n"], np.frombuffer(row["sizes"], np.int64)
+                codes, y, code = np.frombuffer(row["codes"], np.uint16).reshape(-1, n), np.frombuffer(row["y"]), np.frombuffer(row["code"], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(row["names"], pa.string()), pa.array(sizes), pa.array(residuals(codes, y, code, trees, len(sizes)))], names=["g", "n", "s"])
+
+    d = rows.mapInArrow(run, "g string, n long, s double").groupBy("g").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    v = 1 / (F.col("n") / sigma**2 + 1 / tau**2)
+    return d.select("g", "n", (v / sigma**2 * F.col("s")).alias("mean"), F.sqrt(v).alias("sd"))
+
+
 def intercept_rows(rows: DataFrame, draws: list[tuple[int, int, dict]], scale: float) -> DataFrame:
     """Rows of sampler._OUT: the intercepts of all groups that stand in one block, for draws (chain, sample, what intercepts takes)."""
 

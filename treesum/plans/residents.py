@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from treesum.functions.scalar import u01_sql
 from treesum.operators import resident, sampler, validation
 from treesum.operators.kernel import Proposal, Settings
-from treesum.plans.registry import r, rows_of
+from treesum.plans.registry import r, rows_of, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -103,3 +103,54 @@ def grid_held_rows(spark, sf_dir):
     f = rows_of(spark, sf_dir, "l_partkey").select((F.col("row_id") * 1_000_000 + F.col("l_partkey")).alias("row_id"), "y", "weight", "offset", "x")
     d = validation.cross_validate_resident(f, **GRID | {"n_trees": [2], "k": [2.0], "control": sampler.Control(draws=1, burn=0, chains=1)}, sizes=True)
     return d.select("rep", "fold", "n", r("w", 2).alias("w"))
+
+
+# groups
+
+#: Sigma and tau on the scale of the trees.
+_SIGMA, _TAU = 0.25, 0.125
+
+
+def _orders(spark, sf_dir):
+    """Orders in thousands by customer, of which some have many orders and some one."""
+    o = table(spark, sf_dir, "orders")
+    x = F.array((F.col("o_orderkey") % 50).cast("double"), (F.col("o_custkey") % 7).cast("double"))
+    return o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1000).cast("double").alias("y"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("offset"), x.alias("x"), F.col("o_custkey").alias("g"))
+
+
+def _posteriors(rows: str) -> str:
+    """Of rows (g, e), e the residuals."""
+    v = f"(1 / (count(*) / {_SIGMA**2} + 1 / {_TAU**2}))"
+    return f"SELECT g, count(*) AS n, round({v} / {_SIGMA**2} * sum(e), 6) AS mean, round(sqrt({v}), 6) AS sd FROM ({rows}) GROUP BY g"
+
+
+def _posterior_rows(frame, cuts, trees):
+    p = sampler.Prepared(cuts, 0.0, 100.0, 1.0, Settings(trees=len(trees)), False)
+    rows, _, _ = resident.grouped_blocks(frame, p)
+    d = resident.group_posteriors(rows, trees, _SIGMA, _TAU)
+    return d.select("g", "n", r("mean", 6).alias("mean"), r("sd", 6).alias("sd"))
+
+
+@query("resident_group_posteriors", _posteriors("SELECT CAST(o_custkey AS VARCHAR) AS g, CAST(o_totalprice / 1000 AS DOUBLE) / 100 - 0.5 - CASE WHEN o_orderkey % 50 <= 20 THEN 0.1 WHEN o_custkey % 7 <= 3 THEN -0.2 ELSE 0.3 END AS e FROM orders"))
+def resident_group_posteriors(spark, sf_dir):
+    """Intercepts of customers given a tree, over all orders."""
+    return _posterior_rows(_orders(spark, sf_dir), [np.array([10.0, 20.0]), np.array([3.0])], [(0, 1, 0.1, (1, 0, -0.2, 0.3))])
+
+
+@query("resident_large_groups", _posteriors("SELECT l_returnflag AS g, l_quantity * (1 - l_discount) * (1 + l_tax) / 100 - 0.5 - CASE WHEN l_quantity <= 20 THEN 0.1 WHEN l_discount <= 0.05 THEN -0.2 ELSE 0.3 END - CASE WHEN l_tax <= 0.04 THEN -0.05 ELSE 0.05 END AS e FROM lineitem"))
+def resident_large_groups(spark, sf_dir):
+    """Three groups that hold all line items."""
+    f = rows_of(spark, sf_dir).withColumnRenamed("l_returnflag", "g").select("row_id", "y", "weight", "offset", "x", "g")
+    return _posterior_rows(f, _CUTS, [(0, 1, 0.1, (1, 1, -0.2, 0.3)), (2, 0, -0.05, 0.05)])
+
+
+@query("resident_grouped_fit")
+def resident_grouped_fit(spark, sf_dir):
+    return resident.fit(_orders(spark, sf_dir), CONTROL, group=True).ranef_mean()
+
+
+@query("resident_grouped_draws", "SELECT CAST(chain AS INTEGER) AS chain, CAST(sample AS INTEGER) AS sample, count(DISTINCT o_custkey) AS n, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS keys FROM orders, generate_series(0, 1) a(chain), generate_series(0, 4) b(sample) GROUP BY ALL")
+def resident_grouped_draws(spark, sf_dir):
+    """Every draw has an intercept for each customer with orders, once."""
+    b = resident.fit(_orders(spark, sf_dir), CONTROL, group=True).ranef.where("not isnan(value)")
+    return b.groupBy("chain", "sample").agg(F.count("g").alias("n"), F.sum(F.col("g").cast("long")).alias("keys"))
