@@ -24,33 +24,38 @@ def uniform(df: DataFrame, columns: list[str], n: int = 100) -> DataFrame:
     return one.select("var", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cut_idx")).select("var", "cut_idx", (F.col("lo") + (F.col("cut_idx") + 1) * (F.col("hi") - F.col("lo")) / (n + 1)).alias("cut"))
 
 
-def ranked_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(var, v, i, u): each distinct value, its place among the u distinct values of its column, from 0. Values are dealt
-    out by range; places are places in a part plus the parts before, so no column is sorted in one task."""
+def _ranked(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(var, v, i, u, next): each distinct value, its place among the u distinct values of its column, from 0, and the value
+    after it; and (var, u). Values are dealt out by range; places are places in a part plus the parts before, so no column is
+    sorted in one task."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = _named(df, columns).distinct().repartitionByRange(parts, "var", "v").withColumn("part", F.spark_partition_id())
     d = staged(d, "distinct")
-    before = Window.partitionBy("var").orderBy("part")
-    per = d.groupBy("var", "part").agg(F.count(F.lit(1)).alias("n"))
-    per = per.withColumn("base", F.sum("n").over(before) - F.col("n")).withColumn("u", F.sum("n").over(Window.partitionBy("var"))).drop("n")
-    inside = F.row_number().over(Window.partitionBy("var", "part").orderBy("v")) - 1
-    return d.withColumn("j", inside).join(F.broadcast(per), ["var", "part"]).select("var", "v", (F.col("base") + F.col("j")).alias("i"), "u")
+    before, inside = Window.partitionBy("var").orderBy("part"), Window.partitionBy("var", "part").orderBy("v")
+    # a row per variable and part
+    per = d.groupBy("var", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"))
+    per = per.select("var", "part", (F.sum("n").over(before) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy("var")).alias("u"), F.lead("first").over(before).alias("beyond"))
+    d = d.withColumns({"j": F.row_number().over(inside) - 1, "after": F.lead("v").over(inside)}).join(F.broadcast(per), ["var", "part"])
+    return d.select("var", "v", (F.col("base") + F.col("j")).alias("i"), "u", F.coalesce("after", "beyond").alias("next")), per.select("var", "u").distinct()
+
+
+def ranked_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(var, v, i, u): each distinct value and its place among the u distinct values of its column, from 0."""
+    return _ranked(df, columns)[0].drop("next")
 
 
 def quantile(df: DataFrame, columns: list[str], n: int = 100) -> DataFrame:
     """cuts(var, cut_idx, cut) between neighbours of the distinct values: all of them if there are at most n + 1, else
     those at k * floor(u / n) + floor(floor(u / n) / 2), at most u - 2."""
-    r = ranked_distinct(df, columns)
+    r, sizes = _ranked(df, columns)
     step = F.floor(F.col("u") / n)
     every = F.col("u") <= n + 1
     k = F.explode(F.sequence(F.lit(0), F.when(every, F.col("u") - 2).otherwise(F.lit(n - 1)).cast("int")))
-    counts = r.groupBy("var").agg(F.max("u").alias("u")).where("u > 1").select("var", "u", k.alias("cut_idx"))
+    counts = sizes.where("u > 1").select("var", "u", k.alias("cut_idx"))
     at = F.when(every, F.col("cut_idx").cast("long")).otherwise(F.least(F.col("cut_idx") * step + F.floor(step / 2), F.col("u") - 2))
+    # at most n rows per column are looked up, each with its neighbour beside it, so values are ranked once
     wanted = counts.select("var", "cut_idx", at.alias("i"))
-    # at most n rows per column are looked up, so the ranks are joined to and not sorted again
-    lo = r.join(F.broadcast(wanted), ["var", "i"]).select("var", "cut_idx", F.col("v").alias("a"))
-    hi = r.join(F.broadcast(wanted.withColumn("i", F.col("i") + 1)), ["var", "i"]).select("var", "cut_idx", F.col("v").alias("b"))
-    return lo.join(hi, ["var", "cut_idx"]).select("var", "cut_idx", ((F.col("a") + F.col("b")) * 0.5).alias("cut"))
+    return r.join(F.broadcast(wanted), ["var", "i"]).select("var", "cut_idx", ((F.col("v") + F.col("next")) * 0.5).alias("cut"))
 
 
 def ragged(cuts: DataFrame) -> dict[int, list[float]]:
