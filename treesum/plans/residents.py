@@ -72,7 +72,7 @@ def _pass(spark, sf_dir):
 
 @query("resident_pass_sums", _PASS + " SELECT tree, old, new, count(*) AS n, round(sum(w), 4) AS w, round(sum(w * e), 4) AS we FROM (SELECT 0 AS tree, old_a AS old, new_a AS new, w, e FROM e UNION ALL SELECT 1, old_b, new_b, w, e FROM e) GROUP BY ALL")
 def resident_pass_sums(spark, sf_dir):
-    steps, (g, b, n, _) = _pass(spark, sf_dir)
+    steps, (g, b, n, *_) = _pass(spark, sf_dir)
     rows = [(t, i, j, round(n[x.base + k]), float(g[x.base + k, x.base + k]), float(b[x.base + k])) for t, x in enumerate(steps) for k, (i, j) in enumerate(x.cells) if n[x.base + k]]
     return spark.createDataFrame(rows, "tree int, old int, new int, n long, w double, we double").select("tree", "old", "new", "n", r("w", 4).alias("w"), r("we", 4).alias("we"))
 
