@@ -80,7 +80,7 @@ def resident_pass_sums(spark, sf_dir):
 @query("resident_pass_weights", _PASS + " SELECT new_a, old_b, new_b, round(sum(w), 4) AS w, round((SELECT sum(w * e * e) FROM e), 3) AS squares FROM e GROUP BY new_a, old_b, new_b")
 def resident_pass_weights(spark, sf_dir):
     """Weights that cells of the two trees share, and the squares of all residuals."""
-    (a, b), (g, _, _, squares) = _pass(spark, sf_dir)
+    (a, b), (g, _, _, squares, _) = _pass(spark, sf_dir)
     rows = [(j, s, t, float(g[a.base + k, b.base + m]), squares) for k, (_, j) in enumerate(a.cells) for m, (s, t) in enumerate(b.cells) if g[a.base + k, b.base + m]]
     return spark.createDataFrame(rows, "new_a int, old_b int, new_b int, w double, squares double").select("new_a", "old_b", "new_b", r("w", 4).alias("w"), r("squares", 3).alias("squares"))
 
