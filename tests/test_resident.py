@@ -185,3 +185,34 @@ def test_grouped_runs_go_on(spark, tmp_path):
     assert len(mean) == 23 and all(map(np.isfinite, mean.values()))
     with pytest.raises(ValueError, match="binary"):
         resident.fit(frame(spark, 60, binary=True).withColumn("g", F.lit("a")), control, group=True)
+
+
+def coarse(spark, n=400, seed=6, binary=False):
+    """Few distinct predictors, among rows of different weights, some of them 0."""
+    r = np.random.default_rng(seed)
+    x = r.integers(0, [4, 3, 2], (n, 3)).astype(float)
+    y = x @ [2.0, -1.0, 3.0] + (x[:, 0] > 1) * x[:, 2] * 4 + r.normal(size=n)
+    rows = [(i * 3, float(y[i] > 4) if binary else float(y[i]), 1.0 if binary else float(r.integers(0, 4)), 0.5, [float(v) for v in x[i]], f"g{i % 7}") for i in range(n)]
+    return spark.createDataFrame(rows, "row_id long, y double, weight double, offset double, x array<double>, g string")
+
+
+def test_rows_of_equal_codes_are_a_cell(spark):
+    """Blocks hold no more lines than there are codes, and draws are those of the rows."""
+    d = coarse(spark)
+    p = sampler.prepare(d, CONTROL, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
+    b = resident.blocks(d.repartition(3), p).collect()
+    assert sum(r["n"] for r in b) == 400 and sum(len(r["y"]) // 8 for r in b) == 24
+    for got, want in zip(driven(d.repartition(3), CONTROL, p, 8, 5), by_kernel(d, CONTROL, p, 8), strict=True):
+        same(got, want)
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_fit_leaves_large_frames_where_they_are(spark, monkeypatch, binary):
+    """What is too large for a task stays in its partitions, long before the most cells of a task."""
+    d, used, fit = coarse(spark, 200, binary=binary), [], resident.fit
+    control = sampler.Control(trees=4, draws=2, burn=2, chains=2, seed=3)
+    want = values(sampler.fit(d, control))
+    monkeypatch.setattr(sampler, "TASK_BYTES", 100_000)
+    monkeypatch.setattr(resident, "fit", lambda *a, **k: used.append(1) or fit(*a, **k))
+    got = values(sampler.fit(d, control))
+    assert used and got.keys() == want.keys() and all(abs(v - got[k]) < 1e-8 for k, v in want.items())

@@ -5,6 +5,9 @@ partition. What moves is the forest: a few kilobytes go out with each pass, and
 state of a row is ever written: a row's fit is its trees' sum, computed where the row is, so that a lost executor costs the
 blocks it held and nothing else.
 
+A continuous response meets the trees by sums alone, so rows of equal codes are one cell: their number, weight, mean and squares
+about it. Where cells are half as many as rows or fewer, blocks are of cells, and a pass costs what the codes are, not the rows.
+
 A move is proposed from the tree alone (kernel.Chain.proposal), so the moves of a batch of trees are drawn before the rows
 are read. A tree's old and new leaves cut the rows into cells, a handful per tree. One pass over the rows gives, for the cells of
 all trees of the batch, the matrix of weights G that two cells share, the sums b of weighted residuals and the counts. From
@@ -37,6 +40,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treesum.llm.common import lean
 from treesum.operators import sampler, stats
 from treesum.operators.kernel import Chain, Node, Proposal, Settings, group_ids, group_normals, keyed_uniforms, latents, walk
 from treesum.sources.staging import folder, staged
@@ -45,70 +49,173 @@ from treesum.sources.staging import folder, staged
 BLOCK, CHUNK, BATCH = 1 << 16, 1 << 13, 32
 #: Bytes of all tasks' sums that the driver adds itself; more are added by a shuffle first. Doubles of a slice of that.
 GATHER, SLICE = 32 << 20, 1 << 13
-#: Rows of a group that stand in one block at most.
+#: Rows or cells of a group that stand in one block at most.
 LARGE = 1 << 18
+#: Cells of a task at which it asks whether they save anything, and those it holds at most.
+HELD, MOST_HELD = 1 << 18, 1 << 21
 
 
 # rows
 
 
+_CELLS = "key binary, g string, n long, w double, wy double, wyy double, y double"
+_BLOCK = "n long, ids binary, codes binary, y binary, weight binary, offset binary, folds binary, many binary, rest binary, sums binary"
+_GROUPED = _BLOCK + ", code binary, names array<string>, keys binary, sizes binary, large binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _typed(frame: DataFrame, folds: list[str], group: bool) -> DataFrame:
+    """The columns that blocks are made of, in as many partitions as there are cores at least."""
+    named = [F.coalesce(F.col("g").cast("string"), F.lit("None")).alias("g")] if group else []
+    d = frame.select(F.col("row_id").cast("long"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")), F.col("x").cast("array<double>"), *(F.col(c).cast("short").alias(f"_fold{i}") for i, c in enumerate(folds)), *named)
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
+def _read(t: pa.Table | pa.RecordBatch, p: sampler.Prepared, folds: int) -> tuple[np.ndarray, ...]:
+    """(ids, codes, y, weight, offset, folds) of rows as _typed gives them, codes and folds with a line for each column."""
+    column = lambda c: t.column(c).combine_chunks() if isinstance(t, pa.Table) else t.column(c)
+    x = column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+    ids, y, w, off = (column(c).to_numpy(zero_copy_only=False) for c in ("row_id", "y", "weight", "offset"))
+    y = y if p.binary else (y - off - p.lo) / p.span - 0.5
+    dealt = np.array([column(f"_fold{i}").to_numpy() for i in range(folds)], np.int16).reshape(folds, t.num_rows)
+    return ids.astype(np.int64), np.ascontiguousarray(sampler.bins(x, p.cuts).T), y.astype(float), w.astype(float), off.astype(float) if p.binary else np.zeros(0), dealt
+
+
+def _together(t: pa.Table, *more: str) -> pa.Table:
+    """Cells of equal keys and groups as one, in the order in which they come first."""
+    sums = ["n", "w", "wy", "wyy", "y"]
+    d = t.group_by(["key", "g", *more], use_threads=False).aggregate([(c, "sum") for c in sums])
+    return pa.table({c: d[c if c in d.column_names else f"{c}_sum"] for c in ("key", "g", *sums, *more)})
+
+
+def cells(d: DataFrame, p: sampler.Prepared, folds: int) -> DataFrame | None:
+    """Rows of equal codes, folds and group as one cell: (key, g, n, w, wy, wyy, y, part), key the codes and folds, w, wy and wyy
+    weighted sums, y the plain one, a cell at most from each partition. None where cells of partitions are more than half as many
+    as the rows, or the response is binary: its latents are the rows' own."""
+    if p.binary or not p.cuts:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        seen, given_up = 0, False
+        for b in batches:
+            if given_up or not b.num_rows:
+                continue
+            _, codes, y, w, _, dealt = _read(b, p, folds)
+            key = np.ascontiguousarray(np.vstack([codes, dealt.view(np.uint16)]).T)
+            key = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * key.shape[1]), len(y), [None, pa.py_buffer(key.tobytes())])
+            g = b.column("g").cast(pa.string()) if "g" in b.schema.names else pa.nulls(len(y), pa.string())
+            held.append(_together(pa.table({"key": key, "g": g, "n": np.ones(len(y), np.int64), "w": w, "wy": w * y, "wyy": w * y * y, "y": y})))
+            seen += len(y)
+            if sum(t.num_rows for t in held[1:]) >= max(BLOCK, held[0].num_rows):
+                held = [_together(pa.concat_tables(held))]
+                given_up = held[0].num_rows > HELD and 2 * held[0].num_rows > seen or held[0].num_rows > MOST_HELD
+        if given_up:
+            held = [held[0].slice(0, 1).set_column(2, "n", pa.array([-1]))]
+        if held:
+            t = _together(pa.concat_tables(held))
+            yield from t.set_column(0, "key", t["key"].cast(pa.binary())).to_batches(max_chunksize=BLOCK)
+
+    c = staged(d.mapInArrow(run, _CELLS).withColumn("part", F.spark_partition_id()), "cells")
+    many, rows, least = c.agg(F.count(F.lit(1)), F.sum("n"), F.min("n")).first()
+    return None if not many or least < 0 or 2 * many > rows else c
+
+
+def _of_cells(t: pa.Table, p: sampler.Prepared) -> tuple[np.ndarray, ...]:
+    """What a block of cells holds, from ids to sums."""
+    key = np.frombuffer(b"".join(t["key"].to_pylist()), np.uint16).reshape(t.num_rows, -1).T
+    n, w, wy, wyy, y = (t[c].to_numpy() for c in ("n", "w", "wy", "wyy", "y"))
+    mean = np.divide(wy, w, out=np.zeros(len(w)), where=w > 0)
+    v = len(p.cuts)
+    return np.zeros(0, np.int64), np.ascontiguousarray(key[:v]), mean, w, np.zeros(0), np.ascontiguousarray(key[v:]).view(np.int16), n.astype(float), np.maximum(wyy - wy * mean, 0.0), y
+
+
+def _line(rows: int, arrays: tuple[np.ndarray, ...]) -> list[pa.Array]:
+    """A block's columns of _BLOCK; of rows, what only cells have is empty."""
+    arrays += (np.zeros(0),) * (9 - len(arrays))
+    return [pa.array([rows]), *(pa.array([a.tobytes()], pa.binary()) for a in arrays)]
+
+
+def _parts(c: DataFrame, rows: DataFrame, keys: int) -> int:
+    """Partitions for that many cells: no more than they fill."""
+    return max(1, min(max(rows.sparkSession.sparkContext.defaultParallelism, c.rdd.getNumPartitions()), -(-keys // CHUNK)))
+
+
 def blocks(frame: DataFrame, p: sampler.Prepared, folds: list[str] = []) -> DataFrame:  # noqa: B006
-    """frame(row_id, y, weight, offset, x) to (n, ids, codes, y, weight, offset, folds), a row per block; folds: columns of
-    small numbers, by which chains may leave rows out."""
-    binary, lo, span, cuts = p.binary, p.lo, p.span, p.cuts
+    """frame(row_id, y, weight, offset, x) to (n, ids, codes, y, weight, offset, folds, many, rest, sums), a row per block; folds:
+    columns of small numbers, by which chains may leave rows out. n: rows of the block. A block is of rows, with ids; or of
+    cells, with weighted means as y, numbers of rows, weighted squares about the means and plain sums."""
+    lean(frame.sparkSession)
+    many, d = len(folds), _typed(frame, folds, False)
+    c = cells(d, p, many)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 part = b.slice(at, BLOCK)
-                x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-                y, w, off, ids = (part.column(c).to_numpy(zero_copy_only=False) for c in ("y", "weight", "offset", "row_id"))
-                y = y if binary else (y - off - lo) / span - 0.5
-                off = off if binary else np.zeros(0)
-                codes = np.ascontiguousarray(sampler.bins(x, cuts).T)
-                dealt = np.array([part.column(f"_fold{i}").to_numpy() for i in range(many)], np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] + [pa.array([a.tobytes()], pa.binary()) for a in (ids.astype(np.int64), codes, y.astype(float), w.astype(float), off.astype(float), dealt)], names=["n", "ids", "codes", "y", "weight", "offset", "folds"])
-
-    many = len(folds)
-    d = frame.select(F.col("row_id").cast("long"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")), F.col("x").cast("array<double>"), *(F.col(c).cast("short").alias(f"_fold{i}") for i, c in enumerate(folds)))
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if d.rdd.getNumPartitions() < cores:
-        d = d.repartition(cores)
-    return d.mapInArrow(pack, "n long, ids binary, codes binary, y binary, weight binary, offset binary, folds binary")
+                yield pa.RecordBatch.from_arrays(_line(part.num_rows, _read(part, p, many)), names=_names(_BLOCK))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
+        def block(t: pa.Table) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(_line(int(t["n"].to_numpy().sum()), _of_cells(t, p)), names=_names(_BLOCK))
 
-_GROUPED = "n long, ids binary, codes binary, y binary, weight binary, offset binary, folds binary, code binary, names array<string>, keys binary, sizes binary, large binary"
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in held) >= BLOCK:
+                # equal cells that meet no more are still right
+                held = [_together(pa.concat_tables(held))]
+                if held[0].num_rows >= BLOCK // 2:
+                    yield block(held.pop())
+        if sum(t.num_rows for t in held):
+            yield block(_together(pa.concat_tables(held)))
+
+    if c is None:
+        return d.mapInArrow(pack, _BLOCK)
+    keys = c.select("key").distinct().count()
+    return c.repartition(_parts(c, d, keys), "key").sortWithinPartitions("key", "part").drop("part").mapInArrow(meet, _BLOCK)
 
 
 def grouped_blocks(frame: DataFrame, p: sampler.Prepared) -> tuple[DataFrame, list[tuple[str, int]], int]:
-    """frame(row_id, y, weight, offset, x, g) to blocks in which groups stand whole, with the group of each row (its number in
-    the block), names, keys of random numbers, sizes, and the number of a group among the large ones, or -1. Beside them
-    the large groups (name, rows), by name, and how many groups there are. Null is a group, named None."""
-    lo, span, cuts = p.lo, p.span, p.cuts
-    d = frame.select(F.col("row_id").cast("long"), *(F.col(c).cast("double") for c in ("y", "weight", "offset")), F.col("x").cast("array<double>"), F.coalesce(F.col("g").cast("string"), F.lit("None")).alias("g"))
-    sizes = d.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"))
+    """frame(row_id, y, weight, offset, x, g) to blocks in which groups stand whole, with the group of each row or cell (its
+    number in the block), names, keys of random numbers, sizes in rows, and the number of a group among the large ones, or -1.
+    Beside them the large groups (name, rows), by name, and how many groups there are. Null is a group, named None."""
+    lean(frame.sparkSession)
+    d = _typed(frame, [], True)
+    c = cells(d, p, 0)
+    met = c is not None
+    parts = max(frame.sparkSession.sparkContext.defaultParallelism, d.rdd.getNumPartitions())
+    if c is None:
+        sizes, by = d.groupBy("g").agg(F.count(F.lit(1)).alias("_rows"), F.count(F.lit(1)).alias("_lines")), ["row_id"]
+    else:
+        keys = c.groupBy("g", "key").agg(F.sum("n").alias("n"))
+        parts, by = _parts(c, d, keys.count()), ["key", "part"]
+        sizes, d = keys.groupBy("g").agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_lines")), c
     # at most rows / LARGE of them
-    large = sorted((r["g"], r["_rows"]) for r in sizes.where(F.col("_rows") > LARGE).collect())
+    large = sorted((r["g"], r["_rows"], r["_lines"]) for r in sizes.where(F.col("_lines") > LARGE).collect())
     many = sizes.count()
-    parts = max(frame.sparkSession.sparkContext.defaultParallelism, d.rdd.getNumPartitions())
     if large:
-        ways = frame.sparkSession.createDataFrame([(g, i, -(-n // LARGE)) for i, (g, n) in enumerate(large)], "g string, _large int, _ways long")
-        d = d.join(ways, "g", "left").withColumn("_way", F.when(F.col("_ways").isNotNull(), F.pmod(F.xxhash64("row_id"), F.col("_ways"))).otherwise(0)).withColumn("_large", F.coalesce("_large", F.lit(-1)))
+        ways = frame.sparkSession.createDataFrame([(g, i, -(-n // LARGE)) for i, (g, _, n) in enumerate(large)], "g string, _large int, _ways long")
+        d = d.join(F.broadcast(ways), "g", "left").withColumn("_way", F.when(F.col("_ways").isNotNull(), F.pmod(F.xxhash64(by[0]), F.col("_ways"))).otherwise(0)).withColumn("_large", F.coalesce("_large", F.lit(-1)))
     else:
         d = d.withColumns({"_large": F.lit(-1), "_way": F.lit(0)})
-    d = d.repartition(parts, "g", "_way").sortWithinPartitions("g", "_way", "row_id")
+    d = d.repartition(parts, "g", "_way").sortWithinPartitions("g", "_way", *by)
 
     def block(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        x = t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
-        y, off, w, ids = (t[c].to_numpy() for c in ("y", "offset", "weight", "row_id"))
+        t = _together(t, "_large") if met else t.combine_chunks()
+        arrays = _of_cells(t, p) if met else _read(t, p, 0)
         g = t["g"].combine_chunks().dictionary_encode()
         names, code = g.dictionary.to_pylist(), g.indices.to_numpy().astype(np.int32)
         begin = np.searchsorted(code, np.arange(len(names)))
-        arrays = (ids.astype(np.int64), np.ascontiguousarray(sampler.bins(x, cuts).T), (y - off - lo) / span - 0.5, w.astype(float), np.zeros(0), np.zeros(0, np.int16), code)
-        more = (group_ids(names), np.bincount(code, minlength=len(names)), t["_large"].to_numpy()[begin].astype(np.int32))
-        out = [pa.array([t.num_rows]), *(pa.array([a.tobytes()], pa.binary()) for a in arrays), pa.array([names], pa.list_(pa.string())), *(pa.array([a.tobytes()], pa.binary()) for a in more)]
-        return pa.RecordBatch.from_arrays(out, names=[f.split()[0] for f in _GROUPED.split(", ")])
+        sizes = np.bincount(code, arrays[6] if met else None, len(names)).astype(np.int64)
+        more = (group_ids(names), sizes, t["_large"].to_numpy()[begin].astype(np.int32))
+        out = [*_line(int(sizes.sum()), arrays), pa.array([code.tobytes()], pa.binary()), pa.array([names], pa.list_(pa.string())), *(pa.array([a.tobytes()], pa.binary()) for a in more)]
+        return pa.RecordBatch.from_arrays(out, names=_names(_GROUPED))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -128,27 +235,27 @@ def grouped_blocks(frame: DataFrame, p: sampler.Prepared) -> tuple[DataFrame, li
         if sum(x.num_rows for x in held):
             yield block(pa.Table.from_batches(held))
 
-    return d.mapInArrow(pack, _GROUPED), large, many
+    return d.mapInArrow(pack, _GROUPED), [(g, n) for g, n, _ in large], many
 
 
 def intercepts(row: dict, f: dict) -> np.ndarray:
     """The intercepts of a block's groups in the sweep that f(start, sigma, tau, key, large) describes."""
-    n = row["n"]
-    codes, y, code = np.frombuffer(row["codes"], np.uint16).reshape(-1, n), np.frombuffer(row["y"]), np.frombuffer(row["code"], np.int32)
     sizes, keys, large = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["keys"], np.int64), np.frombuffer(row["large"], np.int32)
-    out = drawn(sizes, residuals(codes, y, code, f["start"], len(sizes)), keys, f)
+    out = drawn(sizes, residuals(row, f["start"]), keys, f)
     return np.where(large < 0, out, f["large"][large] if len(f["large"]) else 0.0)
 
 
-def residuals(codes: np.ndarray, y: np.ndarray, code: np.ndarray, trees: list, many: int) -> np.ndarray:
-    """Sums by group of the response less the trees."""
-    total = np.zeros(many)
+def residuals(row: dict, trees: list) -> np.ndarray:
+    """Sums by group of a block's response less the trees, of its rows or cells."""
+    code, y, many = np.frombuffer(row["code"], np.int32), np.frombuffer(row["sums"] or row["y"]), np.frombuffer(row["many"])
+    codes, groups = np.frombuffer(row["codes"], np.uint16).reshape(-1, len(y)), len(row["names"])
+    total = np.zeros(groups)
     for a in range(0, len(y), CHUNK):
         cut = slice(a, min(len(y), a + CHUNK))
         e = y[cut].copy()
         for t in trees:
-            e -= spread(t, codes[:, cut])
-        total += np.bincount(code[cut], e, many)
+            e -= spread(t, codes[:, cut]) * (many[cut] if len(many) else 1.0)
+        total += np.bincount(code[cut], e, groups)
     return total
 
 
@@ -159,19 +266,24 @@ def drawn(sizes: np.ndarray, sums: np.ndarray, keys: np.ndarray, f: dict) -> np.
     return v / s2 * sums + np.sqrt(v) * group_normals(f["key"], keys)
 
 
+def rows_of(b: pa.RecordBatch) -> Iterator[dict]:
+    """The blocks of a batch, one at a time."""
+    for at in range(b.num_rows):
+        yield b.slice(at, 1).to_pylist()[0]
+
+
 def large_sums(rows: DataFrame, forests: list[list], many: int) -> np.ndarray:
     """(chains, large groups): sums of residuals of the large groups, by chain's trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b):
                 large = np.frombuffer(row["large"], np.int32)
                 if (large < 0).all():
                     continue
-                n, at = row["n"], np.flatnonzero(large >= 0)
-                codes, y, code = np.frombuffer(row["codes"], np.uint16).reshape(-1, n), np.frombuffer(row["y"]), np.frombuffer(row["code"], np.int32)
+                at = np.flatnonzero(large >= 0)
                 for i, trees in enumerate(forests):
-                    s = residuals(codes, y, code, trees, len(large))[at]
+                    s = residuals(row, trees)[at]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(large[at]), pa.array(s)], names=["chain", "large", "s"])
 
     out = np.zeros((len(forests), many))
@@ -186,10 +298,8 @@ def group_posteriors(rows: DataFrame, trees: list, sigma: float, tau: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                n, sizes = row["n"], np.frombuffer(row["sizes"], np.int64)
-                codes, y, code = np.frombuffer(row["codes"], np.uint16).reshape(-1, n), np.frombuffer(row["y"]), np.frombuffer(row["code"], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(row["names"], pa.string()), pa.array(sizes), pa.array(residuals(codes, y, code, trees, len(sizes)))], names=["g", "n", "s"])
+            for row in rows_of(b):
+                yield pa.RecordBatch.from_arrays([pa.array(row["names"], pa.string()), pa.array(np.frombuffer(row["sizes"], np.int64)), pa.array(residuals(row, trees))], names=["g", "n", "s"])
 
     d = rows.mapInArrow(run, "g string, n long, s double").groupBy("g").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     v = 1 / (F.col("n") / sigma**2 + 1 / tau**2)
@@ -201,7 +311,7 @@ def intercept_rows(rows: DataFrame, draws: list[tuple[int, int, dict]], scale: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b):
                 whole = np.flatnonzero(np.frombuffer(row["large"], np.int32) < 0)
                 names = [row["names"][i] for i in whole]
                 for chain, sample, f in draws:
@@ -213,14 +323,15 @@ def intercept_rows(rows: DataFrame, draws: list[tuple[int, int, dict]], scale: f
 
 
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """(codes (variables, rows), ids, y, weight, offset, folds (columns, rows)) of a batch of blocks, CHUNK rows at a time."""
-    for n, ids, codes, y, w, off, folds in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-        of = lambda b, kind, n=n: np.frombuffer(b, kind).reshape(-1, n)
-        codes, folds, off = of(codes, np.uint16), of(folds, np.int16), np.frombuffer(off)
-        ids, y, w = np.frombuffer(ids, np.int64), np.frombuffer(y), np.frombuffer(w)
-        for a in range(0, n, CHUNK):
-            cut = slice(a, min(n, a + CHUNK))
-            yield codes[:, cut], ids[cut], y[cut], w[cut], off[cut], folds[:, cut]
+    """(codes (variables, rows), ids, y, weight, offset, folds (columns, rows), many, rest) of a batch of blocks, CHUNK rows or cells
+    at a time."""
+    kinds = (np.int64, np.uint16, np.float64, np.float64, np.float64, np.int16, np.float64, np.float64)
+    for at in range(batch.num_rows):
+        ids, codes, y, w, off, folds, many, rest = (np.frombuffer(batch.column(i)[at].as_py(), k) for i, k in enumerate(kinds, 1))
+        codes, folds = codes.reshape(-1, len(y)), folds.reshape(-1, len(y))
+        for a in range(0, len(y), CHUNK):
+            cut = slice(a, min(len(y), a + CHUNK))
+            yield codes[:, cut], ids[cut], y[cut], w[cut], off[cut], folds[:, cut], many[cut], rest[cut]
 
 
 # what goes out
@@ -348,10 +459,11 @@ def _shift(row: dict, f: dict, s: list) -> np.ndarray:
     return b[np.frombuffer(row["code"], np.int32)]
 
 
-def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w: np.ndarray, off: np.ndarray, folds: np.ndarray) -> None:
+def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w: np.ndarray, off: np.ndarray, folds: np.ndarray, many: np.ndarray, rest: np.ndarray) -> None:
     if f["held"] is not None:
         at = np.flatnonzero(folds[f["held"][0]] != f["held"][1])
-        codes, ids, y, w, off = codes[:, at], ids[at], y[at], w[at], off[at] if len(off) else off
+        codes, y, w = codes[:, at], y[at], w[at]
+        ids, off, many, rest = (a[at] if len(a) else a for a in (ids, off, many, rest))
     fit = np.zeros(len(y))
     for t in f["trees"]:
         fit += spread(t, codes)
@@ -370,8 +482,8 @@ def _add(s: list, f: dict, codes: np.ndarray, ids: np.ndarray, y: np.ndarray, w:
     zw = z * w[:, None]
     s[0] += zw.T @ z
     s[1] += zw.T @ e
-    s[2] += z.sum(0)
-    s[3] += float(w @ (e * e))
+    s[2] += many @ z if len(many) else z.sum(0)
+    s[3] += float(w @ (e * e)) + float(rest.sum())
 
 
 # chains

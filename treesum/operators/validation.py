@@ -272,13 +272,15 @@ def _held_out(rows: DataFrame, held: list[tuple], draws: list[list], p: Prepared
     def run(batches):
         sums = np.zeros((len(held), 3))
         for b in batches:
-            for codes, _, y, w, off, fold in resident.unpacked(b):
+            for codes, _, y, w, off, fold, many, rest in resident.unpacked(b):
                 for i, (rep, own) in enumerate(held):
                     at = np.flatnonzero(fold[rep] == own)
                     if len(at):
                         c = codes[:, at]
                         s = [sum(np.broadcast_to(resident.spread(t, c), len(at)) for t in forest) for forest in sent.value[i]]
-                        sums[i] += (len(at), w[at].sum(), lost(y[at], s, off[at] if len(off) else 0.0, w[at]))
+                        # squares about the means of cells, which a continuous response alone has
+                        more = span**2 * rest[at].sum() if len(rest) else 0.0
+                        sums[i] += (many[at].sum() if len(many) else len(at), w[at].sum(), lost(y[at], s, off[at] if len(off) else 0.0, w[at]) + more)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), *(pa.array(sums[:, j]) for j in range(3))], names=["i", "n", "w", "lost"])
 
     found = rows.mapInArrow(run, "i int, n double, w double, lost double").groupBy("i").agg(*(F.sum(c).alias(c) for c in ("n", "w", "lost"))).collect()

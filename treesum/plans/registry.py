@@ -751,10 +751,11 @@ def partial_update(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected charge per return flag with a 90 % interval: fit on all rows, score all rows, average per draw."""
-    d = rows_of(spark, sf_dir)
+    """Expected charge per return flag with a 90 % interval: fit on all rows, score all rows, average per draw. Rows of the same
+    predictors have the same fits: they are scored once and count as many times as they are."""
+    d = rows_of(spark, sf_dir).groupBy("l_returnflag", "x").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("row_id"), F.lit(0.0).alias("offset"))
     m = sampler.fit(_charge_frame(spark, sf_dir), sampler.Control(trees=10, draws=50, burn=50, chains=1))
-    p = forest.predict(m.trees, d, m.lo, m.span, keep=["l_returnflag"]).groupBy("l_returnflag", "chain", "sample").agg(F.avg("value").alias("m"))
+    p = forest.predict(m.trees, d, m.lo, m.span, keep=["l_returnflag", "n"]).groupBy("l_returnflag", "chain", "sample").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("m"))
     return p.groupBy("l_returnflag").agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.05)).alias("low"), F.percentile("m", F.lit(0.5)).alias("median"), F.percentile("m", F.lit(0.95)).alias("high"))
 
 
