@@ -216,3 +216,14 @@ def test_fit_leaves_large_frames_where_they_are(spark, monkeypatch, binary):
     monkeypatch.setattr(resident, "fit", lambda *a, **k: used.append(1) or fit(*a, **k))
     got = values(sampler.fit(d, control))
     assert used and got.keys() == want.keys() and all(abs(v - got[k]) < 1e-8 for k, v in want.items())
+
+
+def test_grids_of_middling_blocks_stay_in_partitions(spark, monkeypatch):
+    """Blocks that could be broadcast are not, where they would fill tasks; rows of equal codes and folds are cells there."""
+    d, used, resident_grid = coarse(spark, 600), [], validation.cross_validate_resident
+    grid = {"n_trees": [3], "k": [1.0], "reps": 1, "n_test": 2, "control": sampler.Control(draws=2, burn=2, chains=1)}
+    want = validation.cross_validate(d, **grid).first()["loss"]
+    monkeypatch.setattr(validation, "TASK_MB", 0)
+    monkeypatch.setattr(validation, "cross_validate_resident", lambda *a, **k: used.append(1) or resident_grid(*a, **k))
+    got = validation.cross_validate(d, **grid).first()["loss"]
+    assert used and abs(got - want) < 1e-8

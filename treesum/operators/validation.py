@@ -19,7 +19,8 @@ from treesum.operators.kernel import Chain
 from treesum.operators.sampler import Control, Prepared, bins, prepare
 from treesum.sources.staging import staged
 
-MOST_MB, RANGE = 256, 200_000
+#: A block that must be broadcast, one that is where it need not be, and rows of a hash range.
+MOST_MB, TASK_MB, RANGE = 256, 32, 200_000
 
 
 def places(row_id: np.ndarray, rep: int, seed: int) -> np.ndarray:
@@ -118,7 +119,7 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
     if method not in ("k-fold", "random subsample"):
         raise ValueError(f"no method {method!r}")
     size = frame.count() * (len(p0.cuts) + 5) * 8 / 1e6
-    if size > MOST_MB and warm is None and not callable(name):
+    if size > min(MOST_MB, TASK_MB) and warm is None and not callable(name):
         return cross_validate_resident(frame, n_trees, k, power, base, method, n_test, reps, name, control, seed)
     if size > MOST_MB:
         raise ValueError(f"a block of {size:.0f} MB is not broadcast to every cell; warm starts and losses of one's own need it")
