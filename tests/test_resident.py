@@ -227,3 +227,19 @@ def test_grids_of_middling_blocks_stay_in_partitions(spark, monkeypatch):
     monkeypatch.setattr(validation, "cross_validate_resident", lambda *a, **k: used.append(1) or resident_grid(*a, **k))
     got = validation.cross_validate(d, **grid).first()["loss"]
     assert used and abs(got - want) < 1e-8
+
+
+@pytest.mark.parametrize("large", [1 << 18, 10])
+def test_groups_of_cells(spark, monkeypatch, large):
+    """Groups of more rows than stand in one block are whole where their cells fit one; intercepts are those of one task."""
+    monkeypatch.setattr(resident, "LARGE", large)
+    d = coarse(spark, 3000)
+    control = sampler.Control(trees=5, draws=3, burn=2, chains=2, seed=3)
+    p = sampler.prepare(d, control, stats.TreePrior(), stats.NormalPrior(), stats.ChiSquaredPrior())
+    b, found, many = resident.grouped_blocks(d, p)
+    rows = b.collect()
+    assert many == 7 and len(found) == (7 if large == 10 else 0) and sum(r["n"] for r in rows) == 3000
+    # 24 codes, 7 groups
+    assert sum(len(r["y"]) // 8 for r in rows) <= 24 * 7
+    want, got = values(sampler.fit(d, control, group=True)), values(resident.fit(d, control, group=True))
+    assert got.keys() == want.keys() and all(abs(v - got[k]) < 1e-8 for k, v in want.items())
