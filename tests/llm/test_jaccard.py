@@ -130,3 +130,38 @@ def test_tree_finds_all_pairs():
 def test_nothing(spark):
     assert run(spark, [(1, "a b c d e f")])[0] == (1, 2, 1)
     assert jaccard.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_counts_come_in_few_jobs(spark):
+    """The driver runs no job for each partition of a shuffle."""
+    d = spark.createDataFrame([r for r in corpus(n=60) if r[0] is not None], "doc_id long, text string")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    size = jaccard._size(d)
+    first = d.mapInArrow(lambda it: jaccard._first(it, size, 64), jaccard._FIRST)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        before = jobs()
+        assert jaccard._counted(first, size).sum() > 0
+        assert jobs() - before < 10
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_components_with_and_without_broadcast(spark, monkeypatch):
+    """Few edges are joined by broadcast, others by shuffle: the same, with edges that repeat and hot nodes."""
+    from treesum.llm import common
+
+    r = random.Random(4)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, k) for k in range(1001, 1080)] + [(k, k + 1) for k in range(2000, 2040)] * 2
+    least = {}
+    for a, b in edges * 60:
+        if a != b:
+            least[a] = least[b] = min(least.get(a, a), least.get(b, b))
+    got = []
+    for few in (common.FEW, 0):
+        monkeypatch.setattr(common, "FEW", few)
+        got.append(sorted(tuple(x) for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got[0] == got[1] == sorted(least.items())

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 8 << 20
+#: Edges of a table whose nodes are broadcast in a round of components.
+FEW = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,10 +52,15 @@ def tidy(batches: Iterator, *then: Callable) -> Iterator:
         for f in then:
             f()
         gc.enable()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that nothing holds any more back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -89,25 +96,27 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): one row (id, component) per node that has an edge,
     component being its smallest node. Alternating large-star and small-star rounds; each round's edges are
-    staged, minima are combined before the shuffle, and joins leave hot nodes to the skew join."""
+    staged, minima are combined before the shuffle, and joins leave hot nodes to the skew join; minima of few edges, by
+    count, are broadcast. An edge that several nodes bring is one at the end of a round."""
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, many = None, now.count()
     for _ in range(most):
+        hint = F.broadcast if many <= FEW else (lambda x: x)
         # large-star: each node sends its larger neighbours to the smallest of its neighbourhood
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = both.where("v > u").join(hint(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # nodes that are the largest around them keep an edge to their minimum
-        large = large.union(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        large = large.union(low.where("m < u").select("u", F.col("m").alias("v")))
         # small-star: each node sends its smaller neighbours to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(hint(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, stage(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, many = tuple(state), state[0]
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -159,7 +159,8 @@ def _counted(first: DataFrame, size: int) -> np.ndarray:
     rows = first.where("row is not null").select("row", F.lit(False).alias("wide"), "counts")
     rows = rows.groupBy("row", F.pmod(F.xxhash64("counts"), F.lit(64))).applyInArrow(add, schema).groupBy("row").applyInArrow(add, schema)
     out = np.zeros(size, np.int64)
-    for r in rows.toLocalIterator():
+    # a job for each of these parts, of 8 MB
+    for r in rows.repartition(max(1, size >> 20)).toLocalIterator():
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], np.int64)
     return out
 

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesum.llm.common import lean, stage, tidy
+from treesum.llm.common import lean, stage, tidy, trim
 
 #: Training: texts per language, about, that are drawn by hash; rounds.
 TEXTS, ROUNDS = 500, 5
@@ -272,6 +272,7 @@ def fit(docs: DataFrame, path: str | None = None, texts: int = TEXTS, seed: int
         # the words of about `texts` texts, whatever the input
         top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").toPandas()
         p.append(pieces(path).fit(top["word"].tolist(), top["n"].to_numpy(float)))
+        trim()
     return Model(path, langs, np.stack(p, axis=1))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treesum.llm.common import lean, tidy
+from treesum.llm.common import lean, tidy, trim
 
 CHUNK, STEP, LAGS, EMBED, FILTERS, HIDDEN = 16, 8, 24, 6, 24, 12
 PER_CLASS, EPOCHS, BATCH = 700, 14, 48
@@ -165,6 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: in
         net.constant = per[1] / (per[0] + per[1])
         return net
     net.train([r["text"].encode() for r in rows], y)
+    del rows
+    trim()
     return net
 
 
