@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 from hashlib import blake2b, md5
@@ -182,19 +183,45 @@ def cross_validate(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), po
 WAVE, TREES, NODES = 64, 8, 2_000_000
 
 
-def dealt(frame: DataFrame, reps: int, method: str, n_test: float, seed: int) -> DataFrame:
-    """frame(_key, row_id) with fold0, fold1, ...: the fold of each row in each repetition; in random subsamples, 0 for test
-    rows, else 1. Only keys and ids are ranked."""
-    ids = frame.select("_key", F.col("row_id").cast("long").alias("row_id"))
-    for rep in range(reps):
-        if method == "k-fold":
-            ids = folds(ids, int(n_test), rep, seed).withColumnRenamed("fold", f"fold{rep}")
-        else:
-            ids = subsample(ids, n_test, rep, seed).withColumn(f"fold{rep}", (~F.col("test")).cast("int")).drop("test")
-        if rep % 4 == 3:
-            # a plan of windows on windows would grow with the repetitions
-            ids = staged(ids, "folds")
-    return staged(ids, "folds")
+def fold_sizes(n: int, method: str, n_test: float) -> list[int]:
+    """Rows of each fold, as `folds` and `subsample` deal n rows; of random subsamples, test rows and the others."""
+    if method == "k-fold":
+        k = int(n_test)
+        return [n // k + (i < n % k) for i in range(k)]
+    test = min(n, math.floor(n * n_test + 0.5))
+    return [test, n - test]
+
+
+def dealt(frame: DataFrame, reps: int, method: str, n_test: float, seed: int) -> tuple[DataFrame, int]:
+    """frame(_key, row_id, ...) with fold0, fold1, ...: the fold of each row in each repetition; in random subsamples, 0 for
+    test rows, else 1. Beside it the number of rows.
+
+    A fold is a stretch of the hashed order, so it is known by its first row. Two passes over keys and ids find those of all
+    repetitions: one counts hash ranges of about RANGE rows, one ranks the ranges in which folds begin. Rows are then
+    compared with them where they are; none is sorted or joined."""
+    n = frame.count()
+    parts, ends = max(8, -(-n // RANGE)), np.cumsum(fold_sizes(n, method, n_test))[:-1]
+    u = lambda rep: u01(F.lit(seed), rep, F.col("row_id"))
+    ids = frame.select("_key", F.col("row_id").cast("long").alias("row_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
+    ids = ids.withColumn("_u", u(F.col("_rep"))).withColumn("_part", F.floor(F.col("_u") * parts).cast("int"))
+    # a row for each range and repetition
+    size = np.zeros((reps, parts), np.int64)
+    for r in ids.groupBy("_rep", "_part").count().toLocalIterator():
+        size[r["_rep"], r["_part"]] = r["count"]
+    upto = size.cumsum(1)
+    begin = [(rep, int(end)) for rep in range(reps) for end in ends if end < n]
+    within = [(rep, int(np.searchsorted(upto[rep], end, "right"))) for rep, end in begin]
+    wanted = [(*k, int(end - upto[k] + size[k])) for k, (_, end) in zip(within, begin, strict=True)]
+    first: dict[int, list] = {rep: [] for rep in range(reps)}
+    if wanted:
+        asked = frame.sparkSession.createDataFrame(wanted, "_rep int, _part int, _at long")
+        inside = ids.join(F.broadcast(asked.select("_rep", "_part").distinct()), ["_rep", "_part"], "left_semi")
+        at = F.row_number().over(Window.partitionBy("_rep", "_part").orderBy("_u", "row_id", "_key")) - 1
+        for r in inside.withColumn("_at", at.cast("long")).join(F.broadcast(asked), ["_rep", "_part", "_at"]).collect():
+            first[r["_rep"]].append((r["_u"], r["row_id"], r["_key"]))
+    out = frame.select("*", *(u(F.lit(rep)).alias(f"_u{rep}") for rep in range(reps)))
+    after = lambda rep, x: F.struct(f"_u{rep}", F.col("row_id").cast("long"), "_key") >= F.struct(F.lit(x[0]), F.lit(x[1]).cast("long"), F.lit(x[2]).cast("long"))
+    return out.select(*frame.columns, *(sum((after(rep, x).cast("int") for x in first[rep]), F.lit(0)).alias(f"fold{rep}") for rep in range(reps))), n
 
 
 def cross_validate_resident(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), power: list = (2.0,), base: list = (0.95,), method: str = "k-fold", n_test: float = 5, reps: int = 40, loss: str | None = None, control: Control = Control(draws=200, burn=200, chains=1), seed: int = 1, sizes: bool = False) -> DataFrame:
@@ -214,12 +241,9 @@ def cross_validate_resident(frame: DataFrame, n_trees: list = (75,), k: list = (
     spark, columns = frame.sparkSession, [f"fold{i}" for i in range(reps)]
     # ids may repeat; keys, once written, do not
     frame = staged(frame.select("row_id", "y", "weight", "offset", "x").withColumn("_key", F.monotonically_increasing_id()), "rows")
-    ids = dealt(frame, reps, method, n_test, seed)
-    rows = staged(resident.blocks(frame.join(ids.drop("row_id"), "_key"), p0, columns), "blocks").persist(StorageLevel.MEMORY_AND_DISK)
-    parts = int(n_test) if method == "k-fold" else 1
-    # one number for each repetition and fold
-    counts = {(i, r[c]): r["count"] for i, c in enumerate(columns) for r in ids.groupBy(c).count().collect()}
-    total = sum(n for (i, _), n in counts.items() if i == 0)
+    frame, total = dealt(frame, reps, method, n_test, seed)
+    rows = staged(resident.blocks(frame, p0, columns), "blocks").persist(StorageLevel.MEMORY_AND_DISK)
+    parts, counts = int(n_test) if method == "k-fold" else 1, fold_sizes(total, method, n_test)
     cells = grid(spark, list(n_trees), list(k), list(power), list(base), reps).orderBy("n_trees", "cell", "rep").collect()
     todo = [(r, fold) for r in cells for fold in range(parts)]
     many, out, at = np.array([len(c) for c in p0.cuts]), [], 0
@@ -232,7 +256,7 @@ def cross_validate_resident(frame: DataFrame, n_trees: list = (75,), k: list = (
             chains = []
             for r, fold in wave:
                 s = replace(p0.settings, trees=trees, k=float(r["k"]), power=float(r["power"]), base=float(r["base"]))
-                chains.append(resident.Driven(total - counts.get((r["rep"], fold), 0), many, s, p0.sigma, seed, stream(r["cell"], r["rep"], fold), (r["rep"], fold)))
+                chains.append(resident.Driven(total - counts[fold], many, s, p0.sigma, seed, stream(r["cell"], r["rep"], fold), (r["rep"], fold)))
             if p0.settings.prior_trees:
                 resident.begin(rows, chains)
             draws: list[list] = [[] for _ in wave]
