@@ -243,3 +243,20 @@ def test_groups_of_cells(spark, monkeypatch, large):
     assert sum(len(r["y"]) // 8 for r in rows) <= 24 * 7
     want, got = values(sampler.fit(d, control, group=True)), values(resident.fit(d, control, group=True))
     assert got.keys() == want.keys() and all(abs(v - got[k]) < 1e-8 for k, v in want.items())
+
+
+@pytest.mark.parametrize("method, n_test, n", [("k-fold", 5, 1003), ("k-fold", 5, 3), ("random subsample", 0.3, 1003), ("random subsample", 0.01, 20), ("random subsample", 1.0, 20)])
+def test_folds_are_dealt_where_rows_are(spark, monkeypatch, method, n_test, n):
+    """Rows are neither sorted nor joined, and fall to folds as by their places; rows that repeat an id too, by their keys."""
+    monkeypatch.setattr(validation, "RANGE", 40)
+    ids = spark.range(0, n, 1, 3).selectExpr("id * 7 AS row_id", "id AS _key")
+    got, rows = validation.dealt(ids, 2, method, n_test, 5)
+    assert rows == n and not any(x in got._jdf.queryExecution().executedPlan().toString() for x in ("Join", "Sort", "Exchange", "Window"))
+    for rep in range(2):
+        want = validation.folds(ids, n_test, rep, 5) if method == "k-fold" else validation.subsample(ids, n_test, rep, 5).selectExpr("row_id", "_key", "CAST(NOT test AS INT) AS fold")
+        assert {tuple(r) for r in got.select("_key", f"fold{rep}").collect()} == {tuple(r) for r in want.select("_key", "fold").collect()}
+        sizes = {r[f"fold{rep}"]: r["count"] for r in got.groupBy(f"fold{rep}").count().collect()}
+        assert [sizes.get(i, 0) for i in range(len(validation.fold_sizes(n, method, n_test)))] == validation.fold_sizes(n, method, n_test)
+    if method == "k-fold" and n > 5:
+        again = validation.dealt(ids.withColumn("row_id", F.lit(1)), 1, method, n_test, 5)[0]
+        assert {r["fold0"]: r["count"] for r in again.groupBy("fold0").count().collect()} == dict(enumerate(validation.fold_sizes(n, method, n_test)))
