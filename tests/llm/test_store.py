@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -31,6 +32,28 @@ def test_words_equal_library():
     assert sizes.tolist() == [len(encode(t)) for t in texts()] * 2 and ids.tolist() == [i for t in texts() for i in encode(t)] * 2
 
 
+def test_pieces_of_a_batch_are_looked_up_once(monkeypatch):
+    """Texts are cut together, and words that repeat cost one look each batch."""
+    w = store.WordIds(store.default_vocabulary())
+    asked, own = [], w._numbered
+    monkeypatch.setattr(w, "_numbered", lambda pieces, plain: asked.append(list(pieces)) or own(pieces, plain))
+    many = ["the cat and the dog, 1991!\r\n"] * 300 + ["don't 日本 don't"] * 300 + [None, " "]
+    encode = library()
+    ids, sizes = w.batch(many)
+    assert sizes.tolist() == [len(encode(t)) for t in many] and ids.tolist() == [i for t in many for i in encode(t)]
+    assert sum(map(len, asked)) <= 12
+
+
+def test_pieces_equal_a_pattern():
+    r = random.Random(2)
+    many = ["".join(r.choice("ab zÀß'ÿ\t\n\r019!-.é日") for _ in range(r.randrange(30))) or " " for _ in range(500)]
+    for kinds, pattern, texts_ in ((store._PLAIN, "[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+", [t.lower().replace("日", "") or " " for t in many]), (store._BLANKS, "[^ \t\n]+", many)):
+        distinct, which, n = store.pieces(texts_, kinds)
+        want = [re.findall(pattern, t) for t in texts_]
+        assert [distinct[i] for i in which] == [p for x in want for p in x] and n.tolist() == [len(x) for x in want]
+        assert len(set(distinct)) == len(distinct) == len({p for x in want for p in x})
+
+
 def test_round_trip(spark, tmp_path):
     w = store.word_ids(store.default_vocabulary())
     encode = library()

@@ -44,6 +44,36 @@ WORDS, IDS = 1_000_000, 8_000_000
 BROADCAST = 1_000_000
 
 
+def _kinds(blanks: bytes, digits: bytes = b"", letters: bytes = b"") -> np.ndarray:
+    """The kind of each byte: 0 blank, 1 digit, 2 letter, 3 other; those of characters beyond ASCII are letters."""
+    return np.array([0 if b in blanks else 1 if b in digits else 2 if b in letters or b > 127 else 3 for b in range(256)], np.uint8)
+
+
+#: Kinds of bytes of lower-case plain texts; of any other text, where nothing but blanks cuts.
+_PLAIN, _BLANKS = _kinds(b"\t\n\r ", b"0123456789", bytes(range(97, 123))), _kinds(b"\t\n ", letters=bytes(range(128)))
+
+
+def pieces(texts: list[str], kinds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Runs of bytes of one kind that is not blank, digits by themselves: the distinct ones, which of them each is, in the
+    order of the texts, and how many each text has."""
+    if not texts:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = [t.encode() for t in texts]
+    all_ = np.frombuffer(b" ".join(raw), np.uint8)
+    k = kinds[all_]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (k[1:] == 1)])
+    at = np.flatnonzero(new)
+    real = k[at] != 0
+    d = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(all_))), pa.py_buffer(all_)).dictionary_encode()
+    which = d.indices.to_numpy()[real]
+    # runs of blanks leave the dictionary
+    used = np.zeros(len(d.dictionary), bool)
+    used[which] = True
+    distinct = d.dictionary.to_numpy(zero_copy_only=False)[used].tolist()
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    return distinct, (np.cumsum(used) - 1)[which], np.diff(np.searchsorted(at[real], ends), prepend=0)
+
+
 class _Numbers(dict):
     """A number for each piece, in the order in which they are first asked for; new ones are noted."""
 
@@ -64,7 +94,8 @@ class WordIds:
     The tokenizer lower-cases, drops white space and encodes each letter run, digit and run of other marks by itself.
     Where a text has only ASCII without apostrophes and precomposed Latin-1 letters, those pieces are cut here and only
     pieces not seen before go to the library's model; any other text goes to the library between blanks, and one that
-    holds an added token as a whole."""
+    holds an added token as a whole. Texts are cut together, by the kinds of their bytes, and each distinct piece of a
+    batch is looked up once."""
 
     def __init__(self, path: str):
         import re
@@ -75,9 +106,6 @@ class WordIds:
         # their strings in a text become their ids, as the library has it
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.plain = re.compile("[\t\n\r -&(-~À-ÖØ-öø-ÿ]*").fullmatch
-        piece = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
-        self.pieces = piece.findall
-        self.blanks = re.compile("[ \t\n]+").split
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         # the byte-level alphabet: bytes that show as themselves, the others from 256 on
         shown, more = {*range(33, 127), *range(161, 173), *range(174, 256)}, iter(range(256, 512))
@@ -119,24 +147,21 @@ class WordIds:
         """The ids of all texts in one array, and how many each has."""
         if self.at.begun > WORDS or self.used > IDS:
             self.clear()
-        known: tuple[list[str], list[str]] = ([], [])
-        sizes, plain, once = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool), []
+        # 1: plain, 2: cut at blanks, 3: whole
+        how, own = np.zeros(len(texts), np.int8), ([], [], [])
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if any(a in t for a in self.added):
-                own = [t]
-                once.append(t)
-            elif self.plain(t):
-                own, plain[i] = self.pieces(t.lower()), True
-            else:
-                own = [c for c in self.blanks(t) if c]
-            known[int(plain[i])].extend(own)
-            sizes[i] = len(own)
-        w, of_plain = np.zeros(int(sizes.sum()), np.int64), np.repeat(plain, sizes)
-        w[of_plain], w[~of_plain] = self._numbered(known[1], True), self._numbered(known[0], False)
+            if t:
+                how[i] = 3 if any(a in t for a in self.added) else 1 if self.plain(t) else 2
+                own[how[i] - 1].append(t.lower() if how[i] == 1 else t)
+        cut = [pieces(own[0], _PLAIN), pieces(own[1], _BLANKS), (own[2], np.arange(len(own[2])), np.ones(len(own[2]), np.int64))]
+        sizes = np.zeros(len(texts), np.int64)
+        for j, (_, _, n) in enumerate(cut, 1):
+            sizes[how == j] = n
+        w, of = np.zeros(int(sizes.sum()), np.int64), np.repeat(how, sizes)
+        for j, (distinct, which, _) in enumerate(cut, 1):
+            w[of == j] = self._numbered(distinct, j == 1)[which]
         # whole texts are not remembered
-        for t in once:
+        for t in own[2]:
             self.at.pop(t, None)
         lo, n = self.begin[w], self.begin[w + 1] - self.begin[w]
         ends = np.cumsum(n)
