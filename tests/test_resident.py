@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from treesum.operators import resident, sampler, stats, validation
 from treesum.operators.kernel import Chain, walk
+from treesum.sources.staging import staged
 
 CONTROL = sampler.Control(trees=12, draws=6, burn=6, chains=2, cuts=25, seed=5)
 
@@ -260,3 +261,22 @@ def test_folds_are_dealt_where_rows_are(spark, monkeypatch, method, n_test, n):
     if method == "k-fold" and n > 5:
         again = validation.dealt(ids.withColumn("row_id", F.lit(1)), 1, method, n_test, 5)[0]
         assert {r["fold0"]: r["count"] for r in again.groupBy("fold0").count().collect()} == dict(enumerate(validation.fold_sizes(n, method, n_test)))
+
+
+@pytest.mark.parametrize("method, n_test", [("k-fold", 5), ("random subsample", 0.3)])
+def test_folds_hash_rows_once(spark, monkeypatch, method, n_test):
+    """Hashes kept with the rows are not made again, neither to find folds nor to deal them, and leave with the folds known."""
+    monkeypatch.setattr(validation, "RANGE", 40)
+    ids = spark.range(0, 1003, 1, 3).selectExpr("id % 500 * 7 AS row_id", "id AS _key")
+    kept = staged(validation.hashed(ids, 2, 5), "rows")
+    monkeypatch.setattr(validation, "u01", None)
+    got, rows = validation.dealt(kept, 2, method, n_test, 5)
+    monkeypatch.undo()
+    want, _ = validation.dealt(ids, 2, method, n_test, 5)
+    assert rows == 1003 and got.columns == ["row_id", "_key", "fold0", "fold1"]
+    assert "md5" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    for rep in range(2):
+        whole = validation.folds(ids, n_test, rep, 5) if method == "k-fold" else validation.subsample(ids, n_test, rep, 5).selectExpr("_key", "CAST(NOT test AS INT) AS fold")
+        # of rows that repeat an id either may stand first by its place
+        assert {r["fold"]: r["count"] for r in whole.groupBy("fold").count().collect()} == {r[f"fold{rep}"]: r["count"] for r in got.groupBy(f"fold{rep}").count().collect()}

@@ -192,18 +192,28 @@ def fold_sizes(n: int, method: str, n_test: float) -> list[int]:
     return [test, n - test]
 
 
+def hashed(frame: DataFrame, reps: int, seed: int) -> DataFrame:
+    """frame with _u0, _u1, ...: the keyed hash of a row's id in each repetition, as a number of 32 bits from -2^31. Kept with
+    the rows, it is made once: a hash costs more than reading four bytes."""
+    u = lambda rep: u01(F.lit(seed), F.lit(rep), F.col("row_id"))
+    return frame.select("*", *((u(rep) * F.lit(2.0**32) - F.lit(2.0**31)).cast("int").alias(f"_u{rep}") for rep in range(reps)))
+
+
 def dealt(frame: DataFrame, reps: int, method: str, n_test: float, seed: int) -> tuple[DataFrame, int]:
     """frame(_key, row_id, ...) with fold0, fold1, ...: the fold of each row in each repetition; in random subsamples, 0 for
-    test rows, else 1. Beside it the number of rows.
-
-    A fold is a stretch of the hashed order, so it is known by its first row. Two passes over keys and ids find those of all
-    repetitions: one counts hash ranges of about RANGE rows, one ranks the ranges in which folds begin. Rows are then
-    compared with them where they are; none is sorted or joined."""
+    test rows, else 1. Beside it the number of rows. Hashes that frame has from `hashed` are used and left out.
+
+    A fold is a stretch of the hashed order, so it is known by its first row. Two passes over hashes, keys and ids find those of
+    all repetitions: one counts hash ranges of about RANGE rows, one ranks the ranges in which folds begin. Rows are then
+    compared with them where they are, by their hashes and, where those are equal, by ids and keys; none is sorted or joined."""
+    u = [f"_u{rep}" for rep in range(reps)]
+    columns = [c for c in frame.columns if c not in u]
+    if len(columns) + reps > len(frame.columns):
+        frame = hashed(frame.select(*columns), reps, seed)
     n = frame.count()
     parts, ends = max(8, -(-n // RANGE)), np.cumsum(fold_sizes(n, method, n_test))[:-1]
-    u = lambda rep: u01(F.lit(seed), rep, F.col("row_id"))
-    ids = frame.select("_key", F.col("row_id").cast("long").alias("row_id")).select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
-    ids = ids.withColumn("_u", u(F.col("_rep"))).withColumn("_part", F.floor(F.col("_u") * parts).cast("int"))
+    ids = frame.select("_key", F.col("row_id").cast("long").alias("row_id"), F.posexplode(F.array(*u)).alias("_rep", "_u"))
+    ids = ids.withColumn("_part", F.floor((F.col("_u") + F.lit(2.0**31)) / F.lit(2.0**32) * parts).cast("int"))
     # a row for each range and repetition
     size = np.zeros((reps, parts), np.int64)
     for r in ids.groupBy("_rep", "_part").count().toLocalIterator():
@@ -219,9 +229,13 @@ def dealt(frame: DataFrame, reps: int, method: str, n_test: float, seed: int) ->
         at = F.row_number().over(Window.partitionBy("_rep", "_part").orderBy("_u", "row_id", "_key")) - 1
         for r in inside.withColumn("_at", at.cast("long")).join(F.broadcast(asked), ["_rep", "_part", "_at"]).collect():
             first[r["_rep"]].append((r["_u"], r["row_id"], r["_key"]))
-    out = frame.select("*", *(u(F.lit(rep)).alias(f"_u{rep}") for rep in range(reps)))
-    after = lambda rep, x: F.struct(f"_u{rep}", F.col("row_id").cast("long"), "_key") >= F.struct(F.lit(x[0]), F.lit(x[1]).cast("long"), F.lit(x[2]).cast("long"))
-    return out.select(*frame.columns, *(sum((after(rep, x).cast("int") for x in first[rep]), F.lit(0)).alias(f"fold{rep}") for rep in range(reps))), n
+    own = F.struct(F.col("row_id").cast("long"), "_key")
+
+    def after(rep: int, x: tuple):
+        at, hash_ = F.struct(F.lit(x[1]).cast("long"), F.lit(x[2]).cast("long")), F.lit(x[0]).cast("int")
+        return (F.col(u[rep]) > hash_) | ((F.col(u[rep]) == hash_) & (own >= at))
+
+    return frame.select(*columns, *(sum((after(rep, x).cast("int") for x in first[rep]), F.lit(0)).alias(f"fold{rep}") for rep in range(reps))), n
 
 
 def cross_validate_resident(frame: DataFrame, n_trees: list = (75,), k: list = (2.0,), power: list = (2.0,), base: list = (0.95,), method: str = "k-fold", n_test: float = 5, reps: int = 40, loss: str | None = None, control: Control = Control(draws=200, burn=200, chains=1), seed: int = 1, sizes: bool = False) -> DataFrame:
@@ -240,7 +254,7 @@ def cross_validate_resident(frame: DataFrame, n_trees: list = (75,), k: list = (
         raise ValueError(f"no method {method!r}")
     spark, columns = frame.sparkSession, [f"fold{i}" for i in range(reps)]
     # ids may repeat; keys, once written, do not
-    frame = staged(frame.select("row_id", "y", "weight", "offset", "x").withColumn("_key", F.monotonically_increasing_id()), "rows")
+    frame = staged(hashed(frame.select("row_id", "y", "weight", "offset", "x").withColumn("_key", F.monotonically_increasing_id()), reps, seed), "rows")
     frame, total = dealt(frame, reps, method, n_test, seed)
     rows = staged(resident.blocks(frame, p0, columns), "blocks").persist(StorageLevel.MEMORY_AND_DISK)
     parts, counts = int(n_test) if method == "k-fold" else 1, fold_sizes(total, method, n_test)
